@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvestat.llm import license_scan, mixing, quality_rules, sharding, simhash, token_counts
+from curvestat.llm import decontamination, license_scan, mixing, quality_rules, sharding, simhash, token_counts
 from curvestat.llm.common import table
 
 
@@ -34,5 +34,9 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op7_quality_rules, op8_mixing)}
+def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op7_quality_rules, op8_mixing, op10_decontamination)}
 ORACLES: dict[str, str] = {}
