@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvestat.llm import decontamination, license_scan, mixing, quality_classifier, quality_rules, sharding, simhash, token_counts
+from curvestat.llm import decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
 from curvestat.llm.common import table
 
 
@@ -38,9 +38,13 @@ def op8_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
 
+def op9_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.report(spark, table(spark, sf_dir, "documents"))
+
+
 def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op6_quality_classifier, op7_quality_rules, op8_mixing, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
 ORACLES: dict[str, str] = {}
