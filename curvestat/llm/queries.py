@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvestat.llm import decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
+from curvestat.llm import chat_format, decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
 from curvestat.llm.common import table
 
 
@@ -26,6 +26,10 @@ def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.count_tokens(table(spark, sf_dir, "documents"), public_tokenizers.path(token_counts.MODEL))
 
 
+def op5_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chat_format.read_back(chat_format.format_conversations(spark, table(spark, sf_dir, "conversations")), "conv_id")
+
+
 def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_classifier.classify(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -46,5 +50,5 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op5_chat_format, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
 ORACLES: dict[str, str] = {}
