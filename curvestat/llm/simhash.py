@@ -120,7 +120,8 @@ def classes(docs: DataFrame) -> DataFrame:
     lows = nodes.join(roots, F.col("fp") == F.col("node"))
     least = lows.groupBy("root").agg(F.min("low").alias("least"))
     linked = lows.join(least, "root").select(F.col("fp").alias("l_fp"), "least")
-    resolved = nodes.join(linked, F.col("fp") == F.col("l_fp"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("least", "low").alias("component_id"))
+    # cut, so that the join below reads two plain shuffles and a fingerprint shared by many documents can be split
+    resolved = cut(nodes.join(linked, F.col("fp") == F.col("l_fp"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("least", "low").alias("component_id")))
     named = base.join(resolved, F.col("fp") == F.col("n_fp"))
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
