@@ -118,32 +118,39 @@ def hampel_flags(xs: Column, radius: int = 5, z: float = 8.0, ratio: float = 4.0
     """Booleans: isolated high values against the neighbours within radius, the value itself left out."""
 
     def flag(x: Column, i: Column) -> Column:
-        near = F.concat(F.slice(xs, F.greatest(i - radius, F.lit(0)) + 1, F.least(i, F.lit(radius))), F.slice(xs, i + 2, F.lit(radius)))
-        test = let(
-            median(near),
-            lambda m: let(
-                median(F.transform(near, lambda v: F.abs(v - m))),
-                lambda mad: x > F.greatest(m + z * F.greatest(1.4826 * mad, F.lit(EPSILON)), ratio * F.greatest(m, F.lit(EPSILON))),
-            ),
-        )
-        return F.when(F.size(near) >= 4, test).otherwise(False)
+        around = F.concat(F.slice(xs, F.greatest(i - radius, F.lit(0)) + 1, F.least(i, F.lit(radius))), F.slice(xs, i + 2, F.lit(radius)))
+
+        def test(near: Column) -> Column:
+            high = let(
+                median(near),
+                lambda m: let(
+                    median(F.transform(near, lambda v: F.abs(v - m))),
+                    lambda mad: x > F.greatest(m + z * F.greatest(1.4826 * mad, F.lit(EPSILON)), ratio * F.greatest(m, F.lit(EPSILON))),
+                ),
+            )
+            return F.when(F.size(near) >= 4, high).otherwise(False)
+
+        return let(around, test)
 
     return F.transform(xs, flag)
 
 
 def repair(xs: Column, flags: Column) -> Column:
     """Flagged values interpolated from the nearest unflagged ones, held at the edges; null below two good values."""
-    good = F.filter(F.transform(xs, lambda x, i: F.when(~F.get(flags, i), i)), lambda i: i.isNotNull())
+    def with_flags(f: Column) -> Column:
+        good = F.filter(F.transform(f, lambda x, i: F.when(~x, i)), lambda i: i.isNotNull())
+
+        def fill(g: Column) -> Column:
+            def one(x: Column, i: Column) -> Column:
+                before, after = F.array_max(F.filter(g, lambda k: k < i)), F.array_min(F.filter(g, lambda k: k > i))
+                inside = F.get(xs, before) + (F.get(xs, after) - F.get(xs, before)) * (i - before) / (after - before)
+                return F.when(~F.get(f, i), x).when(before.isNull(), F.get(xs, after)).when(after.isNull(), F.get(xs, before)).otherwise(inside)
 
-    def fill(g: Column) -> Column:
-        def one(x: Column, i: Column) -> Column:
-            before, after = F.array_max(F.filter(g, lambda k: k < i)), F.array_min(F.filter(g, lambda k: k > i))
-            inside = F.get(xs, before) + (F.get(xs, after) - F.get(xs, before)) * (i - before) / (after - before)
-            return F.when(~F.get(flags, i), x).when(before.isNull(), F.get(xs, after)).when(after.isNull(), F.get(xs, before)).otherwise(inside)
+            return F.when(F.size(g) >= 2, F.transform(xs, one))
 
-        return F.when(F.size(g) >= 2, F.transform(xs, one))
+        return let(good, fill)
 
-    return let(good, fill)
+    return let(flags, with_flags)
 
 
 def serialise_flags(flags: Column) -> tuple[Column, Column]:

@@ -34,7 +34,7 @@ def steps(joints: DataFrame, trial: list[str], frame: str = "frame") -> DataFram
     zero = is_zero()
     out = joints.withColumn("zero", zero)
     moved = norm([F.col(c) - before(c) for c in ("x", "y", "z")])
-    out = out.select(*trial, "joint", (F.col(frame) - 1).alias("step"), moved.alias("moved"), ~(F.col("zero") | before(F.col("zero"))).alias("valid"))
+    out = out.select(*trial, "joint", (F.col(frame) - 1).alias("step"), moved.alias("moved"), (~(F.col("zero") | before(F.col("zero")))).alias("valid"))
     return out.filter(F.col("moved").isNotNull())
 
 
