@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("components", "sequences")
+MODULES: tuple[str, ...] = ("components", "sequences", "resampling")
 
 
 def load_all() -> None:
