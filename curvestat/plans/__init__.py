@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("components", "sequences", "resampling")
+MODULES: tuple[str, ...] = ("components", "sequences", "resampling", "relational")
 
 
 def load_all() -> None:
