@@ -33,9 +33,10 @@ import hashlib
 import re
 from collections.abc import Iterator
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from curvestat.llm.common import cut
 
@@ -148,18 +149,19 @@ _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", r
 def read_back(formatted: DataFrame, key: str) -> DataFrame:
     """Digest of each formatted conversation, read from its parts alone."""
     kind = formatted.schema[key].dataType.simpleString()
+    types = [to_arrow_type(formatted.schema[key].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
+    columns = [key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         current, state = None, None
+        made = lambda rows: pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], t) for i, t in enumerate(types)], names=columns)
 
         def row() -> tuple:
             return (current[0], state["turns"], state["all"].hexdigest(), state["chars"], state["loss"].hexdigest(), state["length"])
 
-        columns = [key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
         for batch in batches:
             rows = []
-            for conv, text, loss in zip(batch[key], batch["text"], batch["loss"], strict=True):
-                conv = None if pd.isna(conv) else conv
+            for conv, text, loss in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
                 if current is None or current[0] != conv:
                     if current is not None:
                         rows.append(row())
@@ -172,12 +174,12 @@ def read_back(formatted: DataFrame, key: str) -> DataFrame:
                     learned = unescape(text[span["start"] : span["end"]])
                     state["chars"] += len(learned)
                     state["loss"].update(learned.encode())
-            yield pd.DataFrame(rows, columns=columns)
+            yield made(rows)
         if current is not None:
-            yield pd.DataFrame([row()], columns=columns)
+            yield made([row()])
 
     ordered = formatted.select(key, "part", "text", "loss").repartition(F.col(key)).sortWithinPartitions(key, "part")
-    return ordered.mapInPandas(run, f"{key} {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
+    return ordered.mapInArrow(run, f"{key} {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
 def probe(spark: SparkSession, like: DataFrame) -> DataFrame:

@@ -33,6 +33,17 @@ def words(text: Column) -> Column:
     return F.array_remove(F.split(F.coalesce(text, F.lit("")), BLANKS), "")
 
 
+def fresh(df: DataFrame, *stems: str) -> list[str]:
+    """Column names that df doesn't have."""
+    taken = {c.lower() for c in df.columns}
+    out = []
+    for stem in stems:
+        while stem.lower() in taken:
+            stem += "_"
+        out.append(stem)
+    return out
+
+
 def let(value: Column, body) -> Column:
     """Evaluate value once and use it in body, whatever the optimiser inlines."""
     return F.get(F.transform(F.array(value), body), F.lit(0))

@@ -37,6 +37,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 Q = 10
 WINDOW = 80
@@ -260,13 +261,13 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     item_type = benchmark.schema["item_id"].dataType
     item_kind = item_type.simpleString()
     source = docs.select("doc_id", "text")
+    schema = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("item_id", to_arrow_type(item_type)), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     out = None
     for items in blocks(benchmark):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             ix = Index(shared.value)
-            schema = pa.schema([("doc_id", _arrow(kind)), ("item_id", _arrow(item_kind)), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -279,10 +280,6 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
     return out
 
 
-def _arrow(kind: str) -> pa.DataType:
-    return {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[kind]
-
-
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     """The rows of docs in which no benchmark item is found, with the columns of docs.
 

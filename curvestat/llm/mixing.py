@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvestat.llm.common import cut, let, words
+from curvestat.llm.common import cut, fresh, let, words
 
 #: Weights of the sources in turn, share of all words, most copies.
 WEIGHTS = (5, 2, 1)
@@ -138,13 +138,15 @@ def _mixed(docs: DataFrame, block: int) -> DataFrame:
 def apply_mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs.
 
-    Repeated rows (equal doc_id, source and text) are taken as often as all of
-    them together.
+    Repeated rows (equal doc_id, source and text) share what all of them
+    together are given, rounded up to whole copies of each.
     """
     chosen = _mixed(docs, block).groupBy("doc_id", "source", "tie").agg(F.collect_list("copies").alias("each"))
-    keyed = docs.withColumn("__key", F.xxhash64("doc_id", "source", F.xxhash64("text")))
-    counts = chosen.select(F.xxhash64("doc_id", "source", "tie").alias("__key"), F.aggregate("each", F.lit(0).cast("bigint"), lambda acc, x: acc + x).alias("__all"), F.size("each").alias("__rows"))
-    # equal rows share their copies evenly, the remainder going by parity of a draw that doesn't depend on the row: all rows of one key get ceil or floor
-    joined = keyed.join(counts, "__key")
-    times = F.when(F.col("__rows") == 1, F.col("__all")).otherwise(F.ceil(F.col("__all") / F.col("__rows")))
-    return joined.withColumn("__i", F.explode(F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>")))).select(*[F.col(c) for c in docs.columns])
+    key, other, sum_, rows = fresh(docs, "mix_key", "mix_other", "mix_all", "mix_rows")
+    total = F.aggregate("each", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+    counts = chosen.select(F.xxhash64("doc_id", "source", "tie").alias(other), total.alias(sum_), F.size("each").alias(rows))
+    joined = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text"))).join(counts, F.col(key) == F.col(other))
+    times = F.ceil(F.col(sum_) / F.col(rows))
+    copies = F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>"))
+    (copy,) = fresh(joined, "mix_copy")
+    return joined.withColumn(copy, F.explode(copies)).select(*docs.columns)

@@ -25,7 +25,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvestat.llm.common import BLANKS, cut, let, words
+from curvestat.llm.common import BLANKS, cut, fresh, let, words
 
 #: A line in more distinct texts of its host than this, and than SHARE of them, is boilerplate.
 MIN_TEXTS = 10
@@ -130,6 +130,7 @@ def report(docs: DataFrame) -> DataFrame:
 
 def keep_clean(docs: DataFrame) -> DataFrame:
     """The rows of docs whose verdict is kept, with the columns of docs."""
-    rejected = verdicts(docs).filter(~F.col("kept")).select("row_key").distinct()
-    key = F.xxhash64("doc_id", "source", F.xxhash64("text"))
-    return docs.withColumn("__row_key", key).join(rejected, F.col("__row_key") == F.col("row_key"), "left_anti").drop("__row_key")
+    key, other = fresh(docs, "row_key", "rejected_key")
+    rejected = verdicts(docs).filter(~F.col("kept")).select(F.col("row_key").alias(other)).distinct()
+    keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text")))
+    return keyed.join(rejected, F.col(key) == F.col(other), "left_anti").select(*docs.columns)

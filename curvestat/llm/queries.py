@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from curvestat.llm import chat_format, decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
 from curvestat.llm.common import table
+from curvestat.llm.oracles import ORACLES
 
 
 def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -51,4 +52,3 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op5_chat_format, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
-ORACLES: dict[str, str] = {}

@@ -31,7 +31,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvestat.llm.common import cut
+from curvestat.llm.common import cut, fresh
 
 SHARDS = 40
 OVERHEAD = 16
@@ -181,10 +181,10 @@ def _big_table(rows: list[tuple[int, int, int, int, int]]) -> Column:
 def add_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """docs with columns shard and slot (clashing names are replaced)."""
     placed = _placed(docs, shards)
-    key = F.xxhash64(F.lit(SEED), "doc_id", "text")
     rest = docs.drop("shard", "slot")
+    key, nth = fresh(rest, "shard_key", "shard_nth")
     # repeated rows share a key; they are numbered on both sides so that each gets one slot
-    nth = lambda order: F.row_number().over(Window.partitionBy("__key").orderBy(order))
-    left = rest.withColumn("__key", key).withColumn("__nth", nth("doc_id"))
-    right = placed.select(F.col("draw").alias("__key"), "shard", "slot").withColumn("__nth", nth("slot"))
-    return left.join(right, ["__key", "__nth"]).select(*[F.col(c) for c in rest.columns], "shard", "slot")
+    number = lambda order: F.row_number().over(Window.partitionBy(key).orderBy(order))
+    left = rest.withColumn(key, F.xxhash64(F.lit(SEED), "doc_id", "text")).withColumn(nth, number("doc_id"))
+    right = placed.select(F.col("draw").alias(key), "shard", "slot").withColumn(nth, number("slot"))
+    return left.join(right, [key, nth]).select(*rest.columns, "shard", "slot")

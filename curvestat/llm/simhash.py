@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from curvestat.llm import golay
-from curvestat.llm.common import cut
+from curvestat.llm.common import cut, fresh
 from curvestat.llm.graph import components
 
 SEED = 42
@@ -132,13 +132,14 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Of repeated rows with that doc_id one stays. Rows without a doc_id stand
     after all others; a component of such rows only keeps one of each content.
     """
-    found = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("rows"))
-    chosen = cut(found.withColumnRenamed("doc_id", "__chosen"))
-    kept = docs.join(chosen, F.col("doc_id").eqNullSafe(F.col("__chosen")), "left_semi")
-    repeated = chosen.filter("rows > 1 OR __chosen IS NULL").select("__chosen")
+    name, copy = fresh(docs, "chosen_id", "copy_of")
+    found = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
+    chosen = cut(found.select(F.col("doc_id").alias(name), "n"))
+    same = F.col("doc_id").eqNullSafe(F.col(name))
+    kept = docs.join(chosen.select(name), same, "left_semi")
+    repeated = chosen.filter((F.col("n") > 1) | F.col(name).isNull()).select(name)
     if repeated.isEmpty():
         return kept
-    again = F.col("doc_id").eqNullSafe(F.col("__chosen"))
-    return kept.join(repeated, again, "left_anti").unionByName(
-        kept.join(repeated, again, "left_semi").withColumn("__copy", F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2("text", 256)))).dropDuplicates(["__copy"]).drop("__copy")
-    )
+    content = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
+    again = kept.join(repeated, same, "left_semi").withColumn(copy, content).dropDuplicates([copy]).select(*docs.columns)
+    return kept.join(repeated, same, "left_anti").unionByName(again)
