@@ -8,8 +8,8 @@ Every document starts in a shard by hash. In each round the documents of one
 hub in one shard are a block; Spark joins find, for every hub, its neighbours'
 shard: the one that holds most of its documents among those with room. Blocks
 propose to move there, and proposals are accepted by hash priority up to the
-shard's quota, counted in a histogram of shards by priority bins. Quotas start
-above an even share and tighten to it. Hubs above ``BIG`` of a shard are few
+shard's quota, counted in a histogram of (from, to, priority) in which moves out
+make room for moves in. Quotas start above an even share and tighten. Hubs above ``BIG`` of a shard are few
 (at most shards / BIG) and are laid out first, over as few shards as hold them,
 so no quota has to break them at random.
 
@@ -21,7 +21,7 @@ never from one window over a shard.
 Defined results: a null text has size 16 and no link; a null doc_id is placed
 like any value; repeated rows are documents of their own; an empty table gives
 an empty result; other columns of the input are ignored. Collected to the driver: only tables
-of shards, of shards by bins, and of big hubs, whose sizes are fixed by the
+of shards, of pairs of shards by priority, and of big hubs, whose sizes are fixed by the
 number of shards.
 """
 
@@ -35,9 +35,9 @@ from curvestat.llm.common import cut, fresh
 
 SHARDS = 40
 OVERHEAD = 16
-ROUNDS = (1.25, 1.1, 1.02, 1.0)
+ROUNDS = (1.25, 1.25, 1.2, 1.15, 1.1, 1.1)
 BIG = 0.25
-PRIORITIES = 1024
+PRIORITIES = 60
 BINS = 1024
 SEED = 3
 
@@ -79,34 +79,46 @@ def _lay_out(big: list, quota: list[int]) -> tuple[dict[int, list[tuple[int, int
 
 def _propagate(blocks: DataFrame, room: list[int], shards: int) -> DataFrame:
     """Rounds of label propagation: rows (hub, home, shard, n); home is where the block began."""
-    share = sum(room) / shards
     for step, factor in enumerate(ROUNDS):
         load = [0] * shards
         for r in blocks.groupBy("shard").agg(F.sum("n").alias("n")).collect():
             load[r["shard"]] = r["n"]
-        free = [max(0, int(room[s] * factor) - load[s]) for s in range(shards)]
+        most = [int(room[s] * factor) for s in range(shards)]
         held = blocks.groupBy("hub", "shard").agg(F.sum("n").alias("n"))
-        score = F.struct(F.when(_by_shard(free, F.col("shard")) > 0, 1).otherwise(0).alias("open"), "n", F.pmod(F.xxhash64(F.lit(step), "hub", "shard"), F.lit(1 << 20)).alias("tie"), "shard")
-        best = held.groupBy("hub").agg(F.max(score).alias("best"), F.count("*").alias("spread")).filter("spread > 1 AND best.open = 1").select(F.col("hub").alias("b_hub"), F.col("best.shard").alias("to"))
-        joined = cut(blocks.join(best, F.col("hub") == F.col("b_hub"), "left").drop("b_hub"))
+        has_room = _by_shard([int(load[s] < most[s]) for s in range(shards)], F.col("shard"))
+        score = F.struct(has_room.alias("open"), "n", F.pmod(F.xxhash64(F.lit(step), "hub", "shard"), F.lit(1 << 20)).alias("tie"), "shard")
+        best = held.groupBy("hub").agg(F.max(score).alias("best"), F.count("*").alias("spread")).filter("spread > 1").select(F.col("hub").alias("b_hub"), F.col("best.shard").alias("to"))
         priority = F.pmod(F.xxhash64(F.lit(SEED + step), "hub"), F.lit(PRIORITIES)).cast("int")
-        wishes = joined.filter("to <> shard").groupBy("to", priority.alias("p")).agg(F.sum("n").alias("n")).collect()
-        until = [PRIORITIES] * shards
-        inflow = [0] * shards
-        for r in sorted(wishes, key=lambda r: (r["to"], r["p"])):
-            s = r["to"]
-            if until[s] == PRIORITIES:
-                if inflow[s] + r["n"] > free[s]:
-                    until[s] = r["p"]
-                else:
-                    inflow[s] += r["n"]
-        accepted = F.col("to").isNotNull() & (priority < _by_shard(until, F.coalesce("to", F.lit(0))))
-        blocks = cut(joined.select("hub", "home", F.when(accepted, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n"))
-        if share <= 0 or not any(inflow):
+        joined = cut(blocks.join(best, F.col("hub") == F.col("b_hub"), "left").drop("b_hub").withColumn("p", priority))
+        wishes = joined.filter("to <> shard").groupBy("shard", "to", "p").agg(F.sum("n").alias("n")).collect()
+        masks = _accept([(r["p"], r["shard"], r["to"], r["n"]) for r in wishes], load, most, shards)
+        if not any(masks):
             break
+        mask = F.element_at(F.array(*[F.lit(m).cast("bigint") for m in masks]), (F.col("shard") * shards + F.coalesce("to", F.lit(0)) + 1).cast("int"))
+        accepted = F.col("to").isNotNull() & (F.col("to") != F.col("shard")) & (mask.bitwiseAND(F.expr("shiftleft(1L, p)")) != 0)
+        blocks = cut(joined.select("hub", "home", F.when(accepted, F.col("to")).otherwise(F.col("shard")).alias("shard"), "n"))
     return blocks
 
 
+def _accept(wishes: list[tuple[int, int, int, int]], load: list[int], most: list[int], shards: int) -> list[int]:
+    """Bit masks of accepted priorities for each (from, to); moves out make room for moves in."""
+    masks = [0] * (shards * shards)
+    left = sorted(wishes)
+    while left:
+        waiting = []
+        for p, a, b, n in left:
+            if load[b] + n <= most[b]:
+                load[b] += n
+                load[a] -= n
+                masks[a * shards + b] |= 1 << p
+            else:
+                waiting.append((p, a, b, n))
+        if len(waiting) == len(left):
+            break
+        left = waiting
+    return masks
+
+
 def assign(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     """doc_id, size, text_crc32, law, shard, slot, grown_shard for each row of docs."""
     placed = _placed(docs, shards)
@@ -129,17 +141,18 @@ def _placed(docs: DataFrame, shards: int) -> DataFrame:
     big_rows = [(hub, s, before, before + n, sum(x for _, x in parts)) for hub, parts in plan.items() for (s, n), before in zip(parts, _before(parts), strict=True)]
     labelled = base.join(moved, (F.col("text_hub") == F.col("m_hub")) & (F.col("first") == F.col("m_home")), "left")
     shard = F.coalesce("m_shard", "first")
-    linked = F.col("m_shard").isNotNull()
+    linked, big_hub = F.col("m_shard").isNotNull(), F.lit(False)
     if big_rows:
         at = F.pmod(F.xxhash64(F.lit(SEED + 100), "draw"), F.lit(1 << 40)) / F.lit(float(1 << 40))
         table = _big_table(big_rows)
         choice = F.element_at(table, F.col("text_hub"))
         picked = F.get(F.filter(choice, lambda x: at < x["until"]), F.lit(0))["shard"]
         shard = F.coalesce(picked, shard)
-        linked = linked | picked.isNotNull()
-    labelled = labelled.select("doc_id", "size", "text_crc32", "draw", "text_hub", shard.alias("label"), linked.alias("linked"))
+        big_hub = picked.isNotNull()
+        linked = linked | big_hub
+    labelled = labelled.select("doc_id", "size", "text_crc32", "draw", "text_hub", shard.alias("label"), linked.alias("linked"), big_hub.alias("big_hub"))
     # linked documents first, one hub's together, so that the quota cuts loose documents before links
-    bin_key = F.when(F.col("linked"), F.struct(F.lit(0).alias("loose"), F.pmod(F.col("text_hub"), F.lit(BINS)).cast("int").alias("bin"), F.pmod("draw", F.lit(16)).cast("int").alias("sub"))).otherwise(
+    bin_key = F.when(F.col("linked"), F.struct(F.lit(0).alias("loose"), F.pmod(F.col("text_hub"), F.lit(BINS)).cast("int").alias("bin"), F.when(F.col("big_hub"), F.pmod("draw", F.lit(16)).cast("int")).otherwise(0).alias("sub"))).otherwise(
         F.struct(F.lit(1).alias("loose"), F.pmod(F.xxhash64(F.lit(SEED + 7), "draw"), F.lit(BINS)).cast("int").alias("bin"), F.lit(0).alias("sub"))
     )
     binned = cut(labelled.withColumn("bin", bin_key))
