@@ -1,0 +1,81 @@
+from __future__ import annotations
+
+import hashlib
+import re
+
+import numpy as np
+
+from curvestat.llm import pii as P
+from tests.llm.common import clashing, documents, frame
+
+
+def luhn(s):
+    total = 0
+    for i, c in enumerate(reversed(s)):
+        v = int(c) * (2 if i % 2 else 1)
+        total += v - 9 if v > 9 else v
+    return total % 10 == 0
+
+
+RULES = (
+    ("email", r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", lambda m: True),
+    ("ip", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)", lambda m: all(int(x) <= 255 for x in m.split("."))),
+    ("card", r"[0-9]([\x20-]?[0-9])+", lambda m: 13 <= len(re.sub("[ -]", "", m)) <= 19 and luhn(re.sub("[ -]", "", m))),
+    ("phone", r"\+[0-9][\x20().0-9-]+[0-9]", lambda m: 9 <= len(re.sub("[^0-9]", "", m)) <= 15),
+)
+
+
+def base(text):
+    return [(k, m.start(), m.end()) for k, p, ok in RULES for m in re.finditer(p, text or "") if ok(m[0])]
+
+
+AWKWARD = [
+    "a@b.c_d@e.f x@y x@y. .@-.- a@b.c@d.e",
+    "1.2.3.4.5.6.7.8 256.1.1.1 001.002.003.0255 1.2.3 999.1.1.1.1",
+    "4111 1111 1111 1111, 4111-1111-1111-1112; 4111 1111 1111 1111 1111 1111 " + "4" * 40,
+    "+1 (555) 010-2030 +123 +1.2.3 +44 20 7946 0958- ++4915112345678",
+    "é日😀 mail ünï@example.org then 10.0.0.1 and 😀 +49 151 12345678",
+    "token = \"24be64439e3e49cf46b2d7c90f3602a3d0b907ff\" call (555) 123-4567 or jane (at) example (dot) com",
+    "5" * 3000 + " " + "a." * 2000 + "@" + "b." * 500 + "c",
+]
+
+
+def test_base_spans_match_the_patterns(spark):
+    rows = documents() + [(500 + i, t, "en", "s", 0) for i, t in enumerate(AWKWARD)]
+    got = {}
+    for r in P.report(spark, clashing(frame(spark, rows))).collect():
+        got.setdefault(r["doc_id"], []).append(r)
+    assert sum(map(len, got.values())) == len(rows)
+    for doc_id, text, *_ in rows:
+        spans = base(text)
+        named = [f"{k}:{s}:{e}" for k, s, e in spans]
+        for r in got[doc_id]:
+            assert [r["n_email"], r["n_ip"], r["n_card"], r["n_phone"]] == [sum(x[0] == k for x in spans) for k in P.BASE]
+            assert r["base_sha256"] == hashlib.sha256(",".join(named).encode()).hexdigest()
+            every = r["spans"].split(",") if r["spans"] else []
+            assert [x for x in every if x.split(":")[0] in P.BASE] == named
+            extra = [tuple(x.split(":")) for x in every if x.split(":")[0] not in P.BASE]
+            assert all(k in ("contact", "secret") and 0 <= int(s) < int(e) <= len(text) for k, s, e in extra)
+    text, r = AWKWARD[5], got[505][0]
+    found = {k: text[int(s) : int(e)] for k, s, e in (x.split(":") for x in r["spans"].split(","))}
+    assert found["secret"] == "24be64439e3e49cf46b2d7c90f3602a3d0b907ff" and "contact" in found
+
+
+def test_clean_documents_have_no_spans(spark):
+    clean = [(i, t, "en", "s", 0) for i, t in enumerate(["Version 1.2.3 of 2024-01-31.", "Order 123456789, page 12.", "internationalization counterrevolutionaries", "A sum of 1,000,000.50 in 1999-2000", ""])]
+    assert {r["spans"] for r in P.report(spark, frame(spark, clean)).collect()} == {""}
+
+
+def test_trees_on_kept_out_snippets(spark):
+    for (bias, trees), least in P.fit(spark).values():
+        assert np.isfinite(least) and len(trees) == P.ROUNDS
+
+
+def test_prefix_sums_over_many_matches(spark):
+    text = " ".join(f"u{i}@x.org" for i in range(900))
+    r = P.report(spark, frame(spark, [(1, text, "en", "s", 0)])).first()
+    assert r["n_email"] == 900 and r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in base(text)).encode()).hexdigest()
+
+
+def test_empty_table(spark):
+    assert P.report(spark, frame(spark, [])).count() == 0
