@@ -227,3 +227,40 @@ def oneway_components_lineitem(spark, sf_dir):
     kept = D._balanced(trial_rank(li, ["athlete", "action"], ["l_orderkey", "l_linenumber"]), ["athlete", "action"])
     out = C.one_way(kept, ["action"])
     return D.rounded(out.select("action", "p", "m", "msb", "msw", "interior", "sigma2_b", "sigma2_w"))
+
+
+@query("reliability_curve_grid", f"{D.INTEGRATED}, n AS (SELECT unnest(range(1, 51))::INT AS trials) SELECT trials, {r('b / (b + w / trials)', 'R_L2', 9)} FROM tot, n")
+def reliability_curve_grid(spark, sf_dir):
+    """Reliability of 1 to 50 trials, as drawn in curves of R(n)."""
+    t = total(spark, sf_dir).crossJoin(F.broadcast(C.grid(spark, list(range(1, 51)), "trials")))
+    return D.rounded(t.select("trials", R.reliability(F.col("B"), F.col("W"), F.col("trials").cast("double")).alias("R_L2")), 9)
+
+
+@query("complete_case_fit")
+def complete_case_fit(spark, sf_dir):
+    """Unbalanced fit of trials without a missing joint, with thresholds and reliabilities of 1, 5, 10 and 50 trials."""
+    complete = D.curves(spark, sf_dir).filter((F.col("vec_id") % 17) >= 3)
+    fit = reml.unbalanced(reml.sufficient(D.to_nodes(complete), ["node"]), ["node"])
+    b, w = F.col("B"), F.col("W")
+    t = C.integrate(fit, [], D.NODES)
+    reliabilities = [R.reliability(b, w, F.lit(float(n))).alias(f"R_L2_m{n}") for n in (1, 5, 10, 50)]
+    return t.select("B", "W", "boundary_nodes", *reliabilities, *[R.required_trials(b, w, x).alias(f"required_n_R_L2_{round(100 * x)}") for x in R.TARGETS])
+
+
+@query("deduplicated_unbalanced_fit")
+def deduplicated_unbalanced_fit(spark, sf_dir):
+    """Unbalanced fit after one member of each group of equal curves is removed."""
+    from curvestat.functions.arrays import digest
+    from curvestat.operators import influence
+
+    c = D.curves(spark, sf_dir).withColumn("sha", digest(F.col("y")))
+    members = influence.duplicate_groups(c.select("sha", "athlete", "vec_id"), "sha")
+    removed = influence.duplicate_removals(members, "athlete", "vec_id", 8).select("vec_id")
+    fit = reml.unbalanced(reml.sufficient(D.to_nodes(c.join(removed, "vec_id", "left_anti")), ["node"]), ["node"])
+    return C.integrate(fit, [], D.NODES).select("B", "W", "boundary_nodes")
+
+
+@query("too_small_groups", "SELECT label AS athlete, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) < 50")
+def too_small_groups(spark, sf_dir):
+    stats = D.curves(spark, sf_dir).groupBy("athlete").agg(F.count("*").alias("n"))
+    return reml.too_small(stats, 50)
