@@ -38,6 +38,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 BLOCK = 64
+#: Sources up to which their table is broadcast; beyond it the joins shuffle.
+MOST_BROADCAST = 10_000
 SEED = 8
 
 
@@ -91,11 +93,16 @@ def _meet(acc: Column, x: Column, level: int) -> Column:
     return let(masses, moved)
 
 
-def _level(open_docs: DataFrame, level: int, block: int) -> DataFrame:
+def _dimension(rows: DataFrame, few: bool) -> DataFrame:
+    """A table of one row per source, broadcast only where the sources were counted and are few."""
+    return F.broadcast(rows) if few else rows
+
+
+def _level(open_docs: DataFrame, level: int, block: int, few: bool) -> DataFrame:
     """Fold each block: rows (cur, out) of the residual document and the decided ones."""
     fields = ["doc_id", "tie", "source", "size", "whole", "part", "source_size", "target"]
     blocks = open_docs.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")).select(F.col("source").alias("b_source"), "blocks")
-    dealt = open_docs.join(F.broadcast(blocks), F.col("source").eqNullSafe(F.col("b_source"))).withColumn(
+    dealt = open_docs.join(_dimension(blocks, few), F.col("source").eqNullSafe(F.col("b_source"))).withColumn(
         "block", F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), "doc_id", "tie"), F.col("blocks"))
     )
     gathered = dealt.groupBy("source", "block").agg(F.sort_array(F.collect_list(F.struct("size", *[f for f in fields if f != "size"])), asc=False).alias("docs"))
@@ -113,17 +120,18 @@ def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
 def _mixed(docs: DataFrame, block: int) -> DataFrame:
     # rows alike in every column used are told apart by their text's hash only; equal rows are exchangeable
     sizes = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("tie")))
-    goal = targets(sizes)
+    goal = cut(targets(sizes))
+    few = goal.count() <= MOST_BROADCAST
     goal = goal.withColumnRenamed("source", "t_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    joined = sizes.join(F.broadcast(goal), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
+    joined = sizes.join(_dimension(goal, few), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
     parted = joined.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("bigint")).withColumn("part", F.col("ratio") - F.col("whole")).drop("ratio")
     parted = cut(parted)
     decided = parted.filter("part = 0 OR size = 0").withColumn("part", F.lit(0.0))
     fields = decided.columns
     left, level = parted.filter("part > 0 AND size > 0"), 0
     while True:
-        folded = cut(_level(left, level, block))
+        folded = cut(_level(left, level, block, few))
         decided = decided.unionByName(folded.select(F.explode("out").alias("d")).select("d.*").select(*fields))
         left, level = folded.select("cur.*").select(*fields), level + 1
         most = left.groupBy("source").agg(F.count("*").alias("n")).agg(F.max("n")).first()[0] or 0
