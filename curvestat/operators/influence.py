@@ -35,7 +35,7 @@ def register(curves: DataFrame, keys: list[str], nodes: int, landmark: str = "la
     lo, hi = arrays.search_range(nodes, low, high)
     peaked = curves.withColumn("peak", arrays.peak(arrays.moving_average_nearest(F.col(landmark), window), lo, hi))
     medians = peaked.groupBy(*keys).agg(F.rint(F.median("peak")).alias("reference")) if keys else peaked.agg(F.rint(F.median("peak")).alias("reference"))
-    joined = peaked.join(F.broadcast(medians), keys) if keys else peaked.crossJoin(F.broadcast(medians))
+    joined = peaked.join(medians, keys) if keys else peaked.crossJoin(F.broadcast(medians))
     return joined.withColumn("warped", arrays.warp(F.col("y"), F.col("peak").cast("double"), F.col("reference"), nodes))
 
 

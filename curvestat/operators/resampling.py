@@ -31,7 +31,7 @@ def draws(spark: SparkSession, reps: int, groups: DataFrame, seed: int, name: st
     size = ranked.agg(F.count("*").alias("k"))
     picks = spark.range(1, reps + 1).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
     picks = picks.withColumn("at", F.pmod(hash_key(F.lit(seed), F.col("rep"), F.col("draw")), F.col("k")).cast("int"))
-    return picks.join(F.broadcast(ranked), "at").groupBy("rep", name).agg(F.count("*").alias("cnt"))
+    return picks.join(ranked, "at").groupBy("rep", name).agg(F.count("*").alias("cnt"))
 
 
 def bootstrap_components(cells: DataFrame, drawn: DataFrame, keys: list[str], group: str = "athlete") -> DataFrame:
