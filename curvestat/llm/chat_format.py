@@ -80,16 +80,15 @@ def paths(nodes: DataFrame, most: int = 1) -> DataFrame:
             break
         jumps.append(hop)
         over = state.select(F.col("node").alias("o_node"), F.col("up").alias("o_up"), F.col("depth").alias("o_depth"), F.col("total").alias("o_total"))
-        # a pointer that leads nowhere ends here: its node's root is missing
-        joined = state.join(over, F.col("up") == F.col("o_node"), "left")
-        state = cut(
-            joined.select(
-                "node",
-                F.col("o_up").alias("up"),
-                (F.col("depth") + F.coalesce("o_depth", F.lit(0))).alias("depth"),
-                (F.col("total") + F.coalesce("o_total", F.lit(0.0))).alias("total"),
-            )
+        # only nodes that haven't reached their root are joined; a pointer that leads nowhere ends here: its node's root is missing
+        joined = state.filter("up IS NOT NULL").join(over, F.col("up") == F.col("o_node"), "left")
+        moved = joined.select(
+            "node",
+            F.col("o_up").alias("up"),
+            (F.col("depth") + F.coalesce("o_depth", F.lit(0))).alias("depth"),
+            (F.col("total") + F.coalesce("o_total", F.lit(0.0))).alias("total"),
         )
+        state = cut(state.filter("up IS NULL").unionByName(moved))
         if len(jumps) > 62:
             raise ValueError("replies form a cycle")
     inner = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("i_node")).distinct()
