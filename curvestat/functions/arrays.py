@@ -160,9 +160,10 @@ def serialise_flags(flags: Column) -> tuple[Column, Column]:
     return F.array_join(steps.cast("array<string>"), ";"), F.array_join(F.transform(steps, lambda i: F.format_string("%.6f", 100.0 * i / last)), ";")
 
 
-def doubled(xs: Column, rows: int) -> Column:
+def doubled(xs: Column, rows: Column | int) -> Column:
     """Whether an array of 2 * rows values repeats its first half exactly."""
-    return (F.size(xs) == 2 * rows) & (F.slice(xs, 1, rows) == F.slice(xs, rows + 1, rows))
+    n = F.lit(rows) if isinstance(rows, int) else rows
+    return (F.size(xs) == 2 * n) & (F.slice(xs, F.lit(1), n) == F.slice(xs, n + 1, n))
 
 
 def halved(xs: Column, rows: int) -> Column:

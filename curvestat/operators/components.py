@@ -37,17 +37,29 @@ def one_way(nodes: DataFrame, keys: list[str], group: str = "athlete", value: st
     return one_way_from_cells(cell_statistics(nodes, keys, group, value), keys)
 
 
+def _integrals(nodes: int) -> list:
+    w = node_weight(F.col("node"), nodes)
+    return [F.sum(F.col("sigma2_b") * w).alias("B"), F.sum(F.col("sigma2_w") * w).alias("W"), F.count_if(~F.col("interior")).alias("boundary_nodes"), F.count("*").alias("nodes")]
+
+
 def integrate(components: DataFrame, keys: list[str], nodes: int) -> DataFrame:
     """B, W and boundary_nodes over the phase for each combination of keys."""
-    w = node_weight(F.col("node"), nodes)
-    agg = [F.sum(F.col("sigma2_b") * w).alias("B"), F.sum(F.col("sigma2_w") * w).alias("W"), F.count_if(~F.col("interior")).alias("boundary_nodes"), F.count("*").alias("nodes")]
-    return (components.groupBy(*keys) if keys else components.groupBy()).agg(*agg).withColumn("boundary_fraction", F.col("boundary_nodes") / F.col("nodes"))
+    return components.groupBy(*keys).agg(*_integrals(nodes)).withColumn("boundary_fraction", F.col("boundary_nodes") / F.col("nodes"))
+
+
+def _ordered():
+    return F.sort_array(F.collect_list(F.struct("node", "sigma2_b", "sigma2_w"))).alias("x")
+
+
+def integrate_with_arrays(components: DataFrame, keys: list[str], nodes: int) -> DataFrame:
+    """As integrate, with components as arrays bs and ws in the same aggregate."""
+    out = components.groupBy(*keys).agg(*_integrals(nodes), _ordered())
+    return out.select(*keys, "B", "W", "boundary_nodes", (F.col("boundary_nodes") / F.col("nodes")).alias("boundary_fraction"), F.col("x.sigma2_b").alias("bs"), F.col("x.sigma2_w").alias("ws"))
 
 
 def component_arrays(components: DataFrame, keys: list[str]) -> DataFrame:
     """bs and ws: components in node order as arrays, one row for each combination of keys."""
-    grouped = components.groupBy(*keys) if keys else components.groupBy()
-    return grouped.agg(F.sort_array(F.collect_list(F.struct("node", "sigma2_b", "sigma2_w"))).alias("x")).select(*keys, F.col("x.sigma2_b").alias("bs"), F.col("x.sigma2_w").alias("ws"))
+    return components.groupBy(*keys).agg(_ordered()).select(*keys, F.col("x.sigma2_b").alias("bs"), F.col("x.sigma2_w").alias("ws"))
 
 
 def grid(spark, values, name: str = "n") -> DataFrame:
@@ -57,9 +69,7 @@ def grid(spark, values, name: str = "n") -> DataFrame:
 
 def component_summary(components: DataFrame, keys: list[str], nodes: int) -> DataFrame:
     """B, W, boundary, reliability and mean pointwise reliability over the grid, thresholds at both targets."""
-    both = integrate(components, keys, nodes)
-    shaped = component_arrays(components, keys)
-    joined = both.join(shaped, keys) if keys else both.crossJoin(shaped)
+    joined = integrate_with_arrays(components, keys, nodes)
     b, w = F.col("B"), F.col("W")
     columns = []
     for n in R.GRID:
@@ -72,9 +82,7 @@ def component_summary(components: DataFrame, keys: list[str], nodes: int) -> Dat
 
 def design_study(components: DataFrame, keys: list[str], nodes: int) -> DataFrame:
     """Long form of both reliabilities over the grid of trial counts."""
-    both = integrate(components, keys, nodes)
-    shaped = component_arrays(components, keys)
-    joined = (both.join(shaped, keys) if keys else both.crossJoin(shaped)).crossJoin(F.broadcast(grid(components.sparkSession, R.GRID, "trials_m")))
+    joined = integrate_with_arrays(components, keys, nodes).crossJoin(F.broadcast(grid(components.sparkSession, R.GRID, "trials_m")))
     n = F.col("trials_m").cast("double")
     return joined.select(*keys, "trials_m", R.reliability(F.col("B"), F.col("W"), n).alias("R_L2"), R.mean_pointwise(F.col("bs"), F.col("ws"), n).alias("mean_pointwise"))
 
@@ -131,7 +139,7 @@ def global_summary(components: DataFrame, keys: list[str], nodes: int) -> DataFr
     """Integrated two-way components, their shares and context reliabilities at 50 trials."""
     w = node_weight(F.col("node"), nodes)
     sums = [F.sum(F.col(f"sigma2_{k}") * w).alias(f"I_{k}") for k in PARTS]
-    out = (components.groupBy(*keys) if keys else components.groupBy()).agg(*sums)
+    out = components.groupBy(*keys).agg(*sums)
     total = sum((F.col(f"I_{k}") for k in PARTS[1:]), F.col("I_action"))
     out = out.select("*", *[R.safe_ratio(F.col(f"I_{k}"), total).alias(f"omega_{k}") for k in PARTS])
     values = context_reliabilities(F.col("I_action"), F.col("I_athlete"), F.col("I_action_athlete"), F.col("I_residual"), F.lit(float(DESIGN_TRIALS)))

@@ -189,8 +189,8 @@ def unbalanced_reml_on_balanced(spark, sf_dir):
 
 @query("keep_mask_fit")
 def keep_mask_fit(spark, sf_dir):
-    """Fit without trials whose norm is in the top twentieth; thresholds from the integrated components."""
-    c = D.curves(spark, sf_dir).withColumn("keep", F.col("vec_id") % 20 != 0).filter("keep")
+    """Fit of the trials that a keep predicate leaves; thresholds from the integrated components."""
+    c = D.curves(spark, sf_dir).withColumn("keep", F.array_max("y") <= 0.35).filter("keep")
     fit = reml.unbalanced(reml.sufficient(D.to_nodes(c), ["node"]), ["node"])
     t = C.integrate(fit, [], D.NODES)
     return t.select("B", "W", "boundary_nodes", *[R.required_trials(F.col("B"), F.col("W"), x).alias(f"required_{round(100 * x)}") for x in R.TARGETS])
@@ -239,7 +239,10 @@ def reliability_curve_grid(spark, sf_dir):
 @query("complete_case_fit")
 def complete_case_fit(spark, sf_dir):
     """Unbalanced fit of trials without a missing joint, with thresholds and reliabilities of 1, 5, 10 and 50 trials."""
-    complete = D.curves(spark, sf_dir).filter((F.col("vec_id") % 17) >= 3)
+    from curvestat.operators.curve_audit import is_zero
+
+    broken = D.joints(spark, sf_dir).filter(is_zero()).select(F.col("trial").alias("athlete"), (F.col("frame") + 1).alias("trial")).distinct()
+    complete = D.curves(spark, sf_dir).join(broken, ["athlete", "trial"], "left_anti")
     fit = reml.unbalanced(reml.sufficient(D.to_nodes(complete), ["node"]), ["node"])
     b, w = F.col("B"), F.col("W")
     t = C.integrate(fit, [], D.NODES)

@@ -263,11 +263,11 @@ def observable_prefix(spark, sf_dir):
     return D.rounded(a.select("user_id", "week", F.size("head").alias("observable_rows"), F.greatest(F.lit(0), 8 - F.size("xs")).alias("padding_rows"), (F.size("xs") > 8).alias("nominal_gt"), A.total(F.col("head")).alias("total")), 4)
 
 
-@query("doubled_sequences", f"WITH {D.SEQ_ARRAYS}, x AS (SELECT user_id, week, list_concat(xs, CASE WHEN week % 2 = 0 THEN xs ELSE list_reverse(xs) END) AS two, xs, n FROM arr) SELECT user_id, week, two[1:n] = two[n + 1:2 * n] AS doubled FROM x WHERE n = 12")
+@query("doubled_sequences", f"WITH {D.SEQ_ARRAYS}, x AS (SELECT user_id, week, list_concat(xs, CASE WHEN week % 2 = 0 THEN xs ELSE list_reverse(xs) END) AS two, xs, n FROM arr) SELECT user_id, week, two[1:n] = two[n + 1:2 * n] AS doubled FROM x")
 def doubled_sequences(spark, sf_dir):
-    a = D.sequence_arrays(spark, sf_dir).filter(F.size("xs") == 12)
+    a = D.sequence_arrays(spark, sf_dir)
     two = F.concat("xs", F.when(F.col("week") % 2 == 0, F.col("xs")).otherwise(F.reverse("xs")))
-    return a.withColumn("two", two).select("user_id", "week", A.doubled(F.col("two"), 12).alias("doubled"))
+    return a.withColumn("two", two).select("user_id", "week", A.doubled(F.col("two"), F.size("xs")).alias("doubled"))
 
 
 @query(

@@ -48,3 +48,16 @@ def test_global_context(spark):
     got = {r["trials_per_cell"]: r for r in components.global_design_study(one).collect()}
     assert got[1]["all_cells"] == pytest.approx(0.6169126291169251) and got[1]["athlete_across_actions"] == pytest.approx(0.11621826659166537)
     assert got[50]["pooled_fixed_actions"] == pytest.approx(0.9755079963234351) and got[50]["all_cells"] == pytest.approx(0.9877328502328703)
+
+
+def test_flagship_query(spark):
+    import os
+
+    from curvestat.catalog import CORE
+    from curvestat.plans import load_all
+
+    load_all()
+    if not os.path.isdir("/root/testdata/sf0.01"):
+        pytest.skip("no test tables")
+    r = CORE.builders["oneway_components_embedding"](spark, "/root/testdata/sf0.01").first()
+    assert (r["boundary_nodes"], r["B"], r["W"], r["reliability_10"]) == (33, pytest.approx(5.7381e-05, abs=1e-9), pytest.approx(0.015576849, abs=1e-9), pytest.approx(0.035528416, abs=1e-9))
