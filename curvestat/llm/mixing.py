@@ -43,11 +43,6 @@ MOST_BROADCAST = 10_000
 SEED = 8
 
 
-def sized(docs: DataFrame) -> DataFrame:
-    """doc_id, source and size in words of each row."""
-    return docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"))
-
-
 def targets(sizes: DataFrame) -> DataFrame:
     """source, source_size and target of each source."""
     totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
@@ -113,7 +108,7 @@ def _level(open_docs: DataFrame, level: int, block: int, few: bool) -> DataFrame
 
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
-    """doc_id, size, source_size, target, copies, taken, and row_key, for each row of docs."""
+    """doc_id, size, source_size, target and taken (words, repeats counted) for each row of docs."""
     return _mixed(docs, block).select("doc_id", "size", "source_size", "target", "taken")
 
 

@@ -5,7 +5,6 @@ import hashlib
 import pytest
 
 from curvestat.llm import chat_format as C
-from tests.llm.common import frame  # noqa: F401
 
 SCHEMA = "conv_id bigint, turn bigint, role string, text string"
 
