@@ -5,7 +5,8 @@ returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of ``documents``; the last adds
 ``shard`` and ``slot``.
 
-1. quality_rules: rows whose verdict is not kept go; texts stay as they are.
+1. quality_rules: rows whose verdict is not kept go; texts stay as they are. A line
+   of over ten texts of its source is boilerplate however large the source is.
 2. near_dedup: of each component of linked fingerprints the smallest doc_id stays.
 3. decontamination: rows that hold a benchmark passage go.
 4. mixing: a row occurs as often as the mix takes it, zero times included.
@@ -22,9 +23,13 @@ from pyspark.sql import DataFrame, SparkSession
 from curvestat.llm import decontamination, mixing, quality_rules, sharding, simhash
 from curvestat.llm.common import table
 
+#: The stage's limits: op7_quality_rules keeps those of its SQL, whose share of the source grows with it.
+LINE_SHARE = 0.0
+MIN_LEFT = 0.8
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_clean(docs)
+    return quality_rules.keep_clean(docs, share=LINE_SHARE, min_left=MIN_LEFT)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

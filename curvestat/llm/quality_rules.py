@@ -128,9 +128,9 @@ def report(docs: DataFrame) -> DataFrame:
     return verdicts(docs).select(*COLUMNS)
 
 
-def keep_clean(docs: DataFrame) -> DataFrame:
+def keep_clean(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """The rows of docs whose verdict is kept, with the columns of docs."""
     key, other = fresh(docs, "row_key", "rejected_key")
-    rejected = verdicts(docs).filter(~F.col("kept")).select(F.col("row_key").alias(other)).distinct()
+    rejected = verdicts(docs, min_texts, share, min_left).filter(~F.col("kept")).select(F.col("row_key").alias(other)).distinct()
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text")))
     return keyed.join(rejected, F.col(key) == F.col(other), "left_anti").select(*docs.columns)

@@ -53,3 +53,10 @@ def test_stages_on_empty_tables(spark, tmp_path):
     spark.createDataFrame([], "item_id bigint, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
     assert P.run(spark, str(tmp_path)).count() == 0
     assert simhash.classes(frame(spark, [])).select(F.count("*")).first()[0] == 0
+
+
+def test_quality_limit_does_not_grow_with_the_source(spark):
+    """A line of 12 of 100 texts, a quarter of their words, is below a fifth of the source but boilerplate."""
+    line = " ".join(f"shared{i}" for i in range(30))
+    rows = [(i, prose(3000 + i, 90) + (f"\n{line}" if i < 12 else ""), "en", "big", 0) for i in range(100)]
+    assert {r["doc_id"] for r in P.quality_stage(spark, frame(spark, rows), "").collect()} == set(range(12, 100))
