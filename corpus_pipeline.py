@@ -5,8 +5,8 @@ returns a DataFrame, which is written as Parquet and read again as the next
 one's docs. All but the last return the columns of ``documents``; the last adds
 ``shard`` and ``slot``.
 
-1. quality_rules: rows whose verdict is not kept go; texts stay as they are. A line
-   of over ten texts of its source is boilerplate however large the source is.
+1. quality_rules: rows whose verdict is not kept go, and boilerplate lines go from the
+   others. A line of over ten texts of its source is one however large the source is.
 2. near_dedup: of each component of linked fingerprints the smallest doc_id stays.
 3. decontamination: rows that hold a benchmark passage go.
 4. mixing: a row occurs as often as the mix takes it, zero times included.

@@ -4,9 +4,10 @@ Lines are normalised (ASCII and Unicode lower case, white space runs to one
 space, trimmed) and hashed. A line's frequency is the number of distinct texts
 of its host (the ``source`` column) that hold it, so exact copies of one
 document count once. A line is boilerplate when that number is above
-``max(min_texts, share * distinct texts of the host)``; boilerplate lines are
-removed, and a document is depleted, and rejected, when fewer than
-``min_left`` of its words remain.
+``max(min_texts, share * distinct texts of the host)``; a document is depleted,
+and rejected, when fewer than ``min_left`` of its words remain without its
+boilerplate lines. ``report`` gives verdicts; ``keep_clean`` gives the kept rows
+with these lines removed from their texts, other lines as they are.
 
 Defined results: a null text counts as empty; a null host is a host of its own;
 lines without a word are ignored; repeated rows get the same verdict each; an
@@ -38,6 +39,10 @@ SYMBOLS = "#*$%&|<>"
 WINDOW = 3
 
 
+def _normalised(line: Column) -> Column:
+    return F.btrim(F.regexp_replace(F.lower(line), BLANKS, " "))
+
+
 def _windows(w: Column) -> Column:
     return F.when(
         F.size(w) >= WINDOW,
@@ -85,7 +90,7 @@ def features(docs: DataFrame) -> DataFrame:
         F.transform(
             "lines",
             lambda x: let(
-                F.btrim(F.regexp_replace(F.lower(x), BLANKS, " ")),
+                _normalised(x),
                 lambda y: F.struct(F.xxhash64(y).alias("line"), F.size(F.split(y, " ")).alias("n")),
             ),
         ).alias("lines"),
@@ -96,7 +101,7 @@ def features(docs: DataFrame) -> DataFrame:
 
 
 def verdicts(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """Features, base_failed, words removed with boilerplate lines, and kept, for each row of docs."""
+    """Features, base_failed, gone (hashes of the boilerplate lines; null: none), words removed with them, and kept, for each row of docs."""
     base = cut(features(docs))
     texts = base.groupBy("host", "text_hash").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("texts"))
     limits = texts.select(F.col("host").alias("limit_host"), F.greatest(F.lit(float(min_texts)), share * F.col("texts")).alias("most"))
@@ -113,8 +118,8 @@ def verdicts(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE,
     removed = (
         placed.join(boilerplate, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line") == F.col("b_line")) & (F.col("salt") == F.col("b_salt")), "left_semi")
         .groupBy("row_key")
-        .agg(F.collect_set(F.struct("at", "n")).alias("gone"))
-        .select("row_key", F.aggregate("gone", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("removed"))
+        .agg(F.collect_set(F.struct("at", "n", "line")).alias("gone"))
+        .select("row_key", F.array_distinct("gone.line").alias("gone"), F.aggregate("gone", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("removed"))
     )
     left = base.drop("lines").withColumn("row_key", key).join(removed, "row_key", "left").withColumn("removed", F.coalesce("removed", F.lit(0).cast("bigint")))
     kept = ~F.col("base_failed") & (F.col("n_words") - F.col("removed") >= min_left * F.col("n_words"))
@@ -129,8 +134,18 @@ def report(docs: DataFrame) -> DataFrame:
 
 
 def keep_clean(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
-    """The rows of docs whose verdict is kept, with the columns of docs."""
-    key, other = fresh(docs, "row_key", "rejected_key")
-    rejected = verdicts(docs, min_texts, share, min_left).filter(~F.col("kept")).select(F.col("row_key").alias(other)).distinct()
+    """The rows of docs whose verdict is kept, without boilerplate lines, with the columns of docs.
+
+    Where lines go, n_chars becomes the length of what is left.
+    """
+    key, other, gone = fresh(docs, "row_key", "rejected_key", "gone_lines")
+    found = verdicts(docs, min_texts, share, min_left).filter(~F.col("kept") | F.col("gone").isNotNull())
+    judged = found.groupBy(F.col("row_key").alias(other)).agg(F.first(F.when(F.col("kept"), F.col("gone"))).alias(gone))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text")))
-    return keyed.join(rejected, F.col(key) == F.col(other), "left_anti").select(*docs.columns)
+    # a rejected row has a key, but no lines
+    kept = keyed.join(judged, F.col(key) == F.col(other), "left").filter(F.col(other).isNull() | F.col(gone).isNotNull())
+    left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(_normalised(x)))), "\n")
+    kept = kept.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
+    if "n_chars" in docs.columns:
+        kept = kept.withColumn("n_chars", F.when(F.col(gone).isNull(), F.col("n_chars")).otherwise(F.length("text").cast(docs.schema["n_chars"].dataType)))
+    return kept.select(*docs.columns)

@@ -53,3 +53,14 @@ def test_keep_clean(spark):
 
 def test_empty_table(spark):
     assert Q.report(frame(spark, [])).count() == 0 and Q.keep_clean(frame(spark, [])).count() == 0
+
+
+def test_keep_clean_removes_boilerplate_lines(spark):
+    line = "Shared  line of the\tsource"
+    rows = [(i, f"{line.upper() if i % 2 else line}\n\n{prose(4000 + i, 90)}\n {line}", "en", "many", 7) for i in range(12)] + [(50, prose(4050, 90) + "\n" + line, "en", "few", 7)]
+    rows += [rows[3]]
+    want = sorted((i, t if s == "few" else "\n" + t.split("\n", 1)[1][1:].rsplit("\n", 1)[0], s) for i, t, _, s, _ in rows)
+    got = Q.keep_clean(frame(spark, rows), share=0.0).collect()
+    assert sorted((r["doc_id"], r["text"], r["source"]) for r in got) == want
+    assert all(r["n_chars"] == (7 if r["source"] == "few" else len(r["text"])) for r in got)
+    assert {r["kept"] for r in Q.report(frame(spark, rows)).collect()} == {True}
