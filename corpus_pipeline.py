@@ -7,7 +7,8 @@ one's docs. All but the last return the columns of ``documents``; the last adds
 
 1. quality_rules: rows whose verdict is not kept go, and boilerplate lines go from the
    others. A line of over ten texts of its source is one however large the source is.
-2. near_dedup: of each component of linked fingerprints the smallest doc_id stays.
+2. near_dedup: of each component of linked fingerprints the smallest doc_id stays,
+   unless its five-word shingles are at a Jaccard similarity of 0.8 to a row's before it.
 3. decontamination: rows that hold a benchmark passage go.
 4. mixing: a row occurs as often as the mix takes it, zero times included.
 5. sharding: each row gets its shard (counts at most one apart) and slot.

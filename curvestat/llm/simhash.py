@@ -29,10 +29,10 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvestat.llm import golay
+from curvestat.llm import golay, near_copies
 from curvestat.llm.common import cut, fresh
 from curvestat.llm.graph import components
 
@@ -112,34 +112,77 @@ def links(distinct: DataFrame) -> DataFrame:
     return pairs.unionByName(star).distinct()
 
 
-def classes(docs: DataFrame) -> DataFrame:
-    """doc_id, fingerprint, component_id of each row of docs."""
-    base = cut(fingerprints(docs))
+def _resolved(base: DataFrame) -> DataFrame:
+    """n_fp and component_id of each fingerprint of base (doc_id, fp)."""
     nodes = cut(base.groupBy("fp").agg(F.min("doc_id").alias("low")))
     roots = components(links(nodes.select("fp")))
     lows = nodes.join(roots, F.col("fp") == F.col("node"))
-    least = lows.groupBy("root").agg(F.min("low").alias("least"))
-    linked = lows.join(least, "root").select(F.col("fp").alias("l_fp"), "least")
-    # cut, so that the join below reads two plain shuffles and a fingerprint shared by many documents can be split
-    resolved = cut(nodes.join(linked, F.col("fp") == F.col("l_fp"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("least", "low").alias("component_id")))
-    named = base.join(resolved, F.col("fp") == F.col("n_fp"))
+    least = lows.groupBy("root").agg(F.min("low").alias("least"), F.min("fp").alias("group"))
+    linked = lows.join(least, "root").select(F.col("fp").alias("l_fp"), "least", "group")
+    # cut, so that the joins with it read two plain shuffles and a fingerprint shared by many documents can be split
+    return cut(nodes.join(linked, F.col("fp") == F.col("l_fp"), "left").select(F.col("fp").alias("n_fp"), F.coalesce("least", "low").alias("component_id"), F.coalesce("group", "fp").alias("group")))
+
+
+def classes(docs: DataFrame) -> DataFrame:
+    """doc_id, fingerprint, component_id of each row of docs."""
+    base = cut(fingerprints(docs))
+    named = base.join(_resolved(base), F.col("fp") == F.col("n_fp"))
     return named.select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
 
 
+def _content(docs: DataFrame) -> DataFrame:
+    """row_key, doc_id, fp, and the size of the set and the bands of near_copies, of each row."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = batch.column(2).to_pylist()
+            fp = np.array([fingerprint(x) for x in texts], dtype=np.uint64).view(np.int64)
+            sets = [near_copies.shingles(x) for x in texts]
+            columns = [pa.array(fp), pa.array(list(map(len, sets)), pa.int64()), pa.array([near_copies.bands(x) for x in sets], pa.list_(pa.int64()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), *columns], names=["row_key", "doc_id", "fp", "n", "bands"])
+
+    kind = docs.schema["doc_id"].dataType.simpleString()
+    rows = docs.select(_row_key(), "doc_id", F.col("text").cast("binary"))
+    return rows.mapInArrow(run, f"row_key bigint, doc_id {kind}, fp bigint, n bigint, bands array<bigint>")
+
+
+def _sets(docs: DataFrame, row_keys: DataFrame) -> DataFrame:
+    """row_key and set of near_copies of the rows of docs with one of row_keys; repeated rows once."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            sets = [near_copies.shingles(x).view(np.int64) for x in batch.column(1).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["row_key", "shingles"])
+
+    rows = docs.select(_row_key(), F.col("text").cast("binary")).join(row_keys, "row_key", "left_semi").dropDuplicates(["row_key"])
+    return rows.mapInArrow(run, "row_key bigint, shingles array<bigint>")
+
+
+def _row_key() -> Column:
+    return F.xxhash64("doc_id", F.xxhash64(F.coalesce("text", F.lit("")))).alias("row_key")
+
+
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One row of each component, that of the smallest doc_id; the columns of docs.
+    """One row of each component that has no near copy before it; the columns of docs.
 
-    Of repeated rows with that doc_id one stays. Rows without a doc_id stand
-    after all others; a component of such rows only keeps one of each content.
+    A component's row is that of the smallest doc_id, and of several contents with
+    that doc_id the one of the smallest hash. Of repeated rows one stays. Rows
+    without a doc_id stand after all others; a component of such rows only keeps
+    one of each content. Of these rows those with a near copy (near_copies) go.
     """
-    name, copy = fresh(docs, "chosen_id", "copy_of")
-    found = classes(docs).filter(F.col("doc_id").eqNullSafe(F.col("component_id"))).groupBy("doc_id").agg(F.count("*").alias("n"))
-    chosen = cut(found.select(F.col("doc_id").alias(name), "n"))
-    same = F.col("doc_id").eqNullSafe(F.col(name))
-    kept = docs.join(chosen.select(name), same, "left_semi")
-    repeated = chosen.filter((F.col("n") > 1) | F.col(name).isNull()).select(name)
-    if repeated.isEmpty():
-        return kept
-    content = F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("text "), F.sha2(F.coalesce("text", F.lit("")), 256)))
-    again = kept.join(repeated, same, "left_semi").withColumn(copy, content).dropDuplicates([copy]).select(*docs.columns)
-    return kept.join(repeated, same, "left_anti").unionByName(again)
+    base = cut(_content(docs))
+    named = base.select("row_key", "doc_id", "fp").join(_resolved(base), F.col("fp") == F.col("n_fp"))
+    first = named.filter(F.col("doc_id").eqNullSafe(F.col("component_id")))
+    per = F.when(F.col("doc_id").isNull(), F.col("row_key")).otherwise(F.lit(0))
+    chosen = cut(first.groupBy("group", per.alias("per")).agg(F.min(F.struct("row_key")).alias("r")).select("r.row_key"))
+    rows = base.join(chosen, "row_key").groupBy("row_key").agg(F.count("*").alias("copies"), *[F.first(c).alias(c) for c in ("doc_id", "n", "bands")])
+    rows = cut(rows)
+    gone = near_copies.lost(rows.drop("copies"), lambda row_keys: _sets(docs, row_keys))
+    name, copies, other = fresh(docs, "chosen_key", "copies", "content_key")
+    left = cut(rows.join(gone, "row_key", "left_anti").select(F.col("row_key").alias(name), F.col("copies").alias(copies)))
+    kept = docs.withColumn(other, _row_key()).join(left, F.col(other) == F.col(name))
+    single = kept.filter(F.col(copies) == 1).select(*docs.columns)
+    if left.filter(F.col(copies) > 1).isEmpty():
+        return single
+    again = kept.filter(F.col(copies) > 1).dropDuplicates([other]).select(*docs.columns)
+    return single.unionByName(again)
