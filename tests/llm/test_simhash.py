@@ -93,3 +93,12 @@ def test_keep_one(spark):
 def test_empty_table(spark):
     assert simhash.classes(frame(spark, [])).count() == 0
     assert simhash.keep_one(frame(spark, [])).count() == 0
+
+
+def test_keep_one_of_a_repeated_doc_id_with_other_texts(spark):
+    """Two components whose smallest doc_id is the same one both keep a row."""
+    from tests.llm.common import prose
+
+    one, two = prose(801, 80), prose(802, 80)
+    rows = [(1, one, "en", "s", 0), (1, two, "en", "s", 0), (2, one, "en", "s", 0), (3, two, "en", "s", 0), (1, one, "en", "s", 0)]
+    assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect()) == sorted([(1, one), (1, two)])
