@@ -5,15 +5,16 @@ fewer than five words is one shingle. Candidates meet in one of 20 bands of five
 minima of random hashes: a pair at 0.8 meets with probability 0.9996, at 0.9 with
 more than 1 - 1e-7. Candidates are verified on the whole sets.
 
-Rounds: in each bucket the first row, by (null doc_id last, doc_id, row_key), is
-compared with all others, and those similar to it are lost. Lost rows, and the
-first row of each bucket, leave the bucket, until no bucket holds two. So a row is
-lost only to a similar one before it, any two rows left that met were compared, and
-a large group of near copies takes a linear number of comparisons.
+Order: (null doc_id last, doc_id, row_key). A row is lost when it met a similar
+one before it. Buckets of up to ``CROWD`` rows are compared pair by pair. In larger
+ones ``LEADERS`` rows are compared with all others; they and the lost rows leave
+the bucket, until it is no larger. So any two rows that are left and met were
+compared, and a large group of near copies takes a linear number of comparisons.
 """
 
 from __future__ import annotations
 
+from functools import reduce
 from itertools import repeat
 
 import numpy as np
@@ -26,6 +27,8 @@ WIDTH = 5
 LIKE = 0.8
 BANDS, ROWS = 20, 5
 SEED = 42
+#: Rows of a bucket that are compared pair by pair, and those of a larger one that all others are compared with in a round.
+CROWD, LEADERS = 32, 8
 #: Shingles hashed by all functions at once, which bounds memory for long texts.
 BLOCK = 1 << 12
 
@@ -63,21 +66,32 @@ def lost(rows: DataFrame, sets_of) -> DataFrame:
     """
     place = F.struct(F.col("doc_id").isNull().alias("last"), "doc_id", "row_key")
     keyed = rows.select(place.alias("row"), "n", F.explode("bands").alias("key"))
-    sets = out = None
-    while True:
-        met = cut(keyed.groupBy("key").agg(F.count("*").alias("met"), F.min(F.struct("row", "n")).alias("first")).filter("met > 1").select(F.col("key").alias("m_key"), "first"))
-        if met.isEmpty():
-            return rows.select("row_key").limit(0) if out is None else out
-        keyed = keyed.join(met, F.col("key") == F.col("m_key"))
-        if sets is None:
-            keyed = cut(keyed)
-            sets = cut(sets_of(cut(keyed.select(F.col("row.row_key").alias("row_key")).distinct())))
-        keyed = cut(keyed.filter(F.col("row") != F.col("first.row")).select("row", "n", "key", "first"))
-        near = F.least("n", "first.n") >= LIKE * F.greatest("n", "first.n")
-        pairs = cut(keyed.filter(near).select(F.col("first.row.row_key").alias("a"), F.col("row.row_key").alias("b")).distinct())
-        one = cut(pairs.join(sets.withColumnRenamed("shingles", "x"), F.col("a") == F.col("row_key")).select("a", "b", "x"))
+    keyed = cut(keyed)
+    met = cut(keyed.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1").withColumnRenamed("key", "m_key"))
+    keyed = cut(keyed.join(met.select("m_key"), F.col("key") == F.col("m_key"), "left_semi"))
+    sets = cut(sets_of(cut(keyed.select(F.col("row.row_key").alias("row_key")).distinct())))
+
+    def similar(pairs: DataFrame) -> DataFrame:
+        """row_key of the later row of each similar pair (row, n, row2, n2)."""
+        near = F.least("n", "n2") >= LIKE * F.greatest("n", "n2")
+        ordered = pairs.filter(near).select(F.least("row", "row2").getField("row_key").alias("a"), F.greatest("row", "row2").getField("row_key").alias("b"))
+        # cut, so that a row of many pairs can be split in the joins
+        one = cut(cut(ordered.distinct()).join(sets.withColumnRenamed("shingles", "x"), F.col("a") == F.col("row_key")).select("b", "x"))
         both = F.size(F.array_intersect("x", "shingles"))
-        gone = one.join(sets, F.col("b") == F.col("row_key")).filter(both >= LIKE * (F.size("x") + F.size("shingles") - both)).select(F.col("b").alias("row_key")).distinct()
-        gone = cut(gone)
-        out = gone if out is None else out.unionByName(gone)
-        keyed = cut(keyed.withColumn("row_key", F.col("row.row_key")).join(gone, "row_key", "left_anti").select("row", "n", "key"))
+        return cut(one.join(sets, F.col("b") == F.col("row_key")).filter(both >= LIKE * (F.size("x") + F.size("shingles") - both)).select(F.col("b").alias("row_key")).distinct())
+
+    out = []
+    while not (large := met.filter(F.col("met") > CROWD).select("m_key")).isEmpty():
+        crowd = cut(keyed.join(large, F.col("key") == F.col("m_key"), "left_semi"))
+        kind = F.pmod(F.xxhash64("row.row_key"), F.lit(LEADERS))
+        first = cut(crowd.groupBy(F.col("key").alias("f_key"), kind.alias("kind")).agg(F.min(F.struct("row", "n")).alias("f")).groupBy("f_key").agg(F.collect_list("f").alias("leaders")))
+        led = crowd.join(first, F.col("key") == F.col("f_key"))
+        gone = similar(led.select("row", "n", F.explode("leaders").alias("f")).select("row", "n", F.col("f.row").alias("row2"), F.col("f.n").alias("n2")).filter(F.col("row") != F.col("row2")))
+        out.append(gone)
+        ended = led.filter(F.array_contains("leaders", F.struct("row", "n"))).select("key", "row")
+        keyed = keyed.join(ended, ["key", "row"], "left_anti").withColumn("row_key", F.col("row.row_key")).join(gone, "row_key", "left_anti").select("row", "n", "key")
+        keyed = cut(keyed)
+        met = cut(keyed.groupBy("key").agg(F.count("*").alias("met")).filter("met > 1").withColumnRenamed("key", "m_key"))
+    other = keyed.select(F.col("row").alias("row2"), F.col("n").alias("n2"), F.col("key").alias("key2"))
+    out.append(similar(keyed.join(other, (F.col("key") == F.col("key2")) & (F.col("row") < F.col("row2")))))
+    return reduce(DataFrame.unionByName, out)

@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import pytest
+
 from curvestat.llm import near_copies as N
 from curvestat.llm import simhash
 from tests.llm.common import frame, prose
@@ -10,8 +12,10 @@ def similar(a, b):
     return len(x & y) >= 0.8 * len(x | y)
 
 
-def test_keep_one_drops_near_copies_beyond_two_bits(spark):
+@pytest.mark.parametrize("crowd", [32, 2])
+def test_keep_one_drops_near_copies_beyond_two_bits(spark, monkeypatch, crowd):
     """Texts with some words replaced: of rows at 0.8 or more the first stays, as a greedy pass over all pairs finds."""
+    monkeypatch.setattr(N, "CROWD", crowd)
     rows = []
     for i in range(20):
         w = prose(6000 + i, 150).split()
