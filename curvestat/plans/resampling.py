@@ -14,6 +14,8 @@ from curvestat.plans.designs import r
 
 query = CORE.query
 REPS, SEED = 40, 11
+#: The reference's counts, for queries without SQL.
+FULL, FULL_SUBSAMPLES = 5000, 1000
 
 
 def _hash(*parts: str) -> str:
@@ -37,13 +39,13 @@ def cells(spark, sf_dir):
     return C.cell_statistics(D.nodes(spark, sf_dir), ["node"])
 
 
-def drawn(spark, sf_dir):
-    return resampling.draws(spark, REPS, D.curves(spark, sf_dir).select("athlete"), SEED)
+def drawn(spark, sf_dir, reps=REPS):
+    return resampling.draws(spark, reps, D.curves(spark, sf_dir).select("athlete"), SEED)
 
 
-def replicates(spark, sf_dir):
+def replicates(spark, sf_dir, reps=REPS):
     """rep, B, W, boundary_nodes, n90, r10 of each replicate."""
-    boot = resampling.bootstrap_components(cells(spark, sf_dir), drawn(spark, sf_dir), ["node"])
+    boot = resampling.bootstrap_components(cells(spark, sf_dir), drawn(spark, sf_dir, reps), ["node"])
     t = C.integrate(boot, ["rep"], D.NODES)
     return t.select("rep", "B", "W", "boundary_nodes", R.continuous_trials(F.col("B"), F.col("W"), 0.9).alias("n90"), R.reliability(F.col("B"), F.col("W"), F.lit(10.0)).alias("r10"))
 
@@ -68,8 +70,8 @@ f AS (SELECT metric, v, isfinite(v) AS fin FROM long)
 SELECT metric, count(*) AS replicates, count(*) FILTER (fin) AS finite_replicates, {r('avg(v) FILTER (fin)', 'mean', 5)}, {r('coalesce(stddev_samp(v) FILTER (fin), 0)', 'sd', 5)},
 {r('quantile_cont(v, 0.025) FILTER (fin)', 'p025', 5)}, {r('quantile_cont(v, 0.5) FILTER (fin)', 'p500', 5)}, {r('quantile_cont(v, 0.975) FILTER (fin)', 'p975', 5)}, {r('count(*) FILTER (NOT fin) / count(*)', 'infinite_fraction', 5)} FROM f GROUP BY metric""",
 )
-def bootstrap_percentiles(spark, sf_dir):
-    return D.rounded(resampling.percentile_summary(replicates(spark, sf_dir).drop("boundary_nodes", "rep"), [], list(_METRICS)), 5)
+def bootstrap_percentiles(spark, sf_dir, reps=REPS):
+    return D.rounded(resampling.percentile_summary(replicates(spark, sf_dir, reps).drop("boundary_nodes", "rep"), [], list(_METRICS)), 5)
 
 
 @query("continuous_threshold_bootstrap", f"""{BOOT} SELECT {r('median(n90)', 'continuous_median', 4)}, {r('median(ceil(n90))', 'integer_median', 4)}, {r('quantile_cont(n90, 0.025)', 'continuous_p025', 4)}, {r('quantile_cont(ceil(n90), 0.025)', 'integer_p025', 4)} FROM n90 WHERE isfinite(n90)""")
@@ -79,8 +81,8 @@ def continuous_threshold_bootstrap(spark, sf_dir):
 
 
 @query("bootstrap_diagnostics", f"{BOOT} SELECT count(*) AS replicates, count(*) FILTER (b <= 0) AS zero_b, count(*) FILTER (boundary_nodes > 0) AS any_boundary, count(*) FILTER (NOT isfinite(n90)) AS undefined_n90, {r('max(n90) FILTER (isfinite(n90))', 'largest_n90', 3)} FROM n90")
-def bootstrap_diagnostics(spark, sf_dir):
-    t = replicates(spark, sf_dir)
+def bootstrap_diagnostics(spark, sf_dir, reps=REPS):
+    t = replicates(spark, sf_dir, reps)
     fin = F.col("n90") < float("inf")
     return D.rounded(t.agg(F.count("*").alias("replicates"), F.count_if(F.col("B") <= 0).alias("zero_b"), F.count_if(F.col("boundary_nodes") > 0).alias("any_boundary"), F.count_if(~fin).alias("undefined_n90"), F.max(F.when(fin, F.col("n90"))).alias("largest_n90")), 3)
 
@@ -120,7 +122,7 @@ def bca_interval(spark, sf_dir):
     one = F.lit(1).alias("one")
     jack = C.integrate(influence.leave_one_out(cells(spark, sf_dir), ["node"]), ["excluded"], D.NODES).select(one, F.col("W").alias("w"))
     point = C.integrate(C.one_way_from_cells(cells(spark, sf_dir), ["node"]), [], D.NODES).select(one, F.col("W").alias("w"))
-    return resampling.bca(replicates(spark, sf_dir).select(one, F.col("W").alias("w")), jack, point, ["one"], "w")
+    return resampling.bca(replicates(spark, sf_dir, FULL).select(one, F.col("W").alias("w")), jack, point, ["one"], "w")
 
 
 _ACTION = """WITH c AS (SELECT label AS athlete, (vec_id % 3)::INT AS action, vec_id, row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) AS trial, embedding FROM embeddings),
@@ -138,9 +140,9 @@ bt AS (SELECT rep, action, sum(CASE WHEN msb >= msw THEN msw ELSE (ssb + ssw) /
 d AS (SELECT a.action AS left_item, b.action AS right_item, b.w - a.w AS d FROM bt a JOIN bt b ON a.rep = b.rep AND a.action < b.action)
 SELECT left_item, right_item, {r('quantile_cont(d, 0.025)', 'p025', 7)}, {r('quantile_cont(d, 0.5)', 'p500', 7)}, {r('quantile_cont(d, 0.975)', 'p975', 7)}, quantile_cont(d, 0.025) > 0 OR quantile_cont(d, 0.975) < 0 AS excludes_zero FROM d GROUP BY ALL""",
 )
-def paired_contrasts(spark, sf_dir):
+def paired_contrasts(spark, sf_dir, reps=REPS):
     c = C.cell_statistics(D.action_nodes(spark, sf_dir), ["action", "node"])
-    t = C.integrate(resampling.bootstrap_components(c, drawn(spark, sf_dir), ["action", "node"]), ["rep", "action"], D.NODES)
+    t = C.integrate(resampling.bootstrap_components(c, drawn(spark, sf_dir, reps), ["action", "node"]), ["rep", "action"], D.NODES)
     return D.rounded(resampling.contrasts(t.select("rep", "action", "W"), [], "action", "W"), 7)
 
 
@@ -149,7 +151,7 @@ def bootstrap_bands(spark, sf_dir):
     """Pointwise 2.5 to 97.5 % bands of two-way component shares over replicates."""
     n = D.action_nodes(spark, sf_dir)
     c = n.groupBy("node", "athlete", "action").agg(F.count("y").alias("r"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("y")).alias("ss"))
-    boot = C.two_way_pointwise(resampling.bootstrap_two_way(c, drawn(spark, sf_dir), ["node"]))
+    boot = C.two_way_pointwise(resampling.bootstrap_two_way(c, drawn(spark, sf_dir, FULL), ["node"]))
     long = boot.select("node", "rep", *[f"omega_{k}" for k in C.PARTS]).unpivot(["node", "rep"], [f"omega_{k}" for k in C.PARTS], "component", "value")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
     return long.groupBy("component", "node").agg(q.alias("q")).select("component", "node", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(("p025", "p500", "p975"))])
@@ -305,3 +307,28 @@ def blas_bootstrap(spark, sf_dir):
     k = c.select("athlete").distinct().count()
     counts = np.random.default_rng(SEED).multinomial(k, np.full(k, 1 / k), size=5000).astype(float)
     return C.integrate(resampling.blas_bootstrap(c, counts, ["node"]), ["rep"], D.NODES).select("rep", "B", "W", "boundary_nodes")
+
+
+@query("bootstrap_percentiles_full")
+def bootstrap_percentiles_full(spark, sf_dir):
+    return bootstrap_percentiles(spark, sf_dir, FULL)
+
+
+@query("bootstrap_diagnostics_full")
+def bootstrap_diagnostics_full(spark, sf_dir):
+    return bootstrap_diagnostics(spark, sf_dir, FULL)
+
+
+@query("paired_contrasts_full")
+def paired_contrasts_full(spark, sf_dir):
+    return paired_contrasts(spark, sf_dir, FULL)
+
+
+@query("balanced_subsample_full")
+def balanced_subsample_full(spark, sf_dir, reps=FULL_SUBSAMPLES):
+    """The subsamples of balanced_subsample, 1000 of them, from cells made in NumPy."""
+    c = D.curves(spark, sf_dir)
+    least = c.groupBy("athlete").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    s = resampling.subsample_cells(c.crossJoin(F.broadcast(least)), reps, 5, F.col("least"))
+    t = C.integrate(C.one_way_from_cells(s, ["rep", "node"]), ["rep"], D.NODES)
+    return D.rounded(t.select("rep", "B", "W", "boundary_nodes"), 8)
