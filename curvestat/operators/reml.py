@@ -102,19 +102,3 @@ def unbalanced(stats: DataFrame, keys: list[str]) -> DataFrame:
             yield out[[*keys, "sigma2_b", "sigma2_w", "lam", "interior", "converged", "upper_warning"]]
 
     return source.mapInPandas(run, f"{kinds}, sigma2_b double, sigma2_w double, lam double, interior boolean, converged boolean, upper_warning boolean")
-
-
-def dense_objective(lam: float, groups: list[np.ndarray]) -> float:
-    """The same objective from full covariance matrices; for tests."""
-    y = np.concatenate(groups)
-    v = np.eye(len(y))
-    at = 0
-    for g in groups:
-        v[at : at + len(g), at : at + len(g)] += lam
-        at += len(g)
-    one = np.ones(len(y))
-    vi_y, vi_1 = np.linalg.solve(v, y), np.linalg.solve(v, one)
-    a = one @ vi_1
-    r = y - (one @ vi_y) / a
-    df = len(y) - 1
-    return df * math.log(r @ np.linalg.solve(v, r) / df) + np.linalg.slogdet(v)[1] + math.log(a)
