@@ -1,15 +1,20 @@
 from __future__ import annotations
 
 import hashlib
+import random
 import re
+import time
+from base64 import b64encode
+from pathlib import Path
 
 import numpy as np
+import pytest
 
 from curvestat.llm import pii as P
 from tests.llm.common import clashing, documents, frame
 
 
-def luhn(s):
+def luhn(s: str) -> bool:
     total = 0
     for i, c in enumerate(reversed(s)):
         v = int(c) * (2 if i % 2 else 1)
@@ -25,7 +30,7 @@ RULES = (
 )
 
 
-def base(text):
+def base(text: str) -> list:
     return [(k, m.start(), m.end()) for k, p, ok in RULES for m in re.finditer(p, text or "") if ok(m[0])]
 
 
@@ -67,8 +72,62 @@ def test_clean_documents_have_no_spans(spark):
 
 
 def test_trees_on_kept_out_snippets(spark):
+    """Forms that the trees weren't fitted on: the calibrated thresholds keep their precision, and recall with it."""
     for (bias, trees), least in P.fit(spark).values():
         assert np.isfinite(least) and len(trees) == P.ROUNDS
+    rows = [(i, r["text"], "en", "s", 0) for i, r in enumerate(P.snippets(seed=77)) if r["apart"]]
+    truth = {i: (r["g"], r["y"]) for i, r in enumerate(P.snippets(seed=77)) if r["apart"]}
+    found = {r["doc_id"]: r["n_contact"] + r["n_secret"] > 0 for r in P.report(spark, frame(spark, rows)).collect()}
+    right = sum(found[i] and y == 1 for i, (_, y) in truth.items())
+    assert right >= 0.9 * sum(y for _, y in truth.values()) and right >= 0.95 * sum(found.values())
+
+
+DATA = Path("/root/testdata/sf0.01/documents.parquet")
+
+
+@pytest.mark.skipif(not DATA.exists(), reason="no test tables")
+def test_planted_secrets_and_phones_are_found(spark):
+    """Recall and precision on documents, whose planted forms no snippet copies; phones also without their country code."""
+    rows = [tuple(r) for r in spark.read.parquet(str(DATA)).select("doc_id", "text", "lang", "source", "n_chars").filter("text IS NOT NULL").collect()]
+    secret, phone = re.compile(r'(?i)token = "([0-9a-f]{40})"'), re.compile(r"\+1 (\([0-9]{3}\) [0-9]{3}-[0-9]{4})")
+    bare = [(r[0], phone.sub(r"\1", r[1]), *r[2:]) for r in rows]
+    hits = {"secret": [0, 0, 0], "contact": [0, 0, 0]}
+    texts = {r[0]: r[1] for r in bare}
+    for r in P.report(spark, frame(spark, bare)).collect():
+        text = texts[r["doc_id"]]
+        spans = [(k, int(s), int(e)) for k, s, e in (x.split(":") for x in r["spans"].split(",") if x)]
+        for kind, planted in (("secret", [m.span(1) for m in secret.finditer(text)]), ("contact", [m.span() for m in re.finditer(r"\([0-9]{3}\) [0-9]{3}-[0-9]{4}", text)])):
+            own = [(s, e) for k, s, e in spans if k == kind]
+            hits[kind][0] += len(planted)
+            hits[kind][1] += sum(any(s <= a and b <= e for s, e in own) for a, b in planted)
+            hits[kind][2] += sum(not any(s < b and a < e for a, b in planted) for s, e in own)
+    for planted, found, wrong in hits.values():
+        assert planted >= 5 and found >= 0.9 * planted and wrong <= 0.05 * found, hits
+
+
+def test_long_runs_take_linear_time(spark):
+    """A run of a million characters, and a log of many addresses: spans of the patterns, in time that grows with the text."""
+    log = lambda n: "\n".join(f"user{i}@mail{i % 7}.example.com from 10.{i % 250}.3.{i % 200} as {i * 7919:08d}" for i in range(n))
+    blob = b64encode(random.Random(1).randbytes(750_000)).decode()
+    texts = {"letters": "n" * 1_000_000 + " x@y.com", "base64": blob + " x@y.com", "digits": "5" * 1_000_000 + " 10.0.0.1", "log": log(5_000), "more": log(20_000)}
+    took = {}
+    for name, text in [("first", "x@y.com"), *texts.items()]:
+        began = time.perf_counter()
+        r = P.report(spark, frame(spark, [(1, text, "en", "s", 0)])).first()
+        took[name] = time.perf_counter() - began
+        assert r["base_sha256"] == hashlib.sha256(",".join(f"{k}:{s}:{e}" for k, s, e in fast_base(text)).encode()).hexdigest()
+    assert max(took[x] for x in ("letters", "base64", "digits")) < took["first"] + 5, took
+    assert took["more"] < 4.5 * took["log"] + 2, took
+
+
+def fast_base(text):
+    """Base spans of texts whose addresses all begin after white space, found word by word."""
+    out = {k: [] for k, *_ in RULES}
+    for m in re.finditer(r"\S+", text):
+        if "@" in m[0] or len(m[0]) < 20:
+            for k, s, e in base(m[0]):
+                out[k].append((k, m.start() + s, m.start() + e))
+    return [x for k in out for x in out[k]]
 
 
 def test_prefix_sums_over_many_matches(spark):
