@@ -1,14 +1,16 @@
 """Benchmark decontamination by q-gram lemma filtering and banded alignment.
 
 Texts are normalised (lower case, everything but letters, digits and marks above
-ASCII becomes a space, runs of spaces become one). A benchmark item is cut
-into windows of ``WINDOW`` characters, half a window apart and one at the end; a
-shorter item is one window, and one shorter than ``SHORTEST`` is matched exactly.
-A window of length m may occur with k = m * ``EDITS`` edits.
+ASCII becomes a space, runs of spaces become one) and get a space at either end, so
+that words at the ends count as whole ones. A benchmark item is cut into windows of
+``WINDOW`` characters, ``STEP`` apart and one at the end; a shorter item is one window.
+A window of length m may occur with k = m * ``EDITS`` edits (spaces at the ends
+not counted in m). So every passage of WINDOW + STEP characters of an item holds a window.
 
 Filter: by the q-gram lemma an occurrence within k edits shares at least
 m - q + 1 - k * q of the window's q-grams, all on diagonals (place in the
-text minus place in the window) within k of each other. Shared q-grams are
+text minus place in the window) within k of each other. q is ``Q``, or less where
+m / (k + 1) is, so that the bound is 1 at least for any length. Shared q-grams are
 counted in overlapping bands of 2k + 1 diagonals, k + 1 apart, so some band holds
 all of an occurrence's. Bands that reach the bound inside one window's length
 are regions; others cannot hold an occurrence, so nothing is lost.
@@ -18,15 +20,17 @@ window against the region, free at both ends of the region, in a band of
 diagonals, row by row. Regions within k edits are hits.
 
 A document is contaminated by an item when one window is hit. Defined results:
-a null or empty text holds no item, a null or empty item occurs nowhere,
-repeated rows report each, empty tables give an empty result, other columns are
-ignored.
-
-Scale: the benchmark is the query set. Its size is summed first; above
-``INDEX_CHARS`` it is split by hash into blocks below that bound and the documents
-are scanned once for each block. A block is broadcast, its size bounded by
-INDEX_CHARS, and indexed by each task. The scan is a narrow map without a shuffle; long
-texts are filtered in slices that overlap by a window and a band.
+a null or empty text holds no item, a null item and one without a letter or digit
+occur nowhere, repeated rows report each, empty tables give an empty result, other
+columns are ignored.
+
+Scale: the benchmark is the query set. Its size is summed first. Up to
+``INDEX_CHARS`` it is one block, broadcast and indexed by each task, and the
+documents are scanned once by a narrow map without a shuffle. A larger one is split by hash into blocks
+of about that size; the corpus is still scanned once, against a bitmap of fixed
+size of all the items' q-grams, and only documents with a stretch of them as dense as
+the lemma asks for go on to the blocks one by one. Long texts are filtered in slices that
+overlap by a window and a band.
 """
 
 from __future__ import annotations
@@ -39,10 +43,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.pandas.types import to_arrow_type
 
+from curvestat.llm.common import cut, few, fresh
+
 Q = 10
 WINDOW = 80
-SHORTEST = 40
+STEP = 10
 EDITS = 0.075
+#: Least bound of the windows whose q-grams are sought apart from those of windows that need fewer.
+STRONG = 8
 #: Bound on the characters of one block of the benchmark.
 INDEX_CHARS = 4_000_000
 #: Characters of one slice of a batch.
@@ -52,7 +60,10 @@ _KEEP = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
 _BASE = 0x9E3779B97F4A7C15
 _WRAP = (1 << 64) - 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-_BITS = 22
+#: Bits of the slots of a task's index, and of the bitmap of a benchmark of several blocks.
+_BITS, _SHARED_BITS = 22, 27
+#: Rows up to which a table of keys is broadcast.
+MOST_BROADCAST = 500_000
 
 
 def normalise(text: str | None) -> str:
@@ -88,125 +99,150 @@ def bound(m: int, k: int, q: int) -> int:
     return m - q + 1 - k * q
 
 
-class Index:
-    """Windows of a block of items, and the postings of their q-grams."""
+def shape(size: int, window: int = WINDOW, edits: float = EDITS, q: int = Q) -> tuple[int, int, int, int]:
+    """Length, edits, q and bound of the windows of a padded item of this size."""
+    m = min(size, window)
+    k = int((m if size > window else m - 2) * edits)
+    q = min(q, m // (k + 1))
+    return m, k, q, bound(m, k, q)
+
+
+def padded(text: str | None) -> str:
+    """Normalised text between spaces, or nothing."""
+    body = normalise(text)
+    return f" {body} " if body else ""
+
+
+def slots(h: np.ndarray, bits: int) -> np.ndarray:
+    return ((h * _MIX) >> np.uint64(64 - bits)).astype(np.int64)
+
+
+def dense(at: np.ndarray, need: int, reach: int) -> np.ndarray:
+    """Those of the sorted places that lie in a stretch of ``need`` of them no longer than ``reach``."""
+    if len(at) < need:
+        return at[:0]
+    first = np.flatnonzero(at[need - 1 :] - at[: len(at) - need + 1] <= reach)
+    cover = np.zeros(len(at) + 1, dtype=np.int64)
+    np.add.at(cover, first, 1)
+    np.add.at(cover, first + need, -1)
+    return at[np.cumsum(cover)[:-1] > 0]
+
+
+class Postings:
+    """q-grams of the items of one q, of a bound above STRONG or below: sorted hashes, with item and place of each."""
 
-    def __init__(self, items: list[tuple], q: int = Q, window: int = WINDOW, edits: float = EDITS, shortest: int = SHORTEST) -> None:
+    def __init__(self, q: int, members: list[tuple[int, str, int, int, int]]) -> None:
         self.q = q
-        self.items, self.windows, self.exact = [], [], []
-        hashes, owners, places = [], [], []
+        hashes = [grams(_codes(body), q) for _, body, *_ in members]
+        flat = np.concatenate(hashes)
+        order = np.argsort(flat, kind="stable")
+        self.hash = flat[order]
+        self.item = np.repeat(np.array([m[0] for m in members], dtype=np.int32), [len(h) for h in hashes])[order]
+        self.place = np.concatenate([np.arange(len(h), dtype=np.int32) for h in hashes])[order]
+        self.need = min(m[4] for m in members)
+        self.reach = max(m[2] + m[3] for m in members) - q
+        self.seen = np.zeros(1 << _BITS, dtype=bool)
+        self.seen[slots(self.hash, _BITS)] = True
+
+
+class Index:
+    """Items of a block, their windows, and the postings of their q-grams."""
+
+    def __init__(self, items: list[tuple], q: int = Q, window: int = WINDOW, edits: float = EDITS, step: int = STEP) -> None:
+        self.step = step
+        self.items, self.bodies = [], []
+        shapes, groups = [], {}
         for item_id, text in items:
-            body = normalise(text)
+            body = padded(text)
             if not body:
                 continue
-            if len(body) < shortest:
-                self.exact.append((len(self.items), f" {body} "))
-                self.items.append(item_id)
-                continue
-            starts = sorted({*range(0, max(1, len(body) - window + 1), window // 2), max(0, len(body) - window)})
-            for s in starts:
-                w = body[s : s + window]
-                k = min(int(len(w) * edits), (len(w) - q) // q)
-                g = grams(_codes(w), q)
-                hashes.append(g)
-                owners.append(np.full(len(g), len(self.windows), dtype=np.int64))
-                places.append(np.arange(len(g), dtype=np.int64))
-                self.windows.append((len(self.items), w, k, bound(len(w), k, q)))
+            m, k, own_q, need = shape(len(body), window, edits, q)
+            groups.setdefault((own_q, need >= STRONG), []).append((len(self.items), body, m, k, need))
+            shapes.append((m, k, need))
             self.items.append(item_id)
-        flat = np.concatenate(hashes) if hashes else np.empty(0, dtype=np.uint64)
-        order = np.argsort(flat, kind="stable")
-        self.hash = flat[order]
-        self.owner = np.concatenate(owners)[order] if hashes else np.empty(0, dtype=np.int64)
-        self.place = np.concatenate(places)[order] if hashes else np.empty(0, dtype=np.int64)
-        self.k = np.array([w[2] for w in self.windows], dtype=np.int64)
-        self.need = np.array([w[3] for w in self.windows], dtype=np.int64)
-        self.length = np.array([len(w[1]) for w in self.windows], dtype=np.int64)
-        self.least = int(self.need.min(initial=1 << 30))
-        self.reach = int((self.length + self.k).max(initial=0)) - q
-        self.seen = np.zeros(1 << _BITS, dtype=bool)
-        self.seen[self._slot(self.hash)] = True
-
-    @staticmethod
-    def _slot(h: np.ndarray) -> np.ndarray:
-        return ((h * _MIX) >> np.uint64(64 - _BITS)).astype(np.int64)
-
-    def regions(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """(window, start, end) of regions that reach the bound; places in codes."""
-        none = (np.empty(0, dtype=np.int64),) * 3
-        g = grams(codes, self.q)
-        if not len(g) or not len(self.hash):
-            return none
-        at = np.flatnonzero(self.seen[self._slot(g)])
-        # the lemma's bound for any window: that many places of the text within one window's length
-        least = max(1, self.least)
-        if len(at) < least:
-            return none
-        dense = np.flatnonzero(at[least - 1 :] - at[: len(at) - least + 1] <= self.reach)
-        if not len(dense):
-            return none
-        cover = np.zeros(len(at) + 1, dtype=np.int64)
-        np.add.at(cover, dense, 1)
-        np.add.at(cover, dense + least, -1)
-        at = at[np.cumsum(cover)[:-1] > 0]
+            self.bodies.append(body)
+        self.length, self.k, self.need = np.array(shapes, dtype=np.int64).reshape(-1, 3).T
+        sizes = np.array([len(b) for b in self.bodies], dtype=np.int64)
+        #: Windows of each item: step apart, the last one at the end of the item.
+        self.last = sizes - self.length
+        self.count = -(-self.last // step) + 1
+        self.postings = [Postings(own_q, members) for (own_q, _), members in sorted(groups.items())]
+        self.lap = 2 * int(self.length.max(initial=0)) + q
+
+    def start(self, item: np.ndarray, nth: np.ndarray) -> np.ndarray:
+        """Where the nth windows of items begin."""
+        return np.minimum(nth * self.step, self.last[item])
+
+    def windows(self) -> Iterator[tuple[int, str, int]]:
+        """Item, text and edits of every window."""
+        for i, body in enumerate(self.bodies):
+            for j in range(int(self.count[i])):
+                s = int(self.start(i, j))
+                yield i, body[s : s + int(self.length[i])], int(self.k[i])
+
+    def regions(self, codes: np.ndarray, p: Postings, g: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """Item, start of the window, and start and end of each region that reaches the bound; g: the q-grams of codes."""
+        at = dense(np.flatnonzero(p.seen[slots(g, _BITS)]), p.need, p.reach)
         h = g[at]
-        lo = np.searchsorted(self.hash, h, "left")
-        n = np.searchsorted(self.hash, h, "right") - lo
+        lo = np.searchsorted(p.hash, h, "left")
+        n = np.searchsorted(p.hash, h, "right") - lo
         at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
+        # the lemma's bound once more, now without places that only share a slot
+        held = np.isin(at, dense(at, p.need, p.reach))
+        at, lo, n = at[held], lo[held], n[held]
         if not len(at):
-            return none
+            return
         posting = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        where = np.repeat(at, n)
-        owner = self.owner[posting]
-        diagonal = where - self.place[posting] + (1 << 40)
+        where, item, place = np.repeat(at, n), p.item[posting].astype(np.int64), p.place[posting].astype(np.int64)
+        # the windows of the item that hold this place
+        low = np.maximum(0, -(-(place + p.q - self.length[item]) // self.step))
+        high = np.where(place >= self.last[item], self.count[item] - 1, place // self.step)
+        many = np.maximum(0, high - low + 1)
+        nth = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
+        where, item, place = np.repeat(where, many), np.repeat(item, many), np.repeat(place, many)
+        start = self.start(item, nth)
+        diagonal = where - (place - start) + (1 << 40)
         # bands of 2k + 1 diagonals, k + 1 apart: each diagonal lies in one or two of them
-        step = self.k[owner] + 1
-        band = diagonal // step
-        both = np.flatnonzero(diagonal - band * step < self.k[owner])
-        owner, band, where = np.concatenate((owner, owner[both])), np.concatenate((band, band[both] - 1)), np.concatenate((where, where[both]))
-        order = np.lexsort((where, band, owner))
-        owner, band, where = owner[order], band[order], where[order]
+        k = self.k[item]
+        band = diagonal // (k + 1)
+        both = np.flatnonzero(diagonal - band * (k + 1) < k)
+        item, start, where, band = (np.concatenate((x, x[both])) for x in (item, start, where, band))
+        band[len(k) :] -= 1
+        order = np.lexsort((where, band, start, item))
+        item, start, where, band = item[order], start[order], where[order], band[order]
         # a hit and the one need - 1 later in its band, no further apart than a window with its edits
-        last = np.arange(len(owner)) + self.need[owner] - 1
-        ok = last < len(owner)
-        i = np.flatnonzero(ok)
-        j = last[i]
-        ok = (owner[i] == owner[j]) & (band[i] == band[j]) & (where[j] - where[i] <= self.length[owner[i]] + self.k[owner[i]] - self.q)
-        i = i[ok]
-        if not len(i):
-            return none
-        # one region for each band's hits that overlap
-        step = self.k[owner[i]] + 1
-        start = band[i] * step - (1 << 40) - 1
-        key = np.stack((owner[i], start), axis=1)
+        i = np.arange(len(item))
+        j = i + self.need[item] - 1
+        i, j = i[j < len(item)], j[j < len(item)]
+        same = (item[i] == item[j]) & (start[i] == start[j]) & (band[i] == band[j])
+        i = i[same & (where[j] - where[i] <= self.length[item[i]] + self.k[item[i]] - p.q)]
+        # one region for each band
         fresh = np.ones(len(i), dtype=bool)
-        fresh[1:] = (key[1:] != key[:-1]).any(axis=1)
-        i, start = i[fresh], start[fresh]
-        k = self.k[owner[i]]
-        return owner[i], np.maximum(start - k, 0), np.minimum(start + self.length[owner[i]] + 3 * k + 3, len(codes))
+        fresh[1:] = (item[i][1:] != item[i][:-1]) | (start[i][1:] != start[i][:-1]) | (band[i][1:] != band[i][:-1])
+        i = i[fresh]
+        item, k = item[i], self.k[item[i]]
+        begin = band[i] * (k + 1) - (1 << 40) - 1
+        yield from zip(item.tolist(), start[i].tolist(), np.maximum(begin - k, 0).tolist(), np.minimum(begin + self.length[item] + 3 * k + 3, len(codes)).tolist(), strict=True)
 
     def hits(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """Best window of each item found in a normalised text: edits, start and end there."""
+        """Best window of each item found in a padded text: edits, start and end in the text without its padding."""
         found: dict[int, tuple[int, int, int]] = {}
-        if self.exact:
-            padded = f" {text} "
-            for item, body in self.exact:
-                s = padded.find(body)
-                if s >= 0:
-                    found[item] = (0, s, s + len(body) - 2)
         codes = _codes(text)
-        lap = 2 * int(self.length.max(initial=0)) + self.q
-        for begin in range(0, max(1, len(codes) - lap), SLICE):
-            piece = codes[begin : begin + SLICE + lap]
-            for w, s, e in zip(*self.regions(piece), strict=True):
-                item, body, k, _ = self.windows[w]
-                if item in found and found[item][0] == 0:
-                    continue
-                s, e = int(s) + begin, int(e) + begin
-                region = text[s:e]
-                exact = region.find(body)
-                edits, end = (0, exact + len(body)) if exact >= 0 else align(body, region, k)
-                if edits <= k and (item not in found or edits < found[item][0]):
-                    found[item] = (edits, s + (exact if exact >= 0 else max(0, end - len(body))), s + end)
+        for begin in range(0, max(1, len(codes) - self.lap), SLICE):
+            piece, made = codes[begin : begin + SLICE + self.lap], {}
+            for p in self.postings:
+                if p.q not in made:
+                    made[p.q] = grams(piece, p.q)
+                for item, at, s, e in self.regions(piece, p, made[p.q]):
+                    if item in found and found[item][0] == 0:
+                        continue
+                    body, k = self.bodies[item][at : at + int(self.length[item])], int(self.k[item])
+                    region = text[s + begin : e + begin]
+                    exact = region.find(body)
+                    edits, end = (0, exact + len(body)) if exact >= 0 else align(body, region, k)
+                    if edits <= k and (item not in found or edits < found[item][0]):
+                        first = s + begin + (exact if exact >= 0 else max(0, end - len(body)))
+                        found[item] = (edits, max(0, first - 1), min(len(text) - 2, s + begin + end - 1))
         return found
 
 
@@ -255,15 +291,75 @@ def blocks(benchmark: DataFrame, most: int = INDEX_CHARS) -> Iterator[list[tuple
         yield [(r["item_id"], r["text"]) for r in source.filter(F.col("part") == i).select("item_id", "text").collect()]
 
 
-def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def shared_bitmap(benchmark: DataFrame) -> list[tuple[int, int, int, np.ndarray]]:
+    """q, bound, reach and bitmap of all items' q-grams, for each q and either side of STRONG; their size doesn't grow with the benchmark."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: dict[tuple[int, bool, int, int], list[np.ndarray]] = {}
+            for text in batch.column(0).to_pylist():
+                if body := padded(text):
+                    m, k, q, need = shape(len(body))
+                    out.setdefault((q, need >= STRONG, need, m + k - q), []).append(slots(grams(_codes(body), q), _SHARED_BITS))
+            for (q, strong, need, reach), found in out.items():
+                at = np.unique(np.concatenate(found))
+                word = np.unique(at >> 6)
+                bits = np.zeros(len(word), dtype=np.uint64)
+                np.bitwise_or.at(bits, np.searchsorted(word, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
+                fixed = [pa.array([x] * len(word)) for x in (q, strong, need, reach)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(word), pa.array(bits.view(np.int64))], names=["q", "strong", "need", "reach", "word", "bits"])
+
+    made = cut(benchmark.select("text").mapInArrow(run, "q bigint, strong boolean, need bigint, reach bigint, word bigint, bits bigint"))
+    words = made.groupBy("q", "strong", "word").agg(F.bit_or("bits").alias("bits"))
+    kinds = {(r["q"], r["strong"]): (r["need"], r["reach"]) for r in made.groupBy("q", "strong").agg(F.min("need").alias("need"), F.max("reach").alias("reach")).collect()}
+    out = []
+    for (q, strong), (need, reach) in kinds.items():
+        bitmap = np.zeros(1 << (_SHARED_BITS - 6), dtype=np.uint64)
+        rows = words.filter((F.col("q") == q) & (F.col("strong") == strong)).select("word", "bits").toArrow()
+        bitmap[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+        out.append((q, need, reach, bitmap))
+    return out
+
+
+def suspicious(text: str, kinds: list[tuple[int, int, int, np.ndarray]]) -> bool:
+    """Whether a padded text has a stretch of q-grams as dense as the lemma asks for."""
+    codes = _codes(text)
+    for q, need, reach, bitmap in kinds:
+        at = slots(grams(codes, q), _SHARED_BITS)
+        set_ = (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
+        if len(dense(np.flatnonzero(set_), need, reach)):
+            return True
+    return False
+
+
+def _filtered(docs: DataFrame, columns: list[str], keep) -> DataFrame:
+    """Rows of the given columns of docs whose padded text (the column ``text``) keep() takes; keep() is made once a task."""
+    source = docs.select(*columns)
+
+    def run(batches: Iterator[pa.RecordBatch], at=columns.index("text")) -> Iterator[pa.RecordBatch]:
+        test = keep()
+        for batch in batches:
+            yield batch.filter(pa.array([test(padded(x)) for x in batch.column(at).to_pylist()], pa.bool_()))
+
+    return source.mapInArrow(run, source.schema)
+
+
+def _scanned_once(spark: SparkSession, docs: DataFrame, columns: list[str], benchmark: DataFrame) -> DataFrame:
+    """The rows of docs that may hold an item of a benchmark of several blocks; kept, as each block reads them."""
+    shared = spark.sparkContext.broadcast(shared_bitmap(benchmark))
+    return cut(_filtered(docs, columns, lambda: lambda x: bool(x) and suspicious(x, shared.value)))
+
+
+def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most: int = INDEX_CHARS) -> DataFrame:
     """One row for each document and item found in it: edits, start and end in the normalised text."""
     kind = docs.schema["doc_id"].dataType.simpleString()
     item_type = benchmark.schema["item_id"].dataType
     item_kind = item_type.simpleString()
-    source = docs.select("doc_id", "text")
     schema = pa.schema([("doc_id", to_arrow_type(docs.schema["doc_id"].dataType)), ("item_id", to_arrow_type(item_type)), ("edits", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
-    out = None
-    for items in blocks(benchmark):
+    source, several, out = docs.select("doc_id", "text"), _size(benchmark) > most, None
+    if several:
+        source = _scanned_once(spark, docs, ["doc_id", "text"], benchmark)
+    for items in blocks(benchmark, most):
         shared = spark.sparkContext.broadcast(items)
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
@@ -271,31 +367,47 @@ def contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) ->
             for batch in batches:
                 rows = []
                 for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                    if text:
-                        rows += [(doc_id, ix.items[i], *hit) for i, hit in sorted(ix.hits(normalise(text)).items())]
+                    rows += [(doc_id, ix.items[i], *hit) for i, hit in sorted(ix.hits(padded(text)).items())]
                 yield pa.RecordBatch.from_arrays([pa.array([r[i] for r in rows], schema.field(i).type) for i in range(5)], schema=schema)
 
         found = source.mapInArrow(run, f"doc_id {kind}, item_id {item_kind}, edits int, start bigint, end bigint")
+        if several:  # found before the next block is made, so that one block is held at a time
+            found = cut(found)
+            shared.destroy()
         out = found if out is None else out.unionByName(found)
     return out
 
 
-def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+def _size(benchmark: DataFrame) -> int:
+    return benchmark.agg(F.sum(F.length("text"))).first()[0] or 0
+
+
+def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, most: int = INDEX_CHARS) -> DataFrame:
     """The rows of docs in which no benchmark item is found, with the columns of docs.
 
-    The verdict is a column added by the same narrow map, so whole rows are
-    never shuffled.
+    With one block the verdict is made in the narrow map that yields the rows. With
+    several, the keys of the texts found by each are taken out by an anti-join.
     """
-    names = docs.columns
-    flagged = docs
-    for items in blocks(benchmark):
+    if _size(benchmark) <= most:
+        (items,) = blocks(benchmark, most)
         shared = spark.sparkContext.broadcast(items)
 
-        def clean(batches: Iterator[pa.RecordBatch], shared=shared, at=names.index("text")) -> Iterator[pa.RecordBatch]:
+        def clean():
             ix = Index(shared.value)
-            for batch in batches:
-                keep = [not x or not ix.hits(normalise(x)) for x in batch.column(at).to_pylist()]
-                yield batch.filter(pa.array(keep, pa.bool_()))
+            return lambda x: not ix.hits(x)
+
+        return _filtered(docs, docs.columns, clean)
+    (key,) = fresh(docs, "text_key")
+    left = _scanned_once(spark, docs.filter("text IS NOT NULL"), ["text"], benchmark).withColumn(key, F.xxhash64("text"))
+    gone = None
+    for items in blocks(benchmark, most):
+        shared = spark.sparkContext.broadcast(items)
+
+        def dirty(shared=shared):
+            ix = Index(shared.value)
+            return lambda x: bool(ix.hits(x))
 
-        flagged = flagged.mapInArrow(clean, docs.schema)
-    return flagged
+        found = cut(_filtered(left, ["text", key], dirty).select(key))
+        shared.destroy()
+        gone = found if gone is None else gone.unionByName(found)
+    return docs.withColumn(key, F.xxhash64("text")).join(few(cut(gone.distinct()), MOST_BROADCAST), key, "left_anti").select(*docs.columns)

@@ -32,27 +32,47 @@ def edited(text, edits, draw):
     return "".join(s)
 
 
-@pytest.mark.parametrize("seed", range(3))
-def test_hits_match_brute_force(seed):
+@pytest.mark.parametrize(("seed", "least", "most"), [(0, 5, 30), (1, 5, 30), (2, 5, 30), (3, 1, 4), (4, 1, 6), (5, 1, 4)])
+def test_hits_match_brute_force(seed, least, most):
+    """All windows of all items against whole texts; the later seeds have items of 5 to 40 characters."""
     draw = random.Random(seed)
-    items = [(i, prose(900 + i, draw.randint(5, 30))) for i in range(8)]
+    items = [(i, prose(900 + 10 * seed + i, draw.randint(least, most))) for i in range(8)]
     index = D.Index(items)
-    found = 0
+    found = edits_found = 0
     for _ in range(25):
         chosen = draw.randrange(len(items))
-        passage = edited(D.normalise(items[chosen][1]), draw.randint(0, 9), draw)
-        text = D.normalise(prose(draw.randrange(100), 40) + " " + passage + " " + prose(draw.randrange(100), 40))
+        body = D.normalise(items[chosen][1])
+        passage = edited(body, min(len(body) - 1, draw.randint(0, 9 if most > 6 else 2)), draw)
+        text = D.padded(prose(draw.randrange(100), 40) + " " + passage + " " + prose(draw.randrange(100), 40))
         want = {}
-        for item, body, k, _ in index.windows:
+        for item, body, k in index.windows():
             edits = fewest(body, text)
             if edits <= k:
                 want[item] = min(edits, want.get(item, 99))
-        for item, body in index.exact:
-            if body in f" {text} ":
-                want[item] = 0
-        assert {i: h[0] for i, h in index.hits(text).items()} == want
+        got = index.hits(text)
+        assert {i: h[0] for i, h in got.items()} == want
+        assert all(0 <= s < e <= len(text) - 2 for _, s, e in got.values())
         found += bool(want)
-    assert found >= 10
+        edits_found += any(want.values())
+    assert found >= 10 and edits_found >= 3
+
+
+def test_short_items_are_found_with_an_edit():
+    """A bound of 1 at least for every length: q gets smaller where the edits ask for it."""
+    for size in range(3, 120):
+        m, k, q, need = D.shape(size)
+        assert q >= 1 and need >= 1 and (q == D.Q or k == 0 or need <= k + 1)
+    for text in ("answers the old riddle well", "fourteen chars"):
+        index = D.Index([(1, text)])
+        changed = text[:6] + "#x" + text[8:] if len(text) > 26 else text[:6] + "x" + text[7:]
+        assert index.hits(D.padded(f"it is said that {changed} by all"))[0][0] >= 1
+        assert not index.hits(D.padded(f"it is said that {text[: len(text) // 2]} by all"))
+
+
+@pytest.mark.parametrize("step", range(0, 60, 7))
+def test_every_passage_of_ninety_characters_is_found(step):
+    body = D.normalise(prose(5151, 60))
+    assert D.Index([(1, body)]).hits(D.padded(f"before that {body[100 + step : 190 + step]} after it"))
 
 
 def test_alignment_in_a_band():
@@ -68,11 +88,13 @@ def test_long_texts_are_cut_in_slices(monkeypatch):
     item = prose(4242, 30)
     index = D.Index([(1, item)])
     for at in (0, 17, 40, 61, 300):
-        text = D.normalise(prose(1, at) + " " + item + " " + prose(2, 200)) if at else D.normalise(item + " " + prose(2, 200))
+        text = D.padded((prose(1, at) if at else "") + " " + item + " " + prose(2, 200))
         assert index.hits(text)[0][0] == 0
 
 
-def test_table(spark):
+@pytest.mark.parametrize("most", [D.INDEX_CHARS, 100])
+def test_table(spark, most):
+    """One block, and several with the corpus scanned once against the shared bitmap."""
     items = [(1, prose(4000, 25)), (2, prose(4001, 60)), (3, None), (4, ""), (5, "short item")]
     bench = spark.createDataFrame(items, "item_id bigint, text string")
     rows = documents() + [
@@ -81,9 +103,9 @@ def test_table(spark):
         (602, "a SHORT, item here", "en", "s", 0),
         (603, "shortitem here", "en", "s", 0),
     ]
-    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark, clashing(frame(spark, rows)), bench).collect()}
+    got = {(r["doc_id"], r["item_id"]) for r in D.contaminated(spark, clashing(frame(spark, rows)), bench, most).collect()}
     assert got == {(600, 1), (601, 2), (602, 5)}
-    kept = D.drop_contaminated(spark, clashing(frame(spark, rows)), bench)
+    kept = D.drop_contaminated(spark, clashing(frame(spark, rows)), bench, most)
     assert kept.columns == clashing(frame(spark, rows)).columns and kept.count() == len(rows) - 3
     assert D.contaminated(spark, frame(spark, []), bench).count() == 0
     assert D.contaminated(spark, frame(spark, rows), bench.limit(0)).count() == 0
