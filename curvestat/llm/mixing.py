@@ -16,12 +16,14 @@ more than one document's size.
 The meetings form a reduction tree: documents are dealt by hash over blocks of
 about ``BLOCK`` documents of one source, a block is folded in one row by array
 functions, large documents first so that small ones settle what is left, and the blocks' residual documents are the next level's documents.
-A source with a third of all rows has a third of all blocks. Draws are hashes
+A source with a third of all rows has a third of all blocks. Repeated rows are counted first and meet others as one
+document: m rows at ratio r are given floor(m * r) copies together and the fraction that is
+left takes part in the meetings, so no block grows with them. Draws are hashes
 of the seed and both documents, so reruns agree.
 
 Defined results: a null text has size 0, and takes 0 words; a source whose
-documents are all empty has target 0; repeated rows are documents of their own
-and count each; an empty table gives an empty result; other columns of the
+documents are all empty has target 0; repeated rows (equal doc_id, source and text) count
+each and share their copies evenly, to within one; an empty table gives an empty result; other columns of the
 input are ignored. The table of sources is a dimension: one row per source, ranked by one
 window over these rows.
 """
@@ -31,7 +33,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from curvestat.llm.common import cut, fresh, let, words
+from curvestat.llm.common import cut, fresh, let, repeated, words
 
 #: Weights of the sources in turn, share of all words, most copies.
 WEIGHTS = (5, 2, 1)
@@ -44,8 +46,8 @@ SEED = 8
 
 
 def targets(sizes: DataFrame) -> DataFrame:
-    """source, source_size and target of each source."""
-    totals = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    """source, source_size and target of each source; sizes: source, size, rows."""
+    totals = sizes.groupBy("source").agg(F.sum(F.col("size") * F.col("rows")).alias("source_size"))
     place = F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1
     weighed = totals.withColumn("weight", F.element_at(F.array(*[F.lit(float(w)) for w in WEIGHTS]), (place % len(WEIGHTS) + 1).cast("int")))
     weighed = weighed.withColumn("cap", MOST * F.col("source_size")).withColumn("full_at", F.col("cap") / F.col("weight"))
@@ -95,7 +97,7 @@ def _dimension(rows: DataFrame, few: bool) -> DataFrame:
 
 def _level(open_docs: DataFrame, level: int, block: int, few: bool) -> DataFrame:
     """Fold each block: rows (cur, out) of the residual document and the decided ones."""
-    fields = ["doc_id", "tie", "source", "size", "whole", "part", "source_size", "target"]
+    fields = ["doc_id", "tie", "source", "size", "rows", "whole", "part", "source_size", "target"]
     blocks = open_docs.groupBy("source").agg(F.ceil(F.count("*") / F.lit(block)).alias("blocks")).select(F.col("source").alias("b_source"), "blocks")
     dealt = open_docs.join(_dimension(blocks, few), F.col("source").eqNullSafe(F.col("b_source"))).withColumn(
         "block", F.pmod(F.xxhash64(F.lit(SEED), F.lit(level), "doc_id", "tie"), F.col("blocks"))
@@ -109,18 +111,21 @@ def _level(open_docs: DataFrame, level: int, block: int, few: bool) -> DataFrame
 
 def mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """doc_id, size, source_size, target and taken (words, repeats counted) for each row of docs."""
-    return _mixed(docs, block).select("doc_id", "size", "source_size", "target", "taken")
+    each = repeated(_mixed(docs, block), "rows", "nth")
+    copies = F.floor(F.col("copies") / F.col("rows")) + F.when(F.col("nth") < F.col("copies") % F.col("rows"), 1).otherwise(0)
+    return each.select("doc_id", "size", "source_size", "target", (F.col("size") * copies).alias("taken"))
 
 
 def _mixed(docs: DataFrame, block: int) -> DataFrame:
-    # rows alike in every column used are told apart by their text's hash only; equal rows are exchangeable
-    sizes = cut(docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("tie")))
+    """doc_id, source, tie, size, rows, source_size, target and copies of all its rows together, of each different row."""
+    counted = docs.select("doc_id", "source", F.size(words(F.col("text"))).cast("bigint").alias("size"), F.xxhash64("text").alias("tie"))
+    sizes = cut(counted.groupBy("doc_id", "source", "size", "tie").agg(F.count("*").alias("rows")))
     goal = cut(targets(sizes))
     few = goal.count() <= MOST_BROADCAST
     goal = goal.withColumnRenamed("source", "t_source")
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     joined = sizes.join(_dimension(goal, few), F.col("source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    parted = joined.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("bigint")).withColumn("part", F.col("ratio") - F.col("whole")).drop("ratio")
+    parted = joined.withColumn("due", F.col("rows") * ratio).withColumn("whole", F.floor("due").cast("bigint")).withColumn("part", F.col("due") - F.col("whole")).drop("due")
     parted = cut(parted)
     decided = parted.filter("part = 0 OR size = 0").withColumn("part", F.lit(0.0))
     fields = decided.columns
@@ -135,21 +140,21 @@ def _mixed(docs: DataFrame, block: int) -> DataFrame:
     last = F.when(_uniform(F.lit(SEED), F.lit("last"), "doc_id", "tie") < F.col("part"), 1.0).otherwise(0.0)
     decided = decided.unionByName(left.withColumn("part", last))
     copies = (F.col("whole") + F.col("part").cast("bigint")).alias("copies")
-    return decided.select("doc_id", "source", "tie", "size", "source_size", "target", copies).withColumn("taken", F.col("size") * F.col("copies"))
+    return decided.select("doc_id", "source", "tie", "size", "rows", "source_size", "target", copies)
 
 
 def apply_mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     """The rows of docs as often as the mix takes them, with the columns of docs.
 
-    Repeated rows (equal doc_id, source and text) share what all of them
-    together are given, rounded up to whole copies of each.
+    Repeated rows (equal doc_id, source and text) occur floor(copies / rows) times
+    each, and what is left of their copies are copies of one of them.
     """
-    chosen = _mixed(docs, block).groupBy("doc_id", "source", "tie").agg(F.collect_list("copies").alias("each"))
-    key, other, sum_, rows = fresh(docs, "mix_key", "mix_other", "mix_all", "mix_rows")
-    total = F.aggregate("each", F.lit(0).cast("bigint"), lambda acc, x: acc + x)
-    counts = chosen.select(F.xxhash64("doc_id", "source", "tie").alias(other), total.alias(sum_), F.size("each").alias(rows))
+    key, other, all_, rows, over, nth = fresh(docs, "mix_key", "mix_other", "mix_all", "mix_rows", "mix_over", "mix_nth")
+    counts = cut(_mixed(docs, block).select(F.xxhash64("doc_id", "source", "tie").alias(other), F.col("copies").alias(all_), F.col("rows").alias(rows)))
     joined = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text"))).join(counts, F.col(key) == F.col(other))
-    times = F.ceil(F.col(sum_) / F.col(rows))
-    copies = F.when(times > 0, F.sequence(F.lit(1).cast("bigint"), times)).otherwise(F.array().cast("array<bigint>"))
-    (copy,) = fresh(joined, "mix_copy")
-    return joined.withColumn(copy, F.explode(copies)).select(*docs.columns)
+    out = repeated(joined.withColumn(over, F.floor(F.col(all_) / F.col(rows))), over, nth).select(*docs.columns)
+    left = counts.filter((F.col(rows) > 1) & (F.col(all_) % F.col(rows) > 0))
+    if left.isEmpty():
+        return out
+    again = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text"))).join(left, F.col(key) == F.col(other)).dropDuplicates([key])
+    return out.unionByName(repeated(again.withColumn(over, F.col(all_) % F.col(rows)), over, nth).select(*docs.columns))

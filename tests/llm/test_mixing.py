@@ -71,6 +71,28 @@ def test_apply_mix(spark):
     assert all(seen[d] == n for d, n in copies.items())
 
 
+def test_hundred_thousand_equal_rows(spark):
+    """Equal rows take their share together: no block holds them, and copies are even to within one."""
+    equal = spark.range(100_000).selectExpr("7L AS doc_id", "'three words here' AS text", "'a' AS source")
+    other = spark.range(300).selectExpr("id + 100 AS doc_id", "'one two three four' AS text", "CASE WHEN id < 200 THEN 'b' END AS source")
+    docs = equal.unionByName(other)
+    got = M.mix(docs).groupBy("source_size", "target", "taken").count().collect()
+    own = [r for r in got if r["source_size"] == 300_000]
+    goal = water({"a": 300_000, "b": 800, None: 400})
+    taken = sum(r["taken"] * r["count"] for r in own)
+    assert sum(r["count"] for r in own) == 100_000 and len({r["taken"] for r in own}) <= 2 and abs(taken - goal["a"]) <= 3
+    assert M.apply_mix(docs).filter("source = 'a'").count() * 3 == taken
+
+
+def test_equal_rows_at_a_low_ratio(spark):
+    """1,000 equal rows at a tenth are taken a hundred times, not each of them."""
+    rows = [(1, "one two", "en", "a", 0)] * 1000 + [(2 + i, "w " * 500, "en", "b", 0) for i in range(60)]
+    sizes = {"a": 2000, "b": 30000}
+    want = water(sizes)["a"] / 2
+    got = M.apply_mix(frame(spark, rows)).filter("source = 'a'").count()
+    assert abs(got - want) <= 1 and M.mix(frame(spark, rows)).filter("doc_id = 1").count() == 1000
+
+
 def test_empty_tables(spark):
     assert M.mix(frame(spark, [])).count() == 0 and M.apply_mix(frame(spark, [])).count() == 0
     silent = [(1, None, "en", "a", 0), (2, " ", "en", None, 0)]
