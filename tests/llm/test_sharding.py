@@ -4,6 +4,7 @@ import zlib
 from collections import Counter, defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from curvestat.llm import sharding as S
 from tests.llm.common import clashing, documents, frame, prose
@@ -64,5 +65,29 @@ def test_add_shards(spark):
     check(documents(), out.select("shard", "slot").collect(), 6)
 
 
+def test_propagation_cuts_fewer_edges_than_hashes(spark):
+    """Groups of 2 to 9 copies: against placement by hash, few links are cut, and most groups lie in one shard."""
+    rows = [(i, f"text {(i * i) % 701}", "en", "s", 0) for i in range(2000)]
+    placed = S.assign(frame(spark, rows), 20)
+    check(rows, placed.collect(), 20)
+    by_hash = frame(spark, rows).selectExpr("crc32(cast(text as binary)) AS text_crc32", "length(text) AS size", "pmod(xxhash64(doc_id), 20) AS shard")
+    before, after = S.cut_edges(by_hash), S.cut_edges(placed)
+    assert before > 1000 and after < 0.1 * before
+
+
+def test_hundred_thousand_equal_rows(spark, monkeypatch):
+    """Equal rows are one row with a weight, and equal texts of many documents have bins of their own."""
+    monkeypatch.setattr(S, "PER_BIN", 1000)
+    equal = spark.range(100_000).selectExpr("7L AS doc_id", "'the same row' AS text")
+    alike = spark.range(20_000).selectExpr("id + 100 AS doc_id", "'the same text' AS text")
+    docs = equal.unionByName(alike)
+    assert S.described(docs, ["doc_id", "text"], 40).count() == 20_001
+    got = S.assign(docs, 40)
+    per = got.groupBy("shard").agg(F.count("*").alias("n"), F.countDistinct("slot").alias("slots"), F.max("slot").alias("last")).collect()
+    assert len(per) == 40 and all(r["n"] == r["slots"] == r["last"] + 1 == 3000 for r in per)
+    out = S.add_shards(docs, 40)
+    assert out.count() == 120_000 and out.select("shard", "slot").distinct().count() == 120_000
+
+
 def test_empty_table(spark):
     assert S.assign(frame(spark, [])).count() == 0 and S.add_shards(frame(spark, [])).count() == 0
