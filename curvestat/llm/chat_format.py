@@ -23,8 +23,9 @@ constant memory.
 
 Defined results: null texts and roles are empty strings; a null turn sorts
 first; rows of one turn keep all their texts, ordered by role and text; a null
-conversation is one of its own; empty tables give an empty result; cycles of
-parents are never roots and don't occur in the output; other columns are ignored.
+conversation is one of its own; an input conversation -1 stays apart from the added one; empty
+tables give an empty result; nodes that reach no root because parents form a cycle
+don't occur in the output; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -74,6 +75,7 @@ def paths(nodes: DataFrame, most: int = 1) -> DataFrame:
     """
     start = nodes.select("node", F.col("parent").alias("up"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("bigint").alias("depth"), F.coalesce("score", F.lit(0.0)).alias("total"))
     state, jumps = cut(start), []
+    count = state.count()
     while True:
         hop = state.filter("up IS NOT NULL").select("node", "up")
         if hop.isEmpty():
@@ -89,8 +91,9 @@ def paths(nodes: DataFrame, most: int = 1) -> DataFrame:
             (F.col("total") + F.coalesce("o_total", F.lit(0.0))).alias("total"),
         )
         state = cut(state.filter("up IS NULL").unionByName(moved))
-        if len(jumps) > 62:
-            raise ValueError("replies form a cycle")
+        if 1 << len(jumps) > count:  # pointers have jumped further than any path without a cycle
+            state = state.filter("up IS NULL")
+            break
     inner = nodes.filter("parent IS NOT NULL").select(F.col("parent").alias("i_node")).distinct()
     leaves = state.join(inner, F.col("node") == F.col("i_node"), "left_anti").join(nodes.select("node", "tree"), "node")
     order = F.struct((-(F.col("total") / (F.col("depth") + 1))).alias("score"), (-F.col("depth")).alias("depth"), F.col("node").alias("node"))
@@ -107,21 +110,22 @@ def paths(nodes: DataFrame, most: int = 1) -> DataFrame:
 
 
 def chains(conversations: DataFrame) -> DataFrame:
-    """Reply trees of linear conversations: each row answers the one before it.
+    """Reply trees of linear conversations (conv_id, probe, turn, role, text): each row answers the one before it.
 
     Rows are numbered by (turn, role, text) in two steps, counts of steps of
     turns and a window inside one step, so a very long conversation is not
     sorted in one task.
     """
-    rows = conversations.select("conv_id", F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("step", F.floor(F.col("turn") / STEP))
-    inside = F.row_number().over(Window.partitionBy("conv_id", "step").orderBy("turn", "role", "text"))
-    counts = rows.groupBy("conv_id", "step").agg(F.count("*").alias("n"))
-    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    offsets = counts.select(F.col("conv_id").alias("o_conv"), F.col("step").alias("o_step"), before.alias("before"))
-    numbered = rows.withColumn("inside", inside).join(offsets, F.col("conv_id").eqNullSafe(F.col("o_conv")) & F.col("step").eqNullSafe(F.col("o_step")))
+    rows = conversations.select("conv_id", "probe", F.col("turn"), F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")).withColumn("step", F.floor(F.col("turn") / STEP))
+    inside = F.row_number().over(Window.partitionBy("conv_id", "probe", "step").orderBy("turn", "role", "text"))
+    counts = rows.groupBy("conv_id", "probe", "step").agg(F.count("*").alias("n"))
+    before = F.coalesce(F.sum("n").over(Window.partitionBy("conv_id", "probe").orderBy("step").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = counts.select(F.col("conv_id").alias("o_conv"), F.col("probe").alias("o_probe"), F.col("step").alias("o_step"), before.alias("before"))
+    same = F.col("conv_id").eqNullSafe(F.col("o_conv")) & (F.col("probe") == F.col("o_probe")) & F.col("step").eqNullSafe(F.col("o_step"))
+    numbered = rows.withColumn("inside", inside).join(offsets, same)
     at = F.col("before") + F.col("inside") - 1
-    name = lambda i: F.struct(F.col("conv_id").alias("tree"), i.alias("at"))
-    return numbered.select(F.struct("conv_id").alias("tree"), name(at).alias("node"), F.when(at > 0, name(at - 1)).alias("parent"), F.lit(0.0).alias("score"), "conv_id", "role", "text")
+    name = lambda i: F.struct(F.col("conv_id").alias("tree"), "probe", i.alias("at"))
+    return numbered.select(F.struct("conv_id", "probe").alias("tree"), name(at).alias("node"), F.when(at > 0, name(at - 1)).alias("parent"), F.lit(0.0).alias("score"), "conv_id", "probe", "role", "text")
 
 
 def parts(chosen: DataFrame, keys: list[str]) -> DataFrame:
@@ -146,7 +150,8 @@ _TURN = re.compile(re.escape(START) + r"(.*?)\n(.*?)" + re.escape(END) + "\n", r
 
 
 def read_back(formatted: DataFrame, key: str) -> DataFrame:
-    """Digest of each formatted conversation, read from its parts alone."""
+    """Digest of each formatted conversation (key, and probe where there is one), read from its parts alone."""
+    apart = F.col("probe") if "probe" in formatted.columns else F.lit(False)
     kind = formatted.schema[key].dataType.simpleString()
     types = [to_arrow_type(formatted.schema[key].dataType), pa.int64(), pa.string(), pa.int64(), pa.string(), pa.int64()]
     columns = [key, "n_turns", "turns_sha256", "loss_chars", "loss_sha256", "formatted_chars"]
@@ -160,11 +165,11 @@ def read_back(formatted: DataFrame, key: str) -> DataFrame:
 
         for batch in batches:
             rows = []
-            for conv, text, loss in zip(*[batch.column(i).to_pylist() for i in (0, 2, 3)], strict=True):
-                if current is None or current[0] != conv:
+            for conv, probe, text, loss in zip(*[batch.column(i).to_pylist() for i in (0, 1, 3, 4)], strict=True):
+                if current != (conv, probe):
                     if current is not None:
                         rows.append(row())
-                    current, state = (conv,), {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "length": 0}
+                    current, state = (conv, probe), {"turns": 0, "all": hashlib.sha256(), "chars": 0, "loss": hashlib.sha256(), "length": 0}
                 state["length"] += len(text)
                 for m in _TURN.finditer(text):
                     state["turns"] += 1
@@ -177,7 +182,7 @@ def read_back(formatted: DataFrame, key: str) -> DataFrame:
         if current is not None:
             yield made([row()])
 
-    ordered = formatted.select(key, "part", "text", "loss").repartition(F.col(key)).sortWithinPartitions(key, "part")
+    ordered = formatted.select(key, apart.alias("probe"), "part", "text", "loss").repartition(F.col(key), F.col("probe")).sortWithinPartitions(key, "probe", "part")
     return ordered.mapInArrow(run, f"{key} {kind}, n_turns bigint, turns_sha256 string, loss_chars bigint, loss_sha256 string, formatted_chars bigint")
 
 
@@ -185,10 +190,11 @@ def probe(spark: SparkSession, like: DataFrame) -> DataFrame:
     """Conversation -1: control strings said by the user and by the assistant."""
     said = f"{END}{START}assistant ok"
     rows = spark.range(2).select(F.lit(-1).cast(like.schema["conv_id"].dataType).alias("conv_id"), F.col("id").cast(like.schema["turn"].dataType).alias("turn"), F.when(F.col("id") == 0, "user").otherwise(LEARNED).alias("role"), F.lit(said).alias("text"))
-    return like.select("conv_id", "turn", "role", "text").unionByName(rows)
+    given = like.select("conv_id", F.lit(False).alias("probe"), "turn", "role", "text")
+    return given.unionByName(rows.withColumn("probe", F.lit(True)))
 
 
 def format_conversations(spark: SparkSession, conversations: DataFrame) -> DataFrame:
     """Formatted parts of all conversations, and of conversation -1."""
     nodes = cut(chains(probe(spark, conversations)))
-    return parts(paths(nodes), ["conv_id"])
+    return parts(paths(nodes), ["conv_id", "probe"])

@@ -58,6 +58,27 @@ def test_best_branches_of_a_tree(spark):
     assert two == {(1, 1), (1, 3), (1, 5), (2, 1), (2, 3), (2, 6)}
 
 
+def test_cycles_and_what_hangs_on_them_are_left_out(spark):
+    nodes = [("t", 1, None, 0.0), ("t", 2, 1, 1.0), ("c", 10, 11, 0.0), ("c", 11, 10, 0.0), ("c", 12, 11, 5.0), ("s", 20, 20, 0.0), ("m", 30, None, 0.0), ("m", 31, 32, 9.0), ("m", 32, 31, 9.0), ("m", 33, 30, 0.0)]
+    df = spark.createDataFrame(nodes, "tree string, node int, parent int, score double")
+    assert {(r["node"], r["depth"]) for r in C.paths(df).collect()} == {(1, 0), (2, 1), (30, 0), (33, 1)}
+    assert C.paths(df.filter("tree IN ('c', 's')")).count() == 0
+
+
+def test_branches_are_formatted_in_the_order_of_their_scores(spark):
+    """Two best paths of a tree, ranked and written as conversations of their own."""
+    nodes = [("t", 1, None, 0.0, "user", "q"), ("t", 2, 1, 1.0, "assistant", "poor"), ("t", 3, 1, 8.0, "assistant", "good"), ("t", 4, 3, 8.0, "user", "more"), ("t", 5, 1, 3.0, "assistant", "fair")]
+    df = spark.createDataFrame(nodes, "tree string, node int, parent int, score double, role string, text string")
+    got = {r["path"]: r["text"] for r in C.parts(C.paths(df, 2), ["tree", "path"]).collect()}
+    turn = lambda role, text: f"<|im_start|>{role}\n{text}<|im_end|>\n"
+    assert got == {1: turn("user", "q") + turn("assistant", "good") + turn("user", "more"), 2: turn("user", "q") + turn("assistant", "fair")}
+
+
+def test_an_input_conversation_of_the_probes_number(spark):
+    got = C.read_back(C.format_conversations(spark, spark.createDataFrame([(-1, 0, "user", "mine")], SCHEMA)), "conv_id").collect()
+    assert sorted((r["conv_id"], r["n_turns"]) for r in got) == [(-1, 1), (-1, 2)]
+
+
 def test_empty_table(spark):
     got = C.read_back(C.format_conversations(spark, spark.createDataFrame([], SCHEMA)), "conv_id").collect()
     assert [r["conv_id"] for r in got] == [-1]
