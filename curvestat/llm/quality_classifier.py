@@ -8,9 +8,9 @@ dual coordinate descent, with classes weighted evenly; margins become
 probabilities by a logistic fit on a fifth of the rows kept out of the first fit.
 
 Labels come only from rows whose crc32(doc_id as text) mod 3 is not 1. The
-fit uses at most ``MAX_ROWS`` of them, those smallest by a hash of doc_id; their
-feature indices are collected, whose number is bounded by MAX_ROWS times the
-number of features. Scoring is a narrow map over all documents.
+fit uses at most ``MAX_ROWS`` of them, those smallest by a hash of doc_id, and of these
+only the first whose feature indices are ``MAX_FEATURES`` at most together, as they are
+collected; of a repeated doc_id one text counts. Scoring is a narrow map over all documents.
 
 Defined results: a null text counts as empty and is scored by the bias alone;
 labels other than 0 and 1 are ignored, of a doc_id labelled twice the smallest label
@@ -27,7 +27,11 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from curvestat.llm.common import cut
+
+#: Bounds of the training sample: labelled documents, and the features of all of them together (4 bytes each on the driver).
 MAX_ROWS = 4000
+MAX_FEATURES = 25_000_000
 TRIGRAM_BITS = 18
 ALPHA = 1.0
 COST = 0.05
@@ -164,19 +168,37 @@ def third(doc_id: Column) -> Column:
     return F.crc32(doc_id.cast("string").cast("binary")) % 3
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS) -> tuple[list[np.ndarray], np.ndarray]:
+def training_rows(docs: DataFrame, labels: DataFrame, most: int = MAX_ROWS, most_features: int = MAX_FEATURES) -> tuple[list[np.ndarray], np.ndarray]:
     """Feature indices and labels of the bounded training sample."""
     usable = labels.filter(F.col("quality").isin(0, 1) & F.col("doc_id").isNotNull() & (third(F.col("doc_id")) != 1))
-    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).orderBy(F.xxhash64(F.lit(SEED), "doc_id"), "doc_id").limit(most)
-    joined = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id").select("doc_id", "quality", "text")
+    place = F.xxhash64(F.lit(SEED), "doc_id")
+    chosen = usable.groupBy("doc_id").agg(F.min("quality").alias("quality")).withColumn("place", place).orderBy("place", "doc_id").limit(most)
+    rows = docs.select("doc_id", F.col("text").cast("binary").alias("text")).join(F.broadcast(chosen), "doc_id")
+    # one text of each doc_id, the one of the smallest hash, so that repeated rows count once
+    first = rows.select("doc_id", F.xxhash64("text").alias("tie")).groupBy(F.col("doc_id").alias("f_id")).agg(F.min("tie").alias("f_tie"))
+    joined = rows.join(F.broadcast(first), (F.col("doc_id") == F.col("f_id")) & (F.xxhash64("text") == F.col("f_tie"))).select("doc_id", "place", "quality", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        features = Features()
+        features, seen = Features(), set()
         for batch in batches:
-            rows = [features(x).astype(np.int32).tobytes() for x in batch.column(2).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0).cast(pa.string()), batch.column(1).cast(pa.int32()), pa.array(rows, pa.binary())], names=["doc_id", "quality", "x"])
-
-    found = joined.mapInArrow(run, "doc_id string, quality int, x binary").collect()
+            new = []  # of equal rows a task makes one; those of several tasks meet below
+            for i, (place_, key) in enumerate(zip(batch.column(1).to_pylist(), batch.column(0).cast(pa.string()).to_pylist(), strict=True)):
+                if (place_, key) not in seen:
+                    seen.add((place_, key))
+                    new.append(i)
+            own = batch.take(pa.array(new, pa.int64()))
+            rows = [features(x).astype(np.int32) for x in own.column(3).to_pylist()]
+            sizes = pa.array([len(x) for x in rows], pa.int64())
+            yield pa.RecordBatch.from_arrays([own.column(0).cast(pa.string()), own.column(1), own.column(2).cast(pa.int32()), sizes, pa.array([x.tobytes() for x in rows], pa.binary())], names=["doc_id", "place", "quality", "n", "x"])
+
+    made = cut(joined.mapInArrow(run, "doc_id string, place bigint, quality int, n bigint, x binary"))
+    single = made.groupBy("doc_id", "place", "quality", "n").agg(F.min("x").alias("x"))
+    sizes = sorted((r["place"], r["doc_id"], r["n"]) for r in made.select("doc_id", "place", "n").distinct().collect())
+    sums = np.cumsum([n for _, _, n in sizes])
+    kept = int(np.searchsorted(sums, most_features, "right"))
+    if kept < len(sizes):
+        single = single.filter(F.struct("place", "doc_id") <= F.struct(F.lit(sizes[kept - 1][0]), F.lit(sizes[kept - 1][1]))) if kept else single.limit(0)
+    found = single.collect()
     found.sort(key=lambda r: (r["doc_id"], bytes(r["x"])))
     return [np.frombuffer(r["x"], dtype=np.int32).astype(np.int64) for r in found], np.array([r["quality"] for r in found], dtype=np.float64)
 

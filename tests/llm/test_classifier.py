@@ -33,6 +33,17 @@ def test_held_out_labels_are_never_used(spark):
     assert score(labels) == score(swapped)
 
 
+def test_the_sample_is_bounded_by_documents_and_features(spark):
+    """A labelled document of 100,000 equal rows counts once, and features are bounded whatever the texts."""
+    rows, labels = corpus()
+    docs = frame(spark, rows).unionByName(spark.range(100_000).selectExpr("2L AS doc_id", "'many equal rows' AS text", "'en' AS lang", "'s' AS source", "0L AS n_chars"))
+    x, y = Q.training_rows(docs, spark.createDataFrame(labels, LABELS))
+    assert len(x) == len(y) == sum(zlib.crc32(str(i).encode()) % 3 != 1 for i in range(240))
+    few, _ = Q.training_rows(docs, spark.createDataFrame(labels, LABELS), 4000, 5000)
+    assert 0 < sum(map(len, few)) <= 5000 and len(few) < len(x)
+    assert len(Q.training_rows(docs, spark.createDataFrame(labels, LABELS), 17)[0]) == 17
+
+
 def test_awkward_rows(spark):
     odd = [(0, 1, 0), (0, 0, 0), (None, 1, 0), (3, None, 0), (5, 7, None), (999, 1, 0)]
     got = Q.classify(spark, frame(spark), spark.createDataFrame(odd, LABELS)).collect()
