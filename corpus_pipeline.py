@@ -16,21 +16,16 @@ one's docs. All but the last return the columns of ``documents``; the last adds
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
 from curvestat.llm import decontamination, mixing, quality_rules, sharding, simhash
-from curvestat.llm.common import table
-
-#: The stage's limits: op7_quality_rules keeps those of its SQL, whose share of the source grows with it.
-LINE_SHARE = 0.0
-MIN_LEFT = 0.8
+from curvestat.llm.common import shared_folder, table
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    return quality_rules.keep_clean(docs, share=LINE_SHARE, min_left=MIN_LEFT)
+    return quality_rules.keep_clean(docs)
 
 
 def dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -62,11 +57,18 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each result is kept in the shared checkpoint folder."""
-    shared = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="curvestat-")
-    folder = f"{shared.rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; results are kept in the shared checkpoint folder, each until the next one is written."""
+    folder = f"{shared_folder(spark).rstrip('/')}/corpus-pipeline-{uuid.uuid4().hex}"
+    docs, before = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES:
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{name}")
         docs = spark.read.parquet(f"{folder}/{name}")
+        if before is not None:
+            _remove(spark, before)
+        before = f"{folder}/{name}"
     return docs
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)

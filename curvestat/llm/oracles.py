@@ -13,12 +13,11 @@ g AS (SELECT rid, i, w[i] || ' ' || w[i + 1] || ' ' || w[i + 2] AS g FROM (SELEC
 cov AS (SELECT rid, count(DISTINCT p) AS n_repeat_words FROM (SELECT rid, unnest([i, i + 1, i + 2]) AS p FROM (SELECT rid, i FROM g QUALIFY count(*) OVER (PARTITION BY rid, g) > 1)) GROUP BY rid),
 nl AS (SELECT rid, source, raw, trim(regexp_replace(lower(line), '{_B}', ' ', 'g')) AS line FROM l),
 held AS (SELECT source, line, count(DISTINCT raw) AS held FROM nl GROUP BY ALL),
-host AS (SELECT source, count(*) AS texts FROM (SELECT DISTINCT source, raw FROM d) GROUP BY source),
-bad AS (SELECT held.source, line FROM held JOIN host ON held.source IS NOT DISTINCT FROM host.source WHERE held > 10 AND held > 0.2 * texts),
+bad AS (SELECT source, line FROM held WHERE held > 10),
 gone AS (SELECT rid, sum(len(string_split(nl.line, ' '))) AS removed FROM nl JOIN bad ON nl.source IS NOT DISTINCT FROM bad.source AND nl.line = bad.line GROUP BY rid),
 x AS (SELECT doc_id, n_words, word_chars, n_symbols, coalesce(n_dup_lines, 0) AS n_dup_lines, coalesce(n_repeat_words, 0) AS n_repeat_words, coalesce(removed, 0) AS removed FROM f LEFT JOIN dup USING (rid) LEFT JOIN cov USING (rid) LEFT JOIN gone USING (rid))
 SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed,
- NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed >= 0.5 * n_words AS kept FROM x"""
+ NOT (n_words < 50 OR 100 * n_repeat_words > 50 * n_words) AND n_words - removed >= 0.8 * n_words AS kept FROM x"""
 
 _ESCAPED = r"regexp_replace({x}, '<(\\*)\|', '<\\\1|', 'g')"
 _ROLE = _ESCAPED.format(x=r"replace(replace(role, '\', '\\'), chr(10), '\n')")

@@ -16,9 +16,9 @@ empty table gives an empty result; other columns of the input are ignored.
 Scale: the text is read once into one narrow row per document (features and
 line hashes), checkpointed. Frequencies are counted in two steps keyed by
 (host, line, text) and then (host, line), both partially aggregated, so a line
-held by a third of all documents is never gathered in one task. The few
-boilerplate lines are replicated over ``SALTS`` salts and joined by
-(host, line, salt), which spreads a hot line's documents.
+held by a third of all documents is never gathered in one task. The
+boilerplate lines are counted and broadcast where they are few; more are replicated over
+``SALTS`` salts and joined by (host, line, salt), which spreads a hot line's documents.
 """
 
 from __future__ import annotations
@@ -26,13 +26,16 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvestat.llm.common import BLANKS, cut, fresh, let, words
+from curvestat.llm.common import BLANKS, cut, few, fresh, let, words
 
 #: A line in more distinct texts of its host than this, and than SHARE of them, is boilerplate.
+#: With a share of 0 the limit is the same however large a host is.
 MIN_TEXTS = 10
-SHARE = 0.2
+SHARE = 0.0
 #: A document keeps at least this share of its words after boilerplate lines go.
-MIN_LEFT = 0.5
+MIN_LEFT = 0.8
+#: Boilerplate lines, and verdicts, up to which they are broadcast.
+MOST_BROADCAST = 100_000
 MIN_WORDS = 50
 SALTS = 64
 SYMBOLS = "#*$%&|<>"
@@ -103,21 +106,23 @@ def features(docs: DataFrame) -> DataFrame:
 def verdicts(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE, min_left: float = MIN_LEFT) -> DataFrame:
     """Features, base_failed, gone (hashes of the boilerplate lines; null: none), words removed with them, and kept, for each row of docs."""
     base = cut(features(docs))
-    texts = base.groupBy("host", "text_hash").agg(F.lit(1).alias("x")).groupBy("host").agg(F.count("*").alias("texts"))
-    limits = texts.select(F.col("host").alias("limit_host"), F.greatest(F.lit(float(min_texts)), share * F.col("texts")).alias("most"))
     line = base.select("host", "text_hash", F.explode("lines").alias("l")).select("host", "text_hash", "l.line")
-    held = line.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("x")).groupBy("host", "line").agg(F.count("*").alias("held"))
-    boilerplate = (
-        held.filter(F.col("held") > min_texts)
-        .join(limits, F.col("host").eqNullSafe(F.col("limit_host")))
-        .filter(F.col("held") > F.col("most"))
-        .select(F.col("host").alias("b_host"), F.col("line").alias("b_line"), F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("b_salt"))
-    )
+    held = line.groupBy("host", "line", "text_hash").agg(F.lit(1).alias("x")).groupBy("host", "line").agg(F.count("*").alias("held")).filter(F.col("held") > min_texts)
+    if share > 0:
+        texts = base.groupBy("host", "text_hash").agg(F.lit(1).alias("x")).groupBy(F.col("host").alias("limit_host")).agg(F.count("*").alias("texts"))
+        held = held.join(texts, F.col("host").eqNullSafe(F.col("limit_host"))).filter(F.col("held") > share * F.col("texts"))
+    boilerplate = cut(held.select(F.col("host").alias("b_host"), F.col("line").alias("b_line")))
     key = F.xxhash64("doc_id", "host", "text_hash")
-    placed = base.select(key.alias("row_key"), "host", F.posexplode("lines").alias("at", "l")).select("row_key", "host", "at", "l.line", "l.n", F.pmod(F.xxhash64("row_key", "at"), F.lit(SALTS)).cast("int").alias("salt"))
+    placed = base.select(key.alias("row_key"), "host", F.posexplode("lines").alias("at", "l")).select("row_key", "host", "at", "l.line", "l.n")
+    same = F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line") == F.col("b_line"))
+    if boilerplate.count() <= MOST_BROADCAST:  # lines needn't be shuffled to find these
+        met = placed.join(F.broadcast(boilerplate), same, "left_semi")
+    else:
+        salted = boilerplate.withColumn("b_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        salt = F.pmod(F.xxhash64("row_key", "at"), F.lit(SALTS)).cast("int")
+        met = placed.withColumn("salt", salt).join(salted, same & (F.col("salt") == F.col("b_salt")), "left_semi")
     removed = (
-        placed.join(boilerplate, F.col("host").eqNullSafe(F.col("b_host")) & (F.col("line") == F.col("b_line")) & (F.col("salt") == F.col("b_salt")), "left_semi")
-        .groupBy("row_key")
+        met.groupBy("row_key")
         .agg(F.collect_set(F.struct("at", "n", "line")).alias("gone"))
         .select("row_key", F.array_distinct("gone.line").alias("gone"), F.aggregate("gone", F.lit(0).cast("bigint"), lambda acc, x: acc + x["n"]).alias("removed"))
     )
@@ -143,7 +148,7 @@ def keep_clean(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE
     judged = found.groupBy(F.col("row_key").alias(other)).agg(F.first(F.when(F.col("kept"), F.col("gone"))).alias(gone))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text")))
     # a rejected row has a key, but no lines
-    kept = keyed.join(judged, F.col(key) == F.col(other), "left").filter(F.col(other).isNull() | F.col(gone).isNotNull())
+    kept = keyed.join(few(judged, MOST_BROADCAST), F.col(key) == F.col(other), "left").filter(F.col(other).isNull() | F.col(gone).isNotNull())
     left = F.array_join(F.filter(F.split("text", "\n"), lambda x: ~F.array_contains(gone, F.xxhash64(_normalised(x)))), "\n")
     kept = kept.withColumn("text", F.when(F.col(gone).isNull(), F.col("text")).otherwise(left))
     if "n_chars" in docs.columns:

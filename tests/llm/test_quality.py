@@ -45,6 +45,22 @@ def test_report_matches_brute_force(spark):
     assert not verdict[200] and not verdict[201] and verdict[302]
 
 
+def test_many_boilerplate_lines_are_found_without_a_broadcast(spark, monkeypatch):
+    shared = [" ".join(f"line{k}word{i}" for i in range(6)) for k in range(5)]
+    rows = [(i, prose(900 + i, 120) + "\n" + shared[i % 5] + "\n" + shared[(i + 1) % 5], "en", "src", 0) for i in range(40)]
+    want = sorted(map(tuple, Q.keep_clean(frame(spark, rows)).collect()))
+    assert len(want) == 40 and not any("line0word0" in r[1] for r in want)
+    monkeypatch.setattr(Q, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, Q.keep_clean(frame(spark, rows)).collect())) == want
+
+
+def test_a_share_of_the_host(spark):
+    """A share of the host's texts may be asked for besides: then a line of 12 of 100 texts stays below a fifth."""
+    line = " ".join(f"shared{i}" for i in range(30))
+    rows = [(i, prose(3000 + i, 90) + (f"\n{line}" if i < 12 else ""), "en", "big", 0) for i in range(100)]
+    assert Q.keep_clean(frame(spark, rows), share=0.2).count() == 100
+
+
 def test_keep_clean(spark):
     kept = Q.keep_clean(clashing(frame(spark)))
     ids = [r[0] for r in kept.select("doc_id").collect()]
