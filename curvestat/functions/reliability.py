@@ -10,7 +10,8 @@ from curvestat.functions.arrays import integral, let
 GRID = (1, 2, 5, 10, 15, 20, 30, 40, 50)
 TARGETS = (0.8, 0.9)
 INFINITY = float("inf")
-MOST_TRIALS = 1_000_000
+#: Whole numbers up to this one are exact doubles.
+MOST_TRIALS = 1 << 52
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -43,16 +44,16 @@ def required_trials(b: Column, w: Column, target: float) -> Column:
 
 
 def required_pointwise(bs: Column, ws: Column, target: float) -> Column:
-    """Smallest n whose mean pointwise reliability reaches the target; infinity if none up to a million does."""
+    """Smallest n whose mean pointwise reliability reaches the target; infinity if no number that a double can hold does."""
     attainable = integral(F.transform(bs, lambda b: F.when(b > 0, 1.0).otherwise(0.0)))
     reaches = lambda n: mean_pointwise(bs, ws, n.cast("double")) >= target
-    first = F.struct(F.lit(1).alias("lo"), F.lit(MOST_TRIALS).alias("hi"))
+    first = F.struct(F.lit(1).cast("bigint").alias("lo"), F.lit(MOST_TRIALS).cast("bigint").alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
-        mid = F.floor((acc["lo"] + acc["hi"]) / 2).cast("int")
+        mid = F.shiftright(acc["lo"] + acc["hi"], 1)
         return let(mid, lambda m: F.when(acc["lo"] >= acc["hi"], acc).when(reaches(m), F.struct(acc["lo"].alias("lo"), m.alias("hi"))).otherwise(F.struct((m + 1).alias("lo"), acc["hi"].alias("hi"))))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(21)), first, halve)["lo"]
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(53)), first, halve)["lo"]
     reachable = (attainable + 1e-14 >= target) & (mean_pointwise(bs, ws, F.lit(float(MOST_TRIALS))) >= target)
     return F.when(reachable, found.cast("double")).otherwise(F.lit(INFINITY))
 

@@ -42,6 +42,15 @@ def unequal_lengths(pairs: DataFrame, left: str, right: str) -> DataFrame:
     return pairs.filter(F.size(left) != F.size(right))
 
 
+def forbidden(df: DataFrame, text: str, pattern: str) -> DataFrame:
+    """Rows whose text holds what a release may not."""
+    return df.filter(F.col(text).rlike(pattern))
+
+
+def missing_columns(df: DataFrame, wanted: list[str]) -> list[str]:
+    return [c for c in wanted if c not in df.columns]
+
+
 def require_empty(df: DataFrame, what: str) -> None:
     """Fail with a sample of the offending rows."""
     rows = df.take(5)

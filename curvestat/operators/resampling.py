@@ -27,6 +27,7 @@ def draws(spark: SparkSession, reps: int, groups: DataFrame, seed: int, name: st
     groups: the distinct groups. Draw i of a replicate takes the group at rank
     hash(seed, rep, i) mod their number.
     """
+    # the groups are a dimension: one row each in this window
     ranked = groups.select(name).distinct().withColumn("at", F.row_number().over(Window.orderBy(name)) - 1)
     size = ranked.agg(F.count("*").alias("k"))
     picks = spark.range(1, reps + 1).select(F.col("id").cast("int").alias("rep")).crossJoin(F.broadcast(size)).withColumn("draw", F.explode(F.sequence(F.lit(0), (F.col("k") - 1).cast("int"))))
@@ -181,19 +182,32 @@ def R_safe(a: Column, b: Column) -> Column:
     return F.when(b != 0, a / b).otherwise(F.lit(0.0))
 
 
-def blas_bootstrap(cells: DataFrame, counts: np.ndarray, keys: list[str], group: str = "athlete") -> DataFrame:
+def drawn_counts(seed: int, reps: int, k: int) -> np.ndarray:
+    """The draws of ``draws`` as a matrix of counts, replicates x groups in the order of their column."""
+    from hashlib import md5
+
+    at = np.array([int(md5(f"{seed}|{rep}|{i}".encode()).hexdigest()[:8], 16) % k for rep in range(1, reps + 1) for i in range(k)])
+    return np.bincount(np.repeat(np.arange(reps) * k, k) + at, minlength=reps * k).reshape(reps, k).astype(float)
+
+
+def blas_bootstrap(cells: DataFrame, counts_of, keys: list[str], group: str = "athlete") -> DataFrame:
     """B and W sums of squares of many replicates by one matrix product for each row of keys.
 
-    counts: replicates x groups in the order of the group column; sent to executors by value.
+    counts_of: the matrix replicates x groups, in the order of the group column, from the number
+    of groups; each task makes it for itself, so none is sent.
     """
     gathered = cells.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct(group, "n", "mean", "ss"))).alias("g"))
     source = gathered.select(*keys, F.col("g.n").cast("array<double>").alias("n"), F.col("g.mean").alias("mean"), F.col("g.ss").alias("ss"))
     kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keys)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        made: dict[int, np.ndarray] = {}
         for batch in batches:
             for row in batch.to_dict("records"):
                 mean, ss, m = np.asarray(row["mean"]), np.asarray(row["ss"]), float(min(row["n"]))
+                if len(mean) not in made:
+                    made[len(mean)] = counts_of(len(mean))
+                counts = made[len(mean)]
                 p = counts.sum(axis=1)
                 centred = mean - mean.mean()
                 ssb = m * np.maximum(counts @ centred**2 - (counts @ centred) ** 2 / p, 0)

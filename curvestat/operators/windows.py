@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -19,10 +22,18 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFr
 
 
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
-    """Adds group median, unscaled MAD and (x - median) / (1.4826 MAD), null where MAD is 0."""
-    w = Window.partitionBy(*keys)
-    df = df.withColumn("median", F.median(value).over(w)).withColumn("deviation", F.abs(F.col(value) - F.col("median")))
-    df = df.withColumn("mad", F.median("deviation").over(w))
+    """Adds group median, unscaled MAD and (x - median) / (1.4826 MAD), null where MAD is 0.
+
+    Medians are aggregates of distinct values with their counts, joined back as small tables;
+    no window gathers a group's rows.
+    """
+    at = [F.col(k).alias(f"m_{k}") for k in keys]
+    same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys])
+    named = [f"m_{k}" for k in keys]
+    medians = df.groupBy(*at).agg(F.median(value).alias("median"))
+    df = df.join(medians, same).drop(*named).withColumn("deviation", F.abs(F.col(value) - F.col("median")))
+    spreads = df.groupBy(*at).agg(F.median("deviation").alias("mad"))
+    df = df.join(spreads, same).drop(*named)
     return df.withColumn("robust_z", F.when(F.col("mad") > 0, (F.col(value) - F.col("median")) / (1.4826 * F.col("mad")))).drop("deviation")
 
 

@@ -172,9 +172,40 @@ def profile_objective_grid(spark, sf_dir):
     return D.rounded(out.select("node", "lam", "objective", "gls_mean"), 6, gls_mean=8)
 
 
-@query("unbalanced_reml")
+def reml_sql(stats: str, stages: int = 9) -> str:
+    """CTEs ending in ``fit``: the profile objective of stats (node, athlete, n, s, z) on 81 points, then on ever finer grids around the best one."""
+
+    def at(points: str) -> str:
+        l = "exp(p.th)"  # noqa: E741
+        return f"""(SELECT node, th, df, q, df * ln(q / df) + logs + ln(a) AS f FROM (SELECT node, th, df, logs, a, greatest(q0 - b * b / a, 2.2250738585072014e-308) AS q FROM
+ (SELECT p.node, p.th, sum(n) - 1 AS df, sum(n / (1 + n * {l})) AS a, sum(s / (1 + n * {l})) AS b, sum(z - {l} * s * s / (1 + n * {l})) AS q0, sum(ln(1 + n * {l})) AS logs FROM {points} p JOIN {stats} USING (node) GROUP BY p.node, p.th)))"""
+
+    parts = [
+        f"g0 AS (SELECT node, th FROM (SELECT DISTINCT node FROM {stats}), (SELECT unnest(range(0, 81)) * 0.5::DOUBLE - 20 AS th))",
+        f"r0 AS (SELECT node, CASE WHEN th = -20 THEN -32 ELSE th - 0.5 END AS lo, CASE WHEN th = 20 THEN 32 ELSE th + 0.5 END AS hi FROM (SELECT node, arg_min(th, f) AS th FROM {at('g0')} GROUP BY node))",
+    ]
+    for i in range(1, stages + 1):
+        parts.append(f"g{i} AS (SELECT node, lo + (hi - lo) * k / 20 AS th FROM r{i - 1}, (SELECT unnest(range(0, 21))::DOUBLE AS k))")
+        parts.append(f"r{i} AS (SELECT node, greatest(lo, th - (hi - lo) / 20) AS lo, least(hi, th + (hi - lo) / 20) AS hi FROM (SELECT node, arg_min(th, f) AS th FROM {at(f'g{i}')} GROUP BY node) JOIN r{i - 1} USING (node))")
+    parts.append(f"best AS (SELECT node, (lo + hi) / 2 AS th FROM r{stages})")
+    # exp(-800) is 0: the objective without any between component
+    parts.append("none AS (SELECT node, -800.0::DOUBLE AS th FROM best)")
+    parts.append(f"fit AS (SELECT b.node, z.f > b.f + 1e-11 * (1 + abs(b.f)) AS interior, b.th > 31.5 AS upper_warning, isfinite(b.f) AS converged, CASE WHEN z.f > b.f + 1e-11 * (1 + abs(b.f)) THEN exp(b.th) ELSE 0 END AS lam, CASE WHEN z.f > b.f + 1e-11 * (1 + abs(b.f)) THEN b.q ELSE z.q END / b.df AS sigma2_w FROM {at('best')} b JOIN {at('none')} z USING (node))")
+    return ",\n".join(parts)
+
+
+#: Integrated components of a fit, and the thresholds and reliabilities that queries take from them.
+_FIT_TOTAL = f"ft AS (SELECT sum(lam * sigma2_w * ({D.WEIGHT})) AS b, sum(sigma2_w * ({D.WEIGHT})) AS w, count(*) FILTER (NOT interior) AS boundary_nodes FROM fit)"
+
+
+def _trials(target: float) -> str:
+    return f"CASE WHEN b > 0 THEN greatest(1.0, ceil({target} * w / ((1 - {target}) * b) * 0.9999999999999999)) ELSE 'Infinity'::DOUBLE END"
+
+
+@query("unbalanced_reml", f"WITH {D.ALL_NODES}, {_STATS}, {reml_sql('stats')} SELECT node, {r('lam * sigma2_w', 'sigma2_b', 5)}, {r('sigma2_w', 'sigma2_w', 5)}, {r('lam', 'lam', 4)}, interior, converged, upper_warning FROM fit")
 def unbalanced_reml(spark, sf_dir):
-    return reml.unbalanced(reml.sufficient(D.to_nodes(D.curves(spark, sf_dir)), ["node"]), ["node"])
+    fit = reml.unbalanced(reml.sufficient(D.to_nodes(D.curves(spark, sf_dir)), ["node"]), ["node"])
+    return D.rounded(fit, 5, lam=4)
 
 
 @query(
@@ -187,13 +218,17 @@ def unbalanced_reml_on_balanced(spark, sf_dir):
     return D.rounded(fit.select("node", "sigma2_b", "sigma2_w"))
 
 
-@query("keep_mask_fit")
+@query(
+    "keep_mask_fit",
+    f"WITH {D.CURVES}, nodes AS (SELECT athlete, trial, unnest(range(0, 64))::INT AS node, unnest(embedding)::DOUBLE AS y FROM c WHERE list_max(embedding) <= 0.35), {_STATS}, {reml_sql('stats')}, {_FIT_TOTAL} "
+    f"SELECT {r('b', 'B')}, {r('w', 'W')}, boundary_nodes, {', '.join(f'{_trials(t)} AS required_{round(100 * t)}' for t in R.TARGETS)} FROM ft",
+)
 def keep_mask_fit(spark, sf_dir):
     """Fit of the trials that a keep predicate leaves; thresholds from the integrated components."""
     c = D.curves(spark, sf_dir).withColumn("keep", F.array_max("y") <= 0.35).filter("keep")
     fit = reml.unbalanced(reml.sufficient(D.to_nodes(c), ["node"]), ["node"])
     t = C.integrate(fit, [], D.NODES)
-    return t.select("B", "W", "boundary_nodes", *[R.required_trials(F.col("B"), F.col("W"), x).alias(f"required_{round(100 * x)}") for x in R.TARGETS])
+    return D.rounded(t.select("B", "W", "boundary_nodes", *[R.required_trials(F.col("B"), F.col("W"), x).alias(f"required_{round(100 * x)}") for x in R.TARGETS]))
 
 
 _ITEM = """li AS (SELECT l_suppkey AS athlete, l_returnflag AS action, l_quantity AS y, l_shipdate, row_number() OVER (PARTITION BY l_suppkey, l_returnflag ORDER BY l_orderkey, l_linenumber) AS trial FROM lineitem)"""
@@ -236,7 +271,11 @@ def reliability_curve_grid(spark, sf_dir):
     return D.rounded(t.select("trials", R.reliability(F.col("B"), F.col("W"), F.col("trials").cast("double")).alias("R_L2")), 9)
 
 
-@query("complete_case_fit")
+@query(
+    "complete_case_fit",
+    f"WITH {D.JOINTS_SQL}, broken AS (SELECT DISTINCT trial AS athlete, frame + 1 AS trial FROM zj WHERE zero), nodes AS (SELECT athlete, trial, unnest(range(0, 64))::INT AS node, unnest(embedding)::DOUBLE AS y FROM c ANTI JOIN broken USING (athlete, trial)), {_STATS}, {reml_sql('stats')}, {_FIT_TOTAL} "
+    f"SELECT {r('b', 'B')}, {r('w', 'W')}, boundary_nodes, {', '.join(r(f'CASE WHEN b + w / {n} > 0 THEN b / (b + w / {n}.0) ELSE 0 END', f'R_L2_m{n}', 5) for n in (1, 5, 10, 50))}, {', '.join(f'{_trials(t)} AS required_n_R_L2_{round(100 * t)}' for t in R.TARGETS)} FROM ft",
+)
 def complete_case_fit(spark, sf_dir):
     """Unbalanced fit of trials without a missing joint, with thresholds and reliabilities of 1, 5, 10 and 50 trials."""
     from curvestat.operators.curve_audit import is_zero
@@ -247,20 +286,32 @@ def complete_case_fit(spark, sf_dir):
     b, w = F.col("B"), F.col("W")
     t = C.integrate(fit, [], D.NODES)
     reliabilities = [R.reliability(b, w, F.lit(float(n))).alias(f"R_L2_m{n}") for n in (1, 5, 10, 50)]
-    return t.select("B", "W", "boundary_nodes", *reliabilities, *[R.required_trials(b, w, x).alias(f"required_n_R_L2_{round(100 * x)}") for x in R.TARGETS])
+    out = t.select("B", "W", "boundary_nodes", *reliabilities, *[R.required_trials(b, w, x).alias(f"required_n_R_L2_{round(100 * x)}") for x in R.TARGETS])
+    return D.rounded(out, 5, B=6, W=6)
 
 
-@query("deduplicated_unbalanced_fit")
+_COPIES = """c0 AS (SELECT label AS athlete, vec_id, row_number() OVER (PARTITION BY label ORDER BY vec_id) AS trial, embedding FROM embeddings),
+c1 AS (SELECT * FROM c0 UNION ALL SELECT (athlete + 3) % 10, vec_id + 1000000, trial + 10000, embedding FROM c0 WHERE vec_id % 20 = 0),
+m AS (SELECT vec_id, row_number() OVER (PARTITION BY embedding ORDER BY athlete DESC, vec_id DESC) AS place, count(*) OVER (PARTITION BY embedding) AS n FROM c1),
+c AS (SELECT * FROM c1 WHERE vec_id NOT IN (SELECT vec_id FROM m WHERE n > 1 AND place = 1))"""
+
+
+@query(
+    "deduplicated_unbalanced_fit",
+    f"WITH {_COPIES}, nodes AS (SELECT athlete, trial, unnest(range(0, 64))::INT AS node, unnest(embedding)::DOUBLE AS y FROM c), {_STATS}, {reml_sql('stats')}, {_FIT_TOTAL} SELECT {r('b', 'B')}, {r('w', 'W')}, boundary_nodes FROM ft",
+)
 def deduplicated_unbalanced_fit(spark, sf_dir):
-    """Unbalanced fit after one member of each group of equal curves is removed."""
+    """Unbalanced fit after one member of each group of equal curves is removed; every twentieth curve also stands under another athlete."""
     from curvestat.functions.arrays import digest
     from curvestat.operators import influence
 
-    c = D.curves(spark, sf_dir).withColumn("sha", digest(F.col("y")))
+    one = D.curves(spark, sf_dir)
+    copies = one.filter(F.col("vec_id") % 20 == 0).select(((F.col("athlete") + 3) % 10).cast(one.schema["athlete"].dataType).alias("athlete"), (F.col("vec_id") + 1000000).alias("vec_id"), "y", (F.col("trial") + 10000).alias("trial"))
+    c = one.unionByName(copies).withColumn("sha", digest(F.col("y")))
     members = influence.duplicate_groups(c.select("sha", "athlete", "vec_id"), "sha")
     removed = influence.duplicate_removals(members, "athlete", "vec_id", 8).select("vec_id")
     fit = reml.unbalanced(reml.sufficient(D.to_nodes(c.join(removed, "vec_id", "left_anti")), ["node"]), ["node"])
-    return C.integrate(fit, [], D.NODES).select("B", "W", "boundary_nodes")
+    return D.rounded(C.integrate(fit, [], D.NODES).select("B", "W", "boundary_nodes"))
 
 
 @query("too_small_groups", "SELECT label AS athlete, count(*) AS n FROM embeddings GROUP BY label HAVING count(*) < 50")

@@ -85,12 +85,20 @@ def dedup_choice(spark, sf_dir):
     return influence.duplicate_removals(influence.duplicate_groups(d, "sha"), "participant", "doc_id", 30)
 
 
-@query("content_digest", "SELECT vec_id, label FROM embeddings QUALIFY count(*) OVER (PARTITION BY embedding) > 1")
+@query(
+    "content_digest",
+    """WITH e AS (SELECT vec_id, label, embedding FROM embeddings UNION ALL SELECT vec_id + 1000000, label, embedding FROM embeddings WHERE vec_id % 50 = 0)
+SELECT vec_id, label FROM e QUALIFY count(*) OVER (PARTITION BY embedding[1:30], embedding[33:62]) > 1""",
+)
 def content_digest(spark, sf_dir):
-    from curvestat.functions.arrays import digest
+    """Trials whose racket and body curves (either half of a vector) agree over the observable 30 of 32 frames; every fiftieth is copied."""
+    from curvestat.functions.arrays import digest, observable
 
-    e = D.table(spark, sf_dir, "embeddings").withColumn("d", digest(F.col("embedding")))
-    return influence.duplicate_groups(e, "d").select("vec_id", "label")
+    e = D.table(spark, sf_dir, "embeddings").select("vec_id", "label", "embedding")
+    every = e.unionByName(e.filter(F.col("vec_id") % 50 == 0).withColumn("vec_id", F.col("vec_id") + 1000000))
+    racket, body = F.slice("embedding", 1, 32), F.slice("embedding", 33, 32)
+    d = digest(*[observable(x, F.lit(30), 32) for x in (racket, body)])
+    return influence.duplicate_groups(every.withColumn("d", d), "d").select("vec_id", "label")
 
 
 @query("cell_counts", "SELECT label, count(*) AS rows FROM embeddings GROUP BY label HAVING count(*) <> 50")
@@ -108,10 +116,19 @@ def repeated_keys(spark, sf_dir):
     return checks.repeated_keys(D.table(spark, sf_dir, "events"), ["user_id", "event_type"])
 
 
-@query("key_set_diff", "WITH k AS (SELECT DISTINCT user_id, floor((ts::DATE - DATE '1970-01-01') / 7)::INT AS week FROM events), f AS (SELECT a.user_id, b.week FROM (SELECT DISTINCT user_id FROM k) a, (SELECT DISTINCT week FROM k) b) SELECT user_id, week, 'missing' AS problem FROM (FROM f EXCEPT FROM k) UNION ALL SELECT user_id, week, 'unexpected' FROM (FROM k EXCEPT FROM f)")
+@query(
+    "key_set_diff",
+    """WITH k AS (SELECT DISTINCT user_id, floor((ts::DATE - DATE '1970-01-01') / 7)::INT AS week FROM events),
+h AS (SELECT * FROM k WHERE (user_id + week) % 17 <> 0 UNION ALL SELECT DISTINCT -1 - user_id % 3, week FROM k WHERE user_id < 5),
+f AS (SELECT a.user_id, b.week FROM (SELECT DISTINCT user_id FROM k) a, (SELECT DISTINCT week FROM k) b)
+SELECT user_id, week, 'missing' AS problem FROM (FROM f EXCEPT FROM h) UNION ALL SELECT user_id, week, 'unexpected' FROM (FROM h EXCEPT FROM f)""",
+)
 def key_set_diff(spark, sf_dir):
-    s = D.sequences(spark, sf_dir).select("user_id", "week").distinct()
-    return checks.key_differences(s, checks.full_product(s, ["user_id", "week"]), ["user_id", "week"])
+    """Differences to the full product of users and weeks, with keys taken out and unknown users put in."""
+    k = D.sequences(spark, sf_dir).select("user_id", "week").distinct()
+    unknown = k.filter("user_id < 5").select((-1 - F.col("user_id") % 3).cast(k.schema["user_id"].dataType).alias("user_id"), "week").distinct()
+    held = k.filter((F.col("user_id") + F.col("week")) % 17 != 0).unionByName(unknown)
+    return checks.key_differences(held, checks.full_product(k, ["user_id", "week"]), ["user_id", "week"])
 
 
 @query("not_finite", "SELECT vec_id FROM embeddings WHERE len(list_filter(embedding, lambda v: NOT isfinite(v))) > 0 OR vec_id % 97 = 0")
@@ -222,9 +239,10 @@ def union_frames(spark, sf_dir):
     return s.unionByName(c)
 
 
-@query("except_keys", "SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders")
+@query("except_keys", "SELECT c_custkey FROM customer EXCEPT ALL SELECT o_custkey FROM orders WHERE o_custkey % 3 = 0")
 def except_keys(spark, sf_dir):
-    return D.table(spark, sf_dir, "customer").select("c_custkey").exceptAll(D.table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")))
+    some = D.table(spark, sf_dir, "orders").filter(F.col("o_custkey") % 3 == 0).select(F.col("o_custkey").alias("c_custkey"))
+    return D.table(spark, sf_dir, "customer").select("c_custkey").exceptAll(some)
 
 
 @query("domain_order", "SELECT o_orderpriority, count(*) AS n FROM orders WHERE o_orderpriority IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY o_orderpriority ORDER BY list_position(['5-LOW', '1-URGENT', '2-HIGH'], o_orderpriority)")

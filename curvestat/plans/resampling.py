@@ -13,9 +13,8 @@ from curvestat.plans import designs as D
 from curvestat.plans.designs import r
 
 query = CORE.query
-REPS, SEED = 40, 11
-#: The reference's counts, for queries without SQL.
-FULL, FULL_SUBSAMPLES = 5000, 1000
+#: The reference's counts of replicates, permutations and subsamples.
+REPS, PERMUTATIONS, SUBSAMPLES, SEED = 5000, 5000, 1000, 11
 
 
 def _hash(*parts: str) -> str:
@@ -122,7 +121,7 @@ def bca_interval(spark, sf_dir):
     one = F.lit(1).alias("one")
     jack = C.integrate(influence.leave_one_out(cells(spark, sf_dir), ["node"]), ["excluded"], D.NODES).select(one, F.col("W").alias("w"))
     point = C.integrate(C.one_way_from_cells(cells(spark, sf_dir), ["node"]), [], D.NODES).select(one, F.col("W").alias("w"))
-    return resampling.bca(replicates(spark, sf_dir, FULL).select(one, F.col("W").alias("w")), jack, point, ["one"], "w")
+    return resampling.bca(replicates(spark, sf_dir).select(one, F.col("W").alias("w")), jack, point, ["one"], "w")
 
 
 _ACTION = """WITH c AS (SELECT label AS athlete, (vec_id % 3)::INT AS action, vec_id, row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) AS trial, embedding FROM embeddings),
@@ -146,32 +145,53 @@ def paired_contrasts(spark, sf_dir, reps=REPS):
     return D.rounded(resampling.contrasts(t.select("rep", "action", "W"), [], "action", "W"), 7)
 
 
-@query("bootstrap_bands")
+_BANDS = f"""{_ACTION}, {DRAWS},
+j AS (SELECT rep, cnt, cells.* FROM cells JOIN draws USING (athlete)),
+pa AS (SELECT rep, node, athlete, max(cnt) AS cnt, count(*) AS a, min(n) AS r, avg(mean) AS mean, var_pop(mean) * count(*) AS apart, sum(ss) AS ss FROM j GROUP BY ALL),
+pc AS (SELECT rep, node, action, sum(cnt * mean) / sum(cnt) AS mean FROM j GROUP BY ALL),
+one AS (SELECT rep, node, sum(cnt) AS p, min(a) AS a, min(r) AS r, sum(cnt * mean * mean) - sum(cnt * mean) ^ 2 / sum(cnt) AS sp, sum(cnt * apart) AS rest, sum(cnt * ss) AS sse FROM pa GROUP BY ALL),
+two AS (SELECT rep, node, var_pop(mean) * count(*) AS sa FROM pc GROUP BY ALL),
+ms AS (SELECT *, a * r * greatest(sp, 0) / (p - 1) AS msp, p * r * sa / (a - 1) AS msa, r * (rest - p * sa) / ((p - 1) * (a - 1)) AS msi, sse / (p * a * (r - 1)) AS mse FROM one JOIN two USING (rep, node)),
+v AS (SELECT node, greatest((msa - msi) / (p * r), 0) AS action, greatest((msp - msi) / (a * r), 0) AS athlete, greatest((msi - mse) / r, 0) AS action_athlete, mse AS residual FROM ms),
+o AS (UNPIVOT (SELECT node, {', '.join(f'CASE WHEN action + athlete + action_athlete + residual > 0 THEN {k} / (action + athlete + action_athlete + residual) ELSE 0 END AS omega_{k}' for k in C.PARTS)} FROM v) ON omega_action, omega_athlete, omega_action_athlete, omega_residual INTO NAME component VALUE value)
+SELECT component, node, {r('quantile_cont(value, 0.025)', 'p025', 7)}, {r('quantile_cont(value, 0.5)', 'p500', 7)}, {r('quantile_cont(value, 0.975)', 'p975', 7)} FROM o GROUP BY ALL"""
+
+
+@query("bootstrap_bands", _BANDS)
 def bootstrap_bands(spark, sf_dir):
     """Pointwise 2.5 to 97.5 % bands of two-way component shares over replicates."""
     n = D.action_nodes(spark, sf_dir)
     c = n.groupBy("node", "athlete", "action").agg(F.count("y").alias("r"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("y")).alias("ss"))
-    boot = C.two_way_pointwise(resampling.bootstrap_two_way(c, drawn(spark, sf_dir, FULL), ["node"]))
+    boot = C.two_way_pointwise(resampling.bootstrap_two_way(c, drawn(spark, sf_dir), ["node"]))
     long = boot.select("node", "rep", *[f"omega_{k}" for k in C.PARTS]).unpivot(["node", "rep"], [f"omega_{k}" for k in C.PARTS], "component", "value")
     q = F.percentile("value", F.array(F.lit(0.025), F.lit(0.5), F.lit(0.975)))
-    return long.groupBy("component", "node").agg(q.alias("q")).select("component", "node", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(("p025", "p500", "p975"))])
+    return D.rounded(long.groupBy("component", "node").agg(q.alias("q")).select("component", "node", *[F.get("q", F.lit(i)).alias(x) for i, x in enumerate(("p025", "p500", "p975"))]), 7)
 
 
 @query(
     "balanced_subsample",
     f"""WITH {D.CURVES}, lim AS (SELECT min(n) AS k FROM (SELECT count(*) AS n FROM c GROUP BY athlete)),
-h AS (SELECT rep, athlete, trial, embedding, {_hash('5', 'rep', 'athlete', 'trial')} AS h FROM c, (SELECT unnest(range(1, 6))::INT AS rep)),
+h AS (SELECT rep, athlete, trial, embedding, {_hash('5', 'rep', 'athlete', 'trial')} AS h FROM c, (SELECT unnest(range(1, {SUBSAMPLES + 1}))::INT AS rep)),
 s AS (SELECT *, row_number() OVER (PARTITION BY rep, athlete ORDER BY h, trial) AS place FROM h),
 nodes AS (SELECT rep, athlete, unnest(range(0, 64))::INT AS node, unnest(embedding)::DOUBLE AS y FROM s, lim WHERE place <= k),
 cells AS (SELECT rep, athlete, node, count(*) AS n, avg(y) AS mean, var_pop(y) * count(*) AS ss FROM nodes GROUP BY ALL), {D.comp_sql('cells', 'rep, node')}
 SELECT rep, {r(f'sum(sigma2_b * ({D.WEIGHT}))', 'B', 8)}, {r(f'sum(sigma2_w * ({D.WEIGHT}))', 'W', 8)}, count(*) FILTER (NOT interior) AS boundary_nodes FROM comp GROUP BY rep""",
 )
-def balanced_subsample(spark, sf_dir):
+def balanced_subsample(spark, sf_dir, reps=SUBSAMPLES):
+    """Subsamples without replacement, from cells made by one NumPy pass over each athlete's curves."""
+    c = D.curves(spark, sf_dir)
+    least = c.groupBy("athlete").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
+    s = resampling.subsample_cells(c.crossJoin(F.broadcast(least)), reps, 5, F.col("least"))
+    t = C.integrate(C.one_way_from_cells(s, ["rep", "node"]), ["rep"], D.NODES)
+    return D.rounded(t.select("rep", "B", "W", "boundary_nodes"), 8)
+
+
+def window_subsample(spark, sf_dir, reps):
+    """The same subsamples by windows over hashes; tests hold one form against the other."""
     c = D.curves(spark, sf_dir)
     least = c.groupBy("athlete").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    s = resampling.subsample(c.crossJoin(F.broadcast(least)), 5, 5, ["athlete"], "trial", F.col("least"))
-    nodes = s.select("rep", "athlete", "trial", F.posexplode("y").alias("node", "y"))
-    t = C.integrate(C.one_way(nodes, ["rep", "node"]), ["rep"], D.NODES)
+    s = resampling.subsample(c.crossJoin(F.broadcast(least)), reps, 5, ["athlete"], "trial", F.col("least"))
+    t = C.integrate(C.one_way(s.select("rep", "athlete", "trial", F.posexplode("y").alias("node", "y")), ["rep", "node"]), ["rep"], D.NODES)
     return D.rounded(t.select("rep", "B", "W", "boundary_nodes"), 8)
 
 
@@ -196,29 +216,38 @@ def lag_correlation(spark, sf_dir):
     return D.rounded(dependence.lag_correlation(resid, [], D.NODES, 10), 8)
 
 
-_PERM = 20
-
-
-@query(
-    "permutation_lag1",
-    f"""{_RESID}, g AS (SELECT a.athlete, a.trial AS i, b.trial AS j, sum(({_W}) * a.r * b.r) AS g FROM res a JOIN res b ON a.athlete = b.athlete AND a.node = b.node GROUP BY ALL),
+def _permutations(n: int) -> str:
+    return f"""{_RESID}, g AS (SELECT a.athlete, a.trial AS i, b.trial AS j, sum(({_W}) * a.r * b.r) AS g FROM res a JOIN res b ON a.athlete = b.athlete AND a.node = b.node GROUP BY ALL),
 t AS (SELECT DISTINCT athlete, trial FROM res),
-o AS (SELECT 0 AS rep, athlete, trial, trial AS place FROM t UNION ALL SELECT rep, athlete, trial, row_number() OVER (PARTITION BY rep, athlete ORDER BY {_hash('7', 'rep', 'athlete', 'trial')}, trial) FROM t, (SELECT unnest(range(1, {_PERM + 1}))::INT AS rep)),
+o AS (SELECT 0 AS rep, athlete, trial, trial AS place FROM t UNION ALL SELECT rep, athlete, trial, row_number() OVER (PARTITION BY rep, athlete ORDER BY {_hash('7', 'rep', 'athlete', 'trial')}, trial) FROM t, (SELECT unnest(range(1, {n + 1}))::INT AS rep)),
 p AS (SELECT a.rep, sum(x.g) / sqrt(sum(gi.g) * sum(gj.g)) AS rho FROM o a JOIN o b ON a.rep = b.rep AND a.athlete = b.athlete AND b.place = a.place + 1 JOIN g x ON x.athlete = a.athlete AND x.i = a.trial AND x.j = b.trial
  JOIN g gi ON gi.athlete = a.athlete AND gi.i = a.trial AND gi.j = a.trial JOIN g gj ON gj.athlete = a.athlete AND gj.i = b.trial AND gj.j = b.trial GROUP BY a.rep),
 ob AS (SELECT rho FROM p WHERE rep = 0)
-SELECT {r('ob.rho', 'rho', 8)}, count(*) AS permutations, {r('quantile_cont(p.rho, 0.025)', 'null_p025', 8)}, {r('quantile_cont(p.rho, 0.975)', 'null_p975', 8)}, {r('(1 + count(*) FILTER (abs(p.rho) >= abs(ob.rho))) / (count(*) + 1)', 'p_value', 8)} FROM p, ob WHERE rep > 0 GROUP BY ob.rho""",
-)
+SELECT {r('ob.rho', 'rho', 8)}, count(*) AS permutations, {r('quantile_cont(p.rho, 0.025)', 'null_p025', 8)}, {r('quantile_cont(p.rho, 0.975)', 'null_p975', 8)}, {r('(1 + count(*) FILTER (abs(p.rho) >= abs(ob.rho))) / (count(*) + 1)', 'p_value', 8)} FROM p, ob WHERE rep > 0 GROUP BY ob.rho"""
+
+
+#: Permutations of the test in joins and windows; permutation_lag1_blas runs the reference's number.
+_FEW = 500
+
+
+@query("permutation_lag1", _permutations(_FEW))
 def permutation_lag1(spark, sf_dir):
     resid = dependence.residuals(D.to_nodes(D.curves(spark, sf_dir)), [])
-    return D.rounded(dependence.permutation_test(resid, [], D.NODES, _PERM, 7), 8)
+    return D.rounded(dependence.permutation_test(resid, [], D.NODES, _FEW, 7), 8)
 
 
-@query("permutation_lag1_blas")
+@query("permutation_lag1_blas", _permutations(PERMUTATIONS))
 def permutation_lag1_blas(spark, sf_dir):
-    """The test at 5000 permutations by one NumPy pass over each Gram matrix."""
+    """The test at the reference's number of permutations, by one NumPy pass over each Gram matrix."""
+    resid = dependence.residuals(D.to_nodes(D.curves(spark, sf_dir)), [])
+    return D.rounded(dependence.permutation_test_blas(resid, [], D.NODES, PERMUTATIONS, 7), 8)
+
+
+@query("gram_matrix", f"{_RESID} SELECT a.athlete, a.trial AS i, b.trial AS j, {r(f'sum(({_W}) * a.r * b.r)', 'g', 8)} FROM res a JOIN res b ON a.athlete = b.athlete AND a.node = b.node GROUP BY ALL")
+def gram_matrix(spark, sf_dir):
+    """Inner products of all pairs of an athlete's residual curves."""
     resid = dependence.residuals(D.to_nodes(D.curves(spark, sf_dir)), [])
-    return dependence.permutation_test_blas(resid, [], D.NODES, 5000, 7)
+    return D.rounded(dependence.gram(resid, [], D.NODES), 8)
 
 
 #: Integrated components of a published model, and AR(1) scenarios.
@@ -290,7 +319,18 @@ def cohort_scenarios(spark, sf_dir):
     return D.rounded(C.integrate(comp, ["scenario"], D.NODES).join(p, "scenario").select("scenario", "codes", "B", "W"), 8)
 
 
-@query("estimand_comparison")
+def _estimands() -> str:
+    """Least number of trials by each estimand; of the pointwise one by steps of whole trials."""
+    pick = lambda t: f"(SELECT min(n) FROM pn WHERE mp >= {t})"
+    trace = lambda t: f"CASE WHEN b > 0 THEN greatest(1.0, ceil({t} * w / ((1 - {t}) * b) * 0.9999999999999999)) ELSE 'Infinity'::DOUBLE END"
+    columns = [(f"required_n_R_L2_{round(100 * t)}", trace(t)) for t in R.TARGETS] + [(f"required_n_mean_pointwise_R_{round(100 * t)}", f"coalesce({pick(t)}, 'Infinity'::DOUBLE)") for t in R.TARGETS]
+    inner = ", ".join(f"{v} AS {k}" for k, v in columns)
+    minus = ", ".join(f"required_n_mean_pointwise_R_{t} - required_n_R_L2_{t} AS pointwise_minus_trace_n{t}" for t in (80, 90))
+    return f"""{D.INTEGRATED}, k AS (SELECT unnest(range(1, 20001))::DOUBLE AS n),
+pn AS (SELECT n, sum((CASE WHEN sigma2_b > 0 THEN sigma2_b / (sigma2_b + sigma2_w / n) ELSE 0 END) * ({D.WEIGHT})) AS mp FROM comp, k GROUP BY n), x AS (SELECT {inner} FROM tot) SELECT *, {minus} FROM x"""
+
+
+@query("estimand_comparison", _estimands())
 def estimand_comparison(spark, sf_dir):
     """Thresholds of the mean pointwise reliability minus those of the trace, for both targets."""
     s = C.component_summary(C.one_way_from_cells(cells(spark, sf_dir), ["node"]), [], D.NODES)
@@ -298,37 +338,28 @@ def estimand_comparison(spark, sf_dir):
     return s.select(*cols, *[(F.col(f"required_n_mean_pointwise_R_{t}") - F.col(f"required_n_R_L2_{t}")).alias(f"pointwise_minus_trace_n{t}") for t in (80, 90)])
 
 
-@query("blas_bootstrap")
+@query("blas_bootstrap", f"{BOOT} SELECT rep, {r('b', 'B', 8)}, {r('w', 'W', 8)}, boundary_nodes FROM n90")
 def blas_bootstrap(spark, sf_dir):
-    """Integrated components of 5000 replicates by matrix products on group statistics."""
-    import numpy as np
-
-    c = cells(spark, sf_dir)
-    k = c.select("athlete").distinct().count()
-    counts = np.random.default_rng(SEED).multinomial(k, np.full(k, 1 / k), size=5000).astype(float)
-    return C.integrate(resampling.blas_bootstrap(c, counts, ["node"]), ["rep"], D.NODES).select("rep", "B", "W", "boundary_nodes")
-
+    """Integrated components of all replicates by matrix products on group statistics."""
+    counts = lambda k: resampling.drawn_counts(SEED, REPS, k)
+    return D.rounded(C.integrate(resampling.blas_bootstrap(cells(spark, sf_dir), counts, ["node"]), ["rep"], D.NODES).select("rep", "B", "W", "boundary_nodes"), 8)
 
-@query("bootstrap_percentiles_full")
-def bootstrap_percentiles_full(spark, sf_dir):
-    return bootstrap_percentiles(spark, sf_dir, FULL)
 
+# the names of the queries above at the reference's counts, from when they ran fewer
+for _name in ("bootstrap_percentiles", "bootstrap_diagnostics", "paired_contrasts", "balanced_subsample"):
+    query(f"{_name}_full", CORE.oracles[_name])(CORE.builders[_name])
 
-@query("bootstrap_diagnostics_full")
-def bootstrap_diagnostics_full(spark, sf_dir):
-    return bootstrap_diagnostics(spark, sf_dir, FULL)
+_LOO_ACTION = f"""{_ACTION}, ex AS (SELECT DISTINCT athlete AS excluded FROM cells), lc AS (SELECT ex.excluded, cells.* FROM cells, ex WHERE athlete <> excluded),
+{D.comp_sql('lc', 'excluded, action, node')}, t AS (SELECT excluded, action, sum(sigma2_w * ({D.WEIGHT})) AS w FROM comp GROUP BY ALL),
+pv AS (SELECT excluded AS athlete, {', '.join(f'max(w) FILTER (action = {a}) AS w{a}' for a in range(3))} FROM t GROUP BY excluded),
+fl AS (SELECT label AS athlete, count(*) AS trials, count(*) FILTER (list_max(embedding) > 0.35) AS flagged FROM embeddings GROUP BY label)"""
 
 
-@query("paired_contrasts_full")
-def paired_contrasts_full(spark, sf_dir):
-    return paired_contrasts(spark, sf_dir, FULL)
-
-
-@query("balanced_subsample_full")
-def balanced_subsample_full(spark, sf_dir, reps=FULL_SUBSAMPLES):
-    """The subsamples of balanced_subsample, 1000 of them, from cells made in NumPy."""
-    c = D.curves(spark, sf_dir)
-    least = c.groupBy("athlete").agg(F.count("*").alias("n")).agg(F.min("n").alias("least"))
-    s = resampling.subsample_cells(c.crossJoin(F.broadcast(least)), reps, 5, F.col("least"))
-    t = C.integrate(C.one_way_from_cells(s, ["rep", "node"]), ["rep"], D.NODES)
-    return D.rounded(t.select("rep", "B", "W", "boundary_nodes"), 8)
+@query("loo_flag_merge", f"{_LOO_ACTION} SELECT athlete, trials, flagged, {', '.join(r(f'w{a}', f'W_without_{a}', 8) for a in range(3))} FROM fl LEFT JOIN pv USING (athlete)")
+def loo_flag_merge(spark, sf_dir):
+    """Flagged trials of each athlete, merged with the integrated within component of each action without that athlete."""
+    flags = D.curves(spark, sf_dir).groupBy("athlete").agg(F.count("*").alias("trials"), F.count_if(F.array_max("y") > F.lit(0.35)).alias("flagged"))
+    c = C.cell_statistics(D.action_nodes(spark, sf_dir), ["action", "node"])
+    t = C.integrate(influence.leave_one_out(c, ["action", "node"]), ["excluded", "action"], D.NODES)
+    wide = t.groupBy(F.col("excluded").alias("athlete")).pivot("action", [0, 1, 2]).agg(F.max("W"))
+    return D.rounded(flags.join(wide, "athlete", "left").select("athlete", "trials", "flagged", *[F.col(str(a)).alias(f"W_without_{a}") for a in range(3)]), 8)

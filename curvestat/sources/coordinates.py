@@ -28,6 +28,18 @@ def verify_archive(spark: SparkSession, path: str, size: int, md5: str, sha256:
         raise ValueError(f"{path} isn't the expected archive")
 
 
+def located(spark: SparkSession, path: str, folders: dict[str, int]) -> str:
+    """The one folder below a path that holds all the named folders with so many CSV files each."""
+    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.csv").load(path).select("path")
+    parts = F.split("path", "/")
+    counted = files.select(F.array_join(F.slice(parts, F.lit(1), F.size(parts) - 2), "/").alias("root"), F.element_at(parts, -2).alias("folder")).groupBy("root", "folder").agg(F.count("*").alias("n"))
+    good = [F.bool_or((F.col("folder") == k) & (F.col("n") == n)) for k, n in folders.items()]
+    found = counted.groupBy("root").agg(*[g.alias(f"ok{i}") for i, g in enumerate(good)]).filter(" AND ".join(f"ok{i}" for i in range(len(good)))).take(2)
+    if len(found) != 1:
+        raise ValueError(f"{len(found)} folders below {path} hold {folders}")
+    return found[0]["root"]
+
+
 def parse_names(files: DataFrame, name: str = "file_name", prefix: str = RACKET) -> DataFrame:
     """Columns global_index, action, participant, raw_length from file names; others are skipped."""
     pattern = NAME.format(prefix=prefix)

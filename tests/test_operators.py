@@ -55,13 +55,37 @@ def test_bootstrap_with_all_counts_one_is_the_point_estimate(spark):
     cells = components.cell_statistics(frame, ["node"])
     ones = spark.createDataFrame([(1, a, 1) for a in range(5)], "rep int, athlete int, cnt bigint")
     boot = {r["node"]: r for r in resampling.bootstrap_components(cells, ones, ["node"]).collect()}
-    blas = {r["node"]: r for r in resampling.blas_bootstrap(cells, np.ones((1, 5)), ["node"]).collect()}
+    blas = {r["node"]: r for r in resampling.blas_bootstrap(cells, lambda k: np.ones((1, k)), ["node"]).collect()}
     for r in components.one_way_from_cells(cells, ["node"]).collect():
         for other in (boot, blas):
             assert other[r["node"]]["sigma2_b"] == pytest.approx(r["sigma2_b"], abs=1e-12)
             assert other[r["node"]]["sigma2_w"] == pytest.approx(r["sigma2_w"])
 
 
+def test_leave_one_out_by_subtraction(spark):
+    rng = np.random.default_rng(6)
+    frame = nodes_frame(spark, rng.normal(size=(5, 6, 3)) + 1000 + 3 * rng.normal(size=(5, 1, 1)))
+    cells = components.cell_statistics(frame, ["node"])
+    got = {(r["excluded"], r["node"]): r for r in influence.leave_one_out(cells, ["node"]).collect()}
+    for a in range(5):
+        for r in components.one_way_from_cells(cells.filter(F.col("athlete") != a), ["node"]).collect():
+            other = got[a, r["node"]]
+            assert (other["p"], other["m"]) == (4, 6) and other["sigma2_b"] == pytest.approx(r["sigma2_b"], abs=1e-9) and other["sigma2_w"] == pytest.approx(r["sigma2_w"], abs=1e-9)
+
+
+def test_drawn_counts_are_the_draws(spark):
+    groups = spark.createDataFrame([(i,) for i in range(7)], "athlete int")
+    counts = resampling.drawn_counts(3, 9, 7)
+    assert {(r["rep"], r["athlete"]): r["cnt"] for r in resampling.draws(spark, 9, groups, 3).collect()} == {(i + 1, j): n for i, row in enumerate(counts) for j, n in enumerate(row) if n}
+
+
+def test_pointwise_trials_beyond_a_million(spark):
+    from curvestat.functions import reliability
+
+    t = spark.createDataFrame([([1.0, 1.0], [5e7, 5e7]), ([1.0, 0.0], [1.0, 1.0])], "b array<double>, w array<double>")
+    assert [r[0] for r in t.select(reliability.required_pointwise(F.col("b"), F.col("w"), 0.9)).collect()] == [pytest.approx(4.5e8, rel=1e-6), float("inf")]
+
+
 def test_draws_take_as_many_groups_as_there_are(spark):
     groups = spark.createDataFrame([(i,) for i in range(7)], "athlete int")
     got = resampling.draws(spark, 9, groups, 1).groupBy("rep").agg(F.sum("cnt").alias("n")).collect()

@@ -44,7 +44,7 @@ def test_hashes_inventory_and_refusal(spark, tmp_path):
     (tmp_path / "x/a.bin").write_bytes(b"abc")
     path = str(tmp_path / "x")
     row = sinks.inventory(spark, path).first()
-    assert row["bytes"] == 3 and row["sha256"] == hashlib.sha256(b"abc").hexdigest()
+    assert row["path"] == "a.bin" and row["bytes"] == 3 and row["sha256"] == hashlib.sha256(b"abc").hexdigest()
     assert sinks.provenance(spark, {"input": path}).first()["role"] == "input"
     coordinates.verify_archive(spark, path, 3, hashlib.md5(b"abc").hexdigest(), row["sha256"])
     with pytest.raises(ValueError):
@@ -53,13 +53,26 @@ def test_hashes_inventory_and_refusal(spark, tmp_path):
 
 def test_round_trips(spark, tmp_path):
     curves = spark.createDataFrame([("racket", 1, 2, 3, [1.0, 2.0])], schema.CURVE)
-    sinks.write_curves(curves, str(tmp_path / "c"))
+    written = sinks.write_curves(curves, str(tmp_path / "c")).first()
+    assert (written["waveform"], written["curves"], written["sha256"]) == tuple(sinks.cube_digest(curves).first())
+    assert sinks.second_name(spark, str(tmp_path / "c"), str(tmp_path / "d")).count() == 1
     assert coordinates.read_curves(spark, str(tmp_path / "c")).select("y").first()["y"] == [1.0, 2.0]
     table = spark.createDataFrame([(1, 2, 0.1 + 0.2)], "a int, b int, v double")
     sinks.write_csv_rounded(table, str(tmp_path / "t"))
     sinks.write_csv(table, str(tmp_path / "u"))
     back = coordinates.read_table(spark, str(tmp_path / "t"), table.schema)
-    assert back.first()["v"] == 0.3
+    assert back.first()["v"] == 0.3 and all(f.read_bytes()[:3] == b"\xef\xbb\xbf" for f in (tmp_path / "t").glob("*.csv"))
     sinks.write_summary(table.agg(F.max("v").alias("v")), str(tmp_path / "s.json"))
     assert '"v": 0.3' in (tmp_path / "s.json").read_text()
     assert spark.table(sinks.alias(table, "renamed") and "renamed").count() == 1
+
+
+def test_the_root_that_holds_both_folders(spark, tmp_path):
+    for root, n in (("one/data", 2), ("other", 1)):
+        for folder in ("racket", "body"):
+            for i in range(n):
+                (tmp_path / root / folder).mkdir(parents=True, exist_ok=True)
+                (tmp_path / root / folder / f"{i}.csv").write_text("1\n")
+    assert coordinates.located(spark, str(tmp_path), {"racket": 2, "body": 2}).endswith("one/data")
+    with pytest.raises(ValueError, match="0 folders"):
+        coordinates.located(spark, str(tmp_path), {"racket": 3, "body": 2})
