@@ -1,5 +1,6 @@
 from __future__ import annotations
 
+import numpy as np
 import pytest
 
 from curvestat.llm import near_copies as N
@@ -12,10 +13,10 @@ def similar(a, b):
     return len(x & y) >= 0.8 * len(x | y)
 
 
-@pytest.mark.parametrize("crowd", [32, 2])
+@pytest.mark.parametrize("crowd", [1024, 2])
 def test_keep_one_drops_near_copies_beyond_two_bits(spark, monkeypatch, crowd):
     """Texts with some words replaced: of rows at 0.8 or more the first stays, as a greedy pass over all pairs finds."""
-    monkeypatch.setattr(N, "CROWD", crowd)
+    monkeypatch.setattr(N, "ROWS_TOGETHER", crowd)
     rows = []
     for i in range(20):
         w = prose(6000 + i, 150).split()
@@ -34,6 +35,17 @@ def test_keep_one_drops_near_copies_beyond_two_bits(spark, monkeypatch, crowd):
 
 def test_bands_of_long_texts_do_not_depend_on_blocks(monkeypatch):
     s = N.shingles(prose(1, 3000).encode())
-    want = N.bands(s).tolist()
+    want = N.signature(s)[0].tolist()
     monkeypatch.setattr(N, "BLOCK", 100)
-    assert N.bands(s).tolist() == want and len(N.bands(N.shingles(b""))) == 0
+    assert N.signature(s)[0].tolist() == want and len(N.signature(N.shingles(b""))[0]) == 0
+
+
+def test_comparison_in_one_task(monkeypatch):
+    draw = np.random.default_rng(3)
+    base = draw.integers(0, 1 << 32, 200, dtype=np.uint32)
+    sets = [np.unique(np.r_[draw.permutation(base)[: draw.integers(150, 200)], draw.integers(0, 1 << 32, draw.integers(0, 30), dtype=np.uint32)]) for _ in range(60)] + [np.empty(0, np.uint32)]
+    like = lambda a, b: len(np.intersect1d(a, b)) >= 0.8 * len(np.union1d(a, b))
+    want = [any(len(x) and like(x, y) for y in sets[:i]) for i, x in enumerate(sets)]
+    for columns in (1 << 12, 7):
+        monkeypatch.setattr(N, "COLUMNS", columns)
+        assert N.later_alike(sets).tolist() == want and 5 < sum(want) < 58

@@ -61,9 +61,10 @@ def test_classes_match_brute_force(spark):
     assert simhash.classes(frame(spark)).count() == len(rows)
 
 
-@pytest.mark.parametrize("crowd", [3, 60])
-def test_links_of_crowded_fingerprints(spark, crowd):
-    """Chains and clusters around one value: components equal those of all pairs."""
+@pytest.mark.parametrize(("crowd", "group"), [(3, 256), (60, 256), (60, 4), (200, 12)])
+def test_links_of_crowded_fingerprints(spark, monkeypatch, crowd, group):
+    """Chains and clusters around one value: components equal those of all pairs, whatever way crowded keys go."""
+    monkeypatch.setattr(simhash, "GROUP", group)
     draw = random.Random(crowd)
     centre, values = draw.getrandbits(64), set()
     while len(values) < crowd:
@@ -79,8 +80,11 @@ def test_links_of_crowded_fingerprints(spark, crowd):
 
     found = {r["node"]: r["root"] for r in components(simhash.links(nodes)).collect()}
     roots = brute_components(items)
-    group = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == y) for y in set(labels))
-    assert group(roots) == group([found.get(v, v) for v in signed])
+    grouped = lambda labels: sorted(sorted(i for i, x in enumerate(labels) if x == y) for y in set(labels))
+    assert grouped(roots) == grouped([found.get(v, v) for v in signed])
+    went = simhash.routes(nodes)
+    assert (went["anew"] > 0) == (went["neighbours"] > 0) == (group < crowd)
+    assert crowd == 3 or went["row"] > 0
 
 
 def test_keep_one(spark):
@@ -102,3 +106,13 @@ def test_keep_one_of_a_repeated_doc_id_with_other_texts(spark):
     one, two = prose(801, 80), prose(802, 80)
     rows = [(1, one, "en", "s", 0), (1, two, "en", "s", 0), (2, one, "en", "s", 0), (3, two, "en", "s", 0), (1, one, "en", "s", 0)]
     assert sorted((r["doc_id"], r["text"]) for r in simhash.keep_one(frame(spark, rows)).collect()) == sorted([(1, one), (1, two)])
+
+
+def test_keep_one_without_broadcasts(spark, monkeypatch):
+    """The shuffled way of every join with a table of keys keeps the same rows."""
+    from curvestat.llm import near_copies
+
+    want = sorted(map(tuple, simhash.keep_one(frame(spark)).collect()), key=str)
+    monkeypatch.setattr(simhash, "MOST_BROADCAST", 0)
+    monkeypatch.setattr(near_copies, "MOST_BROADCAST", 0)
+    assert sorted(map(tuple, simhash.keep_one(frame(spark)).collect()), key=str) == want
