@@ -1,13 +1,16 @@
 """Licence scan by a positional rare-token index.
 
 Texts become words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after ASCII lower case.
-The inverse document frequency of each word of the licence templates is counted
-over all documents. Each template's rarest words (``ANCHORS`` of them) form an
-index word -> (template, offset). A file's licence words among these are looked
-up; a posting at offset o met at word p votes for the template to start at
-p - o, and a template whose anchors agree on a start, within ``SLACK`` words, is
-a candidate there. A candidate is kept when the window holds all its mandatory
-phrases and at least ``SHARE`` of its words; its label is then added.
+The document frequency of each licence word is counted over all documents, which
+gives its IDF. A template's *anchors* are the words of its mandatory phrases with the highest IDF
+(``ANCHORS`` of them at most); every match holds them all, so nothing is lost by
+asking for them. The index maps an anchor to its templates and offsets.
+
+A file's licence words are looked up in the order of their IDF. The highest one of a template
+gives its starts (place in the file minus offset in the template); the postings of its other
+anchors, in the same order, are intersected with them by relative position: a start stays
+where each has a place within the template's slack, ``SLACK`` words and one in ``DRIFT``. A candidate is kept when its
+window holds all mandatory phrases and at least ``SHARE`` of the template's words; its label is then added.
 
 Base phrases (``BASE``) are found exactly and always labelled. The score is the
 share of template words found in the best verified window, 1 for a base phrase,
@@ -20,6 +23,7 @@ bounded by one Arrow batch; the index is a few hundred entries.
 
 from __future__ import annotations
 
+from bisect import bisect_left
 from collections import Counter, defaultdict
 from collections.abc import Iterator
 
@@ -27,29 +31,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from curvestat.llm.license_texts import TEMPLATES
+
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-#: Label, notice, mandatory phrases.
-TEMPLATES = (
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
-    ("mit", "Released under the MIT License", ("mit license",)),
-    ("mit", "Permission is hereby granted, free of charge, to any person obtaining a copy of this software", ("permission is hereby granted", "free of charge")),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
-    ("lgpl", "under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
-    ("agpl", "under the terms of the GNU Affero General Public License", ("gnu affero general public license",)),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc", "4 0")),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa", "4 0")),
-    ("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
-    ("cc0-1.0", "CC0 1.0 Universal Public Domain Dedication", ("cc0",)),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license",)),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use in source and binary forms",)),
-    ("isc", "Permission to use, copy, modify, and distribute this software for any purpose with or without fee is hereby granted", ("permission to use copy modify",)),
-    ("unlicense", "This is free and unencumbered software released into the public domain", ("unencumbered software", "public domain")),
-)
-ANCHORS = 3
-SLACK = 2
+ANCHORS = 4
+SLACK, DRIFT = 2, 8
 SHARE = 0.6
 
 _UPPER = bytes(range(0x41, 0x5B))
@@ -61,48 +49,51 @@ def split_words(text: bytes | None) -> list[bytes]:
 
 
 class Index:
-    """Templates, and the postings of their rarest words by a word's document frequency."""
+    """Templates, and the postings of their anchors by the words' document frequency."""
 
     def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, anchors: int = ANCHORS) -> None:
         self.labels = [label for label, _, _ in templates]
         self.bodies = [split_words(text.encode()) for _, text, _ in templates]
+        self.counts = [Counter(body) for body in self.bodies]
+        self.slack = [SLACK + len(body) // DRIFT for body in self.bodies]
         self.phrases = [[b" %b " % p.encode() for p in phrases] for _, _, phrases in templates]
-        self.postings: dict[bytes, list[tuple[int, int]]] = defaultdict(list)
-        self.needed = []
-        for t, body in enumerate(self.bodies):
-            rare = sorted(set(body), key=lambda w: (frequency.get(w, 0), w))[:anchors]
-            self.needed.append(min(2, len(rare)))
-            for o, w in enumerate(body):
-                if w in rare:
-                    self.postings[w].append((t, o))
-        self.words = frozenset(self.postings)
+        #: Highest IDF first.
+        self.place = lambda w: (frequency.get(w, 0), w)
+        self.anchors = [sorted({w for p in phrases for w in split_words(p)}, key=self.place)[:anchors] for phrases in self.phrases]
+        self.offsets = [{w: [o for o, x in enumerate(body) if x == w] for w in rare} for body, rare in zip(self.bodies, self.anchors, strict=True)]
+        self.by_highest: dict[bytes, list[int]] = defaultdict(list)
+        for t, rare in enumerate(self.anchors):
+            self.by_highest[rare[0]].append(t)
+        self.words = frozenset(w for rare in self.anchors for w in rare)
 
     def candidates(self, w: list[bytes]) -> set[tuple[int, int]]:
-        """(template, start) on which enough different anchors agree within SLACK words."""
+        """(template, start) at which all anchors of the template agree within its slack."""
         met = self.words.intersection(w)
-        if not met:
-            return set()
-        votes: dict[int, dict[int, set[bytes]]] = defaultdict(lambda: defaultdict(set))
+        found: set[tuple[int, int]] = set()
+        highest = sorted((x for x in met if x in self.by_highest), key=self.place)
+        templates = [t for x in highest for t in self.by_highest[x] if met.issuperset(self.anchors[t])]
+        if not templates:
+            return found
+        places: dict[bytes, list[int]] = defaultdict(list)
         for p, x in enumerate(w):
             if x in met:
-                for t, o in self.postings[x]:
-                    votes[t][p - o].add(x)
-        found = set()
-        for t, starts in votes.items():
-            for s in starts:
-                agreed = set().union(*(starts[s + d] for d in range(-SLACK, SLACK + 1) if s + d in starts))
-                if len(agreed) >= self.needed[t]:
-                    found.add((t, s))
+                places[x].append(p)
+        for t in templates:
+            first, *others = self.anchors[t]
+            starts = {p - o for p in places[first] for o in self.offsets[t][first]}
+            for x in others:
+                near = sorted(p - o for p in places[x] for o in self.offsets[t][x])
+                starts = {s for s in starts if (i := bisect_left(near, s - self.slack[t])) < len(near) and near[i] <= s + self.slack[t]}
+            found.update((t, s) for s in starts)
         return found
 
     def verify(self, w: list[bytes], t: int, start: int) -> float:
         """Share of the template's words in the window, or 0 if a phrase or too much is missing."""
-        body = self.bodies[t]
-        window = w[max(0, start - SLACK) : max(0, start + len(body) + SLACK)]
+        window = w[max(0, start - self.slack[t]) : max(0, start + len(self.bodies[t]) + self.slack[t])]
         joined = b" %b " % b" ".join(window)
         if not all(p in joined for p in self.phrases[t]):
             return 0.0
-        share = sum((Counter(body) & Counter(window)).values()) / len(body)
+        share = sum((self.counts[t] & Counter(window)).values()) / len(self.bodies[t])
         return share if share >= SHARE else 0.0
 
 

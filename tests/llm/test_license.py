@@ -1,6 +1,11 @@
 from __future__ import annotations
 
+import random
+
+import pytest
+
 from curvestat.llm import license_scan as L
+from curvestat.llm.license_texts import TEMPLATES
 from tests.llm.common import clashing, frame, prose
 
 
@@ -21,6 +26,64 @@ def test_base_and_added_labels(spark):
     assert (got[5]["n_words"], got[5]["n_base"], got[5]["first_word"], got[5]["labels"]) == (0, 0, None, "")
 
 
+def altered(text, draw, share):
+    """Words dropped, put in and replaced."""
+    out = []
+    for w in text.split():
+        x = draw.random()
+        if x < share / 3:
+            continue
+        out += [draw.choice(["qua", "lorem", "vel"])] if x < 2 * share / 3 else [w, "ipsum"] if x < share else [w]
+    return " ".join(out)
+
+
+def brute(text, index):
+    """Labels by trying every template at every place: its anchors near theirs, its phrases and most of its words in the window."""
+    w, labels, score = L.split_words(text.encode()), set(), 0.0
+    for t, body in enumerate(index.bodies):
+        first, *others = index.anchors[t]
+        slack = L.SLACK + len(body) // L.DRIFT
+        for s in range(-len(body), len(w)):
+            if not any(0 <= s + o < len(w) and w[s + o] == first for o, x in enumerate(body) if x == first):
+                continue
+            if not all(any(w[p] == x for o, y in enumerate(body) if y == x for p in range(max(0, s + o - slack), min(len(w), s + o + slack + 1))) for x in others):
+                continue
+            window = w[max(0, s - slack) : max(0, s + len(body) + slack)]
+            joined = f" {b' '.join(window).decode()} "
+            share = sum(min(body.count(x), window.count(x)) for x in set(body)) / len(body)
+            if share >= L.SHARE and all(f" {p} " in joined for p in TEMPLATES[t][2]):
+                labels.add(index.labels[t])
+                score = max(score, share)
+    return labels, score
+
+
+def test_scan_matches_brute_force():
+    draw = random.Random(4)
+    index = L.Index({w: draw.randint(0, 500) for _, text, _ in TEMPLATES for w in L.split_words(text.encode())})
+    added = 0
+    for i in range(60):
+        _, text, _ = TEMPLATES[i % len(TEMPLATES)]
+        whole = prose(i, 30) + " " + altered(text, draw, draw.choice([0.0, 0.1, 0.3])) + " " + prose(i + 500, 30)
+        labels, score = brute(whole, index)
+        got = L.scan(whole.encode(), index)
+        base = {L.BASE[p] for p in L.base_places(L.split_words(whole.encode()))}
+        assert set(got[5].split(",")) - {""} == labels | base and got[6] == pytest.approx(1.0 if base else score)
+        added += bool(labels)
+    assert added >= 30
+
+
+@pytest.mark.parametrize("text, label", [
+    ("Redistributions of source code must retain the above copyright notice. " + TEMPLATES[4][1], "bsd-3-clause"),
+    ("either version 3 of the License: " + TEMPLATES[12][1], "gpl-3.0"),
+    ("made available under the terms of the Eclipse Public License 2.0", "epl-2.0"),
+    (TEMPLATES[0][1].replace("AUTHORS", "CONTRIBUTORS").replace("Software", "Program"), "mit"),
+    ("# " + TEMPLATES[10][1].replace("\n", "\n# "), "apache-2.0"),
+])
+def test_whole_licences_and_headers(spark, text, label):
+    r = L.scan_licenses(frame(spark, [(1, prose(1, 50) + "\n" + text + "\n" + prose(2, 50), "en", "s", 0), (2, prose(3, 80), "en", "s", 0)])).orderBy("doc_id").collect()
+    assert label in r[0]["labels"].split(",") and r[0]["score"] >= L.SHARE and r[1]["labels"] == ""
+
+
 def test_overlapping_places():
     assert L.base_places(L.split_words(b"cc by cc by cc by")) == {"cc by": [0, 2, 4]}
     assert L.base_places(L.split_words("xcc by cc bye".encode())) == {}
