@@ -114,6 +114,17 @@ def median(xs: Column) -> Column:
     return let(s, lambda v: F.when(n % 2 == 1, F.get(v, half)).otherwise((F.get(v, half - 1) + F.get(v, half)) / 2))
 
 
+def quantile(xs: Column, p: float) -> Column:
+    """Linearly interpolated quantile of the values of an array."""
+
+    def between(v: Column) -> Column:
+        at = p * (F.size(v) - 1)
+        low = F.floor(at).cast("int")
+        return F.get(v, low) + (at - low) * (F.coalesce(F.get(v, low + 1), F.get(v, low)) - F.get(v, low))
+
+    return let(F.array_sort(xs), between)
+
+
 def hampel_flags(xs: Column, radius: int = 5, z: float = 8.0, ratio: float = 4.0) -> Column:
     """Booleans: isolated high values against the neighbours within radius, the value itself left out."""
 

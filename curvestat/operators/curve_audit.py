@@ -48,6 +48,12 @@ def structural_body_curve(stepped: DataFrame, trial: list[str]) -> DataFrame:
     return stepped.groupBy(*trial, "step").agg(F.avg(F.when(F.col("valid"), F.col("moved"))).alias("moved"), F.count_if("valid").alias("valid_joints"))
 
 
+def both_body_curves(stepped: DataFrame, trial: list[str]) -> DataFrame:
+    """Either mean displacement and the number of valid joints, in one aggregate."""
+    valid = F.when(F.col("valid"), F.col("moved"))
+    return stepped.groupBy(*trial, "step").agg(F.avg("moved").alias("naive"), F.avg(valid).alias("structural"), F.count_if("valid").alias("valid_joints"))
+
+
 def too_few_joints(curve: DataFrame, least: int) -> DataFrame:
     """Intervals below the fewest usable joints; must be empty."""
     return curve.filter(F.col("valid_joints") < least)

@@ -53,7 +53,7 @@ def displacement_xyz(spark, sf_dir):
 )
 def body_curves(spark, sf_dir):
     s = Q.steps(D.joints(spark, sf_dir), ["trial"])
-    both = Q.naive_body_curve(s, ["trial"]).withColumnRenamed("moved", "naive").join(Q.structural_body_curve(s, ["trial"]).withColumnRenamed("moved", "structural"), ["trial", "step"])
+    both = Q.both_body_curves(s, ["trial"])
     return D.rounded(both.select("trial", F.col("step").cast("bigint").alias("step"), "naive", "structural", "valid_joints"))
 
 
@@ -187,9 +187,10 @@ def temporal_histogram(spark, sf_dir):
     f"""WITH {D.ALL_NODES} SELECT athlete, vec_id, {r('avg(y)', 'mean')}, {r('sqrt(avg(y * y))', 'rms')}, {r('quantile_cont(y, 0.99)', 'p99')}, {r('max(y)', 'largest')} FROM (SELECT athlete, vec_id, unnest(embedding)::DOUBLE AS y FROM c) GROUP BY ALL""",
 )
 def curve_descriptors(spark, sf_dir):
-    n = D.to_nodes(D.curves(spark, sf_dir), "vec_id")
-    out = n.groupBy("athlete", "vec_id").agg(F.avg("y").alias("mean"), F.sqrt(F.avg(F.col("y") * F.col("y"))).alias("rms"), F.percentile("y", F.lit(0.99)).alias("p99"), F.max("y").alias("largest"))
-    return D.rounded(out)
+    """Mean, root mean square, 99 % quantile and maximum of each curve, from its array alone."""
+    c = D.table(spark, sf_dir, "embeddings").select(F.col("label").alias("athlete"), "vec_id", F.col("embedding").cast("array<double>").alias("y"))
+    total = lambda f: F.aggregate("y", F.lit(0.0), lambda acc, v: acc + f(v)) / F.size("y")
+    return D.rounded(c.select("athlete", "vec_id", total(lambda v: v).alias("mean"), F.sqrt(total(lambda v: v * v)).alias("rms"), A.quantile(F.col("y"), 0.99).alias("p99"), F.array_max("y").alias("largest")))
 
 
 _SMOOTH = f"""WITH {D.CURVES}, s AS (SELECT athlete, trial, vec_id, embedding AS e, list_transform(range(0, 64), lambda i: list_sum(list_transform(range(i - 5, i + 6), lambda k: embedding[greatest(0, least(63, k)) + 1]::DOUBLE)) / 11) AS sm FROM c)"""
