@@ -35,16 +35,17 @@ def shared_folder(spark: SparkSession) -> str:
     return folder or tempfile.mkdtemp(prefix="curvestat-")
 
 
-def repeated(rows: DataFrame, times: str, name: str) -> DataFrame:
+def repeated(rows: DataFrame, times: str, name: str, most: int | None = None) -> DataFrame:
     """Each row as often as its column ``times`` says, numbered from 0 in ``name``.
 
-    Rows that occur more than RUN times are dealt over the tasks in runs first.
+    Rows that occur more than RUN times are dealt over the tasks in runs first. most: the
+    largest number of times, where it is known; else rows are looked through for it.
     """
     numbers = lambda begin, n: F.explode(F.sequence(begin, begin + n - 1))
     zero, n = F.lit(0).cast("bigint"), F.col(times).cast("bigint")
     out = rows.filter((n > 0) & (n <= RUN)).withColumn(name, numbers(zero, n))
     often = rows.filter(n > RUN)
-    if often.isEmpty():
+    if often.isEmpty() if most is None else most <= RUN:
         return out
     (run,) = fresh(out, "run")
     runs = often.withColumn(run, numbers(zero, F.ceil(n / RUN))).repartition(run)

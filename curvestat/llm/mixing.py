@@ -152,9 +152,10 @@ def apply_mix(docs: DataFrame, block: int = BLOCK) -> DataFrame:
     key, other, all_, rows, over, nth = fresh(docs, "mix_key", "mix_other", "mix_all", "mix_rows", "mix_over", "mix_nth")
     counts = cut(_mixed(docs, block).select(F.xxhash64("doc_id", "source", "tie").alias(other), F.col("copies").alias(all_), F.col("rows").alias(rows)))
     joined = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text"))).join(counts, F.col(key) == F.col(other))
-    out = repeated(joined.withColumn(over, F.floor(F.col(all_) / F.col(rows))), over, nth).select(*docs.columns)
+    out = repeated(joined.withColumn(over, F.floor(F.col(all_) / F.col(rows))), over, nth, int(MOST)).select(*docs.columns)
     left = counts.filter((F.col(rows) > 1) & (F.col(all_) % F.col(rows) > 0))
-    if left.isEmpty():
+    most = left.agg(F.max(F.col(all_) % F.col(rows))).first()[0]
+    if most is None:
         return out
     again = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text"))).join(left, F.col(key) == F.col(other)).dropDuplicates([key])
-    return out.unionByName(repeated(again.withColumn(over, F.col(all_) % F.col(rows)), over, nth).select(*docs.columns))
+    return out.unionByName(repeated(again.withColumn(over, F.col(all_) % F.col(rows)), over, nth, most).select(*docs.columns))

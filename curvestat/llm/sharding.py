@@ -179,7 +179,7 @@ def _placed(docs: DataFrame, keys: list[str], shards: int) -> DataFrame:
     inside = ahead(Window.partitionBy("label", "bin").orderBy("text_hub", "draw", "check", "doc_id"))
     ranked = binned.withColumnRenamed("rows", "n").withColumn("inside", inside)
     ranked = ranked.join(offsets.drop("n"), (F.col("label") == F.col("o_label")) & (F.col("bin") == F.col("o_bin"))).withColumn("rank", F.col("before") + F.col("inside"))
-    return ranked.select("doc_id", "size", "text_crc32", "draw", "check", F.explode(_segments(have, quota)).alias("run")).select("*", "run.*").drop("run")
+    return cut(ranked.select("doc_id", "size", "text_crc32", "draw", "check", F.explode(_segments(have, quota)).alias("run")).select("*", "run.*").drop("run"))
 
 
 def _segments(have: list[int], quota: list[int]) -> Column:
@@ -226,7 +226,7 @@ def add_shards(docs: DataFrame, shards: int = SHARDS) -> DataFrame:
     hashed = rest.withColumn(row, F.struct(*rest.columns)).select(row, F.xxhash64(F.lit(SEED), *rest.columns).alias(key), F.xxhash64(*rest.columns).alias(check))
     whole = hashed.groupBy(key, check).agg(F.first(row).alias(row))
     runs = placed.select(F.col("draw").alias(key), F.col("check").alias(check), "shard", "slot", F.col("n").alias(n))
-    each = repeated(whole.join(runs, [key, check]), n, nth)
+    each = repeated(whole.join(runs, [key, check]), n, nth, placed.agg(F.max("n")).first()[0] or 0)
     return each.select(f"{row}.*", "shard", (F.col("slot") + F.col(nth)).alias("slot"))
 
 
