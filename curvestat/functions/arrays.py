@@ -44,9 +44,10 @@ def node_weight(node: Column, q: int) -> Column:
 
 
 def integral(xs: Column) -> Column:
-    """Trapezoid integral of a curve over [0, 1], for any number of nodes."""
-    n = F.size(xs)
-    return F.aggregate(F.transform(xs, lambda x, i: x * F.when((i == 0) | (i == n - 1), 0.5).otherwise(1.0) / (n - 1)), F.lit(0.0), lambda acc, x: acc + x)
+    """Trapezoid integral of a curve over [0, 1], for any number of nodes from two."""
+    total = lambda v: F.aggregate(v, F.lit(0.0), lambda acc, x: acc + x)
+    ends = lambda v: F.get(v, F.lit(0)) + F.get(v, F.size(v) - 1)
+    return let(xs, lambda v: (total(v) - ends(v) / 2) / (F.size(v) - 1))
 
 
 def inner_product(xs: Column, ys: Column) -> Column:
