@@ -91,7 +91,7 @@ def subsample(trials: DataFrame, reps: int, seed: int, cell: list[str], order: s
 def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order: str = "trial", group: str = "athlete") -> DataFrame:
     """rep, group, node, n, mean and ss of the balanced subsamples of ``subsample``, by one NumPy pass over each group's curves y."""
     gathered = trials.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col("y").cast("array<double>").alias("y")))).alias("g"), F.max(size).cast("int").alias("size"))
-    source = gathered.select(group, F.col("g.t").alias("t"), F.col("g.y").alias("y"), "size")
+    source = spread(gathered.select(group, F.col("g.t").alias("t"), F.col("g.y").alias("y"), "size"), group)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         from hashlib import md5
@@ -99,15 +99,25 @@ def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order
         for batch in batches:
             for row in batch.to_dict("records"):
                 y, g, k = np.stack(row["y"]), row[group], row["size"]
+                chosen = np.zeros((reps, len(y)))
                 for rep in range(1, reps + 1):
                     h = [int(md5(f"{seed}|{rep}|{g}|{t}".encode()).hexdigest()[:8], 16) for t in row["t"]]
-                    some = y[np.argsort(h, kind="stable")[:k]]
-                    mean = some.mean(axis=0)
-                    yield pd.DataFrame({"rep": rep, group: g, "node": np.arange(y.shape[1]), "n": k, "mean": mean, "ss": ((some - mean) ** 2).sum(axis=0)})
+                    chosen[rep - 1, np.argsort(h, kind="stable")[:k]] = 1
+                # sums of the chosen curves by matrix products, about the mean of all so that nothing cancels
+                centre = y.mean(axis=0)
+                mean = chosen @ (y - centre) / k
+                ss = chosen @ (y - centre) ** 2 - k * mean**2
+                n = y.shape[1]
+                yield pd.DataFrame({"rep": np.repeat(np.arange(1, reps + 1), n), group: g, "node": np.tile(np.arange(n), reps), "n": k, "mean": (mean + centre).ravel(), "ss": ss.ravel()})
 
     return source.mapInPandas(run, f"rep int, {group} {source.schema[group].dataType.simpleString()}, node int, n bigint, mean double, ss double")
 
 
+def spread(rows: DataFrame, *keys: str) -> DataFrame:
+    """Few rows of much work each, dealt over all cores; adaptive execution would bring small rows together."""
+    return rows.repartition(rows.sparkSession.sparkContext.defaultParallelism, *keys)
+
+
 def percentile_summary(table: DataFrame, keys: list[str], metrics: list[str]) -> DataFrame:
     """Long summary by metric over finite values: counts, mean, sd (0 for one value), quantiles, share of infinities."""
     long = table.unpivot(keys, metrics, "metric", "value")
