@@ -53,6 +53,8 @@ EDITS = 0.075
 STRONG = 8
 #: Bound on the characters of one block of the benchmark.
 INDEX_CHARS = 4_000_000
+#: Regions aligned at once.
+TOGETHER = 512
 #: Characters of one slice of a batch.
 SLICE = 1 << 20
 
@@ -228,57 +230,75 @@ class Index:
         """Best window of each item found in a padded text: edits, start and end in the text without its padding."""
         found: dict[int, tuple[int, int, int]] = {}
         codes = _codes(text)
+
+        def take(item: int, edits: int, start: int, end: int) -> None:
+            if edits <= self.k[item] and (item not in found or edits < found[item][0]):
+                found[item] = (edits, max(0, start - 1), min(len(text) - 2, end - 1))
+
         for begin in range(0, max(1, len(codes) - self.lap), SLICE):
-            piece, made = codes[begin : begin + SLICE + self.lap], {}
+            piece, made, left = codes[begin : begin + SLICE + self.lap], {}, {}
             for p in self.postings:
                 if p.q not in made:
                     made[p.q] = grams(piece, p.q)
                 for item, at, s, e in self.regions(piece, p, made[p.q]):
                     if item in found and found[item][0] == 0:
                         continue
-                    body, k = self.bodies[item][at : at + int(self.length[item])], int(self.k[item])
-                    region = text[s + begin : e + begin]
-                    exact = region.find(body)
-                    edits, end = (0, exact + len(body)) if exact >= 0 else align(body, region, k)
-                    if edits <= k and (item not in found or edits < found[item][0]):
-                        first = s + begin + (exact if exact >= 0 else max(0, end - len(body)))
-                        found[item] = (edits, max(0, first - 1), min(len(text) - 2, s + begin + end - 1))
+                    body = self.bodies[item][at : at + int(self.length[item])]
+                    exact = text.find(body, s + begin, e + begin)
+                    if exact >= 0:
+                        take(item, 0, exact, exact + len(body))
+                    else:
+                        left.setdefault((len(body), int(self.k[item])), []).append((item, body, s + begin, e + begin))
+            # regions of windows of one length are aligned together
+            for (m, k), regions in left.items():
+                regions = [x for x in regions if x[0] not in found or found[x[0]][0] > 0]
+                for at in range(0, len(regions), TOGETHER):
+                    some = regions[at : at + TOGETHER]
+                    edits, ends = align_many([x[1] for x in some], [codes[s:e] for _, _, s, e in some], k)
+                    for (item, _, s, _), n, end in zip(some, edits.tolist(), ends.tolist(), strict=True):
+                        take(item, n, s + max(0, end - m), s + end)
         return found
 
 
 def align(body: str, region: str, k: int) -> tuple[int, int]:
-    """Fewest edits of body against any part of region, and the end of that part; k + 1 edits stands for more.
+    """Fewest edits of body against any part of region, and the end of that part; k + 1 edits stands for more."""
+    edits, ends = align_many([body], [_codes(region)], k)
+    return int(edits[0]), int(ends[0])
+
 
-    Rows are body's characters. The band of row i holds the places of region
+def align_many(bodies: list[str], regions: list[np.ndarray], k: int) -> tuple[np.ndarray, np.ndarray]:
+    """``align`` of bodies of one length against a region (code points) each.
+
+    Rows are the bodies' characters. The band of row i holds the places of a region
     within len(region) - len(body) + k of i, outside which no alignment that
     starts and ends in the region with k edits passes.
     """
-    b, r = _codes(body).astype(np.int64), _codes(region).astype(np.int64)
-    m, n = len(b), len(r)
-    most = k + 1
-    if m - n > k:
-        return most, 0
-    left, right = k, max(0, n - m) + k
+    m, most = len(bodies[0]), k + 1
+    size = np.array([len(x) for x in regions])[:, None]
+    left, right = k, max(0, int(size.max()) - m) + k
     width = left + right + 1
-    index = np.arange(width)
-    padded = np.concatenate((np.full(left + 1, -1), r, np.full(m + right + 1, -2)))
+    index = np.arange(width, dtype=np.int16)
+    b = np.stack([_codes(x).astype(np.int32) for x in bodies])
+    padded_ = np.full((len(bodies), left + 1 + max(int(size.max()), 1) + m + right + 1), -1, dtype=np.int32)
+    for i, x in enumerate(regions):
+        padded_[i, left + 1 : left + 1 + len(x)] = x
     # cell c of row i is place i - left + c of the region; row 0 is free
-    row = np.where((index - left >= 0) & (index - left <= n), 0, most)
+    outside = lambda i: (index + i - left < 0) | (index + i - left > size)
+    row = np.where(outside(0), most, 0).astype(np.int16)
+    up = np.full_like(row, most + 1)
     for i in range(1, m + 1):
-        same = padded[i : i + width] != b[i - 1]  # place i - left + c, character before it
-        diagonal = row + same
-        up = np.append(row[1:], most) + 1
-        new = np.minimum(np.minimum(diagonal, up), most)
-        place = index + i - left
-        new[(place < 0) | (place > n)] = most
+        up[:, :-1] = row[:, 1:] + 1
+        new = np.minimum(row + (padded_[:, i : i + width] != b[:, i - 1 : i]), up)  # the character before the place
+        beyond = outside(i)
+        new[beyond] = most
         # insertions: the running minimum of new - index, plus index
-        new = np.minimum(np.minimum.accumulate(new - index) + index, most)
-        new[(place < 0) | (place > n)] = most
-        if new.min() > k:
-            return most, 0
-        row = new
-    best = int(row.argmin())
-    return int(row[best]), m - left + best
+        new = np.minimum(np.minimum.accumulate(new - index, axis=1) + index, most)
+        new[beyond] = most
+        row = new.astype(np.int16)
+        if row.min() > k:
+            break
+    ends = row.argmin(axis=1)
+    return row[np.arange(len(row)), ends], m - left + ends
 
 
 def blocks(benchmark: DataFrame, most: int = INDEX_CHARS) -> Iterator[list[tuple]]:
