@@ -116,12 +116,34 @@ def basic_interval(spark, sf_dir):
     return D.rounded(point.crossJoin(q).select(low.alias("low"), high.alias("high")), 8)
 
 
-@query("bca_interval")
+def _cdf(x: str) -> str:
+    """Normal distribution function by its series in odd powers; SQL has no error function."""
+    return f"(0.5 + exp(-{x} * {x} / 2) / sqrt(2 * pi()) * list_sum(list_transform(range(0, 60), lambda k: {x} ^ (2 * k + 1) * sqrt(pi()) / (2 ^ (k + 1) * gamma(k + 1.5)))))"
+
+
+def _bca() -> str:
+    newton = ",\n".join(f"z{i} AS (SELECT theta, n, p, z - ({_cdf('z')} - p) / (exp(-z * z / 2) / sqrt(2 * pi())) AS z FROM z{i - 1})" for i in range(1, 9))
+    tail = lambda sign: f"z + (z {sign} 1.959963984540054) / (1 - a * (z {sign} 1.959963984540054))"
+    at = lambda p: f"l[floor({p} * (len(l) - 1))::INT + 1] + ({p} * (len(l) - 1) - floor({p} * (len(l) - 1))) * (l[least(len(l), floor({p} * (len(l) - 1))::INT + 2)] - l[floor({p} * (len(l) - 1))::INT + 1])"
+    return f"""{BOOT}, {D.comp_sql('cells')}, pt AS (SELECT sum(sigma2_w * ({D.WEIGHT})) AS w FROM comp),
+ex AS (SELECT DISTINCT athlete AS excluded FROM cells), lc AS (SELECT ex.excluded, cells.* FROM cells, ex WHERE athlete <> excluded), {D.comp_sql('lc', 'excluded, node', 'lo')},
+jk AS (SELECT excluded, sum(sigma2_w * ({D.WEIGHT})) AS w FROM lo GROUP BY excluded),
+ac AS (SELECT sum((c - w) ^ 3) / (6 * sum((c - w) ^ 2) ^ 1.5) AS a FROM jk, (SELECT avg(w) AS c FROM jk)),
+sh AS (SELECT pt.w AS theta, count(*) AS n, sum(CASE WHEN round(n90.w, 12) < round(pt.w, 12) THEN 1.0 WHEN round(n90.w, 12) = round(pt.w, 12) THEN 0.5 ELSE 0 END)::DOUBLE AS less FROM n90, pt GROUP BY pt.w),
+z0 AS (SELECT theta, n, greatest(0.5 / n, least(1 - 0.5 / n, less / n)) AS p, 0.0::DOUBLE AS z FROM sh),
+{newton},
+lim AS (SELECT theta, z AS bias, a AS acceleration, {tail('-')} AS x_low, {tail('+')} AS x_high FROM z8, ac),
+pr AS (SELECT *, {_cdf('x_low')} AS p_low, {_cdf('x_high')} AS p_high FROM lim), v AS (SELECT list_sort(list(w)) AS l FROM n90)
+SELECT 1 AS one, {r('theta', 'theta', 8)}, {r('bias', 'bias')}, {r('acceleration', 'acceleration')}, {r('p_low', 'p_low')}, {r('p_high', 'p_high')}, {r(at('p_low'), 'low', 7)}, {r(at('p_high'), 'high', 7)} FROM pr, v"""
+
+
+@query("bca_interval", _bca())
 def bca_interval(spark, sf_dir):
-    one = F.lit(1).alias("one")
-    jack = C.integrate(influence.leave_one_out(cells(spark, sf_dir), ["node"]), ["excluded"], D.NODES).select(one, F.col("W").alias("w"))
-    point = C.integrate(C.one_way_from_cells(cells(spark, sf_dir), ["node"]), [], D.NODES).select(one, F.col("W").alias("w"))
-    return resampling.bca(replicates(spark, sf_dir).select(one, F.col("W").alias("w")), jack, point, ["one"], "w")
+    """Values are rounded to twelve digits, so that a replicate of all groups once ties with the point."""
+    one, w = F.lit(1).alias("one"), F.round("W", 12).alias("w")
+    jack = C.integrate(influence.leave_one_out(cells(spark, sf_dir), ["node"]), ["excluded"], D.NODES).select(one, w)
+    point = C.integrate(C.one_way_from_cells(cells(spark, sf_dir), ["node"]), [], D.NODES).select(one, w)
+    return D.rounded(resampling.bca(replicates(spark, sf_dir).select(one, w), jack, point, ["one"], "w"), 6, theta=8, low=7, high=7)
 
 
 _ACTION = """WITH c AS (SELECT label AS athlete, (vec_id % 3)::INT AS action, vec_id, row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) AS trial, embedding FROM embeddings),
