@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -30,7 +31,7 @@ def cut(df: DataFrame) -> DataFrame:
 def shared_folder(spark: SparkSession) -> str:
     """The session's spark.checkpoint.dir; a temporary folder only where that is unset and all runs in one process."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
-    if folder is None and not spark.sparkContext.master.startswith("local["):
+    if folder is None and not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
     return folder or tempfile.mkdtemp(prefix="curvestat-")
 

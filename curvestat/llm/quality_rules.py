@@ -145,7 +145,7 @@ def keep_clean(docs: DataFrame, min_texts: int = MIN_TEXTS, share: float = SHARE
     """
     key, other, gone = fresh(docs, "row_key", "rejected_key", "gone_lines")
     found = verdicts(docs, min_texts, share, min_left).filter(~F.col("kept") | F.col("gone").isNotNull())
-    judged = found.groupBy(F.col("row_key").alias(other)).agg(F.first(F.when(F.col("kept"), F.col("gone"))).alias(gone))
+    judged = cut(found.groupBy(F.col("row_key").alias(other)).agg(F.first(F.when(F.col("kept"), F.col("gone"))).alias(gone)))
     keyed = docs.withColumn(key, F.xxhash64("doc_id", "source", F.xxhash64("text")))
     # a rejected row has a key, but no lines
     kept = keyed.join(few(judged, MOST_BROADCAST), F.col(key) == F.col(other), "left").filter(F.col(other).isNull() | F.col(gone).isNotNull())
