@@ -21,6 +21,15 @@ def hash_key(*parts: Column) -> Column:
     return F.conv(F.substring(F.md5(F.concat_ws("|", *[p.cast("string") for p in parts]).cast("binary")), 1, 8), 16, 10).cast("bigint")
 
 
+def hash_matrix(before: list[str], items: list) -> np.ndarray:
+    """``hash_key`` of each text with each item behind it, texts x items."""
+    from hashlib import md5
+
+    ends = [str(x).encode() for x in items]
+    raw = b"".join(md5(start + end).digest()[:4] for start in (x.encode() for x in before) for end in ends)
+    return np.frombuffer(raw, dtype=">u4").reshape(len(before), len(ends))
+
+
 def draws(spark: SparkSession, reps: int, groups: DataFrame, seed: int, name: str = "athlete") -> DataFrame:
     """rep, group and cnt of whole-group draws with replacement; shared by all keys of a design.
 
@@ -94,15 +103,12 @@ def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order
     source = spread(gathered.select(group, F.col("g.t").alias("t"), F.col("g.y").alias("y"), "size"), group)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        from hashlib import md5
-
         for batch in batches:
             for row in batch.to_dict("records"):
                 y, g, k = np.stack(row["y"]), row[group], row["size"]
+                h = hash_matrix([f"{seed}|{rep}|{g}|" for rep in range(1, reps + 1)], row["t"])
                 chosen = np.zeros((reps, len(y)))
-                for rep in range(1, reps + 1):
-                    h = [int(md5(f"{seed}|{rep}|{g}|{t}".encode()).hexdigest()[:8], 16) for t in row["t"]]
-                    chosen[rep - 1, np.argsort(h, kind="stable")[:k]] = 1
+                np.put_along_axis(chosen, np.argsort(h, axis=1, kind="stable")[:, :k], 1, axis=1)
                 # sums of the chosen curves by matrix products, about the mean of all so that nothing cancels
                 centre = y.mean(axis=0)
                 mean = chosen @ (y - centre) / k
@@ -194,10 +200,8 @@ def R_safe(a: Column, b: Column) -> Column:
 
 def drawn_counts(seed: int, reps: int, k: int) -> np.ndarray:
     """The draws of ``draws`` as a matrix of counts, replicates x groups in the order of their column."""
-    from hashlib import md5
-
-    at = np.array([int(md5(f"{seed}|{rep}|{i}".encode()).hexdigest()[:8], 16) % k for rep in range(1, reps + 1) for i in range(k)])
-    return np.bincount(np.repeat(np.arange(reps) * k, k) + at, minlength=reps * k).reshape(reps, k).astype(float)
+    at = hash_matrix([f"{seed}|{rep}|" for rep in range(1, reps + 1)], list(range(k))).ravel() % k
+    return np.bincount(np.repeat(np.arange(reps) * k, k) + at.astype(np.int64), minlength=reps * k).reshape(reps, k).astype(float)
 
 
 def blas_bootstrap(cells: DataFrame, counts_of, keys: list[str], group: str = "athlete") -> DataFrame:
