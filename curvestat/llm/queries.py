@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from curvestat.llm import chat_format, decontamination, license_scan, mixing, pii, quality_classifier, quality_rules, sharding, simhash, token_counts
+from curvestat.llm import chat_format, decontamination, embedding_dedup, license_scan, merkle_manifest, mixing, pii, quality_classifier, quality_rules, sharding, simhash, spelling_variants, token_counts
 from curvestat.llm.common import table
 from curvestat.llm.oracles import ORACLES
 
@@ -51,4 +51,16 @@ def op10_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.contaminated(spark, table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op5_chat_format, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination)}
+def op11_spelling_variants(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling_variants.variants(table(spark, sf_dir, "documents"))
+
+
+def op12_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return merkle_manifest.manifest(table(spark, sf_dir, "documents"))
+
+
+def op13_embedding_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return embedding_dedup.classes(table(spark, sf_dir, "embeddings"))
+
+
+QUERIES = {f.__name__: f for f in (op1_simhash, op2_license_scan, op3_sharding, op4_token_counts, op5_chat_format, op6_quality_classifier, op7_quality_rules, op8_mixing, op9_pii, op10_decontamination, op11_spelling_variants, op12_merkle_manifest, op13_embedding_dedup)}
