@@ -43,10 +43,12 @@ from curvestat.llm.graph import components
 LIKE = 0.95
 MISSED = 1e-5
 DEVIATIONS = 5.0
-#: Vectors on a side of a tile.
-TILE = 512
+#: Vectors on a side of a tile, rows of tiles that go to a task together, and rows of a band whose pairs are listed at once with those of others.
+TILE, TOGETHER, SMALL = 512, 4096, 32
+#: Pairs that one step compares.
+PAIRS = 1 << 14
 #: Bits of a band beyond the logarithm of the number of vectors, the least and the most.
-SPARE_BITS, LEAST_BITS, MOST_BITS = 2, 8, 40
+SPARE_BITS, LEAST_BITS, MOST_BITS = 5, 8, 40
 SEED = 13
 WORD = 64
 #: Bands' keys of several vectors that are made at once.
@@ -95,30 +97,57 @@ def code(unit: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.packbits(turned > 0, axis=1), np.abs(turned).sum(axis=1) / math.sqrt(unit.shape[1])
 
 
-def possible(unit: np.ndarray, packed: np.ndarray, factor: np.ndarray, other: np.ndarray) -> np.ndarray:
-    """Whether the inner product of each vector of other with each coded vector can reach LIKE, by estimate and bound.
+def slack(factor: np.ndarray, d: int) -> np.ndarray:
+    """How far estimates from each code may be off."""
+    return DEVIATIONS * np.sqrt((1 - factor**2).clip(0) / factor**2 / (d - 1))
 
-    unit: only its shape is used beside the codes; rows of the result are those of other.
-    """
-    d = unit.shape[1]
-    signs = np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
-    estimate = ((other @ rotation(d, 0)).astype(np.float32) @ signs.T) / math.sqrt(d) / factor
-    return estimate + DEVIATIONS * np.sqrt((1 - factor**2).clip(0) / factor**2 / (d - 1)) >= LIKE
-
-
-def linked(a: dict[str, np.ndarray], b: dict[str, np.ndarray], band: int) -> tuple[np.ndarray, np.ndarray]:
-    """Places (in a, in b) of the pairs of one band that are linked and share no band before it."""
-    may = possible(b["unit"], b["code"], b["factor"], a["unit"]) & possible(a["unit"], a["code"], a["factor"], b["unit"]).T
-    may &= a["node"][:, None] != b["node"]
-    i, j = np.nonzero(may)
-    out = []
-    for at in range(0, len(i), 1 << 14):
-        x, y = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-        new = ~(a["keys"][x, :band] == b["keys"][y, :band]).any(axis=1)
+
+def signs(packed: np.ndarray, d: int) -> np.ndarray:
+    """A code's coordinates times the root of d."""
+    return np.unpackbits(packed, axis=1, count=d).astype(np.float32) * 2 - 1
+
+
+def possible(turned: np.ndarray, coded: dict[str, np.ndarray]) -> np.ndarray:
+    """Whether the inner product of each vector (turned coordinates) with each coded vector can reach LIKE, by estimate and bound."""
+    d = turned.shape[1]
+    return turned @ coded["signs"].T / math.sqrt(d) / coded["factor"] + coded["slack"] >= LIKE
+
+
+def _exact(v: dict[str, np.ndarray], i: np.ndarray, j: np.ndarray, band: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Those of the pairs (i, j) of rows that met in these bands that are linked and share no band before it."""
+    out = [(i[:0], j[:0])]
+    for at in range(0, len(i), PAIRS):
+        x, y, t = (a[at : at + PAIRS] for a in (i, j, band))
+        # the first band that both share: argmax finds the first True
+        new = (v["keys"][x] == v["keys"][y]).argmax(axis=1) == t
         x, y = x[new], y[new]
-        like = np.einsum("nd,nd->n", a["unit"][x], b["unit"][y]) >= LIKE
+        like = np.einsum("nd,nd->n", v["unit"][x], v["unit"][y]) >= LIKE
         out.append((x[like], y[like]))
-    return tuple(np.concatenate([o[k] for o in out]) if out else np.empty(0, dtype=np.int64) for k in (0, 1))
+    return tuple(np.concatenate([o[k] for o in out]) for k in (0, 1))
+
+
+def linked_small(v: dict[str, np.ndarray], first: np.ndarray, size: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of many runs of few rows each, which begin at first and have size rows."""
+    d, found = v["unit"].shape[1], []
+    for m in np.unique(size):
+        one, two = np.triu_indices(m, 1)
+        begin = first[size == m][:, None]
+        i, j = (begin + one).ravel(), (begin + two).ravel()
+        for at in range(0, len(i), PAIRS):
+            x, y = i[at : at + PAIRS], j[at : at + PAIRS]
+            may = np.ones(len(x), dtype=bool)
+            for query, coded in ((x, y), (y, x)):
+                may &= np.einsum("nd,nd->n", v["turned"][query], v["signs"][coded]) / math.sqrt(d) / v["factor"][coded] + v["slack"][coded] >= LIKE
+            found.append(_exact(v, x[may], y[may], v["band"][x[may]]))
+    return tuple(np.concatenate([f[k] for f in found]) if found else first[:0] for k in (0, 1))
+
+
+def linked_tile(v: dict[str, np.ndarray], a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Linked pairs of rows of a with rows of b; a and b are the same rows or have none in common."""
+    side = lambda rows: {k: v[k][rows] for k in ("signs", "factor", "slack")}
+    may = possible(v["turned"][a], side(b)) & possible(v["turned"][b], side(a)).T
+    i, j = np.nonzero(np.triu(may, 1) if a is b else may)
+    return _exact(v, a[i], b[j], v["band"][a[i]])
 
 
 def spanning(n: int, i: np.ndarray, j: np.ndarray) -> np.ndarray:
@@ -164,38 +193,37 @@ def _keyed(nodes: DataFrame, bits: int, many: int) -> DataFrame:
     return nodes.select("node", "d", "x").mapInArrow(run, "node bigint, d int, keys array<bigint>, code binary, factor double")
 
 
-def _side(rows: pa.Table) -> dict[str, np.ndarray]:
-    n = rows.num_rows
-    x = rows["x"].combine_chunks()
-    return {
-        "node": rows["node"].to_numpy(), "weight": rows["weight"].to_numpy(), "unit": units(_flat(x), len(_flat(x)) // n), "keys": _flat(rows["keys"].combine_chunks()).reshape(n, -1),
-        "code": np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(n, -1), "factor": rows["factor"].to_numpy(),
-    }
-
-
 TILED = "node bigint, links bigint, low bigint"
 
 
-def _tile(rows: pa.Table) -> pa.Table:
-    """node, links (weights of linked vectors) and low (a node that it is linked to, through others or not) of a tile's linked vectors."""
-    band, one = rows["key"][0].as_py() >> MOST_BITS, rows["tile_a"][0].as_py()
-    is_a = rows["chunk"].to_numpy() == one
-    same = rows["tile_b"][0].as_py() == one
-    if not same and (is_a.all() or not is_a.any()):
-        return pa.table({"node": pa.array([], pa.int64()), "links": pa.array([], pa.int64()), "low": pa.array([], pa.int64())})
-    a = _side(rows.filter(pa.array(is_a)))
-    b = a if same else _side(rows.filter(pa.array(~is_a)))
-    i, j = linked(a, b, band)
-    if same:
-        i, j = i[i < j], j[i < j]
-    shift = 0 if same else len(a["node"])
-    node, weight = (a[k] if same else np.concatenate([a[k], b[k]]) for k in ("node", "weight"))
-    links = np.zeros(len(node), dtype=np.int64)
-    np.add.at(links, i, weight[j + shift])
-    np.add.at(links, j + shift, weight[i])
-    low = spanning(len(node), i, j + shift)
-    found = links > 0
-    return pa.table({"node": node[found], "links": links[found], "low": node[low][found]})
+def _tiles(rows: pa.Table) -> pa.Table:
+    """node, links (weights of linked vectors) and low (a node that it is linked to, through others or not) of the linked vectors of several tiles."""
+    rows = rows.sort_by([(c, "ascending") for c in ("key", "tile_a", "tile_b", "chunk")])
+    n, column = rows.num_rows, lambda c: rows[c].to_numpy()
+    x = _flat(rows["x"].combine_chunks())
+    d = padded(len(x) // n)
+    v = {
+        "unit": units(x, len(x) // n), "keys": _flat(rows["keys"].combine_chunks()).reshape(n, -1), "factor": column("factor"), "band": column("key") >> MOST_BITS,
+        "signs": signs(np.frombuffer(b"".join(rows["code"].to_pylist()), dtype=np.uint8).reshape(n, -1), d),
+    }
+    v |= {"slack": slack(v["factor"], d), "turned": (v["unit"] @ rotation(d, 0)).astype(np.float32)}
+    node, weight, tile = column("node"), column("weight"), np.stack([column(c) for c in ("key", "tile_a", "tile_b")], axis=1)
+    first = np.flatnonzero(np.r_[True, (tile[1:] != tile[:-1]).any(axis=1)])
+    size = np.diff(np.r_[first, n])
+    same = tile[first, 1] == tile[first, 2]
+    small = same & (size <= SMALL)
+    found = [linked_small(v, first[small], size[small])]
+    chunk = column("chunk")
+    for at, m, is_same in zip(first[~small], size[~small], same[~small], strict=True):
+        own = np.arange(at, at + m)
+        found.append(linked_tile(v, own, own) if is_same else linked_tile(v, own[chunk[own] == tile[at, 1]], own[chunk[own] != tile[at, 1]]))
+    i, j = (np.concatenate([f[k] for f in found]) for k in (0, 1))
+    links = np.zeros(n, dtype=np.int64)
+    np.add.at(links, i, weight[j])
+    np.add.at(links, j, weight[i])
+    low = spanning(n, i, j)
+    has = links > 0
+    return pa.table({"node": node[has], "links": links[has], "low": node[low][has]})
 
 
 def link_sums(nodes: DataFrame) -> DataFrame:
@@ -205,11 +233,14 @@ def link_sums(nodes: DataFrame) -> DataFrame:
     met = keyed.select("node", "d", F.explode("keys").alias("key"))
     full = cut(met.groupBy("d", "key").agg(F.count("*").alias("m")).filter("m > 1"))
     chunks = F.ceil(F.col("m") / TILE)
+    # tiles go to tasks in groups of about TOGETHER rows, so that many small bands share one
+    groups = max(1, (full.agg(F.sum(F.col("m") * chunks)).first()[0] or 0) // TOGETHER)
     members = met.join(few(full, MOST_BROADCAST), ["d", "key"]).withColumn("chunks", chunks).withColumn("chunk", F.pmod(F.xxhash64("node"), chunks))
     tiles = F.transform(F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1), lambda other: F.struct(F.least("chunk", other).alias("tile_a"), F.greatest("chunk", other).alias("tile_b")))
-    dealt = members.withColumn("tile", F.explode(tiles)).select("node", F.col("d").alias("d"), "key", "chunk", "tile.tile_a", "tile.tile_b")
+    dealt = members.withColumn("tile", F.explode(tiles)).select("node", "d", "key", "chunk", "tile.tile_a", "tile.tile_b")
+    dealt = dealt.withColumn("bin", F.pmod(F.xxhash64("key", "tile_a", "tile_b"), F.lit(groups)))
     vectors = keyed.join(nodes.select("node", "x", "weight"), "node").drop("d")
-    return dealt.join(vectors, "node").groupBy("d", "key", "tile_a", "tile_b").applyInArrow(_tile, TILED)
+    return dealt.join(vectors, "node").groupBy("d", "bin").applyInArrow(_tiles, TILED)
 
 
 def classes(vectors: DataFrame) -> DataFrame:

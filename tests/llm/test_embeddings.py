@@ -57,9 +57,15 @@ def planted(d: int, groups: int = 12, seed: int = 0) -> list[np.ndarray]:
     return out + [at(centre, 0.978) for _ in range(60)]
 
 
-@pytest.mark.parametrize(("d", "tile"), [(64, 512), (64, 16), (10, 512), (100, 32)])
-def test_against_brute_force(spark, monkeypatch, d, tile):
+def coded(packed, factor):
+    return {"signs": E.signs(packed, 64), "factor": factor, "slack": E.slack(factor, 64)}
+
+
+@pytest.mark.parametrize(("d", "tile", "small"), [(64, 512, 32), (64, 16, 4), (10, 512, 2), (100, 32, 100)])
+def test_against_brute_force(spark, monkeypatch, d, tile, small):
     monkeypatch.setattr(E, "TILE", tile)
+    monkeypatch.setattr(E, "SMALL", small)
+    monkeypatch.setattr(E, "TOGETHER", 64)
     vectors = planted(d)
     assert got(E.classes(table(spark, vectors))) == sorted(brute(vectors), key=repr)
 
@@ -93,13 +99,13 @@ def test_estimates_are_unbiased_and_within_their_bound():
     draw = np.random.default_rng(9)
     unit = E.units(draw.standard_normal(64 * 400), 64)
     packed, factor = E.code(unit)
-    signs = np.unpackbits(packed, axis=1).astype(np.float64) * 2 - 1
-    estimate = (unit @ E.rotation(64, 0)) @ signs.T / 8 / factor
+    turned = unit @ E.rotation(64, 0)
+    estimate = turned @ E.signs(packed, 64).T / 8 / factor
     off = (estimate - unit @ unit.T)[~np.eye(400, dtype=bool)]
-    bound = E.DEVIATIONS * np.sqrt((1 - factor**2) / factor**2 / 63)
+    bound = E.slack(factor, 64)
     assert abs(off.mean()) < 1e-3 and 0.02 < off.std() < 0.2 and np.abs(off).max() < bound.max()
     assert np.allclose(np.diag(estimate), 1)
-    may = E.possible(unit, packed, factor, unit)
+    may = E.possible(turned, coded(packed, factor))
     assert may.diagonal().all() and may.mean() < 0.01
 
 
@@ -121,4 +127,4 @@ def test_recall_at_the_threshold():
     bits, many = E.bands(50_000)
     assert (E.band_keys(a, bits, many) == E.band_keys(b, bits, many)).any(axis=1).mean() >= 0.999
     packed, factor = E.code(a)
-    assert np.diagonal(E.possible(a[:500], packed[:500], factor[:500], b[:500])).all()
+    assert np.diagonal(E.possible(b[:500] @ E.rotation(64, 0), coded(packed[:500], factor[:500]))).all()
