@@ -10,8 +10,8 @@ from curvestat.functions.arrays import integral, let
 GRID = (1, 2, 5, 10, 15, 20, 30, 40, 50)
 TARGETS = (0.8, 0.9)
 INFINITY = float("inf")
-#: Whole numbers up to this one are exact doubles.
-MOST_TRIALS = 1 << 52
+#: Largest number of trials that the pointwise threshold looks at; up to 1 << 52 whole numbers are exact doubles.
+MOST_TRIALS = 1_000_000
 
 
 def safe_ratio(a: Column, b: Column) -> Column:
@@ -43,25 +43,25 @@ def required_trials(b: Column, w: Column, target: float) -> Column:
     return F.when(b > 0, F.greatest(F.lit(1.0), F.ceil(x).cast("double"))).otherwise(F.lit(INFINITY))
 
 
-def required_pointwise(bs: Column, ws: Column, target: float) -> Column:
-    """Smallest n whose mean pointwise reliability reaches the target; infinity if no number that a double can hold does."""
+def required_pointwise(bs: Column, ws: Column, target: float, most: int = MOST_TRIALS) -> Column:
+    """Smallest n up to ``most`` whose mean pointwise reliability reaches the target; infinity if none does."""
     attainable = integral(F.transform(bs, lambda b: F.when(b > 0, 1.0).otherwise(0.0)))
     reaches = lambda n: mean_pointwise(bs, ws, n.cast("double")) >= target
-    first = F.struct(F.lit(1).cast("bigint").alias("lo"), F.lit(MOST_TRIALS).cast("bigint").alias("hi"))
+    first = F.struct(F.lit(1).cast("bigint").alias("lo"), F.lit(most).cast("bigint").alias("hi"))
 
     def halve(acc: Column, _: Column) -> Column:
         mid = F.shiftright(acc["lo"] + acc["hi"], 1)
         return let(mid, lambda m: F.when(acc["lo"] >= acc["hi"], acc).when(reaches(m), F.struct(acc["lo"].alias("lo"), m.alias("hi"))).otherwise(F.struct((m + 1).alias("lo"), acc["hi"].alias("hi"))))
 
-    found = F.aggregate(F.sequence(F.lit(1), F.lit(53)), first, halve)["lo"]
-    reachable = (attainable + 1e-14 >= target) & (mean_pointwise(bs, ws, F.lit(float(MOST_TRIALS))) >= target)
+    found = F.aggregate(F.sequence(F.lit(1), F.lit(most.bit_length() + 1)), first, halve)["lo"]
+    reachable = (attainable + 1e-14 >= target) & (mean_pointwise(bs, ws, F.lit(float(most))) >= target)
     return F.when(reachable, found.cast("double")).otherwise(F.lit(INFINITY))
 
 
 def ar1_design_effect(n: Column, phi: Column) -> Column:
-    """1 + 2 sum over k < n of (1 - k / n) phi^k, in closed form; phi below 1."""
+    """1 + 2 sum over k < n of (1 - k / n) phi^k, in closed form; n where phi is 1."""
     tail = phi / (1 - phi) - phi * (1 - F.pow(phi, n)) / (n * (1 - phi) * (1 - phi))
-    return F.when(n <= 1, F.lit(1.0)).otherwise(1 + 2 * tail)
+    return F.when(n <= 1, F.lit(1.0)).when(phi == 1, n).otherwise(1 + 2 * tail)
 
 
 def ar1_reliability(b: Column, w: Column, n: Column, phi: Column) -> Column:

@@ -2,19 +2,25 @@
 
 from __future__ import annotations
 
-import math
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from curvestat.operators.lineage import cut, few
+
 LOW, HIGH, STEPS = -20.0, 20.0, 81
 OPEN_LOW, OPEN_HIGH = -32.0, 32.0
 UPPER_WARNING = 31.5
 TINY = float(np.finfo(float).tiny)
-GOLDEN = (math.sqrt(5) - 1) / 2
+#: Points of a pass after the first, and the width of theta's bracket that ends the search.
+POINTS, TOLERANCE = 257, 5e-7
+#: Groups that are evaluated at once.
+ROWS = 2048
 
 
 def sufficient(nodes: DataFrame, keys: list[str], group: str = "athlete", value: str = "y") -> DataFrame:
@@ -52,53 +58,91 @@ def profile(lam: np.ndarray, n: np.ndarray, s: np.ndarray, z: np.ndarray) -> tup
     return df * np.log(q / df) + np.log1p(n * lam).sum(1) + np.log(a), q
 
 
-def fit(n: np.ndarray, s: np.ndarray, z: np.ndarray) -> tuple[float, float, float, bool, bool, bool]:
-    """sigma2_b, sigma2_w, lambda, boundary, converged, upper warning."""
-    theta = np.linspace(LOW, HIGH, STEPS)
-    values = profile(np.exp(theta), n, s, z)[0]
-    k = int(values.argmin())
-    lo = theta[k - 1] if k > 0 else OPEN_LOW
-    hi = theta[k + 1] if k < STEPS - 1 else OPEN_HIGH
-    f = lambda t: float(profile(np.exp([t]), n, s, z)[0][0])
-    left, right = hi - GOLDEN * (hi - lo), lo + GOLDEN * (hi - lo)
-    f_left, f_right = f(left), f(right)
-    for _ in range(200):
-        if hi - lo < 1e-12 * (1 + abs(lo)):
-            break
-        if f_left <= f_right:
-            hi, right, f_right = right, left, f_left
-            left = hi - GOLDEN * (hi - lo)
-            f_left = f(left)
-        else:
-            lo, left, f_left = left, right, f_right
-            right = lo + GOLDEN * (hi - lo)
-            f_right = f(right)
-    best = (lo + hi) / 2
-    at, zero = f(best), float(profile(np.array([0.0]), n, s, z)[0][0])
-    ok = math.isfinite(at)
-    boundary = not ok or zero <= at + 1e-11 * (1 + abs(at))
-    lam = 0.0 if boundary else math.exp(best)
-    within = float(profile(np.array([lam]), n, s, z)[1][0]) / (n.sum() - 1)
-    return lam * within, within, lam, boundary, ok, best > UPPER_WARNING
+def _partial_sums(stats: DataFrame, keys: list[str], points: int) -> DataFrame:
+    """keys, i and the sums a, b, q, logs, trials of each batch of groups at its node's ith lambda; the last one is lambda = 0.
+
+    stats has the node's bracket (lo, hi of theta); lambda = exp(theta) on ``points`` points from lo to hi.
+    """
+    kinds = ", ".join(f"{k} {stats.schema[k].dataType.simpleString()}" for k in keys)
+    steps = np.arange(points) / max(points - 1, 1)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            table = pa.Table.from_batches([batch])
+            node = table.select(keys).to_pandas().groupby(keys, dropna=False, sort=False).ngroup().to_numpy()
+            order = np.argsort(node, kind="stable")
+            node = node[order]
+            n, s, z, lo, hi = (batch.column(c).to_numpy(zero_copy_only=False).astype(float)[order] for c in ("n", "s", "z", "lo", "hi"))
+            first = np.flatnonzero(np.r_[True, node[1:] != node[:-1]])
+            sums = np.zeros((4, len(first), points + 1))
+            for at in range(0, len(n), ROWS):
+                own = slice(at, at + ROWS)
+                lam = np.exp(lo[own, None] + (hi - lo)[own, None] * steps)
+                lam = np.concatenate([lam, np.zeros((len(lam), 1))], axis=1)
+                m, t = n[own, None], s[own, None]
+                den = 1 + m * lam
+                new = np.flatnonzero(np.r_[True, node[own][1:] != node[own][:-1]])
+                for k, x in enumerate((m / den, t / den, z[own, None] - lam * t * t / den, np.log1p(m * lam))):
+                    sums[k, node[own][new]] += np.add.reduceat(x, new, axis=0)
+            # one row for each node of the batch, with its sums as arrays
+            keyed = batch.select(keys).take(pa.array(order[first]))
+            lists = [pa.ListArray.from_arrays(pa.array(np.arange(len(first) + 1, dtype=np.int32) * (points + 1)), pa.array(x.ravel())) for x in sums]
+            yield pa.RecordBatch.from_arrays([*keyed.columns, *lists, pa.array(np.add.reduceat(n, first))], names=[*keys, "a", "b", "q", "logs", "trials"])
+
+    lists = ", ".join(f"{c} array<double>" for c in ("a", "b", "q", "logs"))
+    partial = stats.select(*keys, "n", "s", "z", "lo", "hi").mapInArrow(run, f"{kinds}, {lists}, trials double")
+    each = partial.select(*keys, "trials", F.posexplode(F.arrays_zip("a", "b", "q", "logs")).alias("i", "x"))
+    return each.groupBy(*keys, "i").agg(*[F.sum(f"x.{c}").alias(c) for c in ("a", "b", "q", "logs")], F.sum("trials").alias("trials"))
+
+
+def _searched(stats: DataFrame, keys: list[str], brackets: DataFrame, points: int) -> DataFrame:
+    """Best point of each node's bracket and the points beside it: keys, lo, hi, theta, f, q, df, and f0, q0 at lambda = 0."""
+    known = few(brackets.select(*[F.col(k).alias(f"{k}_") for k in keys], "lo", "hi"))
+    same = reduce(and_, [stats[k].eqNullSafe(known[f"{k}_"]) for k in keys])
+    sums = _partial_sums(stats.join(known, same), keys, points)
+    df = F.col("trials") - 1
+    q = F.greatest(F.col("q") - F.col("b") * F.col("b") / F.col("a"), F.lit(TINY))
+    value = df * F.log(q / df) + F.col("logs") + F.log("a")
+    at = sums.select(*keys, "i", df.alias("df"), q.alias("q"), value.alias("f"))
+    point = F.struct("f", "i", "q")
+    best = at.groupBy(*keys).agg(F.min(F.when(F.col("i") < points, point)).alias("best"), F.max(F.when(F.col("i") == points, point)).alias("zero"), F.max("df").alias("df"))
+    span = brackets.select(*[F.col(k).alias(f"{k}_") for k in keys], "lo", "hi")
+    both = best.join(span, reduce(and_, [best[k].eqNullSafe(span[f"{k}_"]) for k in keys])).withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1))
+    theta = F.col("lo") + F.col("step") * F.col("best.i")
+    return both.select(
+        *keys, (theta - F.col("step")).alias("low"), (theta + F.col("step")).alias("high"), F.col("best.i").alias("i"), theta.alias("theta"),
+        F.col("best.f").alias("f"), F.col("best.q").alias("q"), "df", F.col("zero.f").alias("f0"), F.col("zero.q").alias("q0"), "lo", "hi",
+    )
 
 
 def unbalanced(stats: DataFrame, keys: list[str]) -> DataFrame:
     """Fit of each combination of keys: sigma2_b, sigma2_w, lambda, interior, converged, upper_warning.
 
-    The groups of one node come as arrays in one row, so no task holds more
-    than its nodes; the search is vectorised over the grid of lambda.
+    A pass evaluates the profile at many lambdas for all nodes at once: batches of groups are
+    summed where they lie, so a node's groups are never brought together and a node may have any number of
+    them. The first pass takes STEPS points of theta = ln lambda; each further one takes POINTS points
+    between the neighbours of the best, which makes the bracket 128 times narrower. Nodes whose bracket is
+    within TOLERANCE, or whose objective isn't finite, are finished and leave the passes. The groups' statistics
+    are kept in the checkpoint folder, so trials are read once.
     """
-    gathered = stats.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("n", "s", "z"))).alias("g"))
-    source = gathered.select(*keys, F.col("g.n").cast("array<double>").alias("n"), F.col("g.s").alias("s"), F.col("g.z").alias("z"))
-    kinds = ", ".join(f"{k} {source.schema[k].dataType.simpleString()}" for k in keys)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            fits = [fit(*map(np.asarray, x)) for x in zip(batch["n"], batch["s"], batch["z"], strict=True)]
-            out = batch[keys].copy()
-            for i, name in enumerate(("sigma2_b", "sigma2_w", "lam", "boundary", "converged", "upper_warning")):
-                out[name] = [x[i] for x in fits]
-            out["interior"] = ~out.pop("boundary").astype(bool)
-            yield out[[*keys, "sigma2_b", "sigma2_w", "lam", "interior", "converged", "upper_warning"]]
-
-    return source.mapInPandas(run, f"{kinds}, sigma2_b double, sigma2_w double, lam double, interior boolean, converged boolean, upper_warning boolean")
+    stats = cut(stats.select(*keys, "n", "s", "z"))
+    first = stats.select(*keys).distinct().select(*keys, F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
+    state, done = cut(_searched(stats, keys, cut(first), STEPS)), None
+    state = state.withColumn("low", F.when(F.col("i") == 0, OPEN_LOW).otherwise(F.col("low"))).withColumn("high", F.when(F.col("i") == STEPS - 1, OPEN_HIGH).otherwise(F.col("high")))
+    while True:
+        is_open = (F.col("high") - F.col("low") > TOLERANCE) & (F.abs("f") < float("inf")) & ~F.isnan("f")
+        finished, left = state.filter(~F.coalesce(is_open, F.lit(False))), state.filter(is_open)
+        done = finished if done is None else done.unionByName(finished)
+        if left.isEmpty():
+            break
+        # a bracket's ends stay its own
+        state = cut(_searched(stats, keys, left.select(*keys, F.col("low").alias("lo"), F.col("high").alias("hi")), POINTS))
+        state = state.withColumn("low", F.greatest("low", "lo")).withColumn("high", F.least("high", "hi"))
+    converged = (F.abs("f") < float("inf")) & ~F.isnan("f")
+    fits = done.withColumn("converged", F.coalesce(converged, F.lit(False)))
+    interior = F.col("converged") & (F.col("f0") > F.col("f") + 1e-11 * (1 + F.abs("f")))
+    within = F.when(F.col("interior"), F.col("q")).otherwise(F.col("q0")) / F.col("df")
+    fits = fits.withColumn("interior", interior).withColumn("sigma2_w", within).withColumn("lam", F.when(F.col("interior"), F.exp("theta")).otherwise(0.0))
+    return fits.select(*keys, (F.col("lam") * F.col("sigma2_w")).alias("sigma2_b"), "sigma2_w", "lam", "interior", "converged", (F.col("theta") > UPPER_WARNING).alias("upper_warning"))

@@ -30,6 +30,29 @@ def hash_matrix(before: list[str], items: list) -> np.ndarray:
     return np.frombuffer(raw, dtype=">u4").reshape(len(before), len(ends))
 
 
+#: Modulus and multiplier of ``mixed``: products of numbers below the modulus fit a signed long.
+MODULUS, FACTOR, ROUNDS = 2147483647, 48271, 4
+
+
+def mixed(*parts: Column) -> Column:
+    """A number below 2^31 - 1 from whole numbers, in integer arithmetic that any SQL engine and NumPy can repeat."""
+    m = F.lit(MODULUS)
+    once = lambda x, _: F.pmod(x.bitwiseXOR(F.shiftright(x, 15)) * FACTOR + 1, m)
+    # folds, as x stands twice in each round
+    rounds = lambda h, part: F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), F.pmod(h + F.pmod(part, m) + 1, m), once)
+    return F.aggregate(F.array(*[p.cast("bigint") for p in parts]), F.lit(0).cast("bigint"), rounds)
+
+
+def mixed_matrix(*parts: np.ndarray | int) -> np.ndarray:
+    """``mixed`` of arrays of whole numbers that are broadcast against each other."""
+    x = np.int64(0)
+    for part in parts:
+        x = (x + np.asarray(part, dtype=np.int64) % MODULUS + 1) % MODULUS
+        for _ in range(ROUNDS):
+            x = ((x ^ (x >> 15)) * FACTOR + 1) % MODULUS
+    return x
+
+
 def draws(spark: SparkSession, reps: int, groups: DataFrame, seed: int, name: str = "athlete") -> DataFrame:
     """rep, group and cnt of whole-group draws with replacement; shared by all keys of a design.
 

@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from curvestat.functions.reliability import safe_ratio
+from curvestat.operators.lineage import cut, few
+from curvestat.operators.quantiles import quantiles
 
 
 def trial_rank(df: DataFrame, cell: list[str], order: list, name: str = "trial") -> DataFrame:
@@ -24,16 +26,15 @@ def top_per_group(df: DataFrame, keys: list[str], order: list, k: int) -> DataFr
 def robust_z(df: DataFrame, keys: list[str], value: str) -> DataFrame:
     """Adds group median, unscaled MAD and (x - median) / (1.4826 MAD), null where MAD is 0.
 
-    Medians are aggregates of distinct values with their counts, joined back as small tables;
-    no window gathers a group's rows.
+    Medians are exact and found without bringing a group's values together; they are joined back as small tables.
     """
     at = [F.col(k).alias(f"m_{k}") for k in keys]
     same = reduce(and_, [F.col(k).eqNullSafe(F.col(f"m_{k}")) for k in keys])
     named = [f"m_{k}" for k in keys]
-    medians = df.groupBy(*at).agg(F.median(value).alias("median"))
-    df = df.join(medians, same).drop(*named).withColumn("deviation", F.abs(F.col(value) - F.col("median")))
-    spreads = df.groupBy(*at).agg(F.median("deviation").alias("mad"))
-    df = df.join(spreads, same).drop(*named)
+    medians = quantiles(df, keys, value, [0.5]).select(*at, F.get("q", F.lit(0)).alias("median"))
+    df = df.join(few(cut(medians)), same).drop(*named).withColumn("deviation", F.abs(F.col(value) - F.col("median")))
+    spreads = quantiles(df, keys, "deviation", [0.5]).select(*at, F.get("q", F.lit(0)).alias("mad"))
+    df = df.join(few(cut(spreads)), same).drop(*named)
     return df.withColumn("robust_z", F.when(F.col("mad") > 0, (F.col(value) - F.col("median")) / (1.4826 * F.col("mad")))).drop("deviation")
 
 

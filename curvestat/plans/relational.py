@@ -6,8 +6,11 @@ from pyspark.sql import functions as F
 
 from curvestat.catalog import CORE
 from curvestat.operators import checks, influence, reshape, windows
+from curvestat.operators.curve_audit import is_zero
+from curvestat.operators.quantiles import quantiles
 from curvestat.plans import designs as D
 from curvestat.plans.designs import r
+from curvestat.schema import JOINTS
 
 query = CORE.query
 
@@ -210,7 +213,7 @@ _QS = (0.5, 0.9, 0.95, 0.99, 0.999, 1.0)
 
 @query("linear_quantiles", "SELECT event_type, " + ", ".join(r(f"quantile_cont(value, {q})", f"p{str(q).replace('.', '_')}") for q in _QS) + " FROM events GROUP BY event_type")
 def linear_quantiles(spark, sf_dir):
-    q = D.table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile("value", F.array(*[F.lit(x) for x in _QS])).alias("q"))
+    q = quantiles(D.table(spark, sf_dir, "events").select("event_type", "value"), ["event_type"], "value", list(_QS))
     return D.rounded(q.select("event_type", *[F.get("q", F.lit(i)).alias(f"p{str(x).replace('.', '_')}") for i, x in enumerate(_QS)]))
 
 
@@ -284,12 +287,12 @@ def digests(spark, sf_dir):
     return D.table(spark, sf_dir, "documents").select("doc_id", F.md5("text").alias("md5"), F.sha2("text", 256).alias("sha256"), F.octet_length("text").cast("bigint").alias("bytes"))
 
 
-@query("joint_mapping", "SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(__import__('curvestat.schema', fromlist=['JOINTS']).JOINTS, 1)) + ") AS t(joint_index, label)")
+@query("joint_mapping", f"WITH {D.JOINTS_SQL}, n AS (SELECT * FROM (VALUES " + ", ".join(f"({i}, '{n}')" for i, n in enumerate(JOINTS, 1)) + ") AS t(joint, label)) SELECT joint AS joint_index, label, count(*) AS rows, count(*) FILTER (zero) AS missing FROM zj JOIN n USING (joint) GROUP BY ALL")
 def joint_mapping(spark, sf_dir):
-    from curvestat.schema import JOINTS
-
-    rows = [F.struct(F.lit(i).alias("joint_index"), F.lit(n).alias("label")) for i, n in enumerate(JOINTS, 1)]
-    return spark.range(1).select(F.explode(F.array(*rows)).alias("j")).select("j.*")
+    """Rows and missing triplets of each joint, under its label."""
+    names = F.element_at(F.array(*[F.lit(n) for n in JOINTS]), F.col("joint"))
+    j = D.joints(spark, sf_dir)
+    return j.groupBy(F.col("joint").alias("joint_index"), names.alias("label")).agg(F.count("*").alias("rows"), F.count_if(is_zero()).alias("missing"))
 
 
 @query("scalar_two_way_events", f"""WITH x AS (SELECT user_id AS athlete, event_type AS action, value AS y, row_number() OVER (PARTITION BY user_id, event_type ORDER BY ts, event_id) AS trial FROM events),

@@ -5,10 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curvestat.catalog import CORE
+from curvestat.functions.arrays import node_weight
 from curvestat.functions import reliability as R
 from curvestat.functions.distributions import quantile_error
 from curvestat.operators import components as C
 from curvestat.operators import dependence, influence, resampling
+from curvestat.operators import replicates as replicates_of
 from curvestat.plans import designs as D
 from curvestat.plans.designs import r
 
@@ -238,10 +240,21 @@ def lag_correlation(spark, sf_dir):
     return D.rounded(dependence.lag_correlation(resid, [], D.NODES, 10), 8)
 
 
+def mixed_sql(source: str, *parts: str) -> str:
+    """A subquery: source with ``resampling.mixed`` of the parts as h."""
+    m, f, rounds = resampling.MODULUS, resampling.FACTOR, resampling.ROUNDS
+    steps = [s for part in parts for s in (f"(h + (({part})::BIGINT % {m} + {m}) % {m} + 1) % {m}", *[f"(xor(h, h >> 15) * {f} + 1) % {m}"] * rounds)]
+    out = f"(SELECT *, 0::BIGINT AS h FROM {source})"
+    for step in steps:
+        out = f"(SELECT * REPLACE ({step} AS h) FROM {out})"
+    return out
+
+
 def _permutations(n: int) -> str:
     return f"""{_RESID}, g AS (SELECT a.athlete, a.trial AS i, b.trial AS j, sum(({_W}) * a.r * b.r) AS g FROM res a JOIN res b ON a.athlete = b.athlete AND a.node = b.node GROUP BY ALL),
 t AS (SELECT DISTINCT athlete, trial FROM res),
-o AS (SELECT 0 AS rep, athlete, trial, trial AS place FROM t UNION ALL SELECT rep, athlete, trial, row_number() OVER (PARTITION BY rep, athlete ORDER BY {_hash('7', 'rep', 'athlete', 'trial')}, trial) FROM t, (SELECT unnest(range(1, {n + 1}))::INT AS rep)),
+tr AS (SELECT rep, athlete, trial FROM t, (SELECT unnest(range(1, {n + 1}))::INT AS rep)),
+o AS (SELECT 0 AS rep, athlete, trial, trial AS place FROM t UNION ALL SELECT rep, athlete, trial, row_number() OVER (PARTITION BY rep, athlete ORDER BY h, trial) FROM {mixed_sql('tr', '7', 'rep', 'athlete', 'trial')}),
 p AS (SELECT a.rep, sum(x.g) / sqrt(sum(gi.g) * sum(gj.g)) AS rho FROM o a JOIN o b ON a.rep = b.rep AND a.athlete = b.athlete AND b.place = a.place + 1 JOIN g x ON x.athlete = a.athlete AND x.i = a.trial AND x.j = b.trial
  JOIN g gi ON gi.athlete = a.athlete AND gi.i = a.trial AND gi.j = a.trial JOIN g gj ON gj.athlete = a.athlete AND gj.i = b.trial AND gj.j = b.trial GROUP BY a.rep),
 ob AS (SELECT rho FROM p WHERE rep = 0)
@@ -272,22 +285,25 @@ def gram_matrix(spark, sf_dir):
     return D.rounded(dependence.gram(resid, [], D.NODES), 8)
 
 
-#: Integrated components of a published model, and AR(1) scenarios.
-_MODEL = "VALUES (1.0::DOUBLE, 2.924729555555556::DOUBLE), (2.0, 8.0)"
-
+_AR1 = f"""{_ACTION}, {D.comp_sql('cells', 'action, node')}, m AS (SELECT action, sum(sigma2_b * ({D.WEIGHT})) AS b, sum(sigma2_w * ({D.WEIGHT})) AS w FROM comp GROUP BY action),
+res AS (SELECT action, athlete, trial, node, y - avg(y) OVER (PARTITION BY action, athlete, node) AS r FROM nodes),
+lg AS (SELECT a.action, sum(({_W}) * a.r * b.r) AS c, sum(({_W}) * a.r * a.r) AS x, sum(({_W}) * b.r * b.r) AS y FROM res a JOIN res b ON a.action = b.action AND a.athlete = b.athlete AND a.node = b.node AND b.trial = a.trial + 1 GROUP BY a.action),
+sc AS (SELECT action, 'fixed' AS scenario, unnest([0.0, 0.1, 0.2, 0.3])::DOUBLE AS phi FROM m UNION ALL SELECT action, 'archive_order_lag1', CASE WHEN x > 0 AND y > 0 THEN c / sqrt(x * y) END FROM lg),
+k AS (SELECT unnest(range(1, 5001))::DOUBLE AS n),
+e AS (SELECT action, scenario, phi, b, w, n, CASE WHEN n <= 1 THEN 1 ELSE 1 + 2 * (phi / (1 - phi) - phi * (1 - phi ^ n) / (n * (1 - phi) * (1 - phi))) END AS d FROM m JOIN sc USING (action), k),
+g AS (SELECT *, CASE WHEN b + w * d / n > 0 THEN b / (b + w * d / n) ELSE 0 END AS rel FROM e),
+f AS (SELECT action, scenario, phi, b, w, coalesce(min(n) FILTER (rel >= 0.9), 'Infinity'::DOUBLE) AS required_n, max(rel) FILTER (n = 50) AS r50 FROM g GROUP BY ALL)
+SELECT action, scenario, {r('phi', 'phi', 8)}, {r('b', 'B', 8)}, {r('w', 'W', 8)}, {r('CASE WHEN b > 0 THEN w / b END', 'W_over_B', 4)}, {r("CASE WHEN b > 0 THEN 0.9 * w / ((1 - 0.9) * b) ELSE 'Infinity'::DOUBLE END", 'independence_continuous', 3)}, required_n,
+ {r('CASE WHEN isfinite(required_n) THEN g.d END', 'design_effect', 7)}, {r('r50', 'reliability_at_50', 8)} FROM f LEFT JOIN (SELECT action, scenario, phi, n, d FROM g) g USING (action, scenario, phi) WHERE n = required_n OR (required_n = 'Infinity'::DOUBLE AND n = 1)"""
 
-def _models(spark):
-    return spark.range(1).select(F.explode(F.array(F.struct(F.lit(1.0).alias("B"), F.lit(2.924729555555556).alias("W")), F.struct(F.lit(2.0).alias("B"), F.lit(8.0).alias("W")))).alias("m")).select("m.*")
 
-
-@query(
-    "ar1_thresholds",
-    f"""WITH m(B, W) AS ({_MODEL}), p AS (SELECT unnest([0.0, 0.1, 0.2, 0.3])::DOUBLE AS phi), n AS (SELECT unnest(range(1, 5001))::DOUBLE AS n),
-e AS (SELECT B, W, phi, n, CASE WHEN n <= 1 THEN 1 ELSE 1 + 2 * (phi / (1 - phi) - phi * (1 - phi ^ n) / (n * (1 - phi) * (1 - phi))) END AS d FROM m, p, n)
-SELECT B, W, phi, coalesce(min(n) FILTER (B / (B + W * d / n) >= 0.9), 'Infinity'::DOUBLE) AS required_n FROM e GROUP BY ALL""",
-)
+@query("ar1_thresholds", _AR1)
 def ar1_thresholds(spark, sf_dir):
-    return dependence.ar1_thresholds(_models(spark), [], dependence.PHIS)
+    """Thresholds of each action's fitted model at fixed correlations and at its residuals' own lag-1 correlation."""
+    nodes = D.action_nodes(spark, sf_dir)
+    models = C.integrate(C.one_way(nodes, ["action", "node"]), ["action"], D.NODES)
+    lag1 = dependence.lag_correlation(dependence.residuals(nodes, ["action"]), ["action"], D.NODES, 1)
+    return D.rounded(dependence.ar1_scenarios(models, lag1, ["action"]), 8, W_over_B=4, independence_continuous=3, design_effect=7)
 
 
 @query(
@@ -367,9 +383,72 @@ def blas_bootstrap(spark, sf_dir):
     return D.rounded(C.integrate(resampling.blas_bootstrap(cells(spark, sf_dir), counts, ["node"]), ["rep"], D.NODES).select("rep", "B", "W", "boundary_nodes"), 8)
 
 
-# the names of the queries above at the reference's counts, from when they ran fewer
-for _name in ("bootstrap_percentiles", "bootstrap_diagnostics", "paired_contrasts", "balanced_subsample"):
-    query(f"{_name}_full", CORE.oracles[_name])(CORE.builders[_name])
+def _metrics() -> str:
+    """Metrics of every replicate; pointwise thresholds by halving the range of whole trials twenty times."""
+    weight = f"list_transform(range(0, 64), lambda node: {D.WEIGHT})"
+    point = lambda n: f"list_sum(list_transform(range(1, 65), lambda i: ws[i] * CASE WHEN sb[i] + sw[i] / {n} > 0 THEN sb[i] / (sb[i] + sw[i] / {n}) ELSE 0 END))"
+    trace = lambda t: f"CASE WHEN b > 0 THEN greatest(1.0, ceil({t} * w / ((1 - {t}) * b) * 0.9999999999999999)) ELSE 'Infinity'::DOUBLE END"
+    steps = [f"h0 AS (SELECT rep, target, ws, sb, sw, 1::BIGINT AS lo, 1000000::BIGINT AS hi, {point('1000000.0')} >= target AND list_sum(list_transform(range(1, 65), lambda i: CASE WHEN sb[i] > 0 THEN ws[i] ELSE 0 END)) + 1e-14 >= target AS reached FROM ar, (SELECT unnest([0.8, 0.9])::DOUBLE AS target))"]
+    for i in range(1, 21):
+        steps.append(f"m{i} AS (SELECT *, {point('((lo + hi) // 2)')} >= target AS enough FROM h{i - 1})")
+        steps.append(f"h{i} AS (SELECT rep, target, ws, sb, sw, CASE WHEN lo >= hi OR enough THEN lo ELSE (lo + hi) // 2 + 1 END AS lo, CASE WHEN lo < hi AND enough THEN (lo + hi) // 2 ELSE hi END AS hi, reached FROM m{i})")
+    columns = [r(f"CASE WHEN b + w / {n} > 0 THEN b / (b + w / {n}) ELSE 0 END", f"R_L2_m{n}", 7) + ", " + r(point(f"{n}.0"), f"mean_pointwise_reliability_m{n}", 7) for n in R.GRID]
+    for t in R.TARGETS:
+        columns.append(f"{trace(t)} AS required_n_R_L2_{round(100 * t)}, max(CASE WHEN reached THEN lo::DOUBLE ELSE 'Infinity'::DOUBLE END) FILTER (target = {t}) OVER (PARTITION BY rep) AS required_n_mean_pointwise_R_{round(100 * t)}")
+    return f"""{BOOT}, ar AS (SELECT rep, {weight} AS ws, list(sigma2_b ORDER BY node) AS sb, list(sigma2_w ORDER BY node) AS sw FROM bc GROUP BY rep), {', '.join(steps)}
+SELECT DISTINCT rep, {r('b', 'B', 8)}, {r('w', 'W', 8)}, boundary_nodes, {r('boundary_nodes / 64', 'boundary_fraction', 8)}, {', '.join(columns)} FROM h20 JOIN n90 USING (rep)"""
+
+
+@query("replicate_metrics", _metrics())
+def replicate_metrics(spark, sf_dir):
+    """Components, both reliabilities over the grid and both thresholds at the targets of each of 5,000 replicates."""
+    counts = lambda k: resampling.drawn_counts(SEED, REPS, k)
+    boot = resampling.blas_bootstrap(cells(spark, sf_dir), counts, ["node"])
+    return D.rounded(replicates_of.metric_table(boot, ["rep"], D.NODES), 7, B=8, W=8, boundary_fraction=8)
+
+
+#: Streams of the families of the two-way bootstrap lie this far apart, so that their draws aren't paired.
+STREAM = 1009
+_FAMILIES = ("racket", "body")
+_HALF = D.WEIGHT.replace("63", "31")
+
+
+def _shares() -> str:
+    families = ", ".join(f"('{f}', {SEED + STREAM * i})" for i, f in enumerate(_FAMILIES))
+    parts = ", ".join(f"sum({k} * ({_HALF})) AS {k}" for k in C.PARTS)
+    whole = "(action + athlete + action_athlete + residual)"
+    metrics = {f"omega_{k}": f"CASE WHEN {whole} > 0 THEN {k} / {whole} ELSE 0 END" for k in C.PARTS} | {
+        "all_cells_n10": "CASE WHEN action + athlete + action_athlete + residual / 10 > 0 THEN (action + athlete + action_athlete) / (action + athlete + action_athlete + residual / 10) ELSE 0 END",
+        "pooled_fixed_actions_n10": "CASE WHEN athlete + action_athlete + residual / 10 > 0 THEN (athlete + action_athlete) / (athlete + action_athlete + residual / 10) ELSE 0 END",
+        "athlete_across_actions_n50": "CASE WHEN athlete > 0 THEN athlete / (athlete + action_athlete / 6 + residual / (6 * 50)) ELSE 0 END",
+    }
+    return f"""{_ACTION}, fam(family, seed) AS (VALUES {families}), fc AS (SELECT CASE WHEN node < 32 THEN 'racket' ELSE 'body' END AS family, node % 32 AS node, athlete, action, n, mean, ss FROM cells),
+grp AS (SELECT athlete, row_number() OVER (ORDER BY athlete) - 1 AS pos FROM (SELECT DISTINCT athlete FROM cells)), k AS (SELECT count(*) AS k FROM grp),
+picks AS (SELECT family, rep, {_hash('seed', 'rep', 'd')} % k AS pos FROM fam, (SELECT unnest(range(1, {REPS + 1}))::INT AS rep), k, (SELECT unnest(range(0, (SELECT k FROM k))) AS d)),
+draws AS (SELECT family, rep, athlete, count(*) AS cnt FROM picks JOIN grp USING (pos) GROUP BY ALL),
+j AS (SELECT fc.*, rep, cnt FROM fc JOIN draws USING (family, athlete)),
+pa AS (SELECT family, rep, node, athlete, max(cnt) AS cnt, count(*) AS a, min(n) AS r, avg(mean) AS mean, var_pop(mean) * count(*) AS apart, sum(ss) AS ss FROM j GROUP BY ALL),
+pc AS (SELECT family, rep, node, action, sum(cnt * mean) / sum(cnt) AS mean FROM j GROUP BY ALL),
+one AS (SELECT family, rep, node, sum(cnt) AS p, min(a) AS a, min(r) AS r, sum(cnt * mean * mean) - sum(cnt * mean) ^ 2 / sum(cnt) AS sp, sum(cnt * apart) AS rest, sum(cnt * ss) AS sse FROM pa GROUP BY ALL),
+two AS (SELECT family, rep, node, var_pop(mean) * count(*) AS sa FROM pc GROUP BY ALL),
+ms AS (SELECT *, a * r * greatest(sp, 0) / (p - 1) AS msp, p * r * sa / (a - 1) AS msa, r * (rest - p * sa) / ((p - 1) * (a - 1)) AS msi, sse / (p * a * (r - 1)) AS mse FROM one JOIN two USING (family, rep, node)),
+v AS (SELECT family, rep, node, greatest((msa - msi) / (p * r), 0) AS action, greatest((msp - msi) / (a * r), 0) AS athlete, greatest((msi - mse) / r, 0) AS action_athlete, mse AS residual FROM ms),
+i AS (SELECT family, rep, {parts} FROM v GROUP BY ALL),
+o AS (UNPIVOT (SELECT family, {', '.join(f'{v} AS {k}' for k, v in metrics.items())} FROM i) ON {', '.join(metrics)} INTO NAME metric VALUE value)
+SELECT family, metric, count(*) AS replicates, {r('quantile_cont(value, 0.025)', 'p025', 7)}, {r('quantile_cont(value, 0.5)', 'p500', 7)}, {r('quantile_cont(value, 0.975)', 'p975', 7)} FROM o GROUP BY ALL"""
+
+
+@query("twoway_bootstrap_shares", _shares())
+def twoway_bootstrap_shares(spark, sf_dir):
+    """Limits of the scalar shares and context reliabilities over 5,000 two-way replicates of either family (half of a vector), drawn apart."""
+    n = D.action_nodes(spark, sf_dir)
+    c = n.groupBy("node", "athlete", "action").agg(F.count("y").alias("r"), F.avg("y").alias("mean"), (F.var_pop("y") * F.count("y")).alias("ss"))
+    half = D.NODES // 2
+    c = c.withColumn("family", F.when(F.col("node") < half, _FAMILIES[0]).otherwise(_FAMILIES[1])).withColumn("node", F.col("node") % half)
+    counts = lambda family, k: resampling.drawn_counts(SEED + STREAM * _FAMILIES.index(family), REPS, k)
+    table = replicates_of.share_table(replicates_of.two_way_replicates(c, counts, ["family", "node"], "family"), ["family"], node_weight(F.col("node"), half))
+    return D.rounded(replicates_of.limits(table, ["family"], [x for x in table.columns if x not in ("family", "rep")]), 7)
+
 
 _LOO_ACTION = f"""{_ACTION}, ex AS (SELECT DISTINCT athlete AS excluded FROM cells), lc AS (SELECT ex.excluded, cells.* FROM cells, ex WHERE athlete <> excluded),
 {D.comp_sql('lc', 'excluded, action, node')}, t AS (SELECT excluded, action, sum(sigma2_w * ({D.WEIGHT})) AS w FROM comp GROUP BY ALL),

@@ -83,7 +83,37 @@ def test_pointwise_trials_beyond_a_million(spark):
     from curvestat.functions import reliability
 
     t = spark.createDataFrame([([1.0, 1.0], [5e7, 5e7]), ([1.0, 0.0], [1.0, 1.0])], "b array<double>, w array<double>")
-    assert [r[0] for r in t.select(reliability.required_pointwise(F.col("b"), F.col("w"), 0.9)).collect()] == [pytest.approx(4.5e8, rel=1e-6), float("inf")]
+    asked = lambda *most: [r[0] for r in t.select(reliability.required_pointwise(F.col("b"), F.col("w"), 0.9, *most)).collect()]
+    assert asked(1 << 52) == [pytest.approx(4.5e8, rel=1e-6), float("inf")]
+    assert asked() == [float("inf")] * 2
+
+
+def test_profile_fit_of_a_node_with_a_million_groups(spark):
+    """The fit of balanced groups has a closed form; groups are summed where they lie."""
+    groups, m = 1_000_000, 4
+    g = spark.range(0, groups, 1, 8).select(F.col("id").alias("athlete"), F.lit(3).alias("node"), F.lit(m).cast("bigint").alias("n"), *[F.randn(i).alias(c) for i, c in enumerate("uev")])
+    s, within = m * 1.5 * F.col("u") + 2.0 * F.col("e"), 3.0 + 0.5 * F.col("v")
+    stats = g.select("athlete", "node", "n", s.alias("s"), (s * s / m + within).alias("z")).cache()
+    means = stats.agg((F.var_samp(F.col("s") / m) * m).alias("msb"), (F.sum(F.col("z") - F.col("s") * F.col("s") / m) / (groups * (m - 1))).alias("msw")).first()
+    (fit,) = reml.unbalanced(stats, ["node"]).collect()
+    assert fit["interior"] and fit["converged"] and not fit["upper_warning"]
+    assert fit["sigma2_w"] == pytest.approx(means["msw"], rel=1e-6) and fit["sigma2_b"] == pytest.approx((means["msb"] - means["msw"]) / m, rel=1e-6)
+    plan = reml.unbalanced(stats.limit(100), ["node"])._jdf.queryExecution().toString()
+    assert "collect_list" not in plan
+
+
+def test_profile_fit_of_nodes_under_several_keys(spark):
+    rng = np.random.default_rng(8)
+    rows = [(c, k, a, float(n), float(rng.normal() * n + (5 if k == 2 else 0.1) * n * rng.normal()), 0.0) for c in (None, "x") for k in (1, 2) for a, n in enumerate(rng.integers(2, 9, 40))]
+    rows = [(c, k, a, n, s, s * s / n + float(rng.chisquare(n - 1))) for c, k, a, n, s, _ in rows]
+    stats = spark.createDataFrame(rows, "c string, node int, athlete int, n double, s double, z double")
+    fits = {(r["c"], r["node"]): r for r in reml.unbalanced(stats, ["c", "node"]).collect()}
+    assert len(fits) == 4
+    for (c, k), fit in fits.items():
+        own = np.array([r[3:] for r in rows if r[:2] == (c, k)]).T
+        theta = np.linspace(-20, 20, 40001)
+        best = theta[reml.profile(np.exp(theta), *own)[0].argmin()]
+        assert fit["lam"] == pytest.approx(np.exp(best), rel=2e-3)
 
 
 def test_draws_take_as_many_groups_as_there_are(spark):
