@@ -27,10 +27,12 @@ columns are ignored.
 Scale: the benchmark is the query set. Its size is summed first. Up to
 ``INDEX_CHARS`` it is one block, broadcast and indexed by each task, and the
 documents are scanned once by a narrow map without a shuffle. A larger one is split by hash into blocks
-of about that size; the corpus is still scanned once, against a bitmap of fixed
-size of all the items' q-grams, and only documents with a stretch of them as dense as
-the lemma asks for go on to the blocks one by one. Long texts are filtered in slices that
-overlap by a window and a band.
+of about that size; the corpus is scanned once against the set of all the items' q-grams, hashes or
+a bitmap that is as large as their counted number asks for, and only documents with a stretch of them as dense as
+the lemma asks for go on to the blocks one by one. The bitmap ends at 256 MB: beyond about 60 million
+q-grams it passes more and more texts, which costs time and no result. Long texts are filtered in slices that
+overlap by a window and a band, and places with many postings in pieces, so that items that share phrasing
+don't add up in memory.
 """
 
 from __future__ import annotations
@@ -55,6 +57,8 @@ STRONG = 8
 INDEX_CHARS = 4_000_000
 #: Regions aligned at once.
 TOGETHER = 512
+#: Postings of the places that are looked at together, beyond two windows, and windows of these postings that are listed at once.
+PIECE, EXPANDED = 200_000, 500_000
 #: Characters of one slice of a batch.
 SLICE = 1 << 20
 
@@ -62,8 +66,10 @@ _KEEP = bytes(c if c >= 0x80 or 0x30 <= c <= 0x39 or 0x61 <= c <= 0x7A else 0x20
 _BASE = 0x9E3779B97F4A7C15
 _WRAP = (1 << 64) - 1
 _MIX = np.uint64(0xD6E8FEB86659FD93)
-#: Bits of the slots of a task's index, and of the bitmap of a benchmark of several blocks.
-_BITS, _SHARED_BITS = 22, 27
+#: Bits of the slots of a task's index.
+_BITS = 22
+#: The filter of a benchmark of several blocks: q-grams that are held as hashes, bits for each of more, and most bits.
+MOST_EXACT, SPARSE, MOST_BITS = 4_000_000, 64, 31
 #: Rows up to which a table of keys is broadcast.
 MOST_BROADCAST = 500_000
 
@@ -182,24 +188,40 @@ class Index:
                 s = int(self.start(i, j))
                 yield i, body[s : s + int(self.length[i])], int(self.k[i])
 
-    def regions(self, codes: np.ndarray, p: Postings, g: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
-        """Item, start of the window, and start and end of each region that reaches the bound; g: the q-grams of codes."""
-        at = dense(np.flatnonzero(p.seen[slots(g, _BITS)]), p.need, p.reach)
-        h = g[at]
-        lo = np.searchsorted(p.hash, h, "left")
-        n = np.searchsorted(p.hash, h, "right") - lo
-        at, lo, n = at[n > 0], lo[n > 0], n[n > 0]
-        # the lemma's bound once more, now without places that only share a slot
-        held = np.isin(at, dense(at, p.need, p.reach))
-        at, lo, n = at[held], lo[held], n[held]
-        if not len(at):
-            return
+    def _counted(self, at: np.ndarray, live: "Live", h: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The places whose q-gram h is posted, with the first posting and their number."""
+        lo = np.searchsorted(live.hash, h, "left")
+        n = np.searchsorted(live.hash, h, "right") - lo
+        return at[n > 0], lo[n > 0], n[n > 0]
+
+    def regions(self, size: int, live: "Live", at: np.ndarray, lo: np.ndarray, n: np.ndarray) -> Iterator[list[tuple[int, int, int, int]]]:
+        """Item, start of the window, and start and end of each region that reaches the bound, some items at a time.
+
+        at: places of a text of this size, with their postings lo to lo + n. Windows are listed for at most
+        ``EXPANDED`` of them together, or for one item.
+        """
         posting = np.repeat(lo - np.concatenate(([0], np.cumsum(n)[:-1])), n) + np.arange(n.sum())
-        where, item, place = np.repeat(at, n), p.item[posting].astype(np.int64), p.place[posting].astype(np.int64)
+        where, item, place = np.repeat(at, n), live.item[posting].astype(np.int64), live.place[posting].astype(np.int64)
         # the windows of the item that hold this place
-        low = np.maximum(0, -(-(place + p.q - self.length[item]) // self.step))
+        low = np.maximum(0, -(-(place + live.q - self.length[item]) // self.step))
         high = np.where(place >= self.last[item], self.count[item] - 1, place // self.step)
         many = np.maximum(0, high - low + 1)
+        if many.sum() <= EXPANDED:
+            yield self._reached(size, live, where, item, place, low, many)
+            return
+        order = np.argsort(item, kind="stable")
+        where, item, place, low, many = (x[order] for x in (where, item, place, low, many))
+        first = np.flatnonzero(np.r_[True, item[1:] != item[:-1]])
+        upto, begin = np.cumsum(np.add.reduceat(many, first)), 0
+        ends = np.r_[first[1:], len(item)]
+        while begin < len(first):
+            before = upto[begin - 1] if begin else 0
+            to = max(begin + 1, int(np.searchsorted(upto, before + EXPANDED, side="right")))
+            own = slice(first[begin], ends[to - 1])
+            yield self._reached(size, live, where[own], item[own], place[own], low[own], many[own])
+            begin = to
+
+    def _reached(self, size: int, live: "Live", where: np.ndarray, item: np.ndarray, place: np.ndarray, low: np.ndarray, many: np.ndarray) -> list[tuple[int, int, int, int]]:
         nth = np.repeat(low - np.concatenate(([0], np.cumsum(many)[:-1])), many) + np.arange(many.sum())
         where, item, place = np.repeat(where, many), np.repeat(item, many), np.repeat(place, many)
         start = self.start(item, nth)
@@ -217,48 +239,98 @@ class Index:
         j = i + self.need[item] - 1
         i, j = i[j < len(item)], j[j < len(item)]
         same = (item[i] == item[j]) & (start[i] == start[j]) & (band[i] == band[j])
-        i = i[same & (where[j] - where[i] <= self.length[item[i]] + self.k[item[i]] - p.q)]
+        i = i[same & (where[j] - where[i] <= self.length[item[i]] + self.k[item[i]] - live.q)]
         # one region for each band
         fresh = np.ones(len(i), dtype=bool)
         fresh[1:] = (item[i][1:] != item[i][:-1]) | (start[i][1:] != start[i][:-1]) | (band[i][1:] != band[i][:-1])
         i = i[fresh]
         item, k = item[i], self.k[item[i]]
         begin = band[i] * (k + 1) - (1 << 40) - 1
-        yield from zip(item.tolist(), start[i].tolist(), np.maximum(begin - k, 0).tolist(), np.minimum(begin + self.length[item] + 3 * k + 3, len(codes)).tolist(), strict=True)
+        return list(zip(item.tolist(), start[i].tolist(), np.maximum(begin - k, 0).tolist(), np.minimum(begin + self.length[item] + 3 * k + 3, size).tolist(), strict=True))
 
     def hits(self, text: str) -> dict[int, tuple[int, int, int]]:
-        """Best window of each item found in a padded text: edits, start and end in the text without its padding."""
+        """Best window of each item found in a padded text: edits, start and end in the text without its padding.
+
+        An item that is found without an edit is sought no further. Where its places have many postings, a text is gone
+        through in pieces that overlap by a window, and the postings of found items are taken out in between.
+        """
         found: dict[int, tuple[int, int, int]] = {}
-        codes = _codes(text)
+        codes, exact = _codes(text), np.zeros(len(self.items), dtype=bool)
 
         def take(item: int, edits: int, start: int, end: int) -> None:
             if edits <= self.k[item] and (item not in found or edits < found[item][0]):
                 found[item] = (edits, max(0, start - 1), min(len(text) - 2, end - 1))
+                exact[item] = edits == 0
 
+        lives = [Live(p) for p in self.postings]
         for begin in range(0, max(1, len(codes) - self.lap), SLICE):
-            piece, made, left = codes[begin : begin + SLICE + self.lap], {}, {}
-            for p in self.postings:
+            piece, made = codes[begin : begin + SLICE + self.lap], {}
+            for live in lives:
+                p = live.postings
                 if p.q not in made:
                     made[p.q] = grams(piece, p.q)
-                for item, at, s, e in self.regions(piece, p, made[p.q]):
-                    if item in found and found[item][0] == 0:
-                        continue
-                    body = self.bodies[item][at : at + int(self.length[item])]
-                    exact = text.find(body, s + begin, e + begin)
-                    if exact >= 0:
-                        take(item, 0, exact, exact + len(body))
-                    else:
-                        left.setdefault((len(body), int(self.k[item])), []).append((item, body, s + begin, e + begin))
-            # regions of windows of one length are aligned together
-            for (m, k), regions in left.items():
-                regions = [x for x in regions if x[0] not in found or found[x[0]][0] > 0]
-                for at in range(0, len(regions), TOGETHER):
-                    some = regions[at : at + TOGETHER]
-                    edits, ends = align_many([x[1] for x in some], [codes[s:e] for _, _, s, e in some], k)
-                    for (item, _, s, _), n, end in zip(some, edits.tolist(), ends.tolist(), strict=True):
-                        take(item, n, s + max(0, end - m), s + end)
+                g = made[p.q]
+                at = dense(np.flatnonzero(p.seen[slots(g, _BITS)]), p.need, p.reach)
+                at, lo, n = self._counted(at, live, g[at])
+                # the lemma's bound once more, now without places that only share a slot
+                held = np.isin(at, dense(at, p.need, p.reach))
+                at, lo, n = at[held], lo[held], n[held]
+                while len(at):
+                    upto = np.cumsum(n)
+                    own = int(np.searchsorted(upto, PIECE, side="right"))
+                    if own < len(at):
+                        # at least two windows' places, of which the last window's are seen again
+                        own = max(own, int(np.searchsorted(at, at[0] + 2 * (p.reach + 1), side="right")))
+                    for regions in self.regions(len(piece), live, at[:own], lo[:own], n[:own]):
+                        self._verified(text, codes, begin, regions, found, take)
+                    if own >= len(at):
+                        break
+                    # without a place further back than that, no window's places cross the end of the piece
+                    rest = int(np.searchsorted(at, at[own - 1] - p.reach, side="left")) or own
+                    at, lo, n = at[rest:], lo[rest:], n[rest:]
+                    if live.without(exact):
+                        at, lo, n = self._counted(at, live, g[at])
         return found
 
+    def _verified(self, text: str, codes: np.ndarray, begin: int, regions: list[tuple[int, int, int, int]], found: dict, take) -> None:
+        """Hands the windows found in regions (of a piece that begins at begin) to take."""
+        left: dict = {}
+        for item, at, s, e in regions:
+            if item in found and found[item][0] == 0:
+                continue
+            body = self.bodies[item][at : at + int(self.length[item])]
+            exact = text.find(body, s + begin, e + begin)
+            if exact >= 0:
+                take(item, 0, exact, exact + len(body))
+            else:
+                left.setdefault((len(body), int(self.k[item])), {}).setdefault((body, text[s + begin : e + begin]), []).append((item, s + begin, e + begin))
+        # regions of windows of one length are aligned together, the same window and text once
+        for (m, k), pairs in left.items():
+            pairs = [(key, at) for key, at in pairs.items() if any(x[0] not in found or found[x[0]][0] > 0 for x in at)]
+            for first in range(0, len(pairs), TOGETHER):
+                some = pairs[first : first + TOGETHER]
+                edits, ends = align_many([key[0] for key, _ in some], [codes[at[0][1] : at[0][2]] for _, at in some], k)
+                for (_, at), n, end in zip(some, edits.tolist(), ends.tolist(), strict=True):
+                    for item, s, _ in at:
+                        take(item, n, s + max(0, end - m), s + end)
+
+
+class Live:
+    """The postings of the items that a text has not yet been found to hold without an edit."""
+
+    def __init__(self, postings: Postings) -> None:
+        self.postings, self.q, self.gone = postings, postings.q, 0
+        self.hash, self.item, self.place = postings.hash, postings.item, postings.place
+
+    def without(self, exact: np.ndarray) -> bool:
+        """Takes the postings of exact items out if twice as many items are exact as the last time; whether it did."""
+        n = int(exact.sum())
+        if n < max(1, 2 * self.gone):
+            return False
+        self.gone, stays = n, ~exact[self.item]
+        self.hash, self.item, self.place = self.hash[stays], self.item[stays], self.place[stays]
+        return True
+
 
 def align(body: str, region: str, k: int) -> tuple[int, int]:
     """Fewest edits of body against any part of region, and the end of that part; k + 1 edits stands for more."""
@@ -311,8 +383,12 @@ def blocks(benchmark: DataFrame, most: int = INDEX_CHARS) -> Iterator[list[tuple
         yield [(r["item_id"], r["text"]) for r in source.filter(F.col("part") == i).select("item_id", "text").collect()]
 
 
-def shared_bitmap(benchmark: DataFrame) -> list[tuple[int, int, int, np.ndarray]]:
-    """q, bound, reach and bitmap of all items' q-grams, for each q and either side of STRONG; their size doesn't grow with the benchmark."""
+def shared_filter(benchmark: DataFrame) -> list[tuple]:
+    """q, bound, reach and a set of all items' q-grams, for each q and either side of STRONG.
+
+    q-grams are counted first. Up to ``MOST_EXACT`` of them are a sorted array of their 64-bit hashes. More are a bitmap
+    with ``SPARSE`` bits for each, so that few are set by chance, but 2 to the power of MOST_BITS (256 MB) at most.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -320,36 +396,54 @@ def shared_bitmap(benchmark: DataFrame) -> list[tuple[int, int, int, np.ndarray]
             for text in batch.column(0).to_pylist():
                 if body := padded(text):
                     m, k, q, need = shape(len(body))
-                    out.setdefault((q, need >= STRONG, need, m + k - q), []).append(slots(grams(_codes(body), q), _SHARED_BITS))
+                    out.setdefault((q, need >= STRONG, need, m + k - q), []).append(grams(_codes(body), q))
             for (q, strong, need, reach), found in out.items():
-                at = np.unique(np.concatenate(found))
-                word = np.unique(at >> 6)
-                bits = np.zeros(len(word), dtype=np.uint64)
-                np.bitwise_or.at(bits, np.searchsorted(word, at >> 6), np.uint64(1) << (at & 63).astype(np.uint64))
-                fixed = [pa.array([x] * len(word)) for x in (q, strong, need, reach)]
-                yield pa.RecordBatch.from_arrays([*fixed, pa.array(word), pa.array(bits.view(np.int64))], names=["q", "strong", "need", "reach", "word", "bits"])
-
-    made = cut(benchmark.select("text").mapInArrow(run, "q bigint, strong boolean, need bigint, reach bigint, word bigint, bits bigint"))
-    words = made.groupBy("q", "strong", "word").agg(F.bit_or("bits").alias("bits"))
-    kinds = {(r["q"], r["strong"]): (r["need"], r["reach"]) for r in made.groupBy("q", "strong").agg(F.min("need").alias("need"), F.max("reach").alias("reach")).collect()}
+                h = np.unique(np.concatenate(found)).view(np.int64)
+                fixed = [pa.array([x] * len(h)) for x in (q, strong, need, reach)]
+                yield pa.RecordBatch.from_arrays([*fixed, pa.array(h)], names=["q", "strong", "need", "reach", "h"])
+
+    made = cut(benchmark.select("text").mapInArrow(run, "q bigint, strong boolean, need bigint, reach bigint, h bigint"))
+    distinct = cut(made.select("q", "strong", "h").distinct())
+    counts = {(r["q"], r["strong"]): r["count"] for r in distinct.groupBy("q", "strong").count().collect()}
     out = []
-    for (q, strong), (need, reach) in kinds.items():
-        bitmap = np.zeros(1 << (_SHARED_BITS - 6), dtype=np.uint64)
-        rows = words.filter((F.col("q") == q) & (F.col("strong") == strong)).select("word", "bits").toArrow()
-        bitmap[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
-        out.append((q, need, reach, bitmap))
+    for r in made.groupBy("q", "strong").agg(F.min("need").alias("need"), F.max("reach").alias("reach")).collect():
+        own, n = distinct.filter((F.col("q") == r["q"]) & (F.col("strong") == r["strong"])), counts[r["q"], r["strong"]]
+        if n <= MOST_EXACT:
+            held = np.sort(own.select("h").toArrow().column(0).to_numpy().view(np.uint64))
+        else:
+            held = _bitmap(own, min(MOST_BITS, (SPARSE * n - 1).bit_length()))
+        out.append((r["q"], r["need"], r["reach"], n <= MOST_EXACT, held))
     return out
 
 
-def suspicious(text: str, kinds: list[tuple[int, int, int, np.ndarray]]) -> bool:
-    """Whether a padded text has a stretch of q-grams as dense as the lemma asks for."""
+def _bitmap(grams_: DataFrame, bits: int) -> np.ndarray:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = np.unique(slots(batch.column(0).to_numpy().view(np.uint64), bits))
+            word, first = np.unique(at >> 6, return_index=True)
+            set_ = np.bitwise_or.reduceat(np.uint64(1) << (at & 63).astype(np.uint64), first) if len(at) else np.empty(0, dtype=np.uint64)
+            yield pa.RecordBatch.from_arrays([pa.array(word), pa.array(set_.view(np.int64))], names=["word", "bits"])
+
+    bitmap = np.zeros(1 << (bits - 6), dtype=np.uint64)
+    words = cut(grams_.select("h").mapInArrow(run, "word bigint, bits bigint").groupBy("word").agg(F.bit_or("bits").alias("bits")))
+    parts = max(1, len(bitmap) >> 20)
+    for i in range(parts):  # some words at a time
+        rows = words.filter(F.pmod("word", F.lit(parts)) == i).toArrow()
+        bitmap[rows.column(0).to_numpy()] = rows.column(1).to_numpy().view(np.uint64)
+    return bitmap
+
+
+def _held(h: np.ndarray, is_exact: bool, held: np.ndarray) -> np.ndarray:
+    if is_exact:
+        return held[np.minimum(np.searchsorted(held, h), len(held) - 1)] == h if len(held) else np.zeros(len(h), dtype=bool)
+    at = slots(h, (len(held) * 64 - 1).bit_length())
+    return (held[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1) > 0
+
+
+def suspicious(text: str, kinds: list[tuple]) -> bool:
+    """Whether a padded text has a stretch of the items' q-grams as dense as the lemma asks for."""
     codes = _codes(text)
-    for q, need, reach, bitmap in kinds:
-        at = slots(grams(codes, q), _SHARED_BITS)
-        set_ = (bitmap[at >> 6] >> (at & 63).astype(np.uint64)) & np.uint64(1)
-        if len(dense(np.flatnonzero(set_), need, reach)):
-            return True
-    return False
+    return any(len(dense(np.flatnonzero(_held(grams(codes, q), is_exact, held)), need, reach)) for q, need, reach, is_exact, held in kinds)
 
 
 def _filtered(docs: DataFrame, columns: list[str], keep) -> DataFrame:
@@ -366,7 +460,7 @@ def _filtered(docs: DataFrame, columns: list[str], keep) -> DataFrame:
 
 def _scanned_once(spark: SparkSession, docs: DataFrame, columns: list[str], benchmark: DataFrame) -> DataFrame:
     """The rows of docs that may hold an item of a benchmark of several blocks; kept, as each block reads them."""
-    shared = spark.sparkContext.broadcast(shared_bitmap(benchmark))
+    shared = spark.sparkContext.broadcast(shared_filter(benchmark))
     return cut(_filtered(docs, columns, lambda: lambda x: bool(x) and suspicious(x, shared.value)))
 
 

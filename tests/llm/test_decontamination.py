@@ -57,6 +57,58 @@ def test_hits_match_brute_force(seed, least, most):
     assert found >= 10 and edits_found >= 3
 
 
+@pytest.mark.parametrize(("piece", "expanded"), [(1, 1), (40, 200), (300, 10**6)])
+def test_hits_do_not_depend_on_pieces(monkeypatch, piece, expanded):
+    """Items that share phrases, against texts that repeat them, whole and with edits."""
+    draw = random.Random(9)
+    phrases = [D.normalise(prose(70 + i, n)) for i, n in enumerate((8, 14, 30))]
+    items = [(i, phrases[i % 3] + " " + prose(500 + i, draw.randint(5, 30))) for i in range(12)] + [(12, "aaaa " * 40)]
+    texts = [D.padded(" ".join(draw.choice([*phrases, edited(items[draw.randrange(12)][1], draw.randint(0, 6), draw), prose(draw.randrange(99), 12), "aaaa " * 50]) for _ in range(9))) for _ in range(12)]
+    whole = D.Index(items)
+    want = [{i: h[0] for i, h in whole.hits(t).items()} for t in texts]
+    brute = [{} for _ in texts]
+    for n, t in enumerate(texts[:3]):
+        for item, body, k in whole.windows():
+            if (e := fewest(body, t)) <= k:
+                brute[n][item] = min(e, brute[n].get(item, 99))
+    assert want[:3] == brute[:3] and sum(map(len, want)) > 20
+    monkeypatch.setattr(D, "PIECE", piece)
+    monkeypatch.setattr(D, "EXPANDED", expanded)
+    assert [{i: h[0] for i, h in whole.hits(t).items()} for t in texts] == want
+
+
+def test_shared_phrasing_in_bounded_memory():
+    """2,000 items that begin with the same 200 characters, and a page of a million that repeats them."""
+    import time
+    import tracemalloc
+
+    phrase = D.normalise(prose(31, 60))[:200]
+    index = D.Index([(i, phrase + " " + prose(10_000 + i, 20)) for i in range(2000)])
+    page = D.padded(" ".join([phrase] * 5000))
+    began = time.perf_counter()
+    tracemalloc.start()
+    found = index.hits(page)
+    most = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert len(found) == 2000 and all(h[0] == 0 for h in found.values())
+    assert most < 1e9 and time.perf_counter() - began < 40
+
+
+def test_filter_of_large_benchmarks_lets_few_clean_texts_pass(spark, monkeypatch):
+    """At the density of a bitmap that follows the number of q-grams, and for many short items, by hashes."""
+    draw = random.Random(4)
+    letters = lambda n: "".join(draw.choice("abcdefghijklmnopqrstuvwxyz    ") for _ in range(n))
+    clean = [D.padded(letters(n)) for n in (3000, 60_000) for _ in range(20)]
+    short = spark.createDataFrame([(i, letters(20)) for i in range(10_000)], "item_id bigint, text string")
+    kinds = D.shared_filter(short)
+    assert all(k[3] for k in kinds) and sum(D.suspicious(t, kinds) for t in clean) <= 2
+    items = [(i, letters(500)) for i in range(400)]
+    monkeypatch.setattr(D, "MOST_EXACT", 1000)
+    kinds = D.shared_filter(spark.createDataFrame(items, "item_id bigint, text string"))
+    assert not any(k[3] for k in kinds) and sum(D.suspicious(t, kinds) for t in clean) <= 2
+    assert all(D.suspicious(D.padded(letters(900) + " " + text[100:190] + " " + letters(50)), kinds) for _, text in items[:40])
+
+
 def test_short_items_are_found_with_an_edit():
     """A bound of 1 at least for every length: q gets smaller where the edits ask for it."""
     for size in range(3, 120):
