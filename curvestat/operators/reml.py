@@ -11,7 +11,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from curvestat.operators.lineage import cut, few
+from curvestat.operators.lineage import MOST_BROADCAST, cut
 
 LOW, HIGH, STEPS = -20.0, 20.0, 81
 OPEN_LOW, OPEN_HIGH = -32.0, 32.0
@@ -97,9 +97,10 @@ def _partial_sums(stats: DataFrame, keys: list[str], points: int) -> DataFrame:
     return each.groupBy(*keys, "i").agg(*[F.sum(f"x.{c}").alias(c) for c in ("a", "b", "q", "logs")], F.sum("trials").alias("trials"))
 
 
-def _searched(stats: DataFrame, keys: list[str], brackets: DataFrame, points: int) -> DataFrame:
-    """Best point of each node's bracket and the points beside it: keys, lo, hi, theta, f, q, df, and f0, q0 at lambda = 0."""
-    known = few(brackets.select(*[F.col(k).alias(f"{k}_") for k in keys], "lo", "hi"))
+def _searched(stats: DataFrame, keys: list[str], brackets: DataFrame, points: int, nodes: int) -> DataFrame:
+    """Best point of each node's bracket and the points beside it: keys, lo, hi, theta, f, q, df, and f0, q0 at lambda = 0. nodes: the brackets' counted number."""
+    known = brackets.select(*[F.col(k).alias(f"{k}_") for k in keys], "lo", "hi")
+    known = F.broadcast(known) if nodes <= MOST_BROADCAST else known
     same = reduce(and_, [stats[k].eqNullSafe(known[f"{k}_"]) for k in keys])
     sums = _partial_sums(stats.join(known, same), keys, points)
     df = F.col("trials") - 1
@@ -108,8 +109,7 @@ def _searched(stats: DataFrame, keys: list[str], brackets: DataFrame, points: in
     at = sums.select(*keys, "i", df.alias("df"), q.alias("q"), value.alias("f"))
     point = F.struct("f", "i", "q")
     best = at.groupBy(*keys).agg(F.min(F.when(F.col("i") < points, point)).alias("best"), F.max(F.when(F.col("i") == points, point)).alias("zero"), F.max("df").alias("df"))
-    span = brackets.select(*[F.col(k).alias(f"{k}_") for k in keys], "lo", "hi")
-    both = best.join(span, reduce(and_, [best[k].eqNullSafe(span[f"{k}_"]) for k in keys])).withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1))
+    both = best.join(known, reduce(and_, [best[k].eqNullSafe(known[f"{k}_"]) for k in keys])).withColumn("step", (F.col("hi") - F.col("lo")) / (points - 1))
     theta = F.col("lo") + F.col("step") * F.col("best.i")
     return both.select(
         *keys, (theta - F.col("step")).alias("low"), (theta + F.col("step")).alias("high"), F.col("best.i").alias("i"), theta.alias("theta"),
@@ -128,17 +128,18 @@ def unbalanced(stats: DataFrame, keys: list[str]) -> DataFrame:
     are kept in the checkpoint folder, so trials are read once.
     """
     stats = cut(stats.select(*keys, "n", "s", "z"))
-    first = stats.select(*keys).distinct().select(*keys, F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi"))
-    state, done = cut(_searched(stats, keys, cut(first), STEPS)), None
+    first = cut(stats.select(*keys).distinct().select(*keys, F.lit(LOW).alias("lo"), F.lit(HIGH).alias("hi")))
+    state, done = cut(_searched(stats, keys, first, STEPS, first.count())), None
     state = state.withColumn("low", F.when(F.col("i") == 0, OPEN_LOW).otherwise(F.col("low"))).withColumn("high", F.when(F.col("i") == STEPS - 1, OPEN_HIGH).otherwise(F.col("high")))
     while True:
         is_open = (F.col("high") - F.col("low") > TOLERANCE) & (F.abs("f") < float("inf")) & ~F.isnan("f")
         finished, left = state.filter(~F.coalesce(is_open, F.lit(False))), state.filter(is_open)
         done = finished if done is None else done.unionByName(finished)
-        if left.isEmpty():
+        nodes = left.count()
+        if not nodes:
             break
         # a bracket's ends stay its own
-        state = cut(_searched(stats, keys, left.select(*keys, F.col("low").alias("lo"), F.col("high").alias("hi")), POINTS))
+        state = cut(_searched(stats, keys, left.select(*keys, F.col("low").alias("lo"), F.col("high").alias("hi")), POINTS, nodes))
         state = state.withColumn("low", F.greatest("low", "lo")).withColumn("high", F.least("high", "hi"))
     converged = (F.abs("f") < float("inf")) & ~F.isnan("f")
     fits = done.withColumn("converged", F.coalesce(converged, F.lit(False)))
