@@ -9,8 +9,9 @@ from curvestat.catalog import CORE
 from curvestat.functions import arrays
 from curvestat.operators import checks
 from curvestat.operators.curve_audit import is_zero
+from curvestat.operators.lineage import cut
 from curvestat.plans import designs as D
-from curvestat.sources import coordinates, sinks
+from curvestat.sources import coordinates, npy, sinks
 
 query = CORE.query
 
@@ -62,6 +63,27 @@ def curve_round_trip(spark, sf_dir):
     return D.rounded(back.select("waveform", "participant", "action", "trial", F.get("y", F.lit(0)).alias("first"), total.alias("total")))
 
 
+@query(
+    "npy_cube_round_trip",
+    f"""WITH {D.NODES_SQL}, w AS (SELECT athlete, trial, vec_id, unnest([0, 1])::BIGINT AS waveform, embedding FROM bal), l AS (SELECT athlete, dense_rank() OVER (ORDER BY athlete) - 1 AS at_athlete FROM bal GROUP BY athlete),
+h AS (SELECT waveform, at_athlete, (trial - 1)::BIGINT AS at_trial, CASE WHEN waveform = 0 THEN embedding[1:32] ELSE embedding[33:64] END AS y FROM w JOIN l USING (athlete))
+SELECT waveform, at_athlete, at_trial, {D.r('y[1]::DOUBLE', 'first')}, {D.r('y[32]::DOUBLE', 'last')}, {D.r('list_sum(list_transform(y, lambda v: v::DOUBLE))', 'total')} FROM h""",
+)
+def npy_cube_round_trip(spark, sf_dir):
+    """Curves of the smallest cell's size as a four-axis .npy cube (waveform, athlete, trial, node) and back."""
+    placed, athletes = npy.positions(D.balanced(spark, sf_dir), "athlete", "at_athlete")
+    halves = F.array(*[F.struct(F.lit(i).alias("waveform"), F.slice("y", 1 + 32 * i, 32).alias("y")) for i in range(2)])
+    curves = cut(placed.select("at_athlete", (F.col("trial") - 1).alias("at_trial"), F.inline(halves)))
+    trials = curves.agg(F.max("at_trial")).first()[0]
+    path = sinks.scratch(spark, "cube") + ".npy"
+    npy.write_cube(curves, path, {"waveform": 2, "at_athlete": athletes, "at_trial": 0 if trials is None else trials + 1}, 32)
+    back = npy.read_cube(spark, path, ["waveform", "at_athlete", "at_trial"])
+    total = F.aggregate("y", F.lit(0.0), lambda acc, v: acc + v)
+    out = cut(D.rounded(back.select("waveform", "at_athlete", "at_trial", F.get("y", F.lit(0)).alias("first"), F.get("y", F.lit(31)).alias("last"), total.alias("total"))))
+    sinks.remove(spark, path)
+    return out
+
+
 @query("cube_digests", "SELECT waveform, (SELECT count(*) FROM embeddings) AS curves, true AS unchanged FROM (VALUES ('racket'), ('body')) t(waveform)")
 def cube_digests(spark, sf_dir):
     """Digests of a written cube against those of its source, and of its copy under a second name."""

@@ -86,3 +86,9 @@ def scratch(spark: SparkSession, name: str) -> str:
     """A new path in a folder that the cluster shares: that of checkpoints, else the warehouse."""
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a file or folder that ``scratch`` named."""
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsc.hadoopConfiguration()).delete(at, True)
