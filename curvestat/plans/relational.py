@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from curvestat.catalog import CORE
-from curvestat.operators import checks, influence, reshape, windows
+from curvestat.operators import checks, influence, reshape, segments, windows
 from curvestat.operators.curve_audit import is_zero
 from curvestat.operators.quantiles import quantiles
 from curvestat.plans import designs as D
@@ -71,6 +71,29 @@ def contiguity_audit(spark, sf_dir):
     return windows.contiguity(li, ["l_orderkey"], "l_linenumber", "idx")
 
 
+@query(
+    "segmented_ranks",
+    f"""SELECT event_id, event_type, row_number() OVER w AS trial, {r('value - lag(value) OVER w', 'rise')}, {r('lead(value, 5) OVER w', 'later')} FROM events WINDOW w AS (PARTITION BY event_type ORDER BY ts, event_id)""",
+)
+def segmented_ranks(spark, sf_dir):
+    """Running numbers, first differences and lag pairs of a few hot groups, each over many partitions."""
+    e = D.table(spark, sf_dir, "events").select("event_id", "event_type", "ts", "value")
+    keys = ["event_type"]
+    numbered = segments.ranked(e, keys, ["ts", "event_id"])
+    both = segments.neighbour(segments.neighbour(numbered, keys, "value", 1, "before"), keys, "value", -5, "later")
+    return D.rounded(both.select("event_id", "event_type", "trial", (F.col("value") - F.col("before")).alias("rise"), "later"))
+
+
+@query(
+    "segmented_contiguity",
+    """WITH x AS (SELECT l_linenumber, l_orderkey, row_number() OVER w AS at_row, l_orderkey - lag(l_orderkey) OVER w AS rise FROM lineitem WINDOW w AS (PARTITION BY l_linenumber ORDER BY l_orderkey))
+SELECT l_linenumber, count(*) AS rows, bool_and(l_orderkey = at_row) AS labels_complete, bool_and(coalesce(rise = 1, true)) AS contiguous, min(l_orderkey) AS first_index, max(l_orderkey) AS last_index FROM x GROUP BY l_linenumber""",
+)
+def segmented_contiguity(spark, sf_dir):
+    """Whether orders are complete and in sequence in each line number's cell, the largest of which holds all orders."""
+    return segments.contiguity(D.table(spark, sf_dir, "lineitem").select("l_linenumber", "l_orderkey"), ["l_linenumber"], "l_orderkey", "l_orderkey")
+
+
 @query("exact_duplicates", "WITH h AS (SELECT doc_id, sha256(text) AS sha FROM documents), g AS (SELECT sha, count(*) AS group_size FROM h GROUP BY sha HAVING count(*) > 1), n AS (SELECT sha, group_size, row_number() OVER (ORDER BY sha)::INT AS duplicate_group FROM g) SELECT doc_id, sha, group_size, duplicate_group FROM h JOIN n USING (sha)")
 def exact_duplicates(spark, sf_dir):
     d = D.table(spark, sf_dir, "documents").select("doc_id", F.sha2("text", 256).alias("sha"))
