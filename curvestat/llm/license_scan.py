@@ -2,15 +2,15 @@
 
 Texts become words [^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+ after ASCII lower case.
 The document frequency of each licence word is counted over all documents, which
-gives its IDF. A template's *anchors* are the words of its mandatory phrases with the highest IDF
-(``ANCHORS`` of them at most); every match holds them all, so nothing is lost by
-asking for them. The index maps an anchor to its templates and offsets.
+gives its IDF. A template's *anchors* are its words with the highest IDF (``ANCHORS`` of them at most). The index maps
+an anchor to its templates and offsets.
 
-A file's licence words are looked up in the order of their IDF. The highest one of a template
-gives its starts (place in the file minus offset in the template); the postings of its other
-anchors, in the same order, are intersected with them by relative position: a start stays
-where each has a place within the template's slack, ``SLACK`` words and one in ``DRIFT``. A candidate is kept when its
-window holds all mandatory phrases and at least ``SHARE`` of the template's words; its label is then added.
+A file's licence words are looked up; a template is tried where the file holds ``QUORUM`` of its anchors. Their postings
+are intersected by relative position: a start (place in the file minus offset in the template) is a candidate where
+so many different anchors agree within twice the template's slack, ``SLACK`` words and one in ``DRIFT``. A candidate is kept when its
+window holds at least ``SHARE`` of the template's words and, of every group of mandatory key phrases, one; a group gives a phrase of two
+or three words in several alternatives, so that altered words elsewhere lose nothing. Its label is then added. Some templates name phrases that
+rule them out, such as the third clause for a text of two.
 
 Base phrases (``BASE``) are found exactly and always labelled. The score is the
 share of template words found in the best verified window, 1 for a base phrase,
@@ -23,9 +23,10 @@ bounded by one Arrow batch; the index is a few hundred entries.
 
 from __future__ import annotations
 
-from bisect import bisect_left
+import re
 from collections import Counter, defaultdict
 from collections.abc import Iterator
+from math import ceil
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -36,7 +37,8 @@ from curvestat.llm.license_texts import TEMPLATES
 #: Base phrases and their labels.
 BASE = {"cc by": "cc-by", "general public license": "gpl", "all rights reserved": "reserved"}
 
-ANCHORS = 4
+ANCHORS = 8
+QUORUM = 0.5
 SLACK, DRIFT = 2, 8
 SHARE = 0.6
 
@@ -48,53 +50,69 @@ def split_words(text: bytes | None) -> list[bytes]:
     return (text or b"").translate(_WORDS).split()
 
 
+def key_phrases(group: str) -> re.Pattern[bytes]:
+    """Pattern of phrases parted by |: words joined by - stand side by side, between others one word may stand."""
+    gap = rb"(?: [^ ]+)? "
+    phrase = lambda p: gap.join(b" ".join(map(re.escape, split_words(part.encode()))) for part in p.split())
+    return re.compile(rb" (?:%b) " % b"|".join(map(phrase, group.split("|"))))
+
+
 class Index:
     """Templates, and the postings of their anchors by the words' document frequency."""
 
     def __init__(self, frequency: dict[bytes, int], templates=TEMPLATES, anchors: int = ANCHORS) -> None:
-        self.labels = [label for label, _, _ in templates]
-        self.bodies = [split_words(text.encode()) for _, text, _ in templates]
+        self.labels = [label for label, *_ in templates]
+        self.bodies = [split_words(text.encode()) for _, text, *_ in templates]
         self.counts = [Counter(body) for body in self.bodies]
         self.slack = [SLACK + len(body) // DRIFT for body in self.bodies]
-        self.phrases = [[b" %b " % p.encode() for p in phrases] for _, _, phrases in templates]
-        #: Highest IDF first.
-        self.place = lambda w: (frequency.get(w, 0), w)
-        self.anchors = [sorted({w for p in phrases for w in split_words(p)}, key=self.place)[:anchors] for phrases in self.phrases]
+        self.keys = [[key_phrases(g) for g in groups] for _, _, groups, *_ in templates]
+        self.barred = [[key_phrases(g) for g in barred] for _, _, _, *barred in templates]
+        # highest IDF first
+        place = lambda w: (frequency.get(w, 0), w)
+        self.anchors = [sorted(set(body), key=place)[:anchors] for body in self.bodies]
+        self.quorum = [ceil(QUORUM * len(rare)) for rare in self.anchors]
         self.offsets = [{w: [o for o, x in enumerate(body) if x == w] for w in rare} for body, rare in zip(self.bodies, self.anchors, strict=True)]
-        self.by_highest: dict[bytes, list[int]] = defaultdict(list)
+        self.templates: dict[bytes, list[int]] = defaultdict(list)
         for t, rare in enumerate(self.anchors):
-            self.by_highest[rare[0]].append(t)
-        self.words = frozenset(w for rare in self.anchors for w in rare)
+            for x in rare:
+                self.templates[x].append(t)
+        self.words = frozenset(self.templates)
 
-    def candidates(self, w: list[bytes]) -> set[tuple[int, int]]:
-        """(template, start) at which all anchors of the template agree within its slack."""
+    def candidates(self, w: list[bytes]) -> Iterator[tuple[int, int]]:
+        """(template, start) at which a quorum of the template's anchors agrees within twice its slack."""
         met = self.words.intersection(w)
-        found: set[tuple[int, int]] = set()
-        highest = sorted((x for x in met if x in self.by_highest), key=self.place)
-        templates = [t for x in highest for t in self.by_highest[x] if met.issuperset(self.anchors[t])]
-        if not templates:
-            return found
+        held = Counter(t for x in met for t in self.templates[x])
+        tried = sorted(t for t, n in held.items() if n >= self.quorum[t])
+        if not tried:
+            return
         places: dict[bytes, list[int]] = defaultdict(list)
+        wanted = met.intersection(x for t in tried for x in self.anchors[t])
         for p, x in enumerate(w):
-            if x in met:
+            if x in wanted:
                 places[x].append(p)
-        for t in templates:
-            first, *others = self.anchors[t]
-            starts = {p - o for p in places[first] for o in self.offsets[t][first]}
-            for x in others:
-                near = sorted(p - o for p in places[x] for o in self.offsets[t][x])
-                starts = {s for s in starts if (i := bisect_left(near, s - self.slack[t])) < len(near) and near[i] <= s + self.slack[t]}
-            found.update((t, s) for s in starts)
-        return found
+        for t in tried:
+            starts = sorted((p - o, x) for x in self.anchors[t] if x in met for p in places[x] for o in self.offsets[t][x])
+            agree, end, last = Counter(), 0, None
+            for s, x in starts:
+                while end < len(starts) and starts[end][0] <= s + 2 * self.slack[t]:
+                    agree[starts[end][1]] += 1
+                    end += 1
+                # windows reach a slack beyond either end, so starts side by side needn't all be tried
+                if len(agree) >= self.quorum[t] and (last is None or s > last + self.slack[t] // 2):
+                    last = s
+                    yield t, s
+                agree[x] -= 1
+                if not agree[x]:
+                    del agree[x]
 
     def verify(self, w: list[bytes], t: int, start: int) -> float:
-        """Share of the template's words in the window, or 0 if a phrase or too much is missing."""
-        window = w[max(0, start - self.slack[t]) : max(0, start + len(self.bodies[t]) + self.slack[t])]
-        joined = b" %b " % b" ".join(window)
-        if not all(p in joined for p in self.phrases[t]):
-            return 0.0
+        """Share of the template's words in the window, or 0 if a group of key phrases or too much is missing."""
+        window = w[max(0, start - self.slack[t]) : max(0, start + len(self.bodies[t]) + 2 * self.slack[t])]
         share = sum((self.counts[t] & Counter(window)).values()) / len(self.bodies[t])
-        return share if share >= SHARE else 0.0
+        if share < SHARE:
+            return 0.0
+        joined = b" %b " % b" ".join(window)
+        return share if all(g.search(joined) for g in self.keys[t]) and not any(g.search(joined) for g in self.barred[t]) else 0.0
 
 
 def base_places(w: list[bytes]) -> dict[str, list[int]]:
@@ -148,7 +166,7 @@ FIELDS = "n_words bigint, n_base bigint, first_word bigint, last_word bigint, ba
 
 def scan_licenses(docs: DataFrame, templates=TEMPLATES) -> DataFrame:
     """Words, base phrases, labels and score of each row of docs."""
-    vocabulary = frozenset(w for _, text, _ in templates for w in split_words(text.encode()))
+    vocabulary = frozenset(w for _, text, *_ in templates for w in split_words(text.encode()))
     index = Index(document_frequency(docs, vocabulary), templates)
     types = [pa.int64()] * 4 + [pa.string()] * 2 + [pa.float64()]
     names = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]

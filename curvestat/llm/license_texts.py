@@ -1,4 +1,8 @@
-"""Public licence texts, headers and notices, with their labels and mandatory phrases."""
+"""Public licence texts, headers and notices, with their labels and mandatory key phrases.
+
+A template is a label, a text, groups of key phrases, one of each of which must stand in a match, and groups that may
+not stand in it. In a group, | parts alternatives; words joined by - stand side by side, and one word may stand between others.
+"""
 
 from __future__ import annotations
 
@@ -66,40 +70,115 @@ distributed with this file, You can obtain one at http://mozilla.org/MPL/2.0/.""
 _EPL = """This program and the accompanying materials are made available under the terms of the Eclipse Public License 2.0 which is
 available at https://www.eclipse.org/legal/epl-2.0/"""
 
-_CC = "This work is licensed under a Creative Commons Attribution{} {} International License."
+_APACHE_BODY = """Apache License Version 2.0, January 2004 http://www.apache.org/licenses/ TERMS AND CONDITIONS FOR USE, REPRODUCTION,
+AND DISTRIBUTION 1. Definitions. "License" shall mean the terms and conditions for use, reproduction, and distribution as defined by
+Sections 1 through 9 of this document. "Licensor" shall mean the copyright owner or entity authorized by the copyright owner that is
+granting the License."""
+
+_MPL_BODY = """Mozilla Public License Version 2.0 1. Definitions 1.1. "Contributor" means each individual or legal entity that
+creates, contributes to the creation of, or owns Covered Software."""
+
+_EPL_BODY = """Eclipse Public License - v 2.0 THE ACCOMPANYING PROGRAM IS PROVIDED UNDER THE TERMS OF THIS ECLIPSE PUBLIC LICENSE
+("AGREEMENT"). ANY USE, REPRODUCTION OR DISTRIBUTION OF THE PROGRAM CONSTITUTES RECIPIENT'S ACCEPTANCE OF THIS AGREEMENT."""
+
+
+def _gnu_body(name: str, version: str, year: str) -> str:
+    return f"""{name} Version {version}, {year} Copyright (C) {year} Free Software Foundation, Inc. Everyone is permitted to copy and
+distribute verbatim copies of this license document, but changing it is not allowed."""
+
+
+def _gnu_only(name: str, version: str) -> str:
+    return f"""you can redistribute it and/or modify it under the terms of the {name}, version {version}, as published by the Free
+Software Foundation. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY"""
+
+
+#: Label, name, phrases of the name, version, its phrases, and year of its text.
+_GNU = tuple(
+    (f"{short}-{version}", f"GNU {name} License", phrases, version, f"version {digits} | {digits} of-the-license | license v{digits} | license {digits} | {digits} {year} | {year} copyright{more}", year)
+    for short, name, phrases, versions in (
+        ("gpl", "General Public", "gnu general | general public | gnu public", (("2", "1991"), ("3", "2007"))),
+        ("lgpl", "Lesser General Public", "lesser general | gnu lesser | lesser public", (("2.1", "1999"), ("3", "2007"))),
+        ("agpl", "Affero General Public", "affero general | gnu affero | affero public", (("3", "2007"),)),
+    )
+    for version, year in versions
+    for digits in (version.replace(".", "-"),)
+    for more in (f" | version {digits[0]} 1 | v{digits}" if "." in version else "",)
+)
+_OTHER_GNU = {"gpl": "lesser general | gnu lesser | affero general | gnu affero", "lgpl": "gnu affero", "agpl": "gnu lesser"}
+
+
+def _label(label: str) -> str:
+    return label if "." in label else f"{label}.0"
+
+
+def _gnu_templates():
+    for label, name, phrases, version, numbers, year in _GNU:
+        short = label.split("-")[0]
+        for text in (
+            _gnu(name, version), _gnu_only(name, version), _gnu_body(name.upper(), version, year),
+            f"This work is licensed under the {name}, version {version}", f"licensed under the {name} v{version}",
+        ):
+            yield _label(label), text, (phrases, numbers), _OTHER_GNU[short]
+    for short, phrases in {"lgpl": "lesser general | gnu lesser | lesser public", "agpl": "affero general | gnu affero | affero public"}.items():
+        name = next(n for label, n, *_ in _GNU if label.startswith(short))
+        yield short, f"under the terms of the {name}", (phrases, "public license | general public | terms of")
+
+
+#: Parts of the Creative Commons licences.
+_CC = {"by": "Attribution", "by-sa": "Attribution-ShareAlike", "by-nc": "Attribution-NonCommercial", "by-nd": "Attribution-NoDerivatives", "by-nc-sa": "Attribution-NonCommercial-ShareAlike", "by-nc-nd": "Attribution-NonCommercial-NoDerivatives"}
+
+
+def _cc_templates():
+    for version, scope in (("4.0", "International"), ("3.0", "Unported")):
+        at = version.replace(".", "-")
+        for code, name in _CC.items():
+            name = name.lower()
+            keys = (f"{name} {at} | {name} {scope} | {code} {at}",)
+            longer = " | ".join(x for other, full in _CC.items() if other.startswith(f"{code}-") for x in (full.lower(), other))
+            barred = (longer,) if longer else ()
+            yield f"cc-{code}-{version}", f"This work is licensed under a Creative Commons {_CC[code]} {version} {scope} License.", keys, *barred
+            yield f"cc-{code}-{version}", f"Licensed under CC {code.upper()} {version}", keys, *barred
+
+
+#: Identifiers as they stand in notices, and labels other than their lower-case form.
+_IDENTIFIERS = ("MIT", "BSD-2-Clause", "BSD-3-Clause", "ISC", "Zlib", "BSL-1.0", "Unlicense", "Apache-2.0", "GPL-2.0", "GPL-3.0", "LGPL-2.1", "LGPL-3.0", "AGPL-3.0", "MPL-2.0", "EPL-2.0", "CC0-1.0", *[f"CC-{code.upper()}-{v}" for v in ("4.0", "3.0") for code in _CC])
+_RENAMED = {"BSL-1.0": "boost-1.0"}
+
+
+def _notices():
+    for name in _IDENTIFIERS:
+        words = name.lower().replace(".", "-")
+        label = _RENAMED.get(name, name.lower())
+        yield label, f"SPDX-License-Identifier: {name}", (f"identifier-{words} | spdx {words} | license-identifier {words}",)
+        yield label, f"License: {name}", (f"license-{words}",)
+
+
+_MIT_NOTICE = ("mit license | mit licence | under the mit | under mit | terms of-the-mit",)
+_MPL_KEYS = ("mozilla public | mozilla license | mozilla v | mpl", "2-0 | license v")
+_EPL_KEYS = ("eclipse public | eclipse license",)
 
-#: Label, text, and phrases that must all stand in a match, as words.
 TEMPLATES = (
-    ("mit", _MIT, ("permission is hereby granted free of charge", "sublicense and or sell")),
-    ("mit", "Released under the MIT License", ("mit license",)),
-    ("mit", "This project is licensed under the terms of the MIT license", ("mit license",)),
-    ("bsd-2-clause", _BSD_2 + " " + _BSD_END, ("redistributions of source code must retain", "redistributions in binary form")),
-    ("bsd-3-clause", _BSD_2 + " " + _BSD_3 + " " + _BSD_END, ("redistributions of source code must retain", "endorse or promote products")),
-    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use in source and binary forms",)),
-    ("isc", _ISC, ("permission to use copy modify", "with or without fee")),
-    ("zlib", _ZLIB, ("must not be misrepresented", "redistribute it freely")),
-    ("boost-1.0", _BOOST, ("any person or organization", "prepare derivative works")),
-    ("unlicense", _UNLICENSE, ("free and unencumbered software", "public domain")),
-    ("apache-2.0", _APACHE, ("apache license version 2 0", "except in compliance with")),
-    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license", "2 0")),
-    ("gpl-3.0", _gnu("GNU General Public License", "3"), ("gnu general public license", "version 3")),
-    ("gpl-2.0", _gnu("GNU General Public License", "2"), ("gnu general public license", "version 2")),
-    ("gpl-3.0", "This work is licensed under the GNU General Public License, version 3", ("gnu general public license", "version 3")),
-    ("gpl-2.0", "This work is licensed under the GNU General Public License, version 2", ("gnu general public license", "version 2")),
-    ("lgpl-3.0", _gnu("GNU Lesser General Public License", "3"), ("gnu lesser general public license", "version 3")),
-    ("lgpl-2.1", _gnu("GNU Lesser General Public License", "2.1"), ("gnu lesser general public license", "version 2 1")),
-    ("lgpl", "under the terms of the GNU Lesser General Public License", ("gnu lesser general public license",)),
-    ("agpl-3.0", _gnu("GNU Affero General Public License", "3"), ("gnu affero general public license", "version 3")),
-    ("agpl", "under the terms of the GNU Affero General Public License", ("gnu affero general public license",)),
-    ("mpl-2.0", _MPL, ("mozilla public license", "2 0")),
-    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", ("mozilla public license", "2 0")),
-    ("epl-2.0", _EPL, ("eclipse public license",)),
-    ("epl-2.0", "under the terms of the Eclipse Public License v2.0", ("eclipse public license",)),
-    ("cc-by-4.0", _CC.format("", "4.0"), ("creative commons attribution 4 0",)),
-    ("cc-by-sa-4.0", _CC.format("-ShareAlike", "4.0"), ("creative commons attribution sharealike",)),
-    ("cc-by-nc-4.0", _CC.format("-NonCommercial", "4.0"), ("creative commons attribution noncommercial 4 0",)),
-    ("cc-by-nc-4.0", "Licensed under CC BY-NC 4.0", ("cc by nc", "4 0")),
-    ("cc-by-sa-4.0", "Licensed under CC BY-SA 4.0", ("cc by sa", "4 0")),
-    ("cc-by-4.0", "Licensed under CC BY 4.0", ("cc by 4 0",)),
+    ("mit", _MIT, ("permission is hereby | hereby granted | free-of charge | person obtaining", "merge publish | sublicense and | sell-copies | copies-of-the software | deal in-the software")),
+    ("mit", "Released under the MIT License", _MIT_NOTICE),
+    ("mit", "This project is licensed under the terms of the MIT license", _MIT_NOTICE),
+    ("bsd-2-clause", _BSD_2 + " " + _BSD_END, ("redistributions of source | redistributions in binary | source code must | must reproduce",), "endorse or | or promote | promote products | prior written permission"),
+    ("bsd-3-clause", _BSD_2 + " " + _BSD_3 + " " + _BSD_END, ("redistributions of source | redistributions in binary | source code must | must reproduce", "endorse or | or promote | promote products | prior written permission")),
+    ("bsd", "Redistribution and use in source and binary forms, with or without modification, are permitted", ("redistribution and use | source and binary | binary forms | use in source",)),
+    ("isc", _ISC, ("permission-to use | to-use copy | copy modify", "with-or without fee | without fee | fee is-hereby")),
+    ("zlib", _ZLIB, ("not-be misrepresented | be misrepresented | claim-that you | wrote the-original", "redistribute it | it freely | alter it | express or-implied")),
+    ("boost-1.0", _BOOST, ("person or organization | or organization obtaining | organization obtaining", "prepare derivative | derivative works | permit third")),
+    ("unlicense", _UNLICENSE, ("free-and unencumbered | unencumbered software | and unencumbered", "public domain | released into | anyone is free")),
+    ("apache-2.0", _APACHE, ("apache license | apache-org | the apache", "compliance with | except in | version 2-0 | licenses-license | license version | license 2-0")),
+    ("apache-2.0", "Licensed under the Apache License, Version 2.0", ("apache license | the apache", "2-0")),
+    ("apache-2.0", _APACHE_BODY, ("apache license | apache-org", "2-0 | january 2004")),
+    *_gnu_templates(),
+    ("mpl-2.0", _MPL, _MPL_KEYS),
+    ("mpl-2.0", "subject to the terms of the Mozilla Public License, v. 2.0", _MPL_KEYS),
+    ("mpl-2.0", _MPL_BODY, _MPL_KEYS),
+    ("epl-2.0", _EPL, _EPL_KEYS, "license-v1 | license-1-0 | license v-1-0"),
+    ("epl-2.0", "under the terms of the Eclipse Public License v2.0", _EPL_KEYS, "license-v1 | license-1-0 | license v-1-0"),
+    ("epl-2.0", _EPL_BODY, _EPL_KEYS, "license-v1 | license-1-0 | license v-1-0"),
+    *_cc_templates(),
     ("cc0-1.0", "CC0 1.0 Universal Public Domain Dedication", ("cc0",)),
+    *_notices(),
 )
