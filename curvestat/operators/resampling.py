@@ -120,16 +120,22 @@ def subsample(trials: DataFrame, reps: int, seed: int, cell: list[str], order: s
     return keyed.withColumn("place", place).filter(F.col("place") <= size).drop("h", "place")
 
 
-def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order: str = "trial", group: str = "athlete") -> DataFrame:
-    """rep, group, node, n, mean and ss of the balanced subsamples of ``subsample``, by one NumPy pass over each group's curves y."""
-    gathered = trials.groupBy(group).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col("y").cast("array<double>").alias("y")))).alias("g"), F.max(size).cast("int").alias("size"))
-    source = spread(gathered.select(group, F.col("g.t").alias("t"), F.col("g.y").alias("y"), "size"), group)
+def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order: str = "trial", group: str = "athlete", also: tuple[str, ...] = ()) -> DataFrame:
+    """rep, cell, node, n, mean and ss of the balanced subsamples of ``subsample``, by one NumPy pass over each cell's curves y.
+
+    A cell is a group, or a combination of group and the columns of ``also``. Trials are
+    chosen by cell and number alone, so curves of several waveforms with the same numbers get the same choice.
+    """
+    cell = [group, *also]
+    gathered = trials.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col("y").cast("array<double>").alias("y")))).alias("g"), F.max(size).cast("int").alias("size"))
+    source = spread(gathered.select(*cell, F.col("g.t").alias("t"), F.col("g.y").alias("y"), "size"), *cell)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for row in batch.to_dict("records"):
-                y, g, k = np.stack(row["y"]), row[group], row["size"]
-                h = hash_matrix([f"{seed}|{rep}|{g}|" for rep in range(1, reps + 1)], row["t"])
+                y, k = np.stack(row["y"]), row["size"]
+                name = "|".join(str(row[c]) for c in cell)
+                h = hash_matrix([f"{seed}|{rep}|{name}|" for rep in range(1, reps + 1)], row["t"])
                 chosen = np.zeros((reps, len(y)))
                 np.put_along_axis(chosen, np.argsort(h, axis=1, kind="stable")[:, :k], 1, axis=1)
                 # sums of the chosen curves by matrix products, about the mean of all so that nothing cancels
@@ -137,9 +143,10 @@ def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order
                 mean = chosen @ (y - centre) / k
                 ss = chosen @ (y - centre) ** 2 - k * mean**2
                 n = y.shape[1]
-                yield pd.DataFrame({"rep": np.repeat(np.arange(1, reps + 1), n), group: g, "node": np.tile(np.arange(n), reps), "n": k, "mean": (mean + centre).ravel(), "ss": ss.ravel()})
+                yield pd.DataFrame({"rep": np.repeat(np.arange(1, reps + 1), n), **{c: row[c] for c in cell}, "node": np.tile(np.arange(n), reps), "n": k, "mean": (mean + centre).ravel(), "ss": ss.ravel()})
 
-    return source.mapInPandas(run, f"rep int, {group} {source.schema[group].dataType.simpleString()}, node int, n bigint, mean double, ss double")
+    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in cell)
+    return source.mapInPandas(run, f"rep int, {kinds}, node int, n bigint, mean double, ss double")
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import importlib
 
-MODULES: tuple[str, ...] = ("components", "sequences", "resampling", "relational", "files", "verification")
+MODULES: tuple[str, ...] = ("components", "sequences", "resampling", "relational", "files", "verification", "variants")
 
 
 def load_all() -> None:

@@ -34,13 +34,16 @@ def csv_rounded_round_trip(spark, sf_dir):
     return D.rounded(coordinates.read_table(spark, path, t.schema), 4)
 
 
-@query("csv_byte_order_mark", "SELECT 'efbbbf' AS first_bytes, count(*) > 0 AS marked FROM nation")
+@query(
+    "csv_byte_order_mark",
+    "SELECT 'efbbbf' AS first_bytes, sha256(chr(65279) || 'n_nationkey,n_name' || chr(10) || string_agg(n_nationkey || ',' || n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation",
+)
 def csv_byte_order_mark(spark, sf_dir):
-    """The first bytes of every file of the second CSV dialect."""
+    """The first bytes and the digest of a file of the second CSV dialect, mark, header and rows."""
     path = sinks.scratch(spark, "marked")
-    sinks.write_csv_rounded(D.table(spark, sf_dir, "nation").select("n_nationkey", "n_name"), path)
+    sinks.write_csv_rounded(D.table(spark, sf_dir, "nation").select("n_nationkey", "n_name").coalesce(1).sortWithinPartitions("n_nationkey"), path)
     files = spark.read.format("binaryFile").option("pathGlobFilter", "*.csv").load(path)
-    return files.groupBy(F.lower(F.hex(F.substring("content", 1, 3))).alias("first_bytes")).agg((F.count("*") > 0).alias("marked"))
+    return files.select(F.lower(F.hex(F.substring("content", 1, 3))).alias("first_bytes"), F.sha2("content", 256).alias("sha256"))
 
 
 def _cube(spark, sf_dir):
@@ -95,11 +98,16 @@ def cube_digests(spark, sf_dir):
     return joined.select("waveform", "curves", ((F.col("sha256") == F.col("source")) & (F.col("sha256") == F.col("copied"))).alias("unchanged"))
 
 
-@query("file_inventory", "SELECT name AS path, true AS hashed FROM (VALUES ('nation.parquet'), ('region.parquet')) t(name)")
+@query(
+    "file_inventory",
+    "SELECT 'n_regionkey=' || n_regionkey AS folder, sum(strlen(n_name) + 1)::BIGINT AS bytes, sha256(string_agg(n_name || chr(10), '' ORDER BY n_nationkey)) AS sha256 FROM nation GROUP BY n_regionkey",
+)
 def file_inventory(spark, sf_dir):
-    """Relative paths, sizes and hashes of the two smallest tables' files."""
-    got = sinks.inventory(spark, f"{sf_dir}", r"^(?!nation|region)")
-    return got.select("path", ((F.col("bytes") > 0) & F.col("sha256").rlike("^[0-9a-f]{64}$")).alias("hashed"))
+    """Folder below the root, size and hash of each file that a text sink wrote, one for each region."""
+    path = sinks.scratch(spark, "inventory")
+    t = D.table(spark, sf_dir, "nation").select("n_regionkey", "n_nationkey", "n_name").coalesce(1).sortWithinPartitions("n_regionkey", "n_nationkey")
+    t.select("n_regionkey", "n_name").write.partitionBy("n_regionkey").text(path)
+    return sinks.inventory(spark, path, "(^|/)_").select(F.substring_index("path", "/", 1).alias("folder"), "bytes", "sha256")
 
 
 @query("padding_is_zero", "SELECT vec_id FROM embeddings WHERE vec_id % 13 = 0 AND len(list_filter(embedding[41:64], lambda v: v <> 0)) > 0")
@@ -129,9 +137,14 @@ def forbidden_tokens(spark, sf_dir):
     return checks.forbidden(D.table(spark, sf_dir, "documents"), "text", r'(?i)(token|password|secret) *= *"').select("doc_id")
 
 
-@query("release_columns", "SELECT 'nation' AS name, 'n_capital' AS missing")
+_WANTED = {"nation": ["n_nationkey", "n_name", "n_capital"], "region": ["r_regionkey", "r_name"], "embeddings": ["vec_id", "embedding", "label", "split"]}
+
+
+@query(
+    "release_columns",
+    "SELECT name, missing FROM (VALUES " + ", ".join(f"('{name}', '{c}')" for name, columns in _WANTED.items() for c in columns) + ") w(name, missing) ANTI JOIN information_schema.columns i ON i.table_name = w.name AND i.column_name = w.missing",
+)
 def release_columns(spark, sf_dir):
     """Columns that a release asks for and tables don't have."""
-    wanted = {"nation": ["n_nationkey", "n_name", "n_capital"], "region": ["r_regionkey", "r_name"]}
-    rows = [(name, c) for name, columns in wanted.items() for c in checks.missing_columns(D.table(spark, sf_dir, name), columns)]
+    rows = [(name, c) for name, columns in _WANTED.items() for c in checks.missing_columns(D.table(spark, sf_dir, name), columns)]
     return spark.createDataFrame(rows, T.StructType([T.StructField("name", T.StringType()), T.StructField("missing", T.StringType())]))

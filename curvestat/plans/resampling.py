@@ -210,6 +210,29 @@ def balanced_subsample(spark, sf_dir, reps=SUBSAMPLES):
     return D.rounded(t.select("rep", "B", "W", "boundary_nodes"), 8)
 
 
+@query(
+    "action_subsample",
+    f"""WITH c AS (SELECT label AS athlete, (vec_id % 3)::INT AS action, row_number() OVER (PARTITION BY label, vec_id % 3 ORDER BY vec_id) AS trial, embedding FROM embeddings),
+lim AS (SELECT action, min(n) AS k FROM (SELECT action, count(*) AS n FROM c GROUP BY athlete, action) GROUP BY action),
+h AS (SELECT rep, athlete, action, trial, {_hash('5', 'rep', 'athlete', 'action', 'trial')} AS h FROM c, (SELECT unnest(range(1, {SUBSAMPLES + 1}))::INT AS rep)),
+p AS (SELECT *, row_number() OVER (PARTITION BY rep, athlete, action ORDER BY h, trial) AS place FROM h),
+s AS (SELECT rep, athlete, action, list(trial) AS ts FROM p JOIN lim USING (action) WHERE place <= k GROUP BY ALL),
+nodes AS (SELECT rep, athlete, action, unnest(range(0, 64))::INT AS node, unnest(embedding)::DOUBLE AS y FROM (SELECT rep, athlete, action, unnest(ts) AS trial FROM s) JOIN c USING (athlete, action, trial)),
+cells AS (SELECT rep, athlete, action, node, count(*) AS n, avg(y) AS mean, var_pop(y) * count(*) AS ss FROM nodes GROUP BY ALL), {D.comp_sql('cells', 'rep, action, node')}
+SELECT rep, action, max(m)::BIGINT AS selected, {r(f'sum(sigma2_b * ({D.WEIGHT}))', 'B', 8)}, {r(f'sum(sigma2_w * ({D.WEIGHT}))', 'W', 8)}, count(*) FILTER (NOT interior) AS boundary_nodes FROM comp GROUP BY rep, action""",
+)
+def action_subsample(spark, sf_dir, reps=SUBSAMPLES):
+    """Subsamples of each cell of athlete and action without replacement, to the smallest cell of the action."""
+    e = D.table(spark, sf_dir, "embeddings").select(F.col("label").alias("athlete"), (F.col("vec_id") % 3).cast("int").alias("action"), "vec_id", F.col("embedding").cast("array<double>").alias("y"))
+    c = D.trial_rank(e, ["athlete", "action"], ["vec_id"])
+    least = c.groupBy("athlete", "action").agg(F.count("*").alias("n")).groupBy("action").agg(F.min("n").alias("least"))
+    s = resampling.subsample_cells(c.join(least, "action"), reps, 5, F.col("least"), also=("action",))
+    comp = C.one_way_from_cells(s, ["rep", "action", "node"])
+    w = node_weight(F.col("node"), D.NODES)
+    t = comp.groupBy("rep", "action").agg(F.max("m").alias("selected"), F.sum(F.col("sigma2_b") * w).alias("B"), F.sum(F.col("sigma2_w") * w).alias("W"), F.count_if(~F.col("interior")).alias("boundary_nodes"))
+    return D.rounded(t, 8)
+
+
 def window_subsample(spark, sf_dir, reps):
     """The same subsamples by windows over hashes; tests hold one form against the other."""
     c = D.curves(spark, sf_dir)
