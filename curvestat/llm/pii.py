@@ -4,13 +4,14 @@ Base spans (email, ip, card, phone) are the leftmost non-overlapping matches of
 fixed patterns; matches that fail their check are dropped without another try.
 
 The method adds spans. High-recall generators propose overlapping candidates:
-runs of digits and separators, addresses written with or without signs, and
-long or assigned tokens. Boosted trees score each candidate from its format
+runs of digits and separators, addresses written with or without signs, account numbers,
+long tokens, and short values assigned to a password. Boosted trees score each candidate from its format
 (length, shares and counts of characters, dates and versions) and its context
 (cue words before it, characters beside it); per generator a threshold is
 calibrated for ``PRECISION`` on forms that the trees weren't fitted on. Candidates above it
 are added as kinds ``contact`` and ``secret``. Generators see the text with its base spans
-blanked out, and that of digits with addresses blanked out too.
+blanked out, and those behind it with its addresses and valid account numbers blanked out too. Digests and identifiers (commit ids, MD5 and SHA sums,
+UUIDs, paths of URLs, names of classes) are candidates that the trees learn to pass by.
 
 Trees are fitted here, on a generated set of labelled snippets described in
 ``snippets``, by the same feature expressions; no document is used for the fit.
@@ -47,14 +48,21 @@ PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
 _OCTET = "0*(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
 BASE = ("email", "ip", "card", "phone")
 
+#: What stands before the value of a password.
+_ASSIGNED = r"(?i:passw(?:or)?d|passwort|passphrase|passcode|pwd|secret|token|api[_-]?key)[\"']?\x20{0,2}[:=]>?\x20{0,2}[\"']?"
+#: How keys of well-known services begin.
+VENDORS = r"^(?:AKIA|ASIA|AIza|gh[opsur]_|github_pat_|glpat-|xox[abprs]-|sk-|[srp]k_live_|npm_|eyJ|SG\.|ya29)"
+
 #: Generators of candidates: name, kind, pattern, and a cheap test of the text.
 GENERATORS = (
     ("address", "contact", rf"(?<![{_LOCAL}])[A-Za-z0-9][{_LOCAL}]*+\x20?(?:@|[\[(]at[\])])\x20?[A-Za-z0-9-]++(?:\x20?(?:\.|[\[(]dot[\])])\x20?[A-Za-z0-9-]++)++", r"@|[\[(]at[\])]"),
+    ("account", "contact", r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}+(?:\x20?[A-Z0-9]{1,3})?+(?![A-Za-z0-9])", r"[A-Z]{2}[0-9]{2}\x20?[A-Z0-9]{4}"),
     ("digits", "contact", r"(?<![0-9A-Za-z])[(+]?[0-9](?:[\x20()./-]{0,2}+[0-9]){6,}+", r"[0-9]{2}"),
     ("token", "secret", r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}+={0,2}", r"[A-Za-z0-9+/_-]{16}"),
+    ("value", "secret", rf"(?<=[:=\x20\"'])(?<={_ASSIGNED})[^\x20\t-\r\"'<>,;]{{6,15}}+(?![^\x20\t-\r\"'<>,;])", r"(?i)pass|pwd|secret|token|key"),
 )
 CONTEXT = 32
-ROUNDS = 24
+ROUNDS = 40
 RATE = 0.4
 PRECISION = 0.97
 #: Elements in a block of a running sum, and levels of blocks of blocks above them.
@@ -116,6 +124,19 @@ def _luhn(digits: Column) -> Column:
     return F.aggregate(F.transform(F.split(F.reverse(digits), ""), one), F.lit(0), lambda acc, x: acc + x) % 10 == 0
 
 
+def _account(m: Column) -> Column:
+    """Whether an account number of letters and digits passes its check digits (the remainder by 97, first four characters last)."""
+    plain = F.replace(m, F.lit(" "), F.lit(""))
+    turned = F.concat(F.substr(plain, F.lit(5)), F.left(plain, F.lit(4)))
+
+    def add(acc: Column, c: Column) -> Column:
+        v = F.when(c.rlike("[0-9]"), c.cast("int")).otherwise(F.ascii(c) - 55)
+        return (F.when(v < 10, acc * 10).otherwise(acc * 100) + v) % 97
+
+    ok = m.rlike(r"^[A-Z]{2}[0-9]{2}[A-Z0-9\x20]{8,36}$")
+    return F.when(ok, F.aggregate(F.split(turned, ""), F.lit(0), add) == 1).otherwise(F.lit(False))
+
+
 #: Pattern, cheap test of a text, and check of a match, of each base kind.
 RULES = {
     "email": (EMAIL, lambda t: F.contains(t, F.lit("@")), lambda m: F.lit(True)),
@@ -125,9 +146,13 @@ RULES = {
 }
 
 
+#: Generators whose matches, where this holds of them, are kept from the generators behind them.
+APART = {"address": lambda m: m.rlike("[A-Za-z]{2,}$"), "account": _account}
+
 FEATURES = (
     "length", "digits", "letters", "upper", "lower", "seps", "dots", "slashes", "groups", "vowels",
     "hex", "date", "version", "at_sign", "cue_phone", "cue_secret", "cue_other", "before_word", "after_word", "assigned",
+    "digest", "uuid", "vendor", "mixes", "wordy", "code", "spaced", "checked", "cue_hash", "cue_person", "url", "after_blank",
 )
 
 
@@ -154,15 +179,26 @@ def _features(x: Column) -> Column:
         "date": m.rlike(r"^(?:(?:19|20)[0-9]{2}[-/.][01]?[0-9][-/.][0-3]?[0-9]|[0-3]?[0-9][-/.][01]?[0-9][-/.](?:19|20)?[0-9]{2})(?:$|[^0-9])"),
         "version": m.rlike(r"^[0-9]{1,4}(?:\.[0-9]{1,5})+$"),
         "at_sign": m.rlike(r"@|[\[(]at[\])]"),
+        "digest": m.rlike("^(?:[0-9a-fA-F]{32}|[0-9a-fA-F]{40}|[0-9a-fA-F]{56}|[0-9a-fA-F]{64}|[0-9a-fA-F]{96}|[0-9a-fA-F]{128})$"),
+        "uuid": m.rlike("^[0-9a-fA-F]{8}(?:-[0-9a-fA-F]{4}){3}-[0-9a-fA-F]{12}$"),
+        "vendor": m.rlike(VENDORS),
+        "mixes": F.size(F.split(m, "(?<=[A-Za-z])(?=[0-9])|(?<=[0-9])(?=[A-Za-z])")),
+        "wordy": F.size(F.split(m, "[A-Z]?[a-z]{3,}")),
+        "code": m.rlike(r"[(\[{$%]"),
+        "spaced": count(" "),
+        "checked": _account(m),
     }
     context = {
-        "cue_phone": lambda b: b.rlike(r"(?:phone|tel|call|mobile?|handy|cell|fax|whatsapp|contact|reach|sms)(?:[^a-z]{1,4}[a-z]{1,6}){0,2}[^a-z]{0,4}$"),
+        "cue_phone": lambda b: b.rlike(r"(?:phone|fon|tel|call|mobile?|handy|cell|fax|whatsapp|contact|reach|sms)(?:[^a-z]{1,4}[a-z]{1,6}){0,2}[^a-z]{0,4}$"),
         "cue_secret": lambda b: b.rlike(r"(?:token|secret|passw|pwd|api.?key|key|auth|bearer|credential)[^\n]{0,12}$"),
         "cue_other": lambda b: b.rlike(r"(?:order|invoice|no\.|number|version|isbn|page|id|ref|commit|sha|total|price|item)[^a-z]{0,6}$"),
+        "cue_hash": lambda b: b.rlike(r"(?:commit|sha-?[0-9]{0,3}|md5|checksum|hash|integrity|digest|etag|rev(?:ision)?|blob|tree|merge|uuid|guid|fingerprint)[^\n]{0,8}$"),
+        "cue_person": lambda b: b.rlike(r"(?:ssn|social security|tax id|insurance|passport)[^0-9\n]{0,12}$"),
+        "url": lambda b: b.rlike(r"(?:://|www\.|href=)[^\x20\"']{0,32}$|[A-Za-z0-9]\.$|[./]$"),
         "before_word": lambda b: b.rlike(r"[a-z0-9]$"),
         "assigned": lambda b: b.rlike(r"[:=][\x20\"']{0,2}$"),
     }
-    plain = {k: v.cast("double") for k, v in values.items()} | {"after_word": after.rlike("[A-Za-z0-9]").cast("double")}
+    plain = {k: v.cast("double") for k, v in values.items()} | {"after_word": after.rlike("[A-Za-z0-9]").cast("double"), "after_blank": after.rlike(r"\x20").cast("double")}
 
     def with_context(b: Column) -> Column:
         every = plain | {k: f(b).cast("double") for k, f in context.items()}
@@ -175,9 +211,10 @@ def snippets(seed: int = 9, each: int = 60) -> list[dict]:
     """Generated labelled texts: one candidate each, of generator g, with label y; those apart are of forms only for calibration.
 
     Positives: national phone numbers with and without cue words, addresses
-    with spelt-out signs, random hexadecimal and mixed tokens beside cue words.
+    with spelt-out signs, hexadecimal tokens beside cue words, mixed tokens, keys of known services, assigned passwords, valid account numbers.
     Negatives: dates, versions, order and page numbers, sums, digit series,
-    plain long words, identifiers in lower case, paths, addresses without a domain.
+    plain long words, identifiers of every case, paths, digests, UUIDs, prose and code
+    behind the word password, account numbers with wrong check digits, addresses without a domain.
     """
     draw = random.Random(seed)
     d = lambda n: "".join(draw.choice("0123456789") for _ in range(n))
@@ -190,6 +227,21 @@ def snippets(seed: int = 9, each: int = 60) -> list[dict]:
     month = lambda: f"{draw.randint(1, 12):02d}"
     cue = lambda: pick(["call ", "phone: ", "tel. ", "mobile ", "fax: ", "contact us at "])
     key = lambda: pick(['token = "', "secret: ", "api_key=", 'password: "', "auth key ", "Bearer "])
+    vendor = lambda: pick(["AKIA" + "".join(pick("ABCDEFGHIJKLMNOPQRSTUVWXYZ234567") for _ in range(16)), "ghp_" + mixed(36), "glpat-" + mixed(20), "xoxb-" + d(11) + "-" + mixed(24), "sk_live_" + mixed(24), "AIza" + mixed(35)])
+    uuid = lambda: f"{hexa(8)}-{hexa(4)}-{hexa(4)}-{hexa(4)}-{hexa(12)}"
+    camel = lambda n: "".join(w(draw.randint(4, 9)).capitalize() for _ in range(n))
+    assigned = lambda: pick(["password: ", 'password = "', "passwd=", "pwd: ", "secret='", 'api_key="', "PASSWORD="])
+
+    person = lambda: pick(["SSN ", "ssn: ", "social security number ", "tax id: ", "insurance no. "])
+
+    def account(right: bool, spaced: bool) -> str:
+        country, rest = pick(["DE", "FR", "GB", "NL", "ES"]), d(pick([14, 16, 18, 20]))
+        rest = pick([rest, rest, d(10) + pick(_UPPER) + d(5), "".join(pick(_UPPER) for _ in range(4)) + rest[4:]])
+        number = int("".join(str(int(c, 36)) for c in rest + country) + "00")
+        check = 98 - number % 97
+        text = f"{country}{check if right else 1 + (check + draw.randint(3, 80)) % 96:02d}{rest}"
+        return " ".join(text[i : i + 4] for i in range(0, len(text), 4)) if spaced else text
+
     forms = [
         ("digits", 1, lambda: f"{cue()}({d(3)}) {d(3)}-{d(4)}"),
         ("digits", 1, lambda: f"{cue()}{d(3)}-{d(3)}-{d(4)}"),
@@ -213,7 +265,33 @@ def snippets(seed: int = 9, each: int = 60) -> list[dict]:
         ("token", 1, lambda: f"{key()}{hexa(pick([32, 40, 64]))}"),
         ("token", 1, lambda: f"{key()}{mixed(pick([20, 24, 32, 40]))}"),
         ("token", 1, lambda: f"{w(4)} {mixed(pick([32, 40]))}"),
-        ("token", 1, lambda: f"{w(4)} {hexa(pick([32, 40]))}"),
+        ("token", 1, lambda: f"{key()}{w(draw.randint(17, 30))}"),
+        ("token", 1, lambda: f"{pick(['', w(4) + ' ', key()])}{vendor()}"),
+        ("token", 0, lambda: f"{w(4)} {hexa(pick([32, 40, 64]))}"),
+        ("token", 0, lambda: f"{pick(['commit ', 'md5: ', 'sha256:', 'checksum = ', 'Merge ', 'hash: '])}{hexa(pick([32, 40, 64]))}"),
+        ("token", 0, lambda: f"{pick(['', 'id ', 'uuid: ', 'key '])}{uuid()}"),
+        ("token", 0, lambda: f"https://{w(6)}.{pick(['com', 'org'])}/{w(5)}/{camel(3)}/{w(6)}{d(3)}"),
+        ("token", 0, lambda: f"{w(4)} {camel(draw.randint(3, 5))}{d(1)}"),
+        ("token", 0, lambda: f"{w(3)} {camel(2)}_{w(5)}_{camel(2)}{d(2)}"),
+        ("token", 0, lambda: f"{w(4)}-{d(1)}-{w(6)}-{d(2)}-{w(7)}"),
+        ("value", 1, lambda: f"{assigned()}{w(draw.randint(5, 8))}{d(draw.randint(1, 4))}"),
+        ("value", 1, lambda: f"{pick(['password=', 'pwd=', 'PASSWORD='])}{mixed(draw.randint(8, 14))}"),
+        ("value", 1, lambda: f"{assigned()}{w(4)}{pick('!@#&*')}{mixed(4)}"),
+        ("value", 1, lambda: f"{assigned()}{w(draw.randint(5, 9))}{d(draw.randint(1, 3))}{pick(['', chr(34), ', ' + w(3), chr(10)])}"),
+        ("value", 1, lambda: f"{pick(['password=', 'passwd=', 'pwd='])}{w(draw.randint(8, 14))}"),
+        ("value", 0, lambda: f"{pick(['password: ', 'token: ', 'secret: ', 'Password: '])}{w(draw.randint(6, 12))} {w(3)}"),
+        ("value", 0, lambda: f"{pick(['password: ', 'token: '])}{w(draw.randint(6, 12))}."),
+        ("value", 0, lambda: f"{assigned()}{w(4)}({w(3)})"),
+        ("value", 0, lambda: f"{assigned()}${{{w(5)}}}"),
+        ("value", 0, lambda: f"{assigned()}{w(3)}[{d(1)}]"),
+        ("account", 1, lambda: account(True, draw.random() < 0.5)),
+        ("account", 1, lambda: f"{pick(['IBAN: ', 'account '])}{account(True, draw.random() < 0.5)}"),
+        ("account", 0, lambda: f"{w(4)} {account(False, draw.random() < 0.5)}"),
+        ("digits", 1, lambda: f"{cue()}0{d(2)} {d(7)}"),
+        ("digits", 1, lambda: f"{cue()}0{d(pick([2, 3]))}/{d(6)}"),
+        ("digits", 1, lambda: f"{person()}{d(3)}-{d(2)}-{d(4)}"),
+        ("digits", 1, lambda: f"{person()}{d(pick([8, 9, 10]))}"),
+        ("digits", 1, lambda: f"{person()}{d(2)} {d(3)} {d(3)}"),
         ("token", 0, lambda: f"{w(4)} {w(draw.randint(17, 40))}"),
         ("token", 0, lambda: f"{w(4)} {w(draw.randint(17, 40)).upper()}"),
         ("token", 0, lambda: f"{w(4)} {w(draw.randint(17, 30)).capitalize()}"),
@@ -238,7 +316,20 @@ def snippets(seed: int = 9, each: int = 60) -> list[dict]:
         ("address", 0, lambda: f"{w(3)} {d(3)} @ {d(2)}.{d(1)}"),
         ("token", 1, lambda: f"{pick(['credential ', 'SECRET_KEY=', 'x-auth: ', 'pwd '])}{mixed(36)}"),
         ("token", 1, lambda: f"{w(3)} {mixed(28)}"),
-        ("token", 1, lambda: f"{w(6)} = '{hexa(36)}'"),
+        ("token", 1, lambda: f"{pick(['SECRET_KEY = ', 'auth_token: ', 'apikey '])}'{hexa(36)}'"),
+        ("token", 1, lambda: f"{w(3)}, {pick(['npm_' + mixed(36), 'gho_' + mixed(36), 'ASIA' + mixed(16).upper(), 'eyJ' + mixed(40)])}"),
+        ("token", 0, lambda: f"{pick(['tree ', 'etag: ', 'revision ', 'integrity ', 'SHA1 '])}{hexa(pick([40, 64]))}"),
+        ("token", 0, lambda: f"{pick(['guid ', 'session '])}{uuid().upper()}"),
+        ("token", 0, lambda: f"www.{w(7)}.org/{camel(2)}/{w(4)}-{d(2)}/{w(5)}"),
+        ("token", 0, lambda: f"import {w(5)}.{camel(4)}{d(2)}"),
+        ("value", 1, lambda: f"{pick(['passcode: ', 'Passwort: ', 'token=', 'apikey='])}{w(5)}{d(3)}"),
+        ("value", 1, lambda: f"passphrase = '{mixed(12)}'"),
+        ("value", 0, lambda: f"passcode: {w(7)} {w(4)}"),
+        ("value", 0, lambda: f"passphrase = {w(3)}.{w(2)}()"),
+        ("account", 1, lambda: f"{w(5)}, {account(True, True)}"),
+        ("account", 0, lambda: f"part {account(False, False)}"),
+        ("digits", 1, lambda: f"passport or ssn {d(3)} {d(2)} {d(4)}"),
+        ("digits", 1, lambda: f"{pick(['fon 0', 'Handy 0'])}{d(3)} {d(3)} {d(4)}"),
         ("token", 0, lambda: f"{w(4)} {w(5)}-{w(4)}-{w(6)}-{w(3)}"),
         ("token", 0, lambda: f"{w(2)} {''.join(w(draw.randint(4, 7)).capitalize() for _ in range(4))}"),
         ("token", 0, lambda: f"{w(4)} {w(8)}/{w(5)}/{w(7)}/{w(3)}"),
@@ -359,8 +450,8 @@ def find(spark: SparkSession, docs: DataFrame) -> DataFrame:
         state = state.withColumn("again", own).withColumn("rest", blanked(F.col("rest"), F.col("again"), ok)).drop("again")
     for name, _, pattern, quick in GENERATORS:
         state = state.withColumn(f"h_{name}", hits(F.col("rest"), pattern, F.col("rest").rlike(quick)))
-        if name == "address":
-            state = state.withColumn("rest", blanked(F.col("rest"), F.col("h_address"), lambda m: m.rlike("[A-Za-z]{2,}$")))
+        if name in APART:
+            state = state.withColumn("rest", blanked(F.col("rest"), F.col(f"h_{name}"), APART[name]))
     names = [*BASE, *[name for name, *_ in GENERATORS]]
     state = state.select("doc_id", "text", F.transform(F.array(*[f"h_{name}" for name in names]), placed).alias("found"))
     at = {name: F.get("found", F.lit(i)) for i, name in enumerate(names)}
