@@ -19,6 +19,13 @@ def safe_ratio(a: Column, b: Column) -> Column:
     return F.when(b > 0, a / b).otherwise(F.lit(0.0))
 
 
+def ieee_ratio(a: Column, b: Column) -> Column:
+    """a / b as floating-point arithmetic and the SQL of the queries have it where b is 0: infinity with the sign of a, not a number for 0 / 0."""
+    a = a.cast("double")
+    zero = F.when(a.isNull(), F.lit(None).cast("double")).when(F.isnan(a) | (a == 0), F.lit(float("nan"))).when(a > 0, F.lit(INFINITY)).otherwise(F.lit(-INFINITY))
+    return F.when(b == 0, zero).otherwise(a / b)
+
+
 def reliability(b: Column, w: Column, n: Column) -> Column:
     return safe_ratio(b, b + w / n)
 

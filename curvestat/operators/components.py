@@ -12,13 +12,14 @@ from curvestat.functions.arrays import node_weight
 def components_from_sums(df: DataFrame) -> DataFrame:
     """Adds msb, msw, interior, sigma2_b and sigma2_w to ssb, ssw, groups p and trials m.
 
-    Where msb is below msw both sums of squares are pooled into the residual.
+    Where msb is below msw both sums of squares are pooled into the residual. With one group or one trial
+    a mean square has no degrees of freedom and is not a number; not a number counts as above all numbers.
     """
     p, m = F.col("p"), F.col("m")
-    df = df.withColumn("msb", F.col("ssb") / (p - 1)).withColumn("msw", F.col("ssw") / (p * (m - 1)))
+    df = df.withColumn("msb", R.ieee_ratio(F.col("ssb"), p - 1)).withColumn("msw", R.ieee_ratio(F.col("ssw"), p * (m - 1)))
     df = df.withColumn("interior", F.col("msb") >= F.col("msw"))
     return df.withColumn("sigma2_b", F.when(F.col("interior"), (F.col("msb") - F.col("msw")) / m).otherwise(0.0)).withColumn(
-        "sigma2_w", F.when(F.col("interior"), F.col("msw")).otherwise((F.col("ssb") + F.col("ssw")) / (p * m - 1))
+        "sigma2_w", F.when(F.col("interior"), F.col("msw")).otherwise(R.ieee_ratio(F.col("ssb") + F.col("ssw"), p * m - 1))
     )
 
 
@@ -95,7 +96,8 @@ def two_way(nodes: DataFrame, keys: list[str], value: str = "y") -> DataFrame:
 
     Columns raw_* and sigma2_* (truncated at zero) for action, athlete, their
     interaction and the residual. One pass over trials; the other levels come
-    from cell means, without joins.
+    from cell means, without joins. A mean square without degrees of freedom (one
+    trial in the smallest cell, one athlete, one action) is not a number, and so is what needs it.
     """
     cells = nodes.groupBy(*keys, "athlete", "action").agg(F.count(value).alias("r"), F.avg(value).alias("mean"), (F.var_pop(value) * F.count(value)).alias("ss"))
     athletes = cells.groupBy(*keys, "athlete").agg(F.count("*").alias("a"), F.min("r").alias("r"), F.avg("mean").alias("mean"), (F.var_pop("mean") * F.count("*")).alias("between"), F.sum("ss").alias("ss"))
@@ -105,8 +107,8 @@ def two_way(nodes: DataFrame, keys: list[str], value: str = "y") -> DataFrame:
     by_action = actions.groupBy(*keys).agg((F.var_pop("mean") * F.count("*")).alias("s_action"))
     both = by_athlete.join(by_action, keys) if keys else by_athlete.crossJoin(by_action)
     p, a, r = F.col("p"), F.col("a"), F.col("r")
-    both = both.withColumn("ms_athlete", a * r * F.col("s_athlete") / (p - 1)).withColumn("ms_action", p * r * F.col("s_action") / (a - 1))
-    both = both.withColumn("ms_inter", r * (F.col("s_rest") - p * F.col("s_action")) / ((p - 1) * (a - 1))).withColumn("ms_error", F.col("ss_e") / (p * a * (r - 1)))
+    both = both.withColumn("ms_athlete", R.ieee_ratio(a * r * F.col("s_athlete"), p - 1)).withColumn("ms_action", R.ieee_ratio(p * r * F.col("s_action"), a - 1))
+    both = both.withColumn("ms_inter", R.ieee_ratio(r * (F.col("s_rest") - p * F.col("s_action")), (p - 1) * (a - 1))).withColumn("ms_error", R.ieee_ratio(F.col("ss_e"), p * a * (r - 1)))
     raw = {
         "action": (F.col("ms_action") - F.col("ms_inter")) / (p * r),
         "athlete": (F.col("ms_athlete") - F.col("ms_inter")) / (a * r),

@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from curvestat.functions import reliability as R
 from curvestat.functions.arrays import finite
 from curvestat.operators.components import components_from_sums
 
@@ -102,8 +103,8 @@ def bootstrap_two_way(cells: DataFrame, drawn: DataFrame, keys: list[str]) -> Da
     two = per_action.groupBy("rep", *keys).agg((F.var_pop("mean") * F.count("*")).alias("s_action"))
     both = one.join(two, ["rep", *keys])
     p, a, r = F.col("p"), F.col("a"), F.col("r")
-    ms_p, ms_a = a * r * F.greatest(F.col("s_athlete"), F.lit(0.0)) / (p - 1), p * r * F.col("s_action") / (a - 1)
-    ms_pa, ms_e = r * (F.col("s_rest") - p * F.col("s_action")) / ((p - 1) * (a - 1)), F.col("ss_e") / (p * a * (r - 1))
+    ms_p, ms_a = R.ieee_ratio(a * r * F.greatest(F.col("s_athlete"), F.lit(0.0)), p - 1), R.ieee_ratio(p * r * F.col("s_action"), a - 1)
+    ms_pa, ms_e = R.ieee_ratio(r * (F.col("s_rest") - p * F.col("s_action")), (p - 1) * (a - 1)), R.ieee_ratio(F.col("ss_e"), p * a * (r - 1))
     zero = F.lit(0.0)
     return both.select(
         "rep", *keys,
