@@ -4,8 +4,8 @@ Rows have whole-number keys, outermost first, and a leaf digest. From the innerm
 rows whose keys agree but for the last, and whose last key has the same quotient by the fan-out, are
 brought together: their digests, in order and each behind its key, make one. This is repeated
 with the quotients until one digest is left for the key above. So a row of a group of
-at most FAN digests is the most that a task holds at once, whatever the number of rows, and partial
-results never grow. An altered, a moved, a missing and a further row each change the
+at most FAN digests is the most that a task holds at once, whatever the number of rows (unless a caller
+sets ``deepest``), and partial results never grow. An altered, a moved, a missing and a further row each change the
 digests on their way to the root, and comparing two trees level by level finds where.
 """
 
@@ -42,28 +42,35 @@ def levels(most: int, fan: int = FAN) -> int:
     return n
 
 
-def tree(rows: DataFrame, group: list[str], keys: list[str], digest: str = "digest", fan: int = FAN) -> list[DataFrame]:
+def tree(rows: DataFrame, group: list[str], keys: list[str], digest: str = "digest", fan: int = FAN, deepest: dict[str, int] | None = None) -> list[DataFrame]:
     """All levels above the leaves, from the lowest to the roots (group, digest, rows).
 
-    rows: group, keys (whole numbers from 0, together unique) and the leaf digest.
+    rows: group, keys (whole numbers from 0, together unique) and the leaf digest. deepest: for
+    some keys, the most divisions; the last of them brings all quotients that are left together, in order, so the
+    digest is of all rows, and a task holds as many digests as there are quotients.
     """
     if fan < 2:
         raise ValueError("the fan-out is at least 2")
+    if any(n < 1 for n in (deepest or {}).values()):
+        raise ValueError("a key is divided at least once")
     most = rows.agg(*[F.max(k).alias(k) for k in keys], *[F.min(k).alias(f"least_{k}") for k in keys]).first()
     if any((most[f"least_{k}"] or 0) < 0 for k in keys):
         raise ValueError("keys count from 0")
     out = [rows.select(*group, *[F.col(k).cast("bigint").alias(k) for k in keys], F.col(digest).alias("digest"), F.lit(1).cast("bigint").alias("rows"))]
     for i in reversed(range(len(keys))):
         key, keep = keys[i], [*group, *keys[:i]]
-        for _ in range(levels(most[key] or 0, fan)):
+        n = levels(most[key] or 0, fan)
+        last = min(n, (deepest or {}).get(key, n)) - 1
+        for _ in range(last):
             out.append(_together(out[-1], keep, key, F.floor(F.col(key) / fan)))
+        out.append(_together(out[-1], keep, key, F.lit(0).cast("bigint")))
         out[-1] = out[-1].drop(key)
     return out[1:]
 
 
-def root(rows: DataFrame, group: list[str], keys: list[str], digest: str = "digest", fan: int = FAN) -> DataFrame:
+def root(rows: DataFrame, group: list[str], keys: list[str], digest: str = "digest", fan: int = FAN, deepest: dict[str, int] | None = None) -> DataFrame:
     """group, digest and rows of each root; repeated keys are an error of the caller that CHK3 finds."""
-    return tree(rows, group, keys, digest, fan)[-1]
+    return tree(rows, group, keys, digest, fan, deepest)[-1]
 
 
 def changed(one: DataFrame, other: DataFrame, group: list[str], keys: list[str], fan: int = FAN) -> DataFrame:

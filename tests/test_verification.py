@@ -88,3 +88,31 @@ def test_any_change_shows_and_is_found(spark):
     with pytest.raises(ValueError):
         tree_digest.root(spark.createDataFrame([("x", -1, 0, "a")], kind), ["g"], ["a", "b"])
     assert tree_digest.root(base.limit(0), ["g"], ["a", "b"]).count() == 0
+
+
+def test_trials_above_4095_give_the_digests_of_the_sql(spark, tmp_path):
+    import duckdb
+
+    from curvestat.catalog import CORE
+    from curvestat.plans import load_all
+
+    load_all()
+    values = F.transform(F.sequence(F.lit(0), F.lit(63)), lambda i: F.sin(F.col("id") * (i + 1)).cast("float"))
+    # label 1 has 4,200 trials, label 2 the others
+    e = spark.range(4500).select(F.col("id").alias("vec_id"), values.alias("embedding"), F.when(F.col("id") % 15 == 7, 2).otherwise(1).alias("label"))
+    e.write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, want = CORE.builders["curve_tree_digest"](spark, str(tmp_path)), con.sql(CORE.oracles["curve_tree_digest"]).fetchall()
+    assert {tuple(r) for r in got.select("waveform", "sha256", "curves").collect()} == set(want) and len(want) == 2
+
+
+def test_fewer_divisions_bring_the_other_quotients_together(spark):
+    rows = {(a, b): hashlib.sha256(f"{a}{b}".encode()).hexdigest() for a in range(3) for b in range(40)}
+    df = spark.createDataFrame([("w", a, b, d) for (a, b), d in rows.items()], "g string, a int, b bigint, digest string")
+    one = lambda parts: hashlib.sha256(";".join(f"{k}:{d}" for k, d in sorted(parts)).encode()).hexdigest()
+    inner = [(a, one([(q, one([(b, rows[a, b]) for b in range(40) if b // 4 == q])) for q in range(10)])) for a in range(3)]
+    (r,) = tree_digest.root(df, ["g"], ["a", "b"], fan=4, deepest={"b": 2}).collect()
+    assert (r["digest"], r["rows"]) == (one(inner), 120)
+    with pytest.raises(ValueError):
+        tree_digest.root(df, ["g"], ["a", "b"], deepest={"b": 0})
