@@ -3,6 +3,8 @@
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
+from operator import and_
 
 import numpy as np
 import pandas as pd
@@ -12,6 +14,7 @@ from pyspark.sql import functions as F
 from curvestat.functions import reliability as R
 from curvestat.functions.arrays import finite
 from curvestat.operators.components import components_from_sums
+from curvestat.operators.lineage import cut, few
 
 INFINITY = float("inf")
 QUANTILES = (0.025, 0.5, 0.975)
@@ -121,33 +124,89 @@ def subsample(trials: DataFrame, reps: int, seed: int, cell: list[str], order: s
     return keyed.withColumn("place", place).filter(F.col("place") <= size).drop("h", "place")
 
 
+#: Curves that a task of the subsamples sums at once, and hashes that it makes at once.
+CHUNK, HASHES = 4096, 1 << 19
+#: Most blocks of replicates into which the choice of a cell's trials is dealt, each with the numbers of all of them.
+PARTS = 16
+
+
+def _joined(rows: DataFrame, other: DataFrame, keys: list[str]) -> DataFrame:
+    """rows with the columns of a table of one row for each combination of keys, a null key its own."""
+    named = other.withColumnsRenamed({k: f"_{k}" for k in keys})
+    return rows.join(named, reduce(and_, [rows[k].eqNullSafe(named[f"_{k}"]) for k in keys])).drop(*[f"_{k}" for k in keys])
+
+
+def _blocks(seed: int, key: tuple, reps: np.ndarray, t: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Places of some replicates and ``hash_key`` of each with every trial, about HASHES at once."""
+    name = "|".join(str(c) for c in key)
+    for at in np.array_split(np.arange(len(reps)), -(-len(reps) * len(t) // HASHES)):
+        if len(at):
+            yield at, hash_matrix([f"{seed}|{rep}|{name}|" for rep in reps[at]], t.tolist())
+
+
+def subsample_limits(trials: DataFrame, reps: int, seed: int, size: Column, order: str, cell: list[str]) -> DataFrame:
+    """cell, size and, by replicate in order, hash and trial of the last trial that the cell's subsample takes (hs, ts).
+
+    Looks at the numbers of trials alone, never at their curves.
+    """
+    sizes = trials.groupBy(*cell).agg(F.count("*").alias("n"), F.max(size).cast("int").alias("size")).filter("size > 0")
+    plan = few(cut(sizes.withColumn("parts", F.least(F.lit(PARTS), F.lit(reps), F.ceil(F.col("n") * reps / (8 * HASHES))).cast("int"))))
+    kinds = ", ".join(f"{c} {trials.schema[c].dataType.simpleString()}" for c in cell)
+    ids = _joined(trials.select(*cell, F.col(order).cast("bigint").alias("t")), plan, cell).withColumn("part", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
+
+    def last(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        t, k, part, parts = np.sort(rows["t"].to_numpy()), min(int(rows["size"].iloc[0]), len(rows)), key[-1], int(rows["parts"].iloc[0])
+        own = np.arange(reps * part // parts + 1, reps * (part + 1) // parts + 1)
+        hs, at = np.zeros(len(own), dtype=np.int64), np.zeros(len(own), dtype=np.int64)
+        for some, h in _blocks(seed, key[:-1], own, t):
+            at[some] = np.argsort(h, axis=1, kind="stable")[:, k - 1]
+            hs[some] = h[np.arange(len(some)), at[some]]
+        return pd.DataFrame({**{c: [v] for c, v in zip(cell, key, strict=False)}, "part": [part], "size": [k], "hs": [hs], "ts": [t[at]]})
+
+    blocks = spread(ids, *cell, "part").groupBy(*cell, "part").applyInPandas(last, f"{kinds}, part int, size int, hs array<bigint>, ts array<bigint>")
+    whole = blocks.groupBy(*cell).agg(F.max("size").alias("size"), F.sort_array(F.collect_list(F.struct("part", "hs", "ts"))).alias("x"))
+    return whole.select(*cell, "size", F.flatten("x.hs").alias("hs"), F.flatten("x.ts").alias("ts"))
+
+
 def subsample_cells(trials: DataFrame, reps: int, seed: int, size: Column, order: str = "trial", group: str = "athlete", also: tuple[str, ...] = ()) -> DataFrame:
-    """rep, cell, node, n, mean and ss of the balanced subsamples of ``subsample``, by one NumPy pass over each cell's curves y.
+    """rep, cell, node, n, mean and ss of the balanced subsamples of ``subsample``, by NumPy over chunks of each cell's curves y.
 
-    A cell is a group, or a combination of group and the columns of ``also``. Trials are
+    A cell is a group, or a combination of group and the columns of ``also``; ``order`` is a whole number, unique in a cell. Trials are
     chosen by cell and number alone, so curves of several waveforms with the same numbers get the same choice.
+    The last trial that each replicate takes is found from the numbers; then every chunk of about CHUNK curves knows which of its
+    trials are taken, and its sums are added up. So no task holds a cell's curves, or more than its trials' numbers and about HASHES hashes.
     """
     cell = [group, *also]
-    gathered = trials.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct(F.col(order).alias("t"), F.col("y").cast("array<double>").alias("y")))).alias("g"), F.max(size).cast("int").alias("size"))
-    source = spread(gathered.select(*cell, F.col("g.t").alias("t"), F.col("g.y").alias("y"), "size"), *cell)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for row in batch.to_dict("records"):
-                y, k = np.stack(row["y"]), row["size"]
-                name = "|".join(str(row[c]) for c in cell)
-                h = hash_matrix([f"{seed}|{rep}|{name}|" for rep in range(1, reps + 1)], row["t"])
-                chosen = np.zeros((reps, len(y)))
-                np.put_along_axis(chosen, np.argsort(h, axis=1, kind="stable")[:, :k], 1, axis=1)
-                # sums of the chosen curves by matrix products, about the mean of all so that nothing cancels
-                centre = y.mean(axis=0)
-                mean = chosen @ (y - centre) / k
-                ss = chosen @ (y - centre) ** 2 - k * mean**2
-                n = y.shape[1]
-                yield pd.DataFrame({"rep": np.repeat(np.arange(1, reps + 1), n), **{c: row[c] for c in cell}, "node": np.tile(np.arange(n), reps), "n": k, "mean": (mean + centre).ravel(), "ss": ss.ravel()})
-
-    kinds = ", ".join(f"{c} {source.schema[c].dataType.simpleString()}" for c in cell)
-    return source.mapInPandas(run, f"rep int, {kinds}, node int, n bigint, mean double, ss double")
+    limits = cut(subsample_limits(trials, reps, seed, size, order, cell))
+    curves = trials.select(*cell, F.col(order).cast("bigint").alias("t"), F.col("y").cast("array<double>").alias("y"))
+    # sums are taken about the cell's mean curve, so that nothing cancels
+    centres = curves.select(*cell, F.posexplode("y").alias("node", "v")).groupBy(*cell, "node").agg(F.avg("v").alias("v"))
+    centres = centres.groupBy(*cell).agg(F.sort_array(F.collect_list(F.struct("node", "v"))).alias("x")).select(*cell, F.col("x.v").alias("centre"))
+    counts = few(cut(curves.groupBy(*cell).agg(F.ceil(F.count("*") / CHUNK).alias("chunks"))))
+    dealt = _joined(curves, counts, cell).withColumn("chunk", F.pmod(F.xxhash64("t"), F.col("chunks")).cast("int")).drop("chunks")
+    known = _joined(_joined(limits, centres, cell), counts, cell).withColumn("chunk", F.explode(F.sequence(F.lit(0), (F.col("chunks") - 1).cast("int")))).drop("chunks")
+    kinds = ", ".join(f"{c} {trials.schema[c].dataType.simpleString()}" for c in cell)
+
+    def sums(key: tuple, rows: pd.DataFrame, known: pd.DataFrame) -> pd.DataFrame:
+        columns = {"rep": "int32", "node": "int32", "n": "int64", "s1": float, "s2": float, "centre": float}
+        if rows.empty or known.empty:
+            return pd.DataFrame({**{c: [] for c in cell}, **{c: np.zeros(0, kind) for c, kind in columns.items()}})
+        t, centre = rows["t"].to_numpy(), np.asarray(known["centre"].iloc[0])
+        hs, ts = np.asarray(known["hs"].iloc[0])[:, None], np.asarray(known["ts"].iloc[0])[:, None]
+        y, q = np.stack(rows["y"]) - centre, len(centre)
+        squares = y**2
+        n, s1, s2 = np.zeros(reps, dtype=np.int64), np.zeros((reps, q)), np.zeros((reps, q))
+        for some, h in _blocks(seed, key[:-1], np.arange(1, reps + 1), t):
+            taken = ((h < hs[some]) | ((h == hs[some]) & (t[None, :] <= ts[some]))).astype(float)
+            n[some], s1[some], s2[some] = taken.sum(1), taken @ y, taken @ squares
+        out = {"rep": np.repeat(np.arange(1, reps + 1), q), "node": np.tile(np.arange(q), reps), "n": np.repeat(n, q), "s1": s1.ravel(), "s2": s2.ravel(), "centre": np.tile(centre, reps)}
+        return pd.DataFrame({**{c: [v] * (reps * q) for c, v in zip(cell, key, strict=False)}, **out})
+
+    by = [*cell, "chunk"]
+    parts = spread(dealt, *by).groupBy(*by).cogroup(spread(known, *by).groupBy(*by)).applyInPandas(sums, f"{kinds}, rep int, node int, n bigint, s1 double, s2 double, centre double")
+    total = parts.groupBy("rep", *cell, "node").agg(F.sum("n").alias("n"), F.sum("s1").alias("s1"), F.sum("s2").alias("s2"), F.max("centre").alias("centre"))
+    mean = F.col("s1") / F.col("n")
+    return total.select("rep", *cell, "node", "n", (F.col("centre") + mean).alias("mean"), F.greatest(F.col("s2") - F.col("n") * mean * mean, F.lit(0.0)).alias("ss"))
 
 
 def spread(rows: DataFrame, *keys: str) -> DataFrame:
