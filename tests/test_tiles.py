@@ -68,3 +68,15 @@ def test_a_hundred_thousand_trials_in_one_group(spark):
     d = (x * x * w).sum(1)
     assert got["rho"] == pytest.approx(float((x[:-1] * x[1:] * w).sum() / np.sqrt(d[:-1].sum() * d[1:].sum())), rel=1e-9)
     assert abs(got["null_p975"]) < 0.02
+
+
+def test_no_permutation_query_makes_products_of_all_pairs(spark, monkeypatch):
+    from curvestat.plans import resampling as P
+
+    def none(*a, **k):
+        raise AssertionError("products of all pairs")
+
+    monkeypatch.setattr(dependence, "gram", none)
+    monkeypatch.setattr(dependence, "DENSE", 0)
+    got = P.permutation_lag1(spark, "/root/testdata/sf0.001").first()
+    assert got["permutations"] == 500 and 0 < got["p_value"] <= 1
