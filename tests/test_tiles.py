@@ -35,6 +35,35 @@ def test_tiles_give_every_product_once(spark, curves, tile):
         assert r["g"] == pytest.approx(float((x[r["i"] - 1] * w * x[r["j"] - 1]).sum()), abs=1e-12)
 
 
+@pytest.mark.parametrize("same", [False, True])
+def test_blocks_of_two_tiles_hold_both_orders_of_each_pair_once(monkeypatch, same):
+    monkeypatch.setattr(dependence, "STRIP", 2)
+    monkeypatch.setattr(dependence, "RUN", 3)
+    rng = np.random.default_rng(8)
+    i, left = np.arange(7), rng.normal(size=(7, NODES))
+    j, right = (i, left) if same else (np.arange(20, 31), rng.normal(size=(11, NODES)))
+    got = [row for block in dependence._products(i, left, j, right, same) for row in zip(*block, strict=True)]
+    want = {pair: float(left[a] @ right[b]) for a, x in enumerate(i) for b, y in enumerate(j) for pair in ((x, y), (y, x))}
+    assert len(got) == len(want)
+    assert {(x, y): g for x, y, g in got} == pytest.approx(want, abs=1e-12)
+
+
+def test_tiles_of_one_group_are_dealt_to_several_tasks(spark):
+    """Also where all rows of a group lie in one partition, as they do behind a window over it."""
+    resid = table(spark, {1: np.random.default_rng(6).normal(size=(60, NODES))}).repartition(4, "athlete")
+    got = dependence.gram(resid, [], NODES, tile=4).groupBy(F.spark_partition_id().alias("p")).count().collect()
+    assert sum(r["count"] for r in got) == 60 * 60 and len(got) > 4
+
+
+def test_products_of_both_orders_take_the_bytes_of_one(spark, tmp_path):
+    """As a file, a row takes over 8 bytes where mirror images lie far apart."""
+    resid = table(spark, {1: np.random.default_rng(7).normal(size=(700, NODES))})
+    path = tmp_path / "gram"
+    dependence.gram(resid, [], NODES, tile=256).write.option("compression", "snappy").parquet(str(path))
+    assert spark.read.parquet(str(path)).count() == 700 * 700
+    assert sum(f.stat().st_size for f in path.glob("*.parquet")) < 6 * 700 * 700
+
+
 @pytest.mark.parametrize("limits", [(1 << 21, 1 << 28, 1024), (46, 1 << 28, 1024), (46, 300, 4), (10, 1000, 0)])
 def test_blocks_do_not_change_the_test(spark, curves, monkeypatch, limits):
     resid = table(spark, curves)
