@@ -39,15 +39,20 @@ def continuous_trials(b: Column, w: Column, target: float) -> Column:
     return F.when(b > 0, target * w / ((1 - target) * b)).otherwise(F.lit(INFINITY))
 
 
+def _whole(x: Column) -> Column:
+    """x rounded up, 1 at least. Rounding up makes a long, where not a number would be 0, so it stays, as do numbers from 1 << 52 on, which are whole."""
+    return F.greatest(F.lit(1.0), F.when(F.isnan(x) | (x >= float(1 << 52)), x).otherwise(F.ceil(x).cast("double")))
+
+
 def plain_required_trials(b: Column, w: Column, target: float) -> Column:
     """Smallest whole number not below the continuous threshold, at least 1."""
-    return F.when(b > 0, F.greatest(F.lit(1.0), F.ceil(target * w / ((1 - target) * b)).cast("double"))).otherwise(F.lit(INFINITY))
+    return F.when(b > 0, _whole(target * w / ((1 - target) * b))).otherwise(F.lit(INFINITY))
 
 
 def required_trials(b: Column, w: Column, target: float) -> Column:
     """As plain_required_trials, one unit in the last place lower before rounding up."""
     x = target * w / ((1 - target) * b) * F.lit(0.9999999999999999)
-    return F.when(b > 0, F.greatest(F.lit(1.0), F.ceil(x).cast("double"))).otherwise(F.lit(INFINITY))
+    return F.when(b > 0, _whole(x)).otherwise(F.lit(INFINITY))
 
 
 def required_pointwise(bs: Column, ws: Column, target: float, most: int = MOST_TRIALS) -> Column:

@@ -1,9 +1,10 @@
-"""Designs whose smallest cell holds one trial: their mean squares have no degrees of freedom."""
+"""Designs of one trial in the smallest cell or of one group: their mean squares have no degrees of freedom."""
 
 from __future__ import annotations
 
 import math
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -52,3 +53,23 @@ def test_two_way_replicates_of_one_trial(spark):
 def test_ratio(spark):
     row = spark.range(1).select(*[R.ieee_ratio(F.lit(a).cast("double"), F.lit(b)).alias(str(i)) for i, (a, b) in enumerate([(1, 2), (1, 0), (-1, 0), (0, 0), (float("nan"), 0), (None, 0)])]).first()
     assert tuple(row)[:3] == (0.5, math.inf, -math.inf) and math.isnan(row[3]) and math.isnan(row[4]) and row[5] is None
+
+
+@pytest.mark.parametrize("name", ["estimand_comparison", "required_trials"])
+def test_thresholds_of_one_group_are_those_of_the_sql(spark, tmp_path, name):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=64)], 1) for i in range(12)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got, rel = CORE.builders[name](spark, str(tmp_path)), con.sql(CORE.oracles[name])
+    want = rel.fetchall()[0]
+    assert same([got.first()[c] for c in rel.columns], want)
+    assert math.isnan(want[rel.columns.index("required_90" if name == "required_trials" else "required_n_R_L2_90")])
+
+
+def test_thresholds_beyond_the_longs(spark):
+    row = spark.range(1).select(*[f(F.lit(b), F.lit(w), 0.9) for b, w in [(1e-30, 1.0), (2.0**-60, 1.0), (float("nan"), 1.0)] for f in (R.required_trials, R.plain_required_trials)]).first()
+    assert tuple(row)[:4] == pytest.approx((9e30, 9e30, 9 * 2.0**60, 9 * 2.0**60)) and math.isnan(row[4]) and math.isnan(row[5])
