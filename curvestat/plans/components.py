@@ -80,7 +80,7 @@ cand AS (SELECT unnest(range(1, 4001))::INT AS trials_m), pw AS (SELECT trials_m
 SELECT target, coalesce(min(trials_m) FILTER (mp >= target AND top + 1e-14 >= target), 'Infinity'::DOUBLE)::DOUBLE AS required FROM target, pw, lim GROUP BY target""",
 )
 def required_trials_pointwise(spark, sf_dir):
-    shaped = C.component_arrays(comp(spark, sf_dir), [])
+    shaped = C.component_arrays(comp(spark, sf_dir), []).filter(F.size("bs") > 0)
     out = None
     for t in (0.1, 0.25, 0.4, 0.9):
         one = shaped.select(F.lit(t).alias("target"), R.required_pointwise(F.col("bs"), F.col("ws"), t).alias("required"))

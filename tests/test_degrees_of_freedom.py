@@ -73,3 +73,17 @@ def test_thresholds_of_one_group_are_those_of_the_sql(spark, tmp_path, name):
 def test_thresholds_beyond_the_longs(spark):
     row = spark.range(1).select(*[f(F.lit(b), F.lit(w), 0.9) for b, w in [(1e-30, 1.0), (2.0**-60, 1.0), (float("nan"), 1.0)] for f in (R.required_trials, R.plain_required_trials)]).first()
     assert tuple(row)[:4] == pytest.approx((9e30, 9e30, 9 * 2.0**60, 9 * 2.0**60)) and math.isnan(row[4]) and math.isnan(row[5])
+
+
+@pytest.mark.parametrize("n", [0, 1, 12])
+def test_pointwise_thresholds_of_few_curves_are_those_of_the_sql(spark, tmp_path, n):
+    import duckdb
+
+    rng = np.random.default_rng(9)
+    rows = [(i, [float(v) for v in rng.normal(size=64)], i % 2) for i in range(n)]
+    spark.createDataFrame(rows, "vec_id bigint, embedding array<float>, label int").write.parquet(str(tmp_path / "embeddings.parquet"))
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW embeddings AS SELECT * FROM '{tmp_path}/embeddings.parquet/*.parquet'")
+    got = CORE.builders["required_trials_pointwise"](spark, str(tmp_path)).select("target", "required").collect()
+    want = con.sql(CORE.oracles["required_trials_pointwise"]).fetchall()
+    assert len(want) == (4 if n else 0) and sorted(map(tuple, got)) == sorted(want)
